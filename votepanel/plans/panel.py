@@ -16,7 +16,7 @@ from votepanel.operators.aggregate import aggregate_event, national_reference
 from votepanel.operators.mapping import expand_by_category
 from votepanel.operators.reshape import pivot_category
 from votepanel.operators.windows import panel_lags, turnout_lags
-from votepanel.session import bounded_broadcast
+from votepanel.session import bounded_broadcast, cut_lineage
 
 
 def event_category_table(long_df: DataFrame, mapping: DataFrame, *, reference_df: DataFrame | None = None, broadcast: bool | None = None) -> DataFrame:
@@ -25,6 +25,11 @@ def event_category_table(long_df: DataFrame, mapping: DataFrame, *, reference_df
     ``reference_df``: rows the reference is computed on (defaults to the same rows, Q17).
     """
     local = aggregate_event(expand_by_category(long_df, mapping, broadcast=broadcast))
+    # The compact event-category table feeds two consumers (reference aggregate and the station
+    # windows). Writing it once to the shared checkpoint folder, hash-partitioned on the station key,
+    # avoids recomputing the long-table joins for each consumer, cuts the lineage (survives executor
+    # loss) and keeps the partitioning for the windows downstream.
+    local = cut_lineage(local.repartition("code_bv"))
     ref_local = local if reference_df is None else aggregate_event(expand_by_category(reference_df, mapping, broadcast=broadcast))
     nat = national_reference(ref_local)
     nat = bounded_broadcast(nat) if broadcast is None else (F.broadcast(nat) if broadcast else nat)
@@ -67,9 +72,9 @@ def build_panel(long_df: DataFrame, mapping: DataFrame, *, strict_before: bool =
     Semantics kept from the original: a station-event without any valid share is not a panel row
     (Q19); feature columns always exist (Q20); lag order is date, type, round (Q14).
     """
+    # event_category_table is hash-partitioned on code_bv: every later window / aggregate is keyed by
+    # code_bv + more columns, so no further exchange is planned.
     local = event_category_table(long_df, mapping, broadcast=broadcast)
-    # One exchange on the station key; every later window / aggregate is keyed by code_bv + more.
-    local = local.repartition("code_bv")
     lagged = panel_lags(local, strict_before=strict_before)
     wide = pivot_category(
         lagged,

@@ -81,6 +81,6 @@ _LAG_COLS = ["share_lag_any", "share_lag2_any", "share_lag_same_type", "dev_to_n
     + " from fx_lags",
 )
 def q_panel_lags(spark, sf):
-    ec = event_category_table(long_table(spark, sf), mapping_table(spark, sf)).repartition("code_bv")
+    ec = event_category_table(long_table(spark, sf), mapping_table(spark, sf))
     lg = panel_lags(ec)
     return round_doubles(lg.select("code_bv", "election_type", "election_year", "round", "category", "share", "share_nat", *_LAG_COLS))
