@@ -131,3 +131,158 @@ def panel_sql() -> str:
         f"{r6(after)} as target_sum_after_renorm",
     ]
     return with_ctes(FX_LONG, FX_MAP, FX_LOCAL, FX_LOCAL_RATES, FX_NAT, FX_EC, FX_LAGS, wide, tl, clip_cte, norm_cte) + "select " + ",\n ".join(cols) + " from fx_norm"
+
+
+# ---------------------------------------------------------------- forecast (trend_forecast family)
+
+def _trend_sql(value: str, keep: str, sfx: str, prefix: str = "") -> list[str]:
+    valid = f"({keep}) and {value} is not null and election_year is not null"
+    v = f"case when {valid} then {value} end"
+    x = f"case when {valid} then cast(election_year as double) end"
+    return [
+        f"count({v}) as {prefix}n{sfx}",
+        f"count(distinct {x}) as {prefix}ny{sfx}",
+        f"regr_slope({v}, {x}) as {prefix}slope{sfx}",
+        f"avg({x}) as {prefix}mx{sfx}",
+        f"avg({v}) as {prefix}my{sfx}",
+        f"arg_max({value}, date_scrutin) filter (where {valid}) as {prefix}last{sfx}",
+        f"min({v}) as {prefix}min{sfx}",
+        f"max({v}) as {prefix}max{sfx}",
+    ]
+
+
+def _line_sql(p, target_year: int, min_points: int) -> str:
+    return (
+        f"case when {p('n')} = 0 then null when {p('n')} >= {min_points} and {p('ny')} >= {min_points} and {p('slope')} is not null "
+        f"then {p('my')} + {p('slope')} * ({float(target_year)} - {p('mx')}) else {p('last')} end"
+    )
+
+
+def clip01_sql(e: str) -> str:
+    return f"least(greatest({e}, 0.0), 1.0)"
+
+
+def forecast_history_ctes(target_year: int) -> list[str]:
+    hist = f"""fc_hist0 as (
+ select code_bv, election_type, election_year, round, date_scrutin, category, voix_cat, votants, inscrits, blancs, nuls, share,
+  case when exprimes is null or exprimes = 0 then sum(voix_cat) over (partition by code_bv, date_scrutin) else exprimes end as exprimes
+ from fx_rates where election_year < {target_year})"""
+    hist2 = """fc_hist as (
+ select * replace (least(case when max(case when share is not null then 1 else 0 end) over (partition by code_bv) = 1 then share
+   else voix_cat / nullif(exprimes, 0) end, 1.0) as share) from fc_hist0)"""
+    return [hist, hist2]
+
+
+def project_shares_sql(target_type: str, target_year: int) -> str:
+    t = f"election_type = '{target_type}'"
+    cols = [
+        f"max(case when {t} then 1 else 0 end) as has_t",
+        "arg_max(share, date_scrutin) filter (where share is not null) as last_overall",
+        *_trend_sql("share", t, "_t"),
+        *_trend_sql("share", "true", "_a"),
+    ]
+    stats = f"fc_sh_stats as (select code_bv, category, {', '.join(cols)} from fc_hist group by code_bv, category)"
+
+    def p(name):
+        return f"(case when has_t = 1 then {name}_t else {name}_a end)"
+
+    proj = clip01_sql(_line_sql(p, target_year, 2))
+    shares = f"fc_shares as (select code_bv, category, {clip01_sql(f'coalesce({proj}, last_overall, 0.0)')} as raw_share from fc_sh_stats)"
+    return stats + ",\n" + shares
+
+
+def project_rates_sql(target_type: str, target_year: int) -> str:
+    ev = """fc_events as (
+ select code_bv, date_scrutin, election_type, round, election_year, max(inscrits) as inscrits, max(votants) as votants,
+  max(blancs) as blancs, max(nuls) as nuls
+ from fc_hist group by code_bv, date_scrutin, election_type, round, election_year)"""
+    evr = """fc_ev as (select *, votants/nullif(inscrits,0) as taux_participation, blancs/nullif(inscrits,0) as taux_blancs,
+  nuls/nullif(inscrits,0) as taux_nuls from fc_events)"""
+    t = f"election_type = '{target_type}'"
+    scopes = {"_r1t": f"round = 1 and {t}", "_r1": "round = 1", "_t": t, "_a": "true"}
+    cols = [
+        "max(case when round = 1 then 1 else 0 end) as has_r1",
+        f"max(case when round = 1 and {t} then 1 else 0 end) as has_r1_t",
+        f"max(case when {t} then 1 else 0 end) as has_t",
+        "arg_max(inscrits, date_scrutin) filter (where inscrits is not null) as last_inscrits",
+    ]
+    rates = ("taux_participation", "taux_blancs", "taux_nuls")
+    for r in rates:
+        for sfx, keep in scopes.items():
+            cols += _trend_sql(r, keep, sfx, prefix=r)
+    stats = f"fc_rate_stats as (select code_bv, {', '.join(cols)} from fc_ev group by code_bv)"
+    outs = []
+    for r in rates:
+        def p(name, r=r):
+            return (
+                f"(case when has_r1 = 1 then (case when has_r1_t = 1 then {r}{name}_r1t else {r}{name}_r1 end) "
+                f"else (case when has_t = 1 then {r}{name}_t else {r}{name}_a end) end)"
+            )
+
+        val = f"least(greatest({_line_sql(p, target_year, 3)}, {p('min')}), {p('max')})"
+        outs.append(f"{clip01_sql(val)} as {r}")
+    rates_cte = f"fc_rates as (select code_bv, last_inscrits, {', '.join(outs)} from fc_rate_stats)"
+    return ",\n".join([ev, evr, stats, rates_cte])
+
+
+HEAD_COUNTS_SQL = """fc_hc0 as (
+ select *, cast(round_even(last_inscrits, 0) as bigint) as inscrits_total,
+  coalesce(taux_participation, 0.0) as p0, coalesce(taux_blancs, 0.0) as b0, coalesce(taux_nuls, 0.0) as n0 from fc_rates),
+fc_hc1 as (
+ select *, case when b0 + n0 > p0 and b0 + n0 > 0 then b0 * (p0 / (b0 + n0)) else b0 end as b1,
+  case when b0 + n0 > p0 and b0 + n0 > 0 then n0 * (p0 / (b0 + n0)) else n0 end as n1 from fc_hc0),
+fc_hc2 as (
+ select *, cast(round_even(inscrits_total * p0, 0) as bigint) as votants_total,
+  cast(round_even(inscrits_total * b1, 0) as bigint) as bt, cast(round_even(inscrits_total * n1, 0) as bigint) as nt from fc_hc1),
+fc_hc3 as (
+ select *, case when bt + nt > votants_total and bt + nt > 0 then cast(round_even(bt * (votants_total / cast(bt + nt as double)), 0) as bigint) else bt end as blancs_total,
+  case when bt + nt > votants_total and bt + nt > 0 then cast(round_even(nt * (votants_total / cast(bt + nt as double)), 0) as bigint) else nt end as nuls_total
+ from fc_hc2),
+fc_counts as (
+ select *, greatest(votants_total - blancs_total - nuls_total, 0) as exprimes_total,
+  greatest(inscrits_total - votants_total, 0) as abstention_total from fc_hc3 where inscrits_total is not null)"""
+
+
+def display_values_sql() -> str:
+    from votepanel.constants import DISPLAY_ORDER
+
+    return ", ".join(f"({i}, '{c}')" for i, c in enumerate(DISPLAY_ORDER))
+
+
+def trend_forecast_sql(target_type: str, target_year: int) -> str:
+    from votepanel.constants import DISPLAY_ORDER
+
+    n = len(DISPLAY_ORDER)
+    rows = f"""fc_rows as (
+ select s.code_bv, d.position, d.categorie, coalesce(sh.raw_share, 0.0) as raw_share
+ from (select distinct code_bv from fc_shares) s cross join (values {display_values_sql()}) d(position, categorie)
+ left join fc_shares sh on sh.code_bv = s.code_bv and sh.category = d.categorie),
+fc_pred as (
+ select *, case when sum(raw_share) over (partition by code_bv) > 0 then raw_share / sum(raw_share) over (partition by code_bv) else 0.0 end as predicted_share
+ from fc_rows),
+fc_alloc0 as (
+ select p.*, c.exprimes_total, greatest(coalesce(p.predicted_share, 0.0), 0.0) as s0 from fc_pred p join fc_counts c on p.code_bv = c.code_bv),
+fc_alloc1 as (
+ select *, sum(s0) over (partition by code_bv) as ssum from fc_alloc0),
+fc_alloc2 as (
+ select *, case when exprimes_total > 0 and ssum > 0 then s0 / ssum * exprimes_total else 0.0 end as raw from fc_alloc1),
+fc_alloc3 as (
+ select *, floor(raw) as fl from fc_alloc2),
+fc_alloc4 as (
+ select *, case when exprimes_total > 0 and ssum > 0 then exprimes_total - sum(fl) over (partition by code_bv) else 0 end as rem,
+  row_number() over (partition by code_bv order by raw - fl desc, position asc) as rk from fc_alloc3)"""
+    final = f"""select code_bv, categorie, position, {r6('predicted_share')} as predicted_share,
+ cast(fl + case when rk <= rem then 1 else 0 end as bigint) as nombre from fc_alloc4
+union all
+select code_bv, 'blancs', {n}, null, blancs_total from fc_counts
+union all
+select code_bv, 'nuls', {n + 1}, null, nuls_total from fc_counts
+union all
+select code_bv, 'abstention', {n + 2}, null, abstention_total from fc_counts"""
+    return (
+        with_ctes(
+            FX_LONG, FX_MAP, FX_LOCAL, FX_LOCAL_RATES, *forecast_history_ctes(target_year), project_shares_sql(target_type, target_year),
+            project_rates_sql(target_type, target_year), HEAD_COUNTS_SQL, rows,
+        )
+        + final
+    )

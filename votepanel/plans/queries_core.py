@@ -84,3 +84,75 @@ def q_panel_lags(spark, sf):
     ec = event_category_table(long_table(spark, sf), mapping_table(spark, sf))
     lg = panel_lags(ec)
     return round_doubles(lg.select("code_bv", "election_type", "election_year", "round", "category", "share", "share_nat", *_LAG_COLS))
+
+
+# ------------------------------------------------------------------ trend forecast family
+from votepanel.operators import forecast as FC  # noqa: E402
+
+TARGET_TYPE = "low"
+TARGET_YEAR = 2002
+
+
+def local_table(spark, sf):
+    return aggregate_event(expand_by_category(long_table(spark, sf), mapping_table(spark, sf)))
+
+
+def _fc_sql(tail: str, *ctes: str) -> str:
+    return O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES, *O.forecast_history_ctes(TARGET_YEAR), *ctes) + tail
+
+
+@register("trend_forecast", lambda: O.trend_forecast_sql(TARGET_TYPE, TARGET_YEAR))
+def q_trend_forecast(spark, sf):
+    return round_doubles(FC.trend_forecast(local_table(spark, sf), TARGET_TYPE, TARGET_YEAR))
+
+
+@register(
+    "project_share",
+    lambda: _fc_sql(f"select code_bv, category, {O.r6('raw_share')} as raw_share from fc_shares", O.project_shares_sql(TARGET_TYPE, TARGET_YEAR)),
+)
+def q_project_share(spark, sf):
+    hist = FC.prepare_history(local_table(spark, sf), target_year=TARGET_YEAR)
+    return round_doubles(FC.project_shares(hist, TARGET_TYPE, TARGET_YEAR))
+
+
+@register(
+    "project_rate",
+    lambda: _fc_sql(
+        "select code_bv, " + O.r6("last_inscrits") + " as last_inscrits, "
+        + ", ".join(f"{O.r6(c)} as {c}" for c in ("taux_participation", "taux_blancs", "taux_nuls"))
+        + " from fc_rates",
+        O.project_rates_sql(TARGET_TYPE, TARGET_YEAR),
+    ),
+)
+def q_project_rate(spark, sf):
+    hist = FC.prepare_history(local_table(spark, sf), target_year=TARGET_YEAR)
+    return round_doubles(FC.project_rates(FC.station_events(hist), TARGET_TYPE, TARGET_YEAR))
+
+
+_HC = ["inscrits_total", "votants_total", "blancs_total", "nuls_total", "exprimes_total", "abstention_total"]
+
+
+@register(
+    "head_counts",
+    lambda: _fc_sql("select code_bv, " + ", ".join(_HC) + " from fc_counts", O.project_rates_sql(TARGET_TYPE, TARGET_YEAR), O.HEAD_COUNTS_SQL),
+)
+def q_head_counts(spark, sf):
+    hist = FC.prepare_history(local_table(spark, sf), target_year=TARGET_YEAR)
+    hc = FC.head_counts(FC.project_rates(FC.station_events(hist), TARGET_TYPE, TARGET_YEAR))
+    return hc.where(F.col("inscrits_total").isNotNull()).select("code_bv", *_HC)
+
+
+@register(
+    "infer_exprimes",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES)
+    + """select code_bv, election_type, election_year, round, category,
+ case when exprimes is null or exprimes = 0 then sum(voix_cat) over (partition by code_bv, date_scrutin) else exprimes end as exprimes
+ from (select code_bv, election_type, election_year, round, date_scrutin, category, voix_cat,
+   case when (election_year * 3 + round + cast(right(code_bv, 4) as int)) % 5 = 0 then null else exprimes end as exprimes from fx_rates) d""",
+)
+def q_infer_exprimes(spark, sf):
+    loc = local_table(spark, sf)
+    e = F.col("election_year") * 3 + F.col("round") + F.substring("code_bv", -4, 4).cast("int")
+    loc = loc.withColumn("exprimes", F.when(e % 5 == 0, F.lit(None).cast("double")).otherwise(F.col("exprimes")))
+    out = FC.infer_exprimes(loc)
+    return out.select("code_bv", "election_type", "election_year", "round", "category", "exprimes")
