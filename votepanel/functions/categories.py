@@ -15,37 +15,50 @@ from votepanel.constants import (
 from votepanel.functions.text import _col, name_key, strip_ws
 
 
+def _q(v: str | None) -> str:
+    return "CAST(NULL AS STRING)" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+def _map_literal(pairs) -> Column:
+    """SQL map literal built in one expression (one gateway call instead of one per entry)."""
+    return F.expr("map(" + ", ".join(f"{_q(k)}, {_q(v)}" for k, v in pairs) + ")")
+
+
+def _rules_literal(rules) -> Column:
+    return F.expr("array(" + ", ".join(f"named_struct('k', {_q(k)}, 'c', {_q(c)})" for k, c in rules) + ")")
+
+
 def _label_key(c: Column | str) -> Column:
     low = F.lower(strip_ws(_col(c).cast("string")))
-    return F.replace(F.replace(low, F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+    return F.translate(low, " -", "__")
 
 
 def _apply_synonyms(key: Column, synonyms: dict) -> Column:
-    expr = None
-    for src, dst in synonyms.items():
-        val = F.lit(dst).cast("string")
-        expr = F.when(key == src, val) if expr is None else expr.when(key == src, val)
-    return expr.otherwise(key)
+    m = _map_literal(synonyms.items())
+    return F.when(F.map_contains_key(m, key), F.element_at(m, key)).otherwise(key)
+
+
+def _is_category(c: Column) -> Column:
+    return F.array_contains(F.expr("array(" + ", ".join(_q(x) for x in CATEGORIES) + ")"), c)
 
 
 def normalise_category(c: Column | str) -> Column:
     """Strict bloc normaliser: known synonym or category, else null (``divers`` and unknown -> null)."""
     mapped = _apply_synonyms(_label_key(c), CATEGORY_SYNONYMS_STRICT)
-    return F.when(mapped.isin(*CATEGORIES), mapped).otherwise(F.lit(None).cast("string"))
+    return F.when(_is_category(mapped), mapped).otherwise(F.lit(None).cast("string"))
 
 
 def normalise_bloc(c: Column | str) -> Column:
     """Lenient bloc normaliser: null and unknown labels fall to ``centre``."""
     mapped = _apply_synonyms(_label_key(c), CATEGORY_SYNONYMS_LENIENT)
-    return F.when(_col(c).isNull(), F.lit("centre")).when(mapped.isin(*CATEGORIES), mapped).otherwise(F.lit("centre"))
+    return F.when(_col(c).isNotNull() & F.coalesce(_is_category(mapped), F.lit(False)), mapped).otherwise(F.lit("centre"))
 
 
 def _first_contains(key: Column, rules) -> Column:
-    expr = None
-    for needle, cat in rules:
-        cond = F.instr(key, needle) > 0
-        expr = F.when(cond, F.lit(cat)) if expr is None else expr.when(cond, F.lit(cat))
-    return F.when(key == "", F.lit(None).cast("string")).otherwise(expr)
+    """Category of the first rule whose needle occurs in ``key`` (rule order is significant)."""
+    hits = F.filter(_rules_literal(rules), lambda r: F.instr(key, r.getField("k")) > 0)
+    first = F.try_element_at(hits, F.lit(1)).getField("c")
+    return F.when(key == "", F.lit(None).cast("string")).otherwise(first)
 
 
 def category_from_name(c: Column | str) -> Column:

@@ -286,3 +286,58 @@ select code_bv, 'abstention', {n + 2}, null, abstention_total from fc_counts"""
         )
         + final
     )
+
+
+# ---------------------------------------------------------------- elections_blocs family
+FB_TOWNS = """fb_towns as (
+ select lpad(cast(n.n_nationkey as varchar),5,'0') as code_commune, n.n_name as nom_commune
+ from nation n join region r on n.n_regionkey = r.r_regionkey where r.r_name = 'EUROPE')"""
+
+FB_EX = """fb_ex as (
+ select l.code_bv, l.date_scrutin, l.annee, l.type_scrutin, l.tour, coalesce(m.category,'centre') as bloc,
+  coalesce(l.voix,0.0)/coalesce(m.n_blocs,1) as voix_bloc, l.exprimes, l.inscrits, l.votants, l.blancs, l.nuls
+ from fx_long l left join fx_map m on l.code_candidature = m.code_candidature)"""
+
+FB_EV = """fb_ev as (
+ select *, voix_bloc/nullif(exprimes,0) as part_bloc, votants/nullif(inscrits,0) as taux_participation_bv,
+  blancs/nullif(inscrits,0) as taux_blancs_bv, nuls/nullif(inscrits,0) as taux_nuls_bv
+ from (select code_bv, date_scrutin, annee, type_scrutin, tour, bloc, sum(voix_bloc) as voix_bloc, max(exprimes) as exprimes,
+  max(inscrits) as inscrits, max(votants) as votants, max(blancs) as blancs, max(nuls) as nuls
+  from fb_ex group by code_bv, date_scrutin, annee, type_scrutin, tour, bloc) g)"""
+
+FB_NAT = """fb_nat as (
+ select date_scrutin, bloc, sum(voix_bloc)/nullif(sum(exprimes),0) as part_bloc_national,
+  sum(votants)/nullif(sum(inscrits),0) as taux_participation_national
+ from fb_ev group by date_scrutin, bloc)"""
+
+FB_ATT = """fb_att as (
+ select e.*, n.part_bloc_national, n.taux_participation_national,
+  e.part_bloc - n.part_bloc_national as ecart_bloc_vs_national,
+  e.taux_participation_bv - n.taux_participation_national as ecart_participation_vs_nat
+ from fb_ev e left join fb_nat n on e.date_scrutin = n.date_scrutin and e.bloc = n.bloc)"""
+
+FB_TGT = """fb_tgt as (
+ select a.*, t.code_commune, t.nom_commune from fb_att a
+ join fb_towns t on substr(lpad(regexp_replace(split_part(a.code_bv,'-',1), '[^0-9]', '', 'g'),5,'0'),1,5) = t.code_commune)"""
+
+
+def fb_growth(base_year: int) -> str:
+    return f"""fb_growth as (
+ select *, (ins_year - ins_base)/nullif(ins_base,0) as croissance_inscrits_depuis_base from (
+  select *, max(case when annee = {base_year} then ins_year end) over (partition by code_bv) as ins_base from (
+   select *, avg(inscrits) over (partition by code_bv, annee) as ins_year from fb_tgt) a) b)"""
+
+
+FB_LAGS = """fb_lags as (
+ select *, lag(part_bloc,1) over w as part_bloc_lag1, lag(ecart_bloc_vs_national,1) over w as ecart_bloc_vs_national_lag1,
+  lag(taux_participation_bv,1) over w as taux_participation_bv_lag1,
+  annee - (select quantile_cont(annee, 0.5) from fb_growth) as annee_centre
+ from fb_growth window w as (partition by code_bv, bloc order by date_scrutin, type_scrutin, tour))"""
+
+
+def fb_ctes(base_year: int = 1995) -> list[str]:
+    return [FX_LONG, FX_MAP, FB_TOWNS, FB_EX, FB_EV, FB_NAT, FB_ATT, FB_TGT, fb_growth(base_year), FB_LAGS]
+
+
+def select_r6(cols: list[str], doubles: set[str], src: str) -> str:
+    return "select " + ", ".join(f"{r6(c)} as {c}" if c in doubles else c for c in cols) + f" from {src}"

@@ -1,3 +1,139 @@
-"""Registered queries beyond the flagship chain (filled family by family)."""
+"""Registered queries beyond the flagship chain, family by family."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from votepanel.operators.mapping import expand_by_bloc, normalise_mapping
+from votepanel.plans import blocs as B
+from votepanel.plans import oracle as O
+from votepanel.plans.catalog import register
+from votepanel.plans.queries_core import long_table
+from votepanel.session import round_doubles
+from votepanel.sources.tables import fx_mapping, read_table
+
+BASE_YEAR = 1995
+
+
+def communes_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Target towns: the nations of one region (stands for the configured town list)."""
+    n = read_table(spark, sf, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = read_table(spark, sf, "region", ["r_regionkey", "r_name"]).where(F.col("r_name") == "EUROPE")
+    return n.join(r, n.n_regionkey == r.r_regionkey, "left_semi").select(
+        F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("code_commune"), F.col("n_name").alias("nom_commune")
+    )
+
+
+def lenient_mapping(spark, sf):
+    return normalise_mapping(fx_mapping(spark, sf), lenient=True)
+
+
+_EV_COLS = ["code_bv", "date_scrutin", "annee", "type_scrutin", "tour", "bloc", "voix_bloc", "exprimes", "inscrits", "votants",
+            "blancs", "nuls", "part_bloc", "taux_participation_bv", "taux_blancs_bv", "taux_nuls_bv"]
+_EV_DBL = {"voix_bloc", "part_bloc", "taux_participation_bv", "taux_blancs_bv", "taux_nuls_bv"}
+
+
+@register("target_communes", O.with_ctes(O.FB_TOWNS) + "select code_commune, nom_commune from fb_towns")
+def q_target_communes(spark, sf):
+    return communes_table(spark, sf)
+
+
+@register(
+    "expand_by_bloc",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FB_EX)
+    + "select code_bv, date_scrutin, annee, type_scrutin, tour, bloc, " + O.r6("voix_bloc") + " as voix_bloc, "
+    + O.r6("voix_bloc/nullif(exprimes,0)") + " as part_bloc, " + O.r6("votants/nullif(inscrits,0)") + " as taux_participation_bv from fb_ex",
+)
+def q_expand_by_bloc(spark, sf):
+    ex = expand_by_bloc(long_table(spark, sf), lenient_mapping(spark, sf))
+    return round_doubles(ex.select("code_bv", "date_scrutin", "annee", "type_scrutin", "tour", "bloc", "voix_bloc", "part_bloc", "taux_participation_bv"))
+
+
+@register("bloc_event_table", O.with_ctes(O.FX_LONG, O.FX_MAP, O.FB_EX, O.FB_EV) + O.select_r6(_EV_COLS, _EV_DBL, "fb_ev"))
+def q_bloc_event_table(spark, sf):
+    return round_doubles(B.bloc_event_table(long_table(spark, sf), lenient_mapping(spark, sf)).select(*_EV_COLS))
+
+
+@register(
+    "national_reference_by_date",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FB_EX, O.FB_EV, O.FB_NAT)
+    + O.select_r6(["date_scrutin", "bloc", "part_bloc_national", "taux_participation_national"], {"part_bloc_national", "taux_participation_national"}, "fb_nat"),
+)
+def q_national_reference_by_date(spark, sf):
+    return round_doubles(B.national_reference_by_date(B.bloc_event_table(long_table(spark, sf), lenient_mapping(spark, sf))))
+
+
+_ATT = ["code_bv", "date_scrutin", "bloc", "part_bloc_national", "ecart_bloc_vs_national", "ecart_participation_vs_nat"]
+
+
+@register(
+    "join_reference",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FB_EX, O.FB_EV, O.FB_NAT, O.FB_ATT) + O.select_r6(_ATT, set(_ATT[3:]), "fb_att"),
+)
+def q_join_reference(spark, sf):
+    return round_doubles(B.attach_national(B.bloc_event_table(long_table(spark, sf), lenient_mapping(spark, sf))).select(*_ATT))
+
+
+@register(
+    "filter_communes",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FB_TOWNS, O.FB_EX, O.FB_EV, O.FB_NAT, O.FB_ATT, O.FB_TGT)
+    + O.select_r6(["code_commune", "nom_commune", "code_bv", "date_scrutin", "bloc", "part_bloc"], {"part_bloc"}, "fb_tgt"),
+)
+def q_filter_communes(spark, sf):
+    ev = B.attach_national(B.bloc_event_table(long_table(spark, sf), lenient_mapping(spark, sf)))
+    out = B.filter_communes(ev, communes_table(spark, sf))
+    return round_doubles(out.select("code_commune", "nom_commune", "code_bv", "date_scrutin", "bloc", "part_bloc"))
+
+
+_GROWTH = ["code_bv", "date_scrutin", "type_scrutin", "tour", "bloc", "croissance_inscrits_depuis_base"]
+
+
+@register("registered_growth", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)[:-1]) + O.select_r6(_GROWTH, {"croissance_inscrits_depuis_base"}, "fb_growth"))
+def q_registered_growth(spark, sf):
+    ev = B.attach_national(B.bloc_event_table(long_table(spark, sf), lenient_mapping(spark, sf)))
+    out = B.registered_growth(B.filter_communes(ev, communes_table(spark, sf)).repartition("code_bv"), BASE_YEAR)
+    return round_doubles(out.select(*_GROWTH))
+
+
+_BLOCS = ["code_commune", "nom_commune", "code_bv", "date_scrutin", "annee", "type_scrutin", "tour", "bloc", "voix_bloc", "exprimes",
+          "inscrits", "votants", "blancs", "nuls", "part_bloc", "taux_participation_bv", "taux_blancs_bv", "taux_nuls_bv",
+          "part_bloc_national", "taux_participation_national", "ecart_bloc_vs_national", "ecart_participation_vs_nat",
+          "croissance_inscrits_depuis_base", "part_bloc_lag1", "ecart_bloc_vs_national_lag1", "taux_participation_bv_lag1", "annee_centre"]
+_BLOCS_DBL = set(_BLOCS[8:]) - {"exprimes", "inscrits", "votants", "blancs", "nuls"}
+
+
+@register("build_elections_blocs", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + O.select_r6(_BLOCS, _BLOCS_DBL, "fb_lags"))
+def q_build_elections_blocs(spark, sf):
+    out = B.build_elections_blocs(long_table(spark, sf), lenient_mapping(spark, sf), communes_table(spark, sf), base_year=BASE_YEAR)
+    return round_doubles(out.select(*_BLOCS))
+
+
+_BLAGS = ["code_bv", "date_scrutin", "type_scrutin", "tour", "bloc", "part_bloc_lag1", "ecart_bloc_vs_national_lag1", "taux_participation_bv_lag1", "annee_centre"]
+
+
+@register("bloc_lags", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + O.select_r6(_BLAGS, set(_BLAGS[5:]), "fb_lags"))
+def q_bloc_lags(spark, sf):
+    out = B.build_elections_blocs(long_table(spark, sf), lenient_mapping(spark, sf), communes_table(spark, sf), base_year=BASE_YEAR)
+    return round_doubles(out.select(*_BLAGS))
+
+
+_CES = ["code_commune", "nom_commune", "election_type", "election_year", "round", "date_scrutin", "exprimes", "inscrits", "votants",
+        "blancs", "nuls", "turnout_pct", "blancs_pct", "nuls_pct"]
+
+
+@register(
+    "commune_event_stats",
+    O.with_ctes(O.FX_LONG, O.FB_TOWNS)
+    + """, st as (select l.code_commune, l.code_bv, l.type_scrutin as election_type, l.annee as election_year, l.tour as round, l.date_scrutin,
+  max(exprimes) as exprimes, max(inscrits) as inscrits, max(votants) as votants, max(blancs) as blancs, max(nuls) as nuls
+  from fx_long l where l.code_commune in (select code_commune from fb_towns)
+  group by l.code_commune, l.code_bv, l.type_scrutin, l.annee, l.tour, l.date_scrutin),
+ tw as (select code_commune, election_type, election_year, round, date_scrutin, sum(exprimes) as exprimes, sum(inscrits) as inscrits,
+  sum(votants) as votants, sum(blancs) as blancs, sum(nuls) as nuls from st group by code_commune, election_type, election_year, round, date_scrutin)
+select tw.code_commune, t.nom_commune, election_type, election_year, round, date_scrutin, exprimes, inscrits, votants, blancs, nuls, """
+    + ", ".join(f"{O.r6(e)} as {n}" for e, n in [("votants/nullif(inscrits,0)", "turnout_pct"), ("blancs/nullif(inscrits,0)", "blancs_pct"), ("nuls/nullif(inscrits,0)", "nuls_pct")])
+    + " from tw left join fb_towns t on tw.code_commune = t.code_commune",
+)
+def q_commune_event_stats(spark, sf):
+    return round_doubles(B.commune_event_stats(long_table(spark, sf), communes_table(spark, sf)).select(*_CES))
