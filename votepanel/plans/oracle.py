@@ -341,3 +341,44 @@ def fb_ctes(base_year: int = 1995) -> list[str]:
 
 def select_r6(cols: list[str], doubles: set[str], src: str) -> str:
     return "select " + ", ".join(f"{r6(c)} as {c}" if c in doubles else c for c in cols) + f" from {src}"
+
+
+# ---------------------------------------------------------------- model table family
+def model_table_sql_ctes(base_year: int = 1995) -> list[str]:
+    from votepanel.plans.model_table import LAG_STEPS, ROLL_WINDOWS
+
+    base = """mt_base as (
+ select * replace (coalesce(tour, 1) as tour, lower(coalesce(type_scrutin, 'inconnu')) as type_scrutin),
+  cast(annee = 2020 as int) as is_2020
+ from fb_lags where coalesce(tour, 1) = 1 or lower(coalesce(type_scrutin, 'inconnu')) = 'europeennes')"""
+    cal = """mt_cal as (
+ select *, sin(2*pi()*month/12) as month_sin, cos(2*pi()*month/12) as month_cos, sin(2*pi()*dow/7) as dow_sin, cos(2*pi()*dow/7) as dow_cos
+ from (select *, month(date_scrutin) as month, isodow(date_scrutin) - 1 as dow from mt_base) c)"""
+    cols = []
+    for k in LAG_STEPS:
+        cols += [f"lag(part_bloc,{k}) over w as part_bloc_lag{k}", f"lag(taux_participation_bv,{k}) over w as taux_participation_bv_lag{k}",
+                 f"lag(ecart_bloc_vs_national,{k}) over w as ecart_bloc_vs_national_lag{k}"]
+    for n in ROLL_WINDOWS:
+        fr = f"(w rows between {n} preceding and 1 preceding)"
+        cols += [f"avg(part_bloc) over {fr} as part_bloc_roll_mean_{n}", f"stddev_samp(part_bloc) over {fr} as part_bloc_roll_std_{n}",
+                 f"max(part_bloc) over {fr} as part_bloc_roll_max_{n}", f"avg(taux_participation_bv) over {fr} as taux_participation_roll_mean_{n}"]
+    cols += ["lag(part_bloc,1) over w as y_lag1_bv", "lag(part_bloc,2) over w as y_lag2_bv",
+             "avg(part_bloc) over (w rows between 3 preceding and 1 preceding) as y_rollmean_3_bv"]
+    lags = f"""mt_lags as (
+ select * exclude (part_bloc_lag1, ecart_bloc_vs_national_lag1, taux_participation_bv_lag1), {', '.join(cols)}
+ from mt_cal window w as (partition by code_bv, bloc order by date_scrutin, type_scrutin, tour))"""
+    town = """mt_town as (
+ select code_commune, bloc, date_scrutin, lag(y_comm,1) over (partition by code_commune, bloc order by date_scrutin) as y_comm_lag1 from (
+  select code_commune, bloc, date_scrutin,
+   case when count(part_bloc) > 0 and count(part_bloc) = count(*) then
+     sum(part_bloc * greatest(coalesce(exprimes,1.0),1.0)) / sum(case when part_bloc is not null then greatest(coalesce(exprimes,1.0),1.0) end) end as y_comm
+  from mt_lags group by code_commune, bloc, date_scrutin) t)"""
+    final = """mt_final as (
+ select l.*, l.y_lag1_bv - l.y_lag2_bv as y_trend_bv, t.y_comm_lag1,
+  l.voix_bloc/nullif(l.inscrits,0) as voix_bloc_sur_inscrits, l.exprimes/nullif(l.inscrits,0) as exprimes_sur_inscrits,
+  l.votants/nullif(l.inscrits,0) as votants_sur_inscrits, l.part_bloc_lag1*l.taux_participation_bv as part_bloc_lag1_x_participation,
+  l.part_bloc_lag1*l.ecart_bloc_vs_national as part_bloc_lag1_x_ecart_nat, l.taux_participation_bv*l.ecart_bloc_vs_national as participation_x_ecart_nat,
+  l.part_bloc_lag1 - l.part_bloc_lag2 as part_bloc_trend_1, l.part_bloc_lag1 - l.part_bloc_lag4 as part_bloc_trend_2
+ from mt_lags l left join mt_town t on l.code_commune = t.code_commune and l.bloc = t.bloc and l.date_scrutin = t.date_scrutin
+ where l.part_bloc is not null)"""
+    return [*fb_ctes(base_year), base, cal, lags, town, final]

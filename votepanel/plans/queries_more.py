@@ -137,3 +137,54 @@ select tw.code_commune, t.nom_commune, election_type, election_year, round, date
 )
 def q_commune_event_stats(spark, sf):
     return round_doubles(B.commune_event_stats(long_table(spark, sf), communes_table(spark, sf)).select(*_CES))
+
+
+# ------------------------------------------------------------------ model table family
+from votepanel.plans import model_table as MT  # noqa: E402
+
+
+def blocs_table(spark, sf):
+    return B.build_elections_blocs(long_table(spark, sf), lenient_mapping(spark, sf), communes_table(spark, sf), base_year=BASE_YEAR)
+
+
+def model_frame(spark, sf):
+    return MT.model_table(blocs_table(spark, sf))
+
+
+_MT_KEYS = ["code_bv", "bloc", "date_scrutin", "type_scrutin", "tour"]
+
+
+def _mt_query(key: str, cols: list[str]):
+    @register(key, lambda: O.with_ctes(*O.model_table_sql_ctes(BASE_YEAR)) + O.select_r6(_MT_KEYS + cols, set(cols) - {"month", "dow", "is_2020"}, "mt_final"))
+    def q(spark, sf, _cols=cols):
+        return round_doubles(model_frame(spark, sf).select(*_MT_KEYS, *_cols))
+
+    return q
+
+
+_CAL = ["month", "dow", "month_sin", "month_cos", "dow_sin", "dow_cos"]
+_MULTI = [f"{p}{k}" for k in MT.LAG_STEPS for p in ("part_bloc_lag", "taux_participation_bv_lag", "ecart_bloc_vs_national_lag")]
+_ROLL = [f"{p}_{n}" for n in MT.ROLL_WINDOWS for p in ("part_bloc_roll_mean", "part_bloc_roll_std", "part_bloc_roll_max", "taux_participation_roll_mean")]
+_TREND = ["y_lag1_bv", "y_lag2_bv", "y_rollmean_3_bv", "y_trend_bv"]
+_INTER = ["voix_bloc_sur_inscrits", "exprimes_sur_inscrits", "votants_sur_inscrits", "part_bloc_lag1_x_participation",
+          "part_bloc_lag1_x_ecart_nat", "participation_x_ecart_nat", "part_bloc_trend_1", "part_bloc_trend_2"]
+_mt_query("calendar_features", _CAL)
+_mt_query("multi_lags", _MULTI)
+_mt_query("rolling_prior", _ROLL)
+_mt_query("station_trend", _TREND)
+_mt_query("town_lag", ["y_comm_lag1"])
+_mt_query("interaction_features", _INTER)
+_mt_query("base_table_rules", ["is_2020", "annee_centre", "part_bloc"])
+_mt_query("model_table", ["is_2020", "annee_centre", "part_bloc", *_CAL, *_MULTI, *_ROLL, *_TREND, "y_comm_lag1", *_INTER])
+
+
+@register(
+    "town_weighted_avg",
+    lambda: O.with_ctes(*O.model_table_sql_ctes(BASE_YEAR)[:-2])
+    + """select code_commune, bloc, date_scrutin, """ + O.r6("""case when count(part_bloc) > 0 and count(part_bloc) = count(*) then
+     sum(part_bloc * greatest(coalesce(exprimes,1.0),1.0)) / sum(case when part_bloc is not null then greatest(coalesce(exprimes,1.0),1.0) end) end""")
+    + " as y_comm from mt_lags group by code_commune, bloc, date_scrutin",
+)
+def q_town_weighted_avg(spark, sf):
+    base = MT.base_table_rules(blocs_table(spark, sf))
+    return round_doubles(MT.town_weighted_avg(base))
