@@ -249,7 +249,7 @@ def display_values_sql() -> str:
     return ", ".join(f"({i}, '{c}')" for i, c in enumerate(DISPLAY_ORDER))
 
 
-def trend_forecast_sql(target_type: str, target_year: int) -> str:
+def trend_forecast_sql(target_type: str, target_year: int, *, report: bool = True) -> str:
     from votepanel.constants import DISPLAY_ORDER
 
     n = len(DISPLAY_ORDER)
@@ -271,7 +271,8 @@ fc_alloc3 as (
 fc_alloc4 as (
  select *, case when exprimes_total > 0 and ssum > 0 then exprimes_total - sum(fl) over (partition by code_bv) else 0 end as rem,
   row_number() over (partition by code_bv order by raw - fl desc, position asc) as rk from fc_alloc3)"""
-    final = f"""select code_bv, categorie, position, {r6('predicted_share')} as predicted_share,
+    ps = r6("predicted_share") if report else "predicted_share"
+    final = f"""select code_bv, categorie, position, {ps} as predicted_share,
  cast(fl + case when rk <= rem then 1 else 0 end as bigint) as nombre from fc_alloc4
 union all
 select code_bv, 'blancs', {n}, null, blancs_total from fc_counts
@@ -382,3 +383,34 @@ def model_table_sql_ctes(base_year: int = 1995) -> list[str]:
  from mt_lags l left join mt_town t on l.code_commune = t.code_commune and l.bloc = t.bloc and l.date_scrutin = t.date_scrutin
  where l.part_bloc is not null)"""
     return [*fb_ctes(base_year), base, cal, lags, town, final]
+
+
+# ---------------------------------------------------------------- scoring family
+def score_features_sql(target_type: str, target_year: int) -> str:
+    d = f"""sc_d as (select *, share - share_nat as dev_to_nat,
+  row_number() over (partition by code_bv, category order by date_scrutin desc, election_type desc, round desc) as rn
+ from fx_ec where election_year < {target_year})"""
+    cols = [
+        "arg_max(turnout_pct, date_scrutin) filter (where turnout_pct is not null) as prev_turnout_any_lag1",
+        f"arg_max(turnout_pct, date_scrutin) filter (where turnout_pct is not null and election_type = '{target_type}') as prev_turnout_same_type_lag1",
+    ]
+    for c in CATEGORIES:
+        t = f"election_type = '{target_type}'"
+        cols += [
+            f"arg_max(share, date_scrutin) filter (where category = '{c}' and share is not null) as prev_share_any_lag1_{c}",
+            f"arg_max(share, date_scrutin) filter (where category = '{c}' and share is not null and {t}) as prev_share_type_lag1_{c}",
+            f"arg_max(dev_to_nat, date_scrutin) filter (where category = '{c}' and dev_to_nat is not null) as prev_dev_to_national_any_lag1_{c}",
+            f"arg_max(dev_to_nat, date_scrutin) filter (where category = '{c}' and dev_to_nat is not null and {t}) as prev_dev_to_national_type_lag1_{c}",
+            f"max(case when category = '{c}' and rn = 1 then share end) - max(case when category = '{c}' and rn = 2 then share end) as swing_any_{c}",
+        ]
+    g = f"sc_g as (select code_bv, {', '.join(cols)} from sc_d group by code_bv)"
+    feats = ["prev_turnout_any_lag1", "prev_turnout_same_type_lag1"] + [
+        f"{p}{c}" for c in CATEGORIES for p in ("prev_share_any_lag1_", "prev_share_type_lag1_", "prev_dev_to_national_any_lag1_", "prev_dev_to_national_type_lag1_", "swing_any_")
+    ]
+    return (
+        with_ctes(FX_LONG, FX_MAP, FX_LOCAL, FX_LOCAL_RATES, FX_NAT, FX_EC, d, g)
+        + f"select split_part(code_bv, '-', 1) as commune_code, code_bv, '{target_type}' as election_type, {target_year} as election_year, 1 as round, "
+        + f"make_date({target_year}, 1, 1) as date_scrutin, "
+        + ", ".join(f"{r6(f)} as {f}" for f in feats)
+        + " from sc_g"
+    )

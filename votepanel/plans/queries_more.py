@@ -188,3 +188,142 @@ _mt_query("model_table", ["is_2020", "annee_centre", "part_bloc", *_CAL, *_MULTI
 def q_town_weighted_avg(spark, sf):
     base = MT.base_table_rules(blocs_table(spark, sf))
     return round_doubles(MT.town_weighted_avg(base))
+
+
+# ------------------------------------------------------------------ scoring / as-of family
+from votepanel.plans import scoring as SC  # noqa: E402
+from votepanel.plans.panel import event_category_table  # noqa: E402
+from votepanel.plans.queries_core import TARGET_TYPE, TARGET_YEAR, local_table, mapping_table  # noqa: E402
+from votepanel.operators import forecast as FC  # noqa: E402
+
+SCORE_YEAR = 2000
+
+
+def history_table(spark, sf):
+    return event_category_table(long_table(spark, sf), mapping_table(spark, sf))
+
+
+@register("score_features", lambda: O.score_features_sql(TARGET_TYPE, SCORE_YEAR))
+def q_score_features(spark, sf):
+    return round_doubles(SC.score_features(history_table(spark, sf), TARGET_TYPE, SCORE_YEAR))
+
+
+_SC_HIST = O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES, O.FX_NAT, O.FX_EC)
+
+
+@register(
+    "asof_last_event",
+    _SC_HIST
+    + f"""select code_bv, category,
+ {O.r6("arg_max(share, date_scrutin) filter (where share is not null)")} as last_share_any,
+ {O.r6("arg_max(share - share_nat, date_scrutin) filter (where share - share_nat is not null)")} as last_dev_any,
+ {O.r6(f"arg_max(share, date_scrutin) filter (where share is not null and election_type = '{TARGET_TYPE}')")} as last_share_type,
+ {O.r6(f"arg_max(share - share_nat, date_scrutin) filter (where share - share_nat is not null and election_type = '{TARGET_TYPE}')")} as last_dev_type
+ from fx_ec where election_year < {SCORE_YEAR} group by code_bv, category""",
+)
+def q_asof_last_event(spark, sf):
+    h = SC.filter_history(history_table(spark, sf), SCORE_YEAR)
+    return round_doubles(SC.asof_last_event(h, TARGET_TYPE))
+
+
+@register(
+    "swing_last_two",
+    _SC_HIST
+    + f""", r as (select *, row_number() over (partition by code_bv, category order by date_scrutin desc, election_type desc, round desc) as rn
+ from fx_ec where election_year < {SCORE_YEAR})
+ select code_bv, category, {O.r6("max(case when rn = 1 then share end) - max(case when rn = 2 then share end)")} as swing_any
+ from r group by code_bv, category""",
+)
+def q_swing_last_two(spark, sf):
+    h = SC.filter_history(history_table(spark, sf), SCORE_YEAR)
+    return round_doubles(SC.swing_last_two(h))
+
+
+@register(
+    "latest_rows",
+    _SC_HIST
+    + f""", r as (select *, row_number() over (partition by code_bv, category order by date_scrutin desc, election_type desc, round desc) as rn from fx_ec)
+ select code_bv, category, election_type, election_year, round, {O.r6("share")} as share from r where rn = 1""",
+)
+def q_latest_rows(spark, sf):
+    h = history_table(spark, sf)
+    out = SC.latest_rows(h, ("code_bv", "category"), ("date_scrutin", "election_type", "round"))
+    return round_doubles(out.select("code_bv", "category", "election_type", "election_year", "round", "share"))
+
+
+_WIN_SQL = """, wr as (select *, row_number() over (partition by code_bv, election_type, election_year, round
+   order by share desc nulls last, case category when 'centre' then 0 when 'gauche_modere' then 1 when 'droite_modere' then 2
+   when 'gauche_dure' then 3 when 'droite_dure' then 4 when 'extreme_gauche' then 5 else 6 end) as rn from fx_ec)"""
+
+
+@register(
+    "winner",
+    _SC_HIST + _WIN_SQL + f""" select code_bv, election_type, election_year, round, category as winner, {O.r6("share")} as winner_share from wr where rn = 1""",
+)
+def q_winner(spark, sf):
+    h = history_table(spark, sf)
+    return round_doubles(SC.winner(h, ("code_bv", "election_type", "election_year", "round")))
+
+
+@register(
+    "filter_history",
+    _SC_HIST + f"select code_bv, category, election_type, election_year, round, {O.r6('share')} as share from fx_ec where election_year < {SCORE_YEAR} and commune_code = '00003'",
+)
+def q_filter_history(spark, sf):
+    h = SC.filter_history(history_table(spark, sf), SCORE_YEAR, "00003")
+    return round_doubles(h.select("code_bv", "category", "election_type", "election_year", "round", "share"))
+
+
+_LEG, _MUN, _MUN_YEAR = "high", "medium", 2000
+
+
+def _preds_long(spark, sf):
+    tf = FC.trend_forecast(local_table(spark, sf), TARGET_TYPE, TARGET_YEAR)
+    return tf.where(F.col("predicted_share").isNotNull()).select(
+        F.substring_index("code_bv", "-", 1).alias("commune_code"), "code_bv", F.col("categorie").alias("category"), "predicted_share"
+    )
+
+
+@register(
+    "join_last_refs",
+    lambda: O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES)
+    + f""", tf as ({O.trend_forecast_sql(TARGET_TYPE, TARGET_YEAR)}),
+ leg as (select code_bv, category, arg_max(share, date_scrutin) as ref_leg from fx_rates where election_type = '{_LEG}' and election_year < {TARGET_YEAR} group by code_bv, category),
+ mun as (select code_bv, category, arg_max(share, date_scrutin) as ref_mun from fx_rates where election_type = '{_MUN}' and election_year = {_MUN_YEAR} group by code_bv, category)
+ select split_part(t.code_bv, '-', 1) as commune_code, t.code_bv, t.categorie as category, t.predicted_share, {O.r6('leg.ref_leg')} as ref_leg, {O.r6('mun.ref_mun')} as ref_mun
+ from tf t left join leg on t.code_bv = leg.code_bv and t.categorie = leg.category left join mun on t.code_bv = mun.code_bv and t.categorie = mun.category
+ where t.predicted_share is not null""",
+)
+def q_join_last_refs(spark, sf):
+    out = SC.join_last_refs(_preds_long(spark, sf), local_table(spark, sf), leg_type=_LEG, mun_type=_MUN, mun_year=_MUN_YEAR, target_year=TARGET_YEAR)
+    return round_doubles(out)
+
+
+def _predict_output_sql() -> str:
+    from votepanel.constants import CATEGORIES
+
+    inner = O.trend_forecast_sql(TARGET_TYPE, TARGET_YEAR, report=False)
+    cols = []
+    for c in CATEGORIES:
+        cols += [
+            f"max(case when category = '{c}' then {O.r6('p * 100')} end) as predicted_share_{c}",
+            f"max(case when category = '{c}' then {O.r6('p * 100 - ref_leg * 100')} end) as delta_leg_{c}",
+            f"max(case when category = '{c}' then {O.r6('p * 100 - ref_mun * 100')} end) as delta_mun2020_{c}",
+        ]
+    return (
+        O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES)
+        + f""", tf as ({inner}),
+ leg as (select code_bv, category, arg_max(share, date_scrutin) as ref_leg from fx_rates where election_type = '{_LEG}' and election_year < {TARGET_YEAR} group by code_bv, category),
+ mun as (select code_bv, category, arg_max(share, date_scrutin) as ref_mun from fx_rates where election_type = '{_MUN}' and election_year = {_MUN_YEAR} group by code_bv, category),
+ j as (select split_part(t.code_bv, '-', 1) as commune_code, t.code_bv, t.categorie as category, t.predicted_share as p, leg.ref_leg, mun.ref_mun
+  from tf t left join leg on t.code_bv = leg.code_bv and t.categorie = leg.category left join mun on t.code_bv = mun.code_bv and t.categorie = mun.category
+  where t.predicted_share is not null)
+ select commune_code, code_bv, {', '.join(cols)} from j group by commune_code, code_bv"""
+    )
+
+
+@register("predict_output", _predict_output_sql)
+def q_predict_output(spark, sf):
+    j = SC.join_last_refs(_preds_long(spark, sf), local_table(spark, sf), leg_type=_LEG, mun_type=_MUN, mun_year=_MUN_YEAR, target_year=TARGET_YEAR)
+    # report rule of the registry (6 decimals); the 2-decimal display rounding is unit-tested
+    return round_doubles(SC.predict_output(j, decimals=None))
