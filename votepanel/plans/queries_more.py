@@ -327,3 +327,313 @@ def q_predict_output(spark, sf):
     j = SC.join_last_refs(_preds_long(spark, sf), local_table(spark, sf), leg_type=_LEG, mun_type=_MUN, mun_year=_MUN_YEAR, target_year=TARGET_YEAR)
     # report rule of the registry (6 decimals); the 2-decimal display rounding is unit-tested
     return round_doubles(SC.predict_output(j, decimals=None))
+
+
+# ------------------------------------------------------------------ station statistics family
+from votepanel.operators import quality as QC  # noqa: E402
+from votepanel.operators import stations as ST  # noqa: E402
+from votepanel.operators.aggregate import aggregate_event  # noqa: E402
+from votepanel.operators.clean import prepare_long  # noqa: E402
+from votepanel.operators.mapping import expand_by_category  # noqa: E402
+from votepanel.sources.tables import fx_dirty  # noqa: E402
+
+
+def first_bloc_candidates(spark, sf, *, dirty: bool = False):
+    """Candidate rows with the first mapped bloc of their party (unmapped -> centre)."""
+    lg = prepare_long(fx_dirty(spark, sf)) if dirty else long_table(spark, sf)
+    m = mapping_table(spark, sf).select("code_candidature", "bloc_1")
+    from votepanel.session import bounded_broadcast
+
+    j = lg.join(bounded_broadcast(m), on="code_candidature", how="left")
+    return j.withColumn("bloc", F.coalesce(F.col("bloc_1"), F.lit("centre"))).drop("bloc_1")
+
+
+FS_CAND = """fs_cand as (
+ select l.code_bv, l.date_scrutin, l.type_scrutin as election_type, l.tour as round, l.annee as election_year, l.code_candidature,
+  l.voix, l.exprimes, l.inscrits, l.votants, l.blancs, l.nuls, coalesce(m.category, 'centre') as bloc
+ from fx_long l left join (select * from fx_map where k = 0) m on l.code_candidature = m.code_candidature)"""
+
+_FS_KEYS = "code_bv, date_scrutin, election_type, round"
+_CATS = ["centre", "gauche_modere", "droite_modere", "gauche_dure", "droite_dure", "extreme_gauche", "extreme_droite"]
+
+
+def _fs_feat_sql() -> str:
+    vb = ", ".join(f"coalesce(sum(case when bloc = '{b}' then voix end), 0.0) as voix_bloc_{b}" for b in _CATS)
+    tot = " + ".join(f"voix_bloc_{b}" for b in _CATS)
+    parts = ", ".join(f"coalesce(voix_bloc_{b} / nullif(voix_bloc_total, 0), 0.0) as part_bloc_{b}" for b in _CATS)
+    hhi = " + ".join(f"part_bloc_{b} * part_bloc_{b}" for b in _CATS)
+    return f"""fs_g as (select {_FS_KEYS}, {vb}, max(exprimes) as exprimes, max(inscrits) as inscrits, max(votants) as votants,
+  max(inscrits - votants) as abstentions, max(blancs) as blancs, max(nuls) as nuls from fs_cand group by {_FS_KEYS}),
+ fs_t as (select *, {tot} as voix_bloc_total from fs_g),
+ fs_p as (select *, {parts} from fs_t),
+ fs_feat as (select *, coalesce(votants / nullif(inscrits, 0), 0.0) as taux_participation, coalesce(blancs / nullif(votants, 0), 0.0) as part_blancs,
+  coalesce(nuls / nullif(votants, 0), 0.0) as part_nuls, coalesce(abstentions / nullif(inscrits, 0), 0.0) as part_abstention,
+  coalesce((voix_bloc_extreme_droite + voix_bloc_extreme_gauche) / nullif(voix_bloc_total, 0), 0.0) as polarisation,
+  coalesce({hhi}, 0.0) as fragmentation_hhi from fs_p)"""
+
+
+_FS_BASE = lambda: O.with_ctes(O.FX_LONG, O.FX_MAP, FS_CAND, _fs_feat_sql())
+_EVK = ["code_bv", "date_scrutin", "election_type", "round"]
+
+
+@register("pivot_bloc_votes", lambda: _FS_BASE() + "select " + _FS_KEYS + ", " + ", ".join(f"voix_bloc_{b}" for b in _CATS) + " from fs_g")
+def q_pivot_bloc_votes(spark, sf):
+    return ST.pivot_bloc_votes(first_bloc_candidates(spark, sf))
+
+
+@register("station_totals", lambda: _FS_BASE() + "select " + _FS_KEYS + ", exprimes, inscrits, votants, abstentions, blancs, nuls from fs_g")
+def q_station_totals(spark, sf):
+    return ST.station_totals(first_bloc_candidates(spark, sf))
+
+
+_FEAT = [f"part_bloc_{b}" for b in _CATS] + ["voix_bloc_total", "taux_participation", "part_blancs", "part_nuls", "part_abstention", "polarisation", "fragmentation_hhi"]
+
+
+@register("station_features", lambda: _FS_BASE() + O.select_r6(_EVK + _FEAT, set(_FEAT), "fs_feat"))
+def q_station_features(spark, sf):
+    return round_doubles(ST.station_features(first_bloc_candidates(spark, sf)).select(*_EVK, *_FEAT))
+
+
+_SLAGS = [f"{c}_lag{k}" for c in ST.STATION_LAG_BASE for k in (1, 2)]
+
+
+@register(
+    "station_lags",
+    lambda: _FS_BASE()
+    + ", fs_l as (select *, " + ", ".join(f"lag({c}, {k}) over (partition by code_bv order by date_scrutin, round, election_type) as {c}_lag{k}" for c in ST.STATION_LAG_BASE for k in (1, 2))
+    + " from fs_feat) " + O.select_r6(_EVK + _SLAGS, set(_SLAGS), "fs_l"),
+)
+def q_station_lags(spark, sf):
+    return round_doubles(ST.station_lags(ST.station_features(first_bloc_candidates(spark, sf))).select(*_EVK, *_SLAGS))
+
+
+_WN = [f"part_bloc_{b}" for b in _CATS]
+
+
+@register(
+    "weighted_national",
+    lambda: _FS_BASE() + "select election_type, round, "
+    + ", ".join(f"{O.r6(f'sum(case when part_bloc_{b} is not null then part_bloc_{b} * nullif(exprimes, 0) end) / sum(case when part_bloc_{b} is not null and nullif(exprimes, 0) is not null then nullif(exprimes, 0) end)')} as part_bloc_{b}" for b in _CATS)
+    + " from fs_feat group by election_type, round",
+)
+def q_weighted_national(spark, sf):
+    return round_doubles(ST.weighted_national(ST.station_features(first_bloc_candidates(spark, sf))))
+
+
+_LVN = [x for b in _CATS for x in (b, f"{b}_ecart_nat")]
+
+
+@register(
+    "local_vs_national",
+    lambda: _FS_BASE()
+    + ", nat as (select election_type, round, "
+    + ", ".join(f"sum(case when part_bloc_{b} is not null then part_bloc_{b} * nullif(exprimes, 0) end) / sum(case when part_bloc_{b} is not null and nullif(exprimes, 0) is not null then nullif(exprimes, 0) end) as n_{b}" for b in _CATS)
+    + " from fs_feat group by election_type, round) select f.code_bv, f.election_type, f.round, f.date_scrutin, "
+    + ", ".join(f"{O.r6(f'f.part_bloc_{b} * 100')} as {b}, {O.r6(f'(f.part_bloc_{b} - coalesce(n.n_{b}, 0.0)) * 100')} as {b}_ecart_nat" for b in _CATS)
+    + " from fs_feat f left join nat n on f.election_type = n.election_type and f.round = n.round",
+)
+def q_local_vs_national(spark, sf):
+    feat = ST.station_features(first_bloc_candidates(spark, sf))
+    return round_doubles(ST.local_vs_national(feat, ST.weighted_national(feat)))
+
+
+_BES = ["code_bv", "election_type", "election_year", "round", "date_scrutin", "inscrits", "votants", "blancs", "nuls", "turnout_pct", "blancs_pct", "nuls_pct"]
+BES_SQL = """bes as (select code_bv, lower(trim(type_scrutin)) as election_type, annee as election_year, coalesce(tour, 1) as round, date_scrutin,
+  max(inscrits) as inscrits, max(votants) as votants, max(blancs) as blancs, max(nuls) as nuls,
+  max(votants) / nullif(max(inscrits), 0) as turnout_pct, max(blancs) / nullif(max(inscrits), 0) as blancs_pct, max(nuls) / nullif(max(inscrits), 0) as nuls_pct
+ from fx_long group by code_bv, type_scrutin, annee, tour, date_scrutin)"""
+
+
+@register("bureau_event_stats", O.with_ctes(O.FX_LONG, BES_SQL) + O.select_r6(_BES, {"turnout_pct", "blancs_pct", "nuls_pct"}, "bes"))
+def q_bureau_event_stats(spark, sf):
+    return round_doubles(ST.bureau_event_stats(long_table(spark, sf)).select(*_BES))
+
+
+@register(
+    "default_rates",
+    O.with_ctes(O.FX_LONG, BES_SQL)
+    + f"""select election_type, {O.r6('median(turnout_pct)')} as turnout_pct, {O.r6('median(blancs_pct)')} as blancs_pct, {O.r6('median(nuls_pct)')} as nuls_pct
+ from bes where round = 1 group by rollup(election_type)""",
+)
+def q_default_rates(spark, sf):
+    return round_doubles(ST.default_rates(ST.bureau_event_stats(long_table(spark, sf))))
+
+
+@register(
+    "star_national",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES)
+    + f"select election_type, election_year, round, category, {O.r6('avg(share)')} as share, {O.r6('avg(turnout_pct)')} as turnout from fx_rates group by election_type, election_year, round, category",
+)
+def q_star_national(spark, sf):
+    return round_doubles(ST.star_national(local_table(spark, sf)))
+
+
+@register(
+    "turnout_event",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES)
+    + f"select commune_code, code_bv, election_type, election_year, round, date_scrutin, {O.r6('max(turnout_pct)')} as turnout_pct from fx_rates group by all",
+)
+def q_turnout_event(spark, sf):
+    from votepanel.operators.aggregate import turnout_event
+
+    return round_doubles(turnout_event(local_table(spark, sf)))
+
+
+@register("distinct_stations", O.with_ctes(O.FX_LONG) + "select distinct code_commune as commune_code, code_bv from fx_long")
+def q_distinct_stations(spark, sf):
+    return ST.distinct_stations(long_table(spark, sf))
+
+
+@register(
+    "distinct_events",
+    O.with_ctes(O.FX_LONG) + "select type_scrutin as election_type, annee as election_year, tour as round, min(date_scrutin) as date_scrutin, count(distinct code_bv) as n_stations from fx_long group by all",
+)
+def q_distinct_events(spark, sf):
+    return ST.distinct_events(long_table(spark, sf))
+
+
+@register(
+    "describe_votes",
+    O.with_ctes(O.FX_LONG)
+    + """, ev as (select code_bv, type_scrutin, annee, tour, max(exprimes) as exprimes from fx_long group by all)
+ select code_bv, count(exprimes) as count, """
+    + ", ".join(f"{O.r6(e)} as {n}" for e, n in [("avg(exprimes)", "mean"), ("stddev_samp(exprimes)", "std"), ("min(exprimes)", "min"),
+                                                  ("quantile_cont(exprimes, 0.25)", "q25"), ("quantile_cont(exprimes, 0.5)", "q50"),
+                                                  ("quantile_cont(exprimes, 0.75)", "q75"), ("max(exprimes)", "max")])
+    + " from ev group by code_bv",
+)
+def q_describe_votes(spark, sf):
+    return round_doubles(ST.describe_votes(long_table(spark, sf)))
+
+
+@register(
+    "variation_check",
+    lambda: _FS_BASE() + "select election_type, round, date_scrutin, count(distinct part_bloc_extreme_droite) as n_distinct from fs_feat group by all",
+)
+def q_variation_check(spark, sf):
+    return ST.variation_check(ST.station_features(first_bloc_candidates(spark, sf)), "part_bloc_extreme_droite")
+
+
+_NP_COLS = ["code_candidature", "voix", "exprimes", "inscrits", "votants", "blancs", "nuls"]
+FXD_PREP = """fxd as (select code_commune, code_bv, type_scrutin as election_type, annee as election_year, tour as round, date_scrutin,
+  case when upper(trim(code_candidature)) in ('NAN', 'NONE', '', '<NA>') then null else upper(trim(code_candidature)) end as code_candidature,
+  voix, exprimes, blancs, nuls, votants, inscrits from fx_dirty)"""
+
+
+@register(
+    "null_profile",
+    O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP)
+    + " union all ".join(f"select '{c}' as column_name, count_if({c} is null) as n_null, {O.r6(f'count_if({c} is null) / count(*)')} as null_rate from fxd" for c in _NP_COLS),
+)
+def q_null_profile(spark, sf):
+    return round_doubles(ST.null_profile(prepare_long(fx_dirty(spark, sf)), _NP_COLS))
+
+
+@register(
+    "rows_with_nulls_by_town",
+    O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP)
+    + "select code_commune, count_if(" + " or ".join(f"{c} is null" for c in _NP_COLS) + ") as n_rows_with_null, count(*) as n_rows from fxd group by code_commune",
+)
+def q_rows_with_nulls_by_town(spark, sf):
+    d = prepare_long(fx_dirty(spark, sf)).withColumnRenamed("commune_code", "code_commune")
+    return ST.rows_with_nulls_by_town(d, _NP_COLS)
+
+
+@register("premapping", O.with_ctes(O.FX_LONG) + "select distinct type_scrutin as election_type, upper(trim(code_candidature)) as code_candidature, cast(null as varchar) as nom_candidature from fx_long")
+def q_premapping(spark, sf):
+    return ST.premapping(long_table(spark, sf))
+
+
+@register(
+    "candidate_dedup",
+    O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_DIRTY, FXD_PREP)
+    + """select d.code_bv, d.election_type, d.election_year, d.round, d.code_candidature, coalesce(m.category, 'centre') as bloc,
+ max(d.voix) as voix, max(d.exprimes) as exprimes, max(d.inscrits) as inscrits, max(d.votants) as votants, max(d.blancs) as blancs, max(d.nuls) as nuls
+ from fxd d left join (select * from fx_map where k = 0) m on d.code_candidature = upper(m.code_candidature)
+ group by d.code_bv, d.election_type, d.election_year, d.round, d.code_candidature, coalesce(m.category, 'centre')""",
+)
+def q_candidate_dedup(spark, sf):
+    c = first_bloc_candidates(spark, sf, dirty=True)
+    return ST.candidate_dedup(c, ("code_bv", "election_type", "election_year", "round", "code_candidature", "bloc"))
+
+
+# ------------------------------------------------------------------ data-quality checks
+FXD_EV = """fxd_ev as (select code_bv, election_type, election_year, round, max(exprimes) as exprimes, max(blancs) as blancs,
+  max(nuls) as nuls, max(votants) as votants, max(inscrits) as inscrits from fxd group by all)"""
+
+
+def dirty_events(spark, sf):
+    d = prepare_long(fx_dirty(spark, sf))
+    return d.groupBy("code_bv", "election_type", "election_year", "round").agg(
+        *[F.max(c).alias(c) for c in ("exprimes", "blancs", "nuls", "votants", "inscrits")]
+    )
+
+
+@register("check_turnout_bound", O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP, FXD_EV) + "select * from fxd_ev where votants > inscrits")
+def q_check_turnout_bound(spark, sf):
+    return QC.check_turnout_bound(dirty_events(spark, sf))
+
+
+@register(
+    "check_balance",
+    O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP, FXD_EV)
+    + f", g as (select *, abs((exprimes + blancs + nuls - votants) / nullif(votants, 0)) as balance_gap from fxd_ev) select * replace ({O.r6('balance_gap')} as balance_gap) from g where balance_gap > 0.02",
+)
+def q_check_balance(spark, sf):
+    return round_doubles(QC.check_balance(dirty_events(spark, sf)))
+
+
+@register(
+    "check_vote_sum",
+    O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP)
+    + f""", g as (select code_bv, election_type, election_year, round, date_scrutin, sum(voix) as voix, max(exprimes) as exprimes from fxd group by all),
+ h as (select *, abs(voix - exprimes) / nullif(exprimes, 0) as gap from g)
+ select * replace ({O.r6('gap')} as gap) from h where gap > 0.02""",
+)
+def q_check_vote_sum(spark, sf):
+    return round_doubles(QC.check_vote_sum(prepare_long(fx_dirty(spark, sf))))
+
+
+@register(
+    "check_mass",
+    O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP, O.FX_MAP)
+    + """, loc as (select d.code_bv, d.election_type, d.election_year, d.round, coalesce(m.category, 'centre') as category,
+   (coalesce(sum(d.voix * cast(6 / coalesce(m.n_blocs, 1) as int)), 0.0) / cast(6 as double)) / nullif(max(d.exprimes), 0) as share
+  from fxd d left join fx_map m on d.code_candidature = upper(m.code_candidature) group by all),
+ w as (select code_bv, election_type, election_year, round, """
+    + ", ".join(f"avg(case when category = '{c}' then share end) as target_share_{c}" for c in _CATS)
+    + " from loc group by all), x as (select *, " + " + ".join(f"coalesce(target_share_{c}, 0.0)" for c in _CATS)
+    + " as mass from w) select code_bv, election_type, election_year, round, " + O.r6("mass") + " as mass from x where abs(mass - 1) > 0.05",
+)
+def q_check_mass(spark, sf):
+    from votepanel.operators.reshape import pivot_category
+
+    lg = prepare_long(fx_dirty(spark, sf))
+    loc = aggregate_event(expand_by_category(lg, mapping_table(spark, sf)))
+    w = pivot_category(loc, ["code_bv", "election_type", "election_year", "round"], [("target_share_", "share")])
+    return round_doubles(QC.check_mass(w).select("code_bv", "election_type", "election_year", "round", "mass"))
+
+
+@register(
+    "check_keys",
+    O.with_ctes(O.FX_LONG)
+    + """select 'n_bad_town' as check_name, count_if(length(code_commune) != 5) as n from fx_long
+ union all select 'n_bad_station', count_if(length(split_part(code_bv, '-', -1)) != 4) from fx_long
+ union all select 'n_dup_rows', coalesce(sum(c - 1), 0)::bigint from (select count(*) as c from fx_long group by code_bv, type_scrutin, annee, tour, code_candidature having count(*) > 1) d""",
+)
+def q_check_keys(spark, sf):
+    return QC.check_keys(long_table(spark, sf), ["code_bv", "election_type", "election_year", "round", "code_candidature"])
+
+
+_SCOPE_TOWNS, _SCOPE_TYPES, _SCOPE_ROUNDS = ["00000", "00001", "00002"], ["low", "high", "medium", "urgent"], [1]
+
+
+@register(
+    "check_scope",
+    O.with_ctes(O.FX_LONG)
+    + f"""select array_to_string(list_sort(list_distinct(list(case when code_commune not in ('00000', '00001', '00002') then code_commune end))), ',') as unexpected_towns,
+ array_to_string(list_sort(list_distinct(list(case when type_scrutin not in ('low', 'high', 'medium', 'urgent') then type_scrutin end))), ',') as unexpected_types,
+ array_to_string(list_sort(list_distinct(list(case when tour not in (1) then cast(tour as varchar) end))), ',') as unexpected_rounds from fx_long""",
+)
+def q_check_scope(spark, sf):
+    return QC.check_scope(long_table(spark, sf), _SCOPE_TOWNS, _SCOPE_TYPES, _SCOPE_ROUNDS)
