@@ -637,3 +637,202 @@ _SCOPE_TOWNS, _SCOPE_TYPES, _SCOPE_ROUNDS = ["00000", "00001", "00002"], ["low",
 )
 def q_check_scope(spark, sf):
     return QC.check_scope(long_table(spark, sf), _SCOPE_TOWNS, _SCOPE_TYPES, _SCOPE_ROUNDS)
+
+
+# ------------------------------------------------------------------ evaluation family (naive last-value predictor)
+from votepanel.operators import folds as FO  # noqa: E402
+from votepanel.operators import metrics as ME  # noqa: E402
+from votepanel.operators.windows import panel_lags  # noqa: E402
+
+
+def naive_diag(spark, sf):
+    """Naive predictor: the station's previous share of the category (lag 1, any type)."""
+    lg = panel_lags(history_table(spark, sf))
+    return lg.where(F.col("share").isNotNull() & F.col("share_lag_any").isNotNull()).select(
+        "code_bv", "election_type", "election_year", "round", "date_scrutin", "category",
+        F.col("share").alias("y_true"), F.col("share_lag_any").alias("y_pred"), F.col("exprimes").alias("weight"),
+    )
+
+
+DIAG = """diag as (select code_bv, election_type, election_year, round, date_scrutin, category, share as y_true, share_lag_any as y_pred, exprimes as weight
+ from fx_lags where share is not null and share_lag_any is not null)"""
+_OSUM = "list_reduce(list_sort(list(least(greatest(y_pred, 0.0), 1.0)) over (partition by code_bv, election_type, election_year, round)), lambda a, b: a + b)"
+DIAG_N = f"""diagn as (select * replace (least(greatest(y_pred, 0.0), 1.0) / case when {_OSUM} = 0 then 1.0 else {_OSUM} end as y_pred) from diag)"""
+_EV_BASE = O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES, O.FX_NAT, O.FX_EC, O.FX_LAGS, DIAG, DIAG_N)
+_DIAG_COLS = ["code_bv", "election_type", "election_year", "round", "category", "y_true", "y_pred", "weight"]
+
+
+@register("naive_last", _EV_BASE + O.select_r6(_DIAG_COLS, {"y_true", "y_pred"}, "diag"))
+def q_naive_last(spark, sf):
+    return round_doubles(naive_diag(spark, sf).select(*_DIAG_COLS))
+
+
+@register("normalise_predictions", _EV_BASE + O.select_r6(_DIAG_COLS, {"y_true", "y_pred"}, "diagn"))
+def q_normalise_predictions(spark, sf):
+    return round_doubles(ME.normalise_predictions(naive_diag(spark, sf)).select(*_DIAG_COLS))
+
+
+@register(
+    "normalise_in_station",
+    _EV_BASE + f"""select code_bv, election_type, election_year, round, category,
+ {O.r6("least(greatest(y_pred, 0.0), 1.0) / greatest(" + _OSUM + ", 1e-9)")} as p_norm from diag""",
+)
+def q_normalise_in_station(spark, sf):
+    out = ME.normalise_in_station(naive_diag(spark, sf), keys=("code_bv", "election_type", "election_year", "round"))
+    return round_doubles(out.select("code_bv", "election_type", "election_year", "round", "category", "p_norm"))
+
+
+def _metric_sql() -> str:
+    cats = ["centre", "gauche_modere", "droite_modere", "gauche_dure", "droite_dure", "extreme_gauche", "extreme_droite"]
+    e = "(y_pred - y_true)"
+    cols = [
+        (f"avg(abs{e})", "mae_mean"), (f"sqrt(avg({e}*{e}))", "rmse"), (f"quantile_cont(abs{e}, 0.5)", "medae"),
+        (f"case when count(*) > 1 then 1 - sum({e}*{e}) / (var_pop(y_true) * count(*)) end", "r2"),
+        ("case when count(*) > 1 then 1 - var_pop(y_true - y_pred) / var_pop(y_true) end", "explained_var"),
+        (f"case when sum(abs(y_true)) > 0 then sum(abs{e}) / sum(abs(y_true)) end", "wape"),
+        (f"avg(2 * abs{e} / (abs(y_true) + abs(y_pred) + 1e-9))", "smape"), (f"avg{e}", "bias"),
+    ] + [(f"avg(case when category = '{c}' then abs{e} end)", f"mae_{c}") for c in cats]
+    return _EV_BASE + "select " + ", ".join(f"{O.r6(x)} as {n}" for x, n in cols) + " from diagn"
+
+
+@register("regression_metrics", _metric_sql)
+def q_regression_metrics(spark, sf):
+    return round_doubles(ME.regression_metrics(ME.normalise_predictions(naive_diag(spark, sf))))
+
+
+@register("weighted_mae", _EV_BASE + f"select {O.r6('sum(abs(y_true - y_pred) * weight) / sum(weight)')} as weighted_mae from diag")
+def q_weighted_mae(spark, sf):
+    return round_doubles(ME.weighted_mae(naive_diag(spark, sf)))
+
+
+_CAT_IDX = """case category when 'centre' then 0 when 'gauche_modere' then 1 when 'droite_modere' then 2 when 'gauche_dure' then 3
+ when 'droite_dure' then 4 when 'extreme_gauche' then 5 else 6 end"""
+
+
+@register(
+    "winner_accuracy",
+    _EV_BASE + f""", wt as (select code_bv, election_type, election_year, round, category,
+   row_number() over (partition by code_bv, election_type, election_year, round order by y_true desc, {_CAT_IDX}) as rt,
+   row_number() over (partition by code_bv, election_type, election_year, round order by y_pred desc, {_CAT_IDX}) as rp from diag),
+ w as (select code_bv, election_type, election_year, round, max(case when rt = 1 then category end) as a, max(case when rp = 1 then category end) as b
+   from wt group by all)
+ select {O.r6('avg(case when a = b then 1.0 else 0.0 end)')} as winner_accuracy, count(*) as n_events from w""",
+)
+def q_winner_accuracy(spark, sf):
+    return round_doubles(ME.winner_accuracy(naive_diag(spark, sf)))
+
+
+@register(
+    "error_by_group",
+    _EV_BASE + f"""select 'bloc' as dimension, category as key, {O.r6('avg(abs(y_pred - y_true))')} as mae, count(*) as n from diag group by category
+ union all select 'year', cast(election_year as varchar), {O.r6('avg(abs(y_pred - y_true))')}, count(*) from diag group by election_year
+ union all select 'election_type', election_type, {O.r6('avg(abs(y_pred - y_true))')}, count(*) from diag group by election_type""",
+)
+def q_error_by_group(spark, sf):
+    return round_doubles(ME.error_by_group(naive_diag(spark, sf)))
+
+
+def _bin_sql() -> str:
+    parts = []
+    for lo, hi, lab in zip(ME.BIN_EDGES[:-1], ME.BIN_EDGES[1:], ME.BIN_LABELS):
+        parts.append(f"when y_true > {lo} and y_true <= {hi} then '{lab}'")
+    lab = "case " + " ".join(parts) + " end"
+    return _EV_BASE + f""", b as (select {lab} as bin_part, abs(y_pred - y_true) as abs_error from diag)
+ select bin_part, count(*) as n, {O.r6('avg(abs_error)')} as mae, {O.r6('quantile_cont(abs_error, 0.5)')} as medae,
+  {O.r6('quantile_cont(abs_error, 0.95)')} as p95, {O.r6('quantile_cont(abs_error, 0.99)')} as p99 from b where bin_part is not null group by bin_part"""
+
+
+@register("error_by_bin", _bin_sql)
+def q_error_by_bin(spark, sf):
+    return round_doubles(ME.error_by_bin(naive_diag(spark, sf)))
+
+
+@register(
+    "error_in_zone",
+    _EV_BASE + f"""select count(*) as n, {O.r6('avg(abs(y_pred - y_true))')} as mae, {O.r6('quantile_cont(abs(y_pred - y_true), 0.5)')} as medae,
+ {O.r6('avg(y_pred - y_true)')} as bias, {O.r6('quantile_cont(abs(y_pred - y_true), 0.95)')} as p95, {O.r6('quantile_cont(abs(y_pred - y_true), 0.99)')} as p99
+ from diag where y_true >= 0.12 and y_true <= 0.15""",
+)
+def q_error_in_zone(spark, sf):
+    return round_doubles(ME.error_in_zone(naive_diag(spark, sf)))
+
+
+@register(
+    "residual_quantiles",
+    _EV_BASE + "select " + ", ".join(f"{O.r6(f'quantile_cont(y_pred - y_true, {q})')} as q{int(round(q * 100)):02d}" for q in (0.01, 0.05, 0.5, 0.95, 0.99)) + " from diag",
+)
+def q_residual_quantiles(spark, sf):
+    return round_doubles(ME.residual_quantiles(naive_diag(spark, sf)))
+
+
+@register(
+    "residual_intervals",
+    _EV_BASE + "select category, " + ", ".join(f"{O.r6(f'quantile_cont(y_pred - y_true, {q})')} as q{int(round(q * 100)):02d}" for q in (0.05, 0.1, 0.9, 0.95))
+    + f", {O.r6('avg(y_pred - y_true)')} as mean, {O.r6('stddev_pop(y_pred - y_true)')} as std, count(*) as n from diag group by category",
+)
+def q_residual_intervals(spark, sf):
+    return round_doubles(ME.residual_intervals(naive_diag(spark, sf)))
+
+
+EVT = """evt as (select lower(trim(election_type)) || '|' || cast(election_year as varchar) || '|' || cast(round as varchar) as event_key, min(date_scrutin) as date_scrutin
+ from diag group by 1),
+ evr as (select *, row_number() over (order by date_scrutin, event_key) - 1 as r, count(*) over () as n from evt)"""
+
+
+@register(
+    "event_folds",
+    _EV_BASE + ", " + EVT + """, p as (select *, least(4, n - 1) as k, floor(n / (least(4, n - 1) + 1)) as t from evr),
+ f as (select p.*, cast(g.fold as integer) as fold from p, range(0, 4) g(fold) where g.fold < p.k),
+ o as (select event_key, date_scrutin, fold, case when r < n - (k - fold) * t then 'train' when r < n - (k - fold) * t + t then 'test' end as role from f)
+ select * from o where role is not null""",
+)
+def q_event_folds(spark, sf):
+    return FO.event_folds(FO.event_table(naive_diag(spark, sf)), 4)
+
+
+@register(
+    "cut_folds",
+    _EV_BASE + ", " + EVT + """, f as (select e.*, cast(g.fold as integer) as fold, least(floor(n * (5 + g.fold) / 10), n - 1) as cut from evr e, range(1, 5) g(fold) where n >= 2),
+ o as (select event_key, date_scrutin, fold, case when r < greatest(cut, 0) then 'train' when r = cut then 'test' end as role from f)
+ select * from o where role is not null""",
+)
+def q_cut_folds(spark, sf):
+    return FO.cut_folds(FO.event_table(naive_diag(spark, sf)), 4)
+
+
+@register(
+    "row_folds",
+    _EV_BASE + """, c as (select election_year, count(*) as rows from diag group by election_year),
+ cc as (select *, coalesce(sum(rows) over (order by election_year rows between unbounded preceding and 1 preceding), 0) as before, sum(rows) over () as n from c),
+ p as (select *, least(4, n - 1) as k, floor(n / (least(4, n - 1) + 1)) as t from cc),
+ f as (select p.*, cast(g.fold as integer) as fold, n - (k - g.fold) * t as st from p, range(0, 4) g(fold) where g.fold < p.k),
+ o as (select election_year, fold, 'train' as role, cast(greatest(least(before + rows, st) - before, 0) as bigint) as n_rows from f
+  union all select election_year, fold, 'test', cast(greatest(least(before + rows, st + t) - greatest(before, st), 0) as bigint) from f)
+ select * from o where n_rows > 0""",
+)
+def q_row_folds(spark, sf):
+    out = FO.row_folds(naive_diag(spark, sf), 4, order_col="election_year")
+    return out.withColumn("n_rows", F.col("n_rows").cast("long"))
+
+
+@register(
+    "temporal_split",
+    _EV_BASE + """select code_bv, election_type, election_year, round, category,
+ case when election_year <= 1997 then 'train' when election_year > 1997 and election_year <= 1999 then 'valid' when election_year >= 2000 then 'test' end as split from diag""",
+)
+def q_temporal_split(spark, sf):
+    return FO.temporal_split(naive_diag(spark, sf), 1997, 1999, 2000).select("code_bv", "election_type", "election_year", "round", "category", "split")
+
+
+@register(
+    "assign_folds",
+    _EV_BASE + ", " + EVT + """, p as (select *, least(4, n - 1) as k, floor(n / (least(4, n - 1) + 1)) as t from evr),
+ f as (select p.*, cast(g.fold as integer) as fold from p, range(0, 4) g(fold) where g.fold < p.k),
+ o as (select event_key, fold, case when r < n - (k - fold) * t then 'train' when r < n - (k - fold) * t + t then 'test' end as role from f)
+ select d.code_bv, d.category, o.event_key, o.fold, o.role from diag d
+ join o on lower(trim(d.election_type)) || '|' || cast(d.election_year as varchar) || '|' || cast(d.round as varchar) = o.event_key where o.role is not null""",
+)
+def q_assign_folds(spark, sf):
+    d = naive_diag(spark, sf)
+    out = FO.assign_folds(d, FO.event_folds(FO.event_table(d), 4))
+    return out.select("code_bv", "category", "event_key", "fold", "role")
