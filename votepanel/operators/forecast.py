@@ -212,22 +212,18 @@ def allocate_counts(df: DataFrame, *, keys: tuple[str, ...], share_col: str, tot
     return df.withColumn("count", cnt.cast("long")).drop("_s", "_ssum", "_raw", "_fl", "_rem", "_rk")
 
 
-def trend_forecast(local: DataFrame, target_type: str, target_year: int) -> DataFrame:
-    """Trend forecast for every station: 7 category rows then blank, void and abstention rows.
-
-    Output: code_bv, categorie, position (display order), predicted_share (null for extra rows), nombre.
-    """
+def _trend_parts(local: DataFrame, target_type: str, target_year: int) -> tuple[DataFrame, DataFrame]:
     target_type = target_type.strip().lower()
     hist = prepare_history(local, target_year=target_year)
     shares = project_shares(hist, target_type, target_year)
     # every station gets the 7 categories (missing ones project to 0) without a join on a scaffold:
-    # pivot the projections per station, normalise, then explode back to rows
+    # gather the (at most 7) projections of a station in a map, then explode the fixed category list
     per_station = shares.groupBy("code_bv").agg(
         F.map_from_entries(F.collect_list(F.struct("category", "raw_share"))).alias("_m")
     )
     cats = F.array(*[F.lit(c) for c in DISPLAY_ORDER])
     rows = per_station.select("code_bv", F.posexplode(cats).alias("position", "categorie"), "_m").select(
-        "code_bv", "position", "categorie", F.coalesce(F.col("_m").getItem(F.col("categorie")), F.lit(0.0)).alias("raw_share")
+        "code_bv", "position", "categorie", F.coalesce(F.try_element_at(F.col("_m"), F.col("categorie")), F.lit(0.0)).alias("raw_share")
     )
     w = Window.partitionBy("code_bv")
     tot = F.sum("raw_share").over(w)
@@ -235,7 +231,15 @@ def trend_forecast(local: DataFrame, target_type: str, target_year: int) -> Data
     counts = head_counts(project_rates(station_events(hist), target_type, target_year)).where(F.col("inscrits_total").isNotNull())
     joined = rows.join(counts.select("code_bv", "exprimes_total"), on="code_bv", how="inner")
     alloc = allocate_counts(joined, keys=("code_bv",), share_col="predicted_share", total_col="exprimes_total", order_col="position")
-    blocs = alloc.select("code_bv", "categorie", "position", "predicted_share", F.col("count").alias("nombre"))
+    return alloc.select("code_bv", "categorie", "position", "predicted_share", F.col("count").alias("nombre")), counts
+
+
+def trend_forecast(local: DataFrame, target_type: str, target_year: int) -> DataFrame:
+    """Trend forecast for every station: 7 category rows then blank, void and abstention rows.
+
+    Output: code_bv, categorie, position (display order), predicted_share (null for extra rows), nombre.
+    """
+    blocs, counts = _trend_parts(local, target_type, target_year)
     extra = counts.select(
         "code_bv",
         F.explode(
@@ -248,3 +252,15 @@ def trend_forecast(local: DataFrame, target_type: str, target_year: int) -> Data
         ).alias("_e"),
     ).select("code_bv", "_e.categorie", "_e.position", F.lit(None).cast("double").alias("predicted_share"), "_e.nombre")
     return blocs.unionByName(extra)
+
+
+def trend_forecast_wide(local: DataFrame, target_type: str, target_year: int) -> DataFrame:
+    """One row per station: ``share_{c}``, ``count_{c}`` for the 7 categories and the head counts."""
+    blocs, counts = _trend_parts(local, target_type, target_year)
+    aggs = []
+    for c in DISPLAY_ORDER:
+        aggs.append(F.max(F.when(F.col("categorie") == c, F.col("predicted_share"))).alias(f"share_{c}"))
+        aggs.append(F.max(F.when(F.col("categorie") == c, F.col("nombre"))).alias(f"count_{c}"))
+    wide = blocs.groupBy("code_bv").agg(*aggs)
+    extra = [F.col(c).alias(f"count_{n}") for n, c in zip(EXTRA_ROWS, ("blancs_total", "nuls_total", "abstention_total"))]
+    return wide.join(counts.select("*", *extra), on="code_bv", how="inner")

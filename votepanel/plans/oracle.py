@@ -249,10 +249,7 @@ def display_values_sql() -> str:
     return ", ".join(f"({i}, '{c}')" for i, c in enumerate(DISPLAY_ORDER))
 
 
-def trend_forecast_sql(target_type: str, target_year: int, *, report: bool = True) -> str:
-    from votepanel.constants import DISPLAY_ORDER
-
-    n = len(DISPLAY_ORDER)
+def forecast_ctes(target_type: str, target_year: int) -> list[str]:
     rows = f"""fc_rows as (
  select s.code_bv, d.position, d.categorie, coalesce(sh.raw_share, 0.0) as raw_share
  from (select distinct code_bv from fc_shares) s cross join (values {display_values_sql()}) d(position, categorie)
@@ -270,23 +267,34 @@ fc_alloc3 as (
  select *, floor(raw) as fl from fc_alloc2),
 fc_alloc4 as (
  select *, case when exprimes_total > 0 and ssum > 0 then exprimes_total - sum(fl) over (partition by code_bv) else 0 end as rem,
-  row_number() over (partition by code_bv order by raw - fl desc, position asc) as rk from fc_alloc3)"""
+  row_number() over (partition by code_bv order by raw - fl desc, position asc) as rk from fc_alloc3),
+fc_alloc as (select *, cast(fl + case when rk <= rem then 1 else 0 end as bigint) as nombre from fc_alloc4)"""
+    return [FX_LONG, FX_MAP, FX_LOCAL, FX_LOCAL_RATES, *forecast_history_ctes(target_year), project_shares_sql(target_type, target_year),
+            project_rates_sql(target_type, target_year), HEAD_COUNTS_SQL, rows]
+
+
+def forecast_wide_cte() -> str:
+    from votepanel.constants import DISPLAY_ORDER
+
+    cols = ", ".join(f"max(case when categorie = '{c}' then predicted_share end) as share_{c}, max(case when categorie = '{c}' then nombre end) as count_{c}" for c in DISPLAY_ORDER)
+    return f"""fc_wide as (select w.*, c.inscrits_total, c.votants_total, c.blancs_total, c.nuls_total, c.exprimes_total, c.abstention_total,
+  c.blancs_total as count_blancs, c.nuls_total as count_nuls, c.abstention_total as count_abstention
+ from (select code_bv, {cols} from fc_alloc group by code_bv) w join fc_counts c on w.code_bv = c.code_bv)"""
+
+
+def trend_forecast_sql(target_type: str, target_year: int, *, report: bool = True) -> str:
+    from votepanel.constants import DISPLAY_ORDER
+
+    n = len(DISPLAY_ORDER)
     ps = r6("predicted_share") if report else "predicted_share"
-    final = f"""select code_bv, categorie, position, {ps} as predicted_share,
- cast(fl + case when rk <= rem then 1 else 0 end as bigint) as nombre from fc_alloc4
+    final = f"""select code_bv, categorie, position, {ps} as predicted_share, nombre from fc_alloc
 union all
 select code_bv, 'blancs', {n}, null, blancs_total from fc_counts
 union all
 select code_bv, 'nuls', {n + 1}, null, nuls_total from fc_counts
 union all
 select code_bv, 'abstention', {n + 2}, null, abstention_total from fc_counts"""
-    return (
-        with_ctes(
-            FX_LONG, FX_MAP, FX_LOCAL, FX_LOCAL_RATES, *forecast_history_ctes(target_year), project_shares_sql(target_type, target_year),
-            project_rates_sql(target_type, target_year), HEAD_COUNTS_SQL, rows,
-        )
-        + final
-    )
+    return with_ctes(*forecast_ctes(target_type, target_year)) + final
 
 
 # ---------------------------------------------------------------- elections_blocs family

@@ -836,3 +836,171 @@ def q_assign_folds(spark, sf):
     d = naive_diag(spark, sf)
     out = FO.assign_folds(d, FO.event_folds(FO.event_table(d), 4))
     return out.select("code_bv", "category", "event_key", "fold", "role")
+
+
+# ------------------------------------------------------------------ scenario family (all stations at once)
+from votepanel.constants import DISPLAY_ORDER  # noqa: E402
+from votepanel.operators import scenario as SCN  # noqa: E402
+
+# Scenario parameters. The fixture's election types are order priorities; the blend weights of the
+# original's six election types are given to them in the same order.
+FIXTURE_BLEND = {"urgent": 0.4, "high": 0.35, "medium": 0.3, "not specified": 0.3, "low": 0.2}
+SHARE_FIX = {"centre": 30.0, "extreme_droite": 15.0}
+TRANSFERS = [("extreme_droite", "droite_dure", 2.0), ("droite_dure", "centre", 1.5), ("abstention", "gauche_modere", 1.0)]
+TARGET_BLOC = "centre"
+
+
+def forecast_wide(spark, sf):
+    return FC.trend_forecast_wide(local_table(spark, sf), TARGET_TYPE, TARGET_YEAR)
+
+
+def _fc_base(*extra: str) -> str:
+    return O.with_ctes(*O.forecast_ctes(TARGET_TYPE, TARGET_YEAR), O.forecast_wide_cte(), *extra)
+
+
+_SHARES = [f"share_{c}" for c in _CATS]
+_COUNTS = [f"count_{c}" for c in DISPLAY_ORDER]
+
+
+@register("trend_forecast_wide", lambda: _fc_base() + O.select_r6(["code_bv", *_SHARES, *_COUNTS, "inscrits_total", "exprimes_total"], set(_SHARES), "fc_wide"))
+def q_trend_forecast_wide(spark, sf):
+    return round_doubles(forecast_wide(spark, sf).select("code_bv", *_SHARES, *_COUNTS, "inscrits_total", "exprimes_total"))
+
+
+def _blend_sql() -> str:
+    t = TARGET_TYPE
+    wgt = FIXTURE_BLEND[t]
+    hist = "bh as (select code_bv, " + ", ".join(
+        f"arg_max(share, date_scrutin) filter (where category = '{c}' and share is not null and election_type = '{t}') as h_{c}" for c in _CATS
+    ) + f" from fx_rates where election_year < {TARGET_YEAR} group by code_bv)"
+    avail = " + ".join(f"(case when h.h_{c} is not null then 1 else 0 end)" for c in _CATS)
+    b0 = f"b0 as (select w.code_bv, {', '.join(f'w.share_{c}' for c in _CATS)}, {', '.join(f'h.h_{c}' for c in _CATS)}, {avail} as avail from fc_wide w left join bh h on w.code_bv = h.code_bv)"
+    b1 = "b1 as (select *, " + ", ".join(
+        f"case when h_{c} is null then share_{c} else (1 - {wgt} * avail / 7) * share_{c} + ({wgt} * avail / 7) * h_{c} end as b_{c}" for c in _CATS
+    ) + " from b0)"
+    b2 = "b2 as (select *, " + " + ".join(f"b_{c}" for c in _CATS) + " as tot from b1)"
+    out = ", ".join(f"{O.r6(f'case when avail = 0 then share_{c} when tot > 0 then b_{c} / tot else b_{c} end')} as share_{c}" for c in _CATS)
+    return _fc_base(hist, b0, b1, b2) + f"select code_bv, {out} from b2"
+
+
+@register("blend_type_history", _blend_sql)
+def q_blend_type_history(spark, sf):
+    wide = forecast_wide(spark, sf).select("code_bv", *_SHARES)
+    hist = SC.score_features(history_table(spark, sf), TARGET_TYPE, TARGET_YEAR).select("code_bv", *[f"prev_share_type_lag1_{c}" for c in _CATS])
+    out = SCN.blend_type_history(wide.join(hist, on="code_bv", how="left"), TARGET_TYPE, weights=FIXTURE_BLEND)
+    return round_doubles(out.select("code_bv", *_SHARES))
+
+
+def _overrides_sql() -> str:
+    fixed = {c: v / 100.0 for c, v in SHARE_FIX.items()}
+    rest = [c for c in DISPLAY_ORDER if c not in fixed]
+    remaining = 1.0 - sum(fixed.values())
+    base = " + ".join(f"share_{c}" for c in rest)
+    cols = []
+    for c in _CATS:
+        if c in fixed:
+            cols.append(f"{O.r6(repr(fixed[c]))} as share_{c}")
+        else:
+            cols.append(f"{O.r6(f'case when ({base}) <= 0 then {remaining!r} / {len(rest)} else share_{c} / ({base}) * {remaining!r} end')} as share_{c}")
+    return _fc_base() + "select code_bv, " + ", ".join(cols) + " from fc_wide"
+
+
+@register("share_overrides", _overrides_sql)
+def q_share_overrides(spark, sf):
+    return round_doubles(SCN.share_overrides(forecast_wide(spark, sf).select("code_bv", *_SHARES), SHARE_FIX).select("code_bv", *_SHARES))
+
+
+_ITEMS = [*DISPLAY_ORDER, "blancs", "nuls", "abstention"]
+
+
+def _transfer_ctes() -> list[str]:
+    ctes = ["tr0 as (select code_bv, inscrits_total, " + ", ".join(f"count_{c} as c_{c}" for c in _ITEMS) + " from fc_wide)"]
+    for i, (src, dst, pct) in enumerate(TRANSFERS, start=1):
+        delta = f"cast(round_even(inscrits_total * {pct!r} / 100.0, 0) as bigint)"
+        moved = f"(case when {delta} > 0 then least(greatest(c_{src}, 0), {delta}) else 0 end)"
+        cols = []
+        for c in _ITEMS:
+            if c == src:
+                cols.append(f"case when {delta} > 0 then greatest(c_{c}, 0) - {moved} else c_{c} end as c_{c}")
+            elif c == dst:
+                cols.append(f"c_{c} + {moved} as c_{c}")
+            else:
+                cols.append(f"c_{c}")
+        ctes.append(f"tr{i} as (select code_bv, inscrits_total, {', '.join(cols)} from tr{i - 1})")
+    return ctes
+
+
+@register(
+    "apply_transfers",
+    lambda: _fc_base(*_transfer_ctes()) + "select code_bv, " + ", ".join(f"cast(c_{c} as bigint) as count_{c}" for c in _ITEMS) + f" from tr{len(TRANSFERS)}",
+)
+def q_apply_transfers(spark, sf):
+    out = SCN.apply_transfers(forecast_wide(spark, sf), TRANSFERS)
+    return out.select("code_bv", *[F.col(f"count_{c}").cast("long").alias(f"count_{c}") for c in _ITEMS])
+
+
+def _opp_sql(order_limit: str = "") -> str:
+    def top(p):
+        return f"(list_max([{', '.join(f'{{v: {p}{c}, i: {-i}, c: {chr(39)}{c}{chr(39)}}}' for i, c in enumerate(DISPLAY_ORDER))}])).c"
+
+    n = len(TRANSFERS)
+    body = f""", j as (select b.code_bv, {', '.join(f'b.c_{c} as b_{c}' for c in DISPLAY_ORDER)}, {', '.join(f'a.c_{c} as a_{c}' for c in DISPLAY_ORDER)}
+  from tr0 b join tr{n} a on b.code_bv = a.code_bv),
+ o as (select code_bv as bureau, a_{TARGET_BLOC} - b_{TARGET_BLOC} as gain_cible, b_{TARGET_BLOC} as score_base, a_{TARGET_BLOC} as score_apres,
+  {top('b_')} as top_base, {top('a_')} as top_apres from j)
+ select *, case when top_base <> '{TARGET_BLOC}' and top_apres = '{TARGET_BLOC}' then 'oui' else 'non' end as bascule from o {order_limit}"""
+    return _fc_base(*_transfer_ctes()) + "select * from (with " + body.lstrip(", ") + ") q"
+
+
+@register("opportunity_table", _opp_sql)
+def q_opportunity_table(spark, sf):
+    wide = forecast_wide(spark, sf)
+    return SCN.opportunity_table(wide, SCN.apply_transfers(wide, TRANSFERS), TARGET_BLOC)
+
+
+@register("rank_opportunities", lambda: _opp_sql() + " order by bascule desc, gain_cible desc, bureau limit 20")
+def q_rank_opportunities(spark, sf):
+    wide = forecast_wide(spark, sf)
+    # top-k report: the limit is the feature
+    return SCN.rank_opportunities(SCN.opportunity_table(wide, SCN.apply_transfers(wide, TRANSFERS), TARGET_BLOC)).limit(20)
+
+
+@register(
+    "prediction_table",
+    lambda: _fc_base() + " union all ".join(
+        f"select code_bv, {i} as position, '{n}' as categorie, cast({col} as bigint) as nombre from fc_wide"
+        for i, (n, col) in enumerate([(c, f"count_{c}") for c in DISPLAY_ORDER] + [("blancs", "blancs_total"), ("nuls", "nuls_total"), ("abstention", "abstention_total")])
+    ),
+)
+def q_prediction_table(spark, sf):
+    return SCN.prediction_table(forecast_wide(spark, sf))
+
+
+@register(
+    "map_colour_key",
+    lambda: _fc_base() + "select code_bv, case when abs((share_gauche_dure + share_gauche_modere) - (share_droite_dure + share_droite_modere)) <= 0.1 then 'neutral' else "
+    + "(list_max([" + ", ".join(f"{{v: share_{c}, i: {-i}, c: '{c}'}}" for i, c in enumerate(DISPLAY_ORDER)) + "])).c end as colour_key from fc_wide",
+)
+def q_map_colour_key(spark, sf):
+    return SCN.map_colour_key(forecast_wide(spark, sf))
+
+
+def _interval_sql() -> str:
+    band = ("q10", "q90")
+    res = f"""res as (select category, quantile_cont(y_pred - y_true, 0.1) as q10, quantile_cont(y_pred - y_true, 0.9) as q90 from diag group by category)"""
+    rows = "ir as (" + " union all ".join(f"select code_bv, exprimes_total, {i} as position, '{c}' as category, share_{c} as share from fc_wide" for i, c in enumerate(DISPLAY_ORDER)) + ")"
+    j = f"""ij as (select r.*, case when s.{band[0]} is not null and s.{band[1]} is not null then s.{band[0]} else -0.03 end as lo,
+  case when s.{band[0]} is not null and s.{band[1]} is not null then s.{band[1]} else 0.03 end as hi from ir r left join res s on r.category = s.category),
+ ik as (select *, least(greatest(share + lo, 0.0), 1.0) as sl, least(greatest(share + hi, 0.0), 1.0) as sh from ij),
+ ic as (select *, cast(round_even(share * exprimes_total, 0) as bigint) as baseline, cast(round_even(sl * exprimes_total, 0) as bigint) as cl,
+  cast(round_even(sh * exprimes_total, 0) as bigint) as ch from ik)"""
+    sel = f"""select code_bv, position, category, {O.r6('share * 100')} as baseline_pct, {O.r6('case when cl > ch then sh else sl end * 100')} as min_pct,
+ {O.r6('case when cl > ch then sl else sh end * 100')} as max_pct, baseline, case when cl > ch then ch else cl end as min, case when cl > ch then cl else ch end as max from ic"""
+    return O.with_ctes(*O.forecast_ctes(TARGET_TYPE, TARGET_YEAR), O.forecast_wide_cte(), O.FX_NAT, O.FX_EC, O.FX_LAGS, DIAG, res, rows, j) + sel
+
+
+@register("interval_table", _interval_sql)
+def q_interval_table(spark, sf):
+    resid = ME.residual_intervals(naive_diag(spark, sf))
+    # report rule of the registry (6 decimals); the 1-decimal display rounding is unit-tested
+    return round_doubles(SCN.interval_table(forecast_wide(spark, sf), resid, decimals=None))
