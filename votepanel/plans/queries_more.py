@@ -1004,3 +1004,130 @@ def q_interval_table(spark, sf):
     resid = ME.residual_intervals(naive_diag(spark, sf))
     # report rule of the registry (6 decimals); the 1-decimal display rounding is unit-tested
     return round_doubles(SCN.interval_table(forecast_wide(spark, sf), resid, decimals=None))
+
+
+# ------------------------------------------------------------------ ingest family (write derived raw files, read them back)
+from votepanel.session import scratch_path  # noqa: E402
+from votepanel.sources import delimited as DL  # noqa: E402
+from votepanel.sources.tables import fx_long, fx_wide  # noqa: E402
+from votepanel.operators.reshape import unpivot_numbered  # noqa: E402
+
+# Raw-file vocabulary of the derived fixtures (French labels with accents, decimal comma).
+RAW_RENAME = {"Inscrits": "inscrits", "Votants": "votants", "Blancs": "blancs", "Nuls": "nuls", "Exprimés": "exprimes",
+              "Code Nuance": "code_candidature", "Voix": "voix"}
+
+
+def _comma(c):
+    return F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+
+
+def write_raw_results(spark, sf) -> tuple[str, list[str]]:
+    """fx_long written as raw result files: one folder per election type, Latin-1, ``;``, decimal comma."""
+    lg = fx_long(spark, sf)
+    raw = lg.select(
+        F.col("type_scrutin"),
+        F.col("code_commune").cast("int").cast("string").alias("Code de la commune"),
+        F.substring_index("code_bv", "-", -1).cast("int").cast("string").alias("Code B.Vote"),
+        F.col("annee").cast("string").alias("Année"),
+        F.col("tour").cast("string").alias("N° tour"),
+        F.date_format("date_scrutin", "yyyy-MM-dd").alias("Date"),
+        *[_comma(c).alias(lab) for lab, c in (("Inscrits", "inscrits"), ("Votants", "votants"), ("Blancs", "blancs"), ("Nuls", "nuls"), ("Exprimés", "exprimes"))],
+        F.col("code_candidature").alias("Code Nuance"),
+        _comma("voix").alias("Voix"),
+    )
+    path = scratch_path(spark, "raw_results")
+    raw.write.mode("overwrite").partitionBy("type_scrutin").option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    types = [r[0] for r in lg.select("type_scrutin").distinct().collect()]  # election list (metadata)
+    return path, types
+
+
+def raw_catalog(path: str, types: list[str]) -> dict:
+    entries: dict = {
+        "base": {"path": f"{path}/type_scrutin=__none__", "tour_column": "N° tour", "date_column": "Date", "year_column": "Année",
+                 "code_bv_cols": ["Code de la commune", "Code B.Vote"], "code_bv_widths": [5, 4], "rename_map": RAW_RENAME},
+    }
+    for t in types:
+        entries[f"results_{t}"] = {"copy_from": "base", "path": f"{path}/type_scrutin={t}", "type_scrutin": t}
+    entries.pop("base")
+    base = {"tour_column": "N° tour", "date_column": "Date", "year_column": "Année", "code_bv_cols": ["Code de la commune", "Code B.Vote"],
+            "code_bv_widths": [5, 4], "rename_map": RAW_RENAME}
+    return {"base": {**base, "path": path}, **entries}
+
+
+_STD = ["code_bv", "annee", "date_scrutin", "type_scrutin", "tour", "inscrits", "votants", "blancs", "nuls", "exprimes", "code_candidature", "voix"]
+
+
+@register("ingest_catalog", O.with_ctes(O.FX_LONG) + "select " + ", ".join(_STD) + " from fx_long")
+def q_ingest_catalog(spark, sf):
+    path, types = write_raw_results(spark, sf)
+    cat = raw_catalog(path, types)
+    resolved = DL.resolve_catalog(cat)
+    resolved.pop("base")
+    return DL.ingest_catalog(spark, resolved).select(*_STD)
+
+
+@register("read_delimited", O.with_ctes(O.FX_LONG) + "select code_bv, type_scrutin, annee, tour, code_candidature, voix, exprimes from fx_long")
+def q_read_delimited(spark, sf):
+    path, types = write_raw_results(spark, sf)
+    meta = {"path": path, "tour_column": "N° tour", "date_column": "Date", "year_column": "Année", "type_column": "type_scrutin",
+            "code_bv_cols": ["Code de la commune", "Code B.Vote"], "code_bv_widths": [5, 4], "rename_map": RAW_RENAME}
+    return DL.standardise_election(spark, meta).select("code_bv", "type_scrutin", "annee", "tour", "code_candidature", "voix", "exprimes")
+
+
+_RB_SQL = O.with_ctes(O.FX_LONG) + """select code_bv, type_scrutin, annee, tour, cast(rn as integer) as cand_idx, code_candidature, voix from (
+ select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long) r where rn <= 6"""
+
+
+@register("read_repeated_blocks", _RB_SQL)
+def q_read_repeated_blocks(spark, sf):
+    w = fx_wide(spark, sf)
+    blocks = [F.when(F.col(f"voix_{i}").isNotNull(), F.concat_ws(";", F.col(f"nuance_{i}"), F.col(f"voix_{i}").cast("string"), F.lit("x"))) for i in range(1, 7)]
+    line = F.concat_ws(";", "code_bv", "type_scrutin", F.col("annee").cast("string"), F.col("tour").cast("string"), F.col("exprimes").cast("string"), *blocks)
+    path = scratch_path(spark, "repeated_blocks")
+    w.select(line.alias("value")).write.mode("overwrite").text(path)
+    long_ = DL.read_repeated_blocks(spark, path, base_width=5, block_width=3, block_fields={"code_candidature": 0, "voix": 1},
+                                    base_names=["code_bv", "type_scrutin", "annee", "tour", "exprimes"], skip_header=False)
+    return long_.select("code_bv", "type_scrutin", F.col("annee").cast("int").alias("annee"), F.col("tour").cast("int").alias("tour"),
+                        "cand_idx", "code_candidature", F.col("voix").try_cast("double").alias("voix"))
+
+
+@register("unpivot_candidates", _RB_SQL)
+def q_unpivot_candidates(spark, sf):
+    w = fx_wide(spark, sf)
+    idx = {i: {"voix": f"voix_{i}", "code_candidature": f"nuance_{i}"} for i in range(1, 7)}
+    out = unpivot_numbered(w, ["code_bv", "type_scrutin", "annee", "tour"], idx, positive_only=True)
+    return out.select("code_bv", "type_scrutin", "annee", "tour", F.col("cand_idx").cast("int").alias("cand_idx"), "code_candidature", "voix")
+
+
+@register(
+    "read_mapping",
+    O.with_ctes(O.FX_MAP) + """select upper(code_candidature) as code_candidature, max(case when k = 0 then category end) as bloc_1,
+ max(case when k = 1 then category end) as bloc_2, max(case when k = 2 then category end) as bloc_3 from fx_map group by code_candidature""",
+)
+def q_read_mapping(spark, sf):
+    m = fx_mapping(spark, sf)
+    # ragged lines: trailing empty blocs are left out, as in the shipped mapping file
+    line = F.concat_ws(";", "code_candidature", "nom_candidature", "bloc_1", "bloc_2", "bloc_3")
+    path = scratch_path(spark, "mapping")
+    header = spark.createDataFrame([("code_candidature;nom_candidature;bloc_1;bloc_2;bloc_3", 0)], "value string, k int")
+    lines = header.unionByName(m.select(line.alias("value"), F.lit(1).alias("k")))
+    # one small file (the mapping has one row per party code), header line first
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    back = normalise_mapping(DL.read_mapping(spark, path))
+    return back.select("code_candidature", "bloc_1", "bloc_2", "bloc_3")
+
+
+@register("read_long_table", O.with_ctes(O.FX_LONG) + "select " + ", ".join(_STD) + " from fx_long where code_commune = '00003'")
+def q_read_long_table(spark, sf):
+    path = scratch_path(spark, "long")
+    DL.write_dual(fx_long(spark, sf), path, partition_by=("annee",))
+    return DL.read_long_table(spark, f"{path}/parquet", commune_code="00003").select(*_STD)
+
+
+@register("write_dual", O.with_ctes(O.FX_LONG) + "select code_bv, annee, type_scrutin, tour, code_candidature, voix, exprimes from fx_long")
+def q_write_dual(spark, sf):
+    path = scratch_path(spark, "dual")
+    DL.write_dual(fx_long(spark, sf), path, partition_by=("annee",))
+    back = spark.read.option("sep", ";").option("header", True).csv(f"{path}/csv")
+    return back.select("code_bv", F.col("annee").cast("int").alias("annee"), "type_scrutin", F.col("tour").cast("int").alias("tour"),
+                       "code_candidature", F.col("voix").cast("double").alias("voix"), F.col("exprimes").cast("double").alias("exprimes"))

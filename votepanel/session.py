@@ -77,3 +77,11 @@ def round_doubles(df: DataFrame) -> DataFrame:
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """Fresh folder under the shared checkpoint folder for tables a job writes and reads back."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/derived/{name}-{uuid.uuid4().hex[:12]}"
