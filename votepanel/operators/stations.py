@@ -184,3 +184,9 @@ def rows_with_nulls_by_town(df: DataFrame, cols: list[str], town_col: str = "cod
 def premapping(long_df: DataFrame) -> DataFrame:
     """Distinct (source, code, name) triples to be mapped."""
     return long_df.select("election_type", "code_candidature", "nom_candidature").distinct()
+
+
+def sample_keys(df: DataFrame, key: str, n: int, *, seed: int = 42) -> DataFrame:
+    """Repeatable sample of ``n`` rows: order by a seeded 64-bit hash of the key (TakeOrdered: each
+    task keeps its n best, the driver merges n x tasks rows)."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
