@@ -1131,3 +1131,122 @@ def q_write_dual(spark, sf):
     back = spark.read.option("sep", ";").option("header", True).csv(f"{path}/csv")
     return back.select("code_bv", F.col("annee").cast("int").alias("annee"), "type_scrutin", F.col("tour").cast("int").alias("tour"),
                        "code_candidature", F.col("voix").cast("double").alias("voix"), F.col("exprimes").cast("double").alias("exprimes"))
+
+
+# ------------------------------------------------------------------ warehouse family (star schema on Parquet)
+from votepanel.plans import warehouse as WH  # noqa: E402
+from votepanel.plans.queries_core import q_build_panel  # noqa: E402
+
+
+def _pn() -> str:
+    return f"pn as ({O.panel_sql()})"
+
+
+def _melt_sql() -> str:
+    idx = "commune_code, code_bv, election_type, election_year, round, date_scrutin, turnout_pct"
+    return " union all ".join(f"select {idx}, '{c}' as category, target_share_{c} as share from pn" for c in _CATS)
+
+
+PN_LONG = lambda: f"pl as ({_melt_sql()})"
+
+
+@register("melt_panel", lambda: O.with_ctes(_pn()) + _melt_sql())
+def q_melt_panel(spark, sf):
+    return WH.melt_panel(q_build_panel(spark, sf))
+
+
+_DIMS_SQL = """tw as (select commune_code, cast(dense_rank() over (order by commune_code) as integer) as commune_id from (select distinct commune_code from pl) t),
+ bu as (select commune_id, bureau_code, cast(dense_rank() over (order by commune_id, bureau_code) as integer) as bureau_id from (
+   select distinct t.commune_id, regexp_replace(p.code_bv, '^[^-]*-', '') as bureau_code from pl p join tw t on p.commune_code = t.commune_code) b),
+ el as (select election_type, election_year, round, min(date_scrutin) as date, cast(dense_rank() over (order by election_type, election_year, round) as integer) as election_id
+   from pl group by election_type, election_year, round),
+ ca as (select * from (values """ + ", ".join(f"({i + 1}, '{c}')" for i, c in enumerate(["centre", "gauche_modere", "droite_modere", "gauche_dure", "droite_dure", "extreme_gauche", "extreme_droite"])) + """) v(category_id, category)),
+ lk as (select p.*, t.commune_id, b.bureau_id, e.election_id, c.category_id from pl p join tw t on p.commune_code = t.commune_code
+   join bu b on b.commune_id = t.commune_id and b.bureau_code = regexp_replace(p.code_bv, '^[^-]*-', '')
+   join el e on e.election_type = p.election_type and e.election_year = p.election_year and e.round = p.round join ca c on c.category = p.category)"""
+
+
+def _star(spark, sf):
+    lp = WH.melt_panel(q_build_panel(spark, sf))
+    dims = WH.star_dimensions(lp)
+    return lp, dims
+
+
+@register(
+    "key_lookup",
+    lambda: O.with_ctes(_pn(), PN_LONG(), _DIMS_SQL) + "select code_bv, election_type, election_year, round, category, commune_id, bureau_id, election_id, category_id from lk",
+)
+def q_key_lookup(spark, sf):
+    lp, dims = _star(spark, sf)
+    return WH.key_lookup(lp, dims).select("code_bv", "election_type", "election_year", "round", "category", "commune_id", "bureau_id", "election_id", "category_id")
+
+
+@register(
+    "star_schema",
+    lambda: O.with_ctes(_pn(), PN_LONG(), _DIMS_SQL) + """select 'categories' as table_name, count(*) as n_rows from ca union all select 'communes', count(*) from tw
+ union all select 'bureaux', count(*) from bu union all select 'elections', count(*) from el union all select 'results_local', count(*) from lk
+ union all select 'results_national', count(*) from (select distinct election_id, category_id from lk) n""",
+)
+def q_star_schema(spark, sf):
+    lp, dims = _star(spark, sf)
+    tables = {**dims, **WH.star_facts(lp, dims)}
+    paths = WH.write_star(tables, scratch_path(spark, "star"))
+    counts = [spark.read.parquet(p).select(F.lit(n).alias("table_name")).groupBy("table_name").count().withColumnRenamed("count", "n_rows") for n, p in paths.items()]
+    from functools import reduce as _reduce
+
+    return _reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@register(
+    "history_star_join",
+    lambda: O.with_ctes(_pn(), PN_LONG(), _DIMS_SQL) + f""", nat as (select election_id, category_id, sum(cast(round(round_even(share * 100, 6) * 1000000) as bigint)) / count(share) / 1000000.0 as share_nat_pct from lk group by election_id, category_id)
+ select l.commune_code, l.code_bv, l.election_type, l.election_year, l.round, l.date_scrutin, l.category, {O.r6('round_even(l.share * 100, 6) / 100')} as share,
+  {O.r6('n.share_nat_pct / 100')} as share_nat, {O.r6('l.turnout_pct * 100 / 100')} as turnout_pct
+ from lk l left join nat n on l.election_id = n.election_id and l.category_id = n.category_id where l.commune_code = (select min(commune_code) from pl)""",
+)
+def q_history_star_join(spark, sf):
+    lp, dims = _star(spark, sf)
+    paths = WH.write_star({**dims, **WH.star_facts(lp, dims)}, scratch_path(spark, "star"))
+    town = lp.agg(F.min("commune_code")).first()[0]
+    return round_doubles(WH.history_star_join(spark, paths, town))
+
+
+def _national_versions(spark, sf):
+    loc = local_table(spark, sf)
+    old = ST.star_national(loc.where(F.col("election_year") <= 1999))
+    new = ST.star_national(loc.where(F.col("election_year") >= 1999)).withColumn("share", F.col("share") + F.lit(0.001))
+    return old, new
+
+
+_UPS_SQL = O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES) + """, old as (select election_type, election_year, round, category, avg(share) as share, avg(turnout_pct) as turnout
+  from fx_rates where election_year <= 1999 group by all),
+ new as (select election_type, election_year, round, category, avg(share) + 0.001 as share, avg(turnout_pct) as turnout from fx_rates where election_year >= 1999 group by all)"""
+_UKEYS = ["election_type", "election_year", "round", "category"]
+
+
+@register(
+    "upsert_ignore",
+    _UPS_SQL + f""" select election_type, election_year, round, category, {O.r6('share')} as share, {O.r6('turnout')} as turnout from (
+  select * from old union all select * from new n where not exists (select 1 from old o where o.election_type = n.election_type and o.election_year = n.election_year
+   and o.round = n.round and o.category = n.category)) u""",
+)
+def q_upsert_ignore(spark, sf):
+    old, new = _national_versions(spark, sf)
+    return round_doubles(WH.upsert_ignore(new, old, _UKEYS))
+
+
+@register(
+    "upsert_update",
+    _UPS_SQL + f""" select election_type, election_year, round, category, {O.r6('share')} as share, {O.r6('turnout')} as turnout from (
+  select * from new union all select * from old o where not exists (select 1 from new n where o.election_type = n.election_type and o.election_year = n.election_year
+   and o.round = n.round and o.category = n.category)) u""",
+)
+def q_upsert_update(spark, sf):
+    old, new = _national_versions(spark, sf)
+    return round_doubles(WH.upsert_update(new, old, _UKEYS))
+
+
+@register("load_flat_table", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + "select count(*) as n_rows from fb_lags")
+def q_load_flat_table(spark, sf):
+    n = WH.load_flat_table(blocs_table(spark, sf), scratch_path(spark, "elections_blocs"))
+    return spark.createDataFrame([(n,)], "n_rows long")
