@@ -59,7 +59,9 @@ def parse_event_key(c: Column | str) -> tuple[Column, Column, Column]:
 
 
 def format_delta(c: Column | str, decimals: int = 1) -> Column:
-    """Signed text with ``decimals`` decimals, ``N/A`` for null (text only at the sink)."""
+    """``+`` for values >= 0, then the value rounded to ``decimals`` (half-even); a negative value that
+    rounds to zero keeps its sign (``-0.0``); ``N/A`` for null. Text only at the sink."""
     v = _col(c)
-    txt = F.format_string(f"%+.{decimals}f", F.bround(v, decimals))
-    return F.when(v.isNull(), F.lit("N/A")).otherwise(txt)
+    r = F.bround(v, decimals)
+    num = F.when((v < 0) & (r == 0), F.lit("-0." + "0" * decimals)).otherwise(r.cast("string"))
+    return F.when(v.isNull() | F.isnan(v), F.lit("N/A")).otherwise(F.concat(F.when(v >= 0, F.lit("+")).otherwise(F.lit("")), num))
