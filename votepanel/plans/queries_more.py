@@ -1250,3 +1250,24 @@ def q_upsert_update(spark, sf):
 def q_load_flat_table(spark, sf):
     n = WH.load_flat_table(blocs_table(spark, sf), scratch_path(spark, "elections_blocs"))
     return spark.createDataFrame([(n,)], "n_rows long")
+
+
+# ------------------------------------------------------------------ streaming ingest (file stream -> long table)
+@register("stream_ingest", O.with_ctes(O.FX_LONG) + "select " + ", ".join(_STD) + " from fx_long")
+def q_stream_ingest(spark, sf):
+    from votepanel.streaming.ingest import start_results_stream
+
+    path, types = write_raw_results(spark, sf)
+    cols = ["Code de la commune", "Code B.Vote", "Année", "N° tour", "Date", "Inscrits", "Votants", "Blancs", "Nuls", "Exprimés", "Code Nuance", "Voix"]
+    sink = scratch_path(spark, "stream_sink")
+    meta = {"tour_column": "N° tour", "date_column": "Date", "year_column": "Année", "type_column": "type_scrutin",
+            "code_bv_cols": ["Code de la commune", "Code B.Vote"], "code_bv_widths": [5, 4], "rename_map": RAW_RENAME}
+    # the results folder is partitioned by type: the stream reads each type folder as its own source
+    for t in types:
+        q = start_results_stream(spark, f"{path}/type_scrutin={t}", cols, f"{sink}/{t}", {**meta, "type_scrutin": t, "type_column": None},
+                                 checkpoint_location=scratch_path(spark, "stream_ckpt"))
+        q.awaitTermination()
+    from functools import reduce as _reduce
+
+    parts = [spark.read.parquet(f"{sink}/{t}").select(*_STD) for t in types]
+    return _reduce(lambda a, b: a.unionByName(b), parts)
