@@ -42,3 +42,24 @@ def prepare_long(df: DataFrame, *, commune_code: str | None = None) -> DataFrame
     if commune_code is not None:
         out = out.where(F.col("commune_code") == F.lit(str(commune_code)))
     return out
+
+
+def clean_history(df: DataFrame, categories: tuple[str, ...] | None = None) -> DataFrame:
+    """History clean-up: trimmed / lower-cased keys, round null -> 1, shares and turnout clipped to
+    [0, 1], rows with a missing key dropped, unknown categories dropped."""
+    from votepanel.constants import CATEGORIES
+
+    cats = categories or CATEGORIES
+    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
+    out = df.select(
+        F.trim("code_bv").alias("code_bv"),
+        F.lower(F.trim("election_type")).alias("election_type"),
+        F.col("election_year").cast("int").alias("election_year"),
+        F.coalesce(F.col("round").cast("int"), F.lit(1)).alias("round"),
+        "date_scrutin",
+        F.lower(F.trim("category")).alias("category"),
+        *[clip(c).alias(c) for c in ("share", "share_nat", "turnout_pct") if c in df.columns],
+    )
+    for k in ("code_bv", "election_type", "election_year", "category"):
+        out = out.where(F.col(k).isNotNull())
+    return out.where(F.col("category").isin(*cats))

@@ -264,3 +264,55 @@ def trend_forecast_wide(local: DataFrame, target_type: str, target_year: int) ->
     wide = blocs.groupBy("code_bv").agg(*aggs)
     extra = [F.col(c).alias(f"count_{n}") for n, c in zip(EXTRA_ROWS, ("blancs_total", "nuls_total", "abstention_total"))]
     return wide.join(counts.select("*", *extra), on="code_bv", how="inner")
+
+
+def pick_rates(station_stats: DataFrame, town_stats: DataFrame, defaults: DataFrame, target_type: str, target_year: int) -> DataFrame:
+    """Rate choice per town (all stations of a town share one pool, as in the original):
+    pooled station-events of the town (first rounds when any; target type when present) -> town totals
+    (first rounds; target type when present, else all) -> type default -> overall default.
+
+    ``station_stats``: code_commune, code_bv, election_type, election_year, round, date_scrutin, turnout_pct,
+    blancs_pct, nuls_pct; ``town_stats``: the same per town; ``defaults``: election_type (null = all) +
+    medians."""
+    rates = ("turnout_pct", "blancs_pct", "nuls_pct")
+    order = F.struct(F.col("date_scrutin"), F.col("code_bv"))
+
+    def stats(df: DataFrame, keep, sfx: str):
+        out = []
+        for r in rates:
+            valid = keep & F.col(r).isNotNull() & F.col("election_year").isNotNull()
+            v, x = F.when(valid, F.col(r)), F.when(valid, F.col("election_year").cast("double"))
+            out += [F.count(v).alias(f"{r}_n{sfx}"), F.size(F.collect_set(x)).alias(f"{r}_ny{sfx}"), F.regr_slope(v, x).alias(f"{r}_slope{sfx}"),
+                    F.avg(x).alias(f"{r}_mx{sfx}"), F.avg(v).alias(f"{r}_my{sfx}"), F.max_by(v, F.when(valid, order)).alias(f"{r}_last{sfx}"),
+                    F.min(v).alias(f"{r}_min{sfx}"), F.max(v).alias(f"{r}_max{sfx}")]
+        return out
+
+    def scoped(df: DataFrame, key: str) -> DataFrame:
+        r1 = df.groupBy(key).agg(F.max((F.col("round") == 1).cast("int")).alias("_has_r1"))
+        d = df.join(r1, on=key).where((F.col("_has_r1") == 0) | (F.col("round") == 1))
+        t = d.groupBy(key).agg(F.max((F.col("election_type") == target_type).cast("int")).alias("_has_t"))
+        return d.join(t, on=key)
+
+    st = scoped(station_stats, "code_commune")
+    st_agg = st.groupBy("code_commune").agg(F.max("_has_t").alias("st_has_t"), *stats(st, F.col("election_type") == target_type, "_st"), *stats(st, F.lit(True), "_sa"))
+    tw = scoped(town_stats.withColumn("code_bv", F.lit("")), "code_commune")
+    tw_agg = tw.groupBy("code_commune").agg(F.max("_has_t").alias("tw_has_t"), *stats(tw, F.col("election_type") == target_type, "_tt"), *stats(tw, F.lit(True), "_ta"))
+    j = st_agg.join(tw_agg, on="code_commune", how="full_outer")
+    dflt = defaults.where(F.col("election_type").isNull()).select(*[F.col(r).alias(f"d_{r}") for r in rates])
+    tdef = defaults.where(F.col("election_type") == target_type).select(*[F.col(r).alias(f"t_{r}") for r in rates])
+    out = [F.col("code_commune")]
+    d_row = dflt.first()
+    t_row = tdef.first()
+    for r in rates:
+        def pick(name):
+            return (F.when(F.col("st_has_t") == 1, F.col(f"{r}_{name}_st"))
+                    .when(F.col("tw_has_t") == 1, F.col(f"{r}_{name}_tt"))
+                    .when(F.col("tw_has_t").isNotNull(), F.col(f"{r}_{name}_ta"))
+                    .otherwise(F.col(f"{r}_{name}_sa")))
+
+        val = _line_at(pick("n"), pick("ny"), pick("slope"), pick("mx"), pick("my"), pick("last"), target_year, 3)
+        val = clip01(F.least(F.greatest(val, pick("min")), pick("max")))
+        default = 0.0 if d_row is None or d_row[f"d_{r}"] is None else float(d_row[f"d_{r}"])
+        type_default = default if t_row is None or t_row[f"t_{r}"] is None else float(t_row[f"t_{r}"])
+        out.append(F.coalesce(val, F.lit(type_default)).alias(r))
+    return j.select(*out)
