@@ -451,3 +451,92 @@ def q_backtest(spark, sf):
     wa = ME.winner_accuracy(diag).first()[0]
     p95 = diag.agg(F.percentile(F.abs(F.col("y_pred") - F.col("y_true")), 0.95)).first()[0]
     return round_doubles(spark.createDataFrame([(wm, wa, p95)], "weighted_mae double, winner_accuracy double, p95_abs_error double"))
+
+
+# ------------------------------------------------------------------ mixed wide / long candidate files
+from votepanel.operators.reshape import fill_presidential_code, unpivot_candidates_mixed  # noqa: E402
+from votepanel.sources.tables import fx_wide  # noqa: E402
+
+_MIX_SQL = O.with_ctes(O.FX_LONG) + """, r as (select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long)
+ select code_bv, type_scrutin, annee, tour, code_candidature, voix from r where cast(right(code_bv, 4) as int) % 2 = 0 and rn <= 6
+ union all select code_bv, type_scrutin, annee, tour, code_candidature, voix from fx_long where cast(right(code_bv, 4) as int) % 2 = 1"""
+
+
+def mixed_table(spark, sf):
+    """Even stations in wide layout (numbered columns), odd stations one row per candidate with the
+    unsuffixed columns only: the shape of a file mixing both layouts."""
+    even = F.substring("code_bv", -4, 4).cast("int") % 2 == 0
+    w = fx_wide(spark, sf).where(even)
+    base = ["code_bv", "type_scrutin", "annee", "tour"]
+    wide = w.select(*base, *[F.col(f"voix_{i}").alias(f"Voix {i}") for i in range(1, 7)], *[F.col(f"nuance_{i}").alias(f"Code Nuance {i}") for i in range(1, 7)],
+                    F.lit(None).cast("double").alias("Voix"), F.lit(None).cast("string").alias("Code Nuance"))
+    lg = fx_long(spark, sf).where(~even).select(*base, *[F.lit(None).cast("double").alias(f"Voix {i}") for i in range(1, 7)],
+                                               *[F.lit(None).cast("string").alias(f"Code Nuance {i}") for i in range(1, 7)],
+                                               F.col("voix").alias("Voix"), F.col("code_candidature").alias("Code Nuance"))
+    return wide.unionByName(lg)
+
+
+@register("unpivot_candidates_mixed", _MIX_SQL)
+def q_unpivot_candidates_mixed(spark, sf):
+    idx = {i: {"voix": f"Voix {i}", "code_candidature": f"Code Nuance {i}"} for i in range(1, 7)}
+    out = unpivot_candidates_mixed(mixed_table(spark, sf), ["code_bv", "type_scrutin", "annee", "tour"], idx, unsuffixed={"Voix": "Voix", "Code Nuance": "Code Nuance"})
+    return out.select("code_bv", "type_scrutin", "annee", "tour", "code_candidature", "voix")
+
+
+@register("fill_unsuffixed", O.with_ctes(O.FX_LONG) + "select code_bv, type_scrutin, annee, tour, code_candidature, voix from fx_long where cast(right(code_bv, 4) as int) % 2 = 1")
+def q_fill_unsuffixed(spark, sf):
+    """Rows without numbered candidates take votes and code from the unsuffixed columns."""
+    idx = {i: {"voix": f"Voix {i}", "code_candidature": f"Code Nuance {i}"} for i in range(1, 7)}
+    out = unpivot_candidates_mixed(mixed_table(spark, sf), ["code_bv", "type_scrutin", "annee", "tour"], idx, unsuffixed={"Voix": "Voix", "Code Nuance": "Code Nuance"})
+    odd = F.substring("code_bv", -4, 4).cast("int") % 2 == 1
+    return out.where(odd).select("code_bv", "type_scrutin", "annee", "tour", "code_candidature", "voix")
+
+
+@register(
+    "candidates_long",
+    O.with_ctes(O.FX_LONG) + """select code_bv, type_scrutin, annee, tour, cast(rn as integer) as cand_idx, code_candidature as raw_code, voix from (
+ select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long) r where rn <= 6""",
+)
+def q_candidates_long(spark, sf):
+    """Notebook variant: keep the candidate index and the raw code (``posexplode`` of the numbered blocks)."""
+    from votepanel.operators.reshape import unpivot_numbered
+
+    idx = {i: {"voix": f"voix_{i}", "code_candidature": f"nuance_{i}"} for i in range(1, 7)}
+    out = unpivot_numbered(fx_wide(spark, sf), ["code_bv", "type_scrutin", "annee", "tour"], idx)
+    return out.select("code_bv", "type_scrutin", "annee", "tour", F.col("cand_idx").cast("int").alias("cand_idx"), F.col("code_candidature").alias("raw_code"), "voix")
+
+
+@register(
+    "compose_name",
+    """select p_partkey, coalesce(case when p_size % 4 = 0 then p_name end, case when p_size % 4 = 1 then p_brand end,
+ nullif(trim(concat_ws(' ', trim(coalesce(case when p_size % 2 = 0 then split_part(p_type, ' ', 1) end, '')), trim(coalesce(case when p_size % 3 = 0 then p_brand end, '')))), '')) as nom_candidature from part""",
+)
+def q_compose_name(spark, sf):
+    from votepanel.functions.text import compose_name
+    from votepanel.sources.tables import read_table
+
+    p = read_table(spark, sf, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    long_label = F.when(F.col("p_size") % 4 == 0, F.col("p_name"))
+    short_label = F.when(F.col("p_size") % 4 == 1, F.col("p_brand"))
+    first = F.when(F.col("p_size") % 2 == 0, F.split("p_type", " ")[0])
+    last = F.when(F.col("p_size") % 3 == 0, F.col("p_brand"))
+    return p.select("p_partkey", compose_name(long_label, short_label, first=first, last=last).alias("nom_candidature"))
+
+
+@register(
+    "fill_presidential_code",
+    O.with_ctes(O.FX_LONG, O.FX_DIRTY) + """, d as (select code_bv, type_scrutin, annee, tour,
+   case when upper(trim(code_candidature)) in ('NAN', 'NONE', '', '<NA>') then null else upper(trim(code_candidature)) end as code_candidature,
+   'Candidat ' || cast(annee as varchar) || ' Écolo-' || right(code_bv, 2) as nom_candidature from fx_dirty)
+ select code_bv, type_scrutin, annee, tour, case when type_scrutin = 'urgent' and code_candidature is null and nom_candidature is not null
+   then trim(regexp_replace(upper(strip_accents(regexp_replace(nom_candidature, '[^A-Za-zÀ-ÿ ]+', ' ', 'g'))), '\\s+', ' ', 'g')) else code_candidature end as code_candidature from d""",
+)
+def q_fill_presidential_code(spark, sf):
+    from votepanel.functions.text import normalise_code
+
+    from votepanel.sources.tables import fx_dirty
+
+    d = fx_dirty(spark, sf)
+    d = d.withColumn("code_candidature", normalise_code("code_candidature")).withColumn(
+        "nom_candidature", F.concat(F.lit("Candidat "), F.col("annee").cast("string"), F.lit(" Écolo-"), F.substring("code_bv", -2, 2)))
+    return fill_presidential_code(d, presidential="urgent").select("code_bv", "type_scrutin", "annee", "tour", "code_candidature")
