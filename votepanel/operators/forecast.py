@@ -214,7 +214,11 @@ def allocate_counts(df: DataFrame, *, keys: tuple[str, ...], share_col: str, tot
 
 def _trend_parts(local: DataFrame, target_type: str, target_year: int) -> tuple[DataFrame, DataFrame]:
     target_type = target_type.strip().lower()
-    hist = prepare_history(local, target_year=target_year)
+    # the history feeds three branches (share trends, rate trends, head counts): written once to the
+    # shared checkpoint folder, then one hash exchange on the station key serves every aggregate below
+    from votepanel.session import cut_lineage
+
+    hist = cut_lineage(prepare_history(local, target_year=target_year), "forecast_history").repartition("code_bv")
     shares = project_shares(hist, target_type, target_year)
     # every station gets the 7 categories (missing ones project to 0) without a join on a scaffold:
     # gather the (at most 7) projections of a station in a map, then explode the fixed category list

@@ -26,10 +26,10 @@ def event_category_table(long_df: DataFrame, mapping: DataFrame, *, reference_df
     """
     local = aggregate_event(expand_by_category(long_df, mapping, broadcast=broadcast))
     # The compact event-category table feeds two consumers (reference aggregate and the station
-    # windows). Writing it once to the shared checkpoint folder, hash-partitioned on the station key,
-    # avoids recomputing the long-table joins for each consumer, cuts the lineage (survives executor
-    # loss) and keeps the partitioning for the windows downstream.
-    local = cut_lineage(local.repartition("code_bv"))
+    # windows). Writing it once to the shared checkpoint folder avoids recomputing the long-table joins
+    # for each consumer and cuts the lineage (survives executor loss); one hash exchange on the station
+    # key then serves every window and the pivot downstream.
+    local = cut_lineage(local, "event_category").repartition("code_bv")
     ref_local = local if reference_df is None else aggregate_event(expand_by_category(reference_df, mapping, broadcast=broadcast))
     nat = national_reference(ref_local)
     nat = bounded_broadcast(nat) if broadcast is None else (F.broadcast(nat) if broadcast else nat)

@@ -21,7 +21,7 @@ GBT = {"n_trees": 20, "max_depth": 3, "learning_rate": 0.1}
 def panel_frame(spark, sf):
     """The panel written once to the shared checkpoint folder: every fit reads it, none recomputes the
     vote-table joins."""
-    return cut_lineage(build_panel(long_table(spark, sf), mapping_table(spark, sf)))
+    return cut_lineage(build_panel(long_table(spark, sf), mapping_table(spark, sf)), "panel")
 
 
 def _folds(panel, k=3):
