@@ -362,7 +362,7 @@ def model_table_sql_ctes(base_year: int = 1995) -> list[str]:
  from fb_lags where coalesce(tour, 1) = 1 or lower(coalesce(type_scrutin, 'inconnu')) = 'europeennes')"""
     cal = """mt_cal as (
  select *, sin(2*pi()*month/12) as month_sin, cos(2*pi()*month/12) as month_cos, sin(2*pi()*dow/7) as dow_sin, cos(2*pi()*dow/7) as dow_cos
- from (select *, month(date_scrutin) as month, isodow(date_scrutin) - 1 as dow from mt_base) c)"""
+ from (select *, cast(month(date_scrutin) as integer) as month, cast(isodow(date_scrutin) - 1 as integer) as dow from mt_base) c)"""
     cols = []
     for k in LAG_STEPS:
         cols += [f"lag(part_bloc,{k}) over w as part_bloc_lag{k}", f"lag(taux_participation_bv,{k}) over w as taux_participation_bv_lag{k}",

@@ -523,7 +523,7 @@ FXD_PREP = """fxd as (select code_commune, code_bv, type_scrutin as election_typ
 @register(
     "null_profile",
     O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP)
-    + " union all ".join(f"select '{c}' as column_name, count_if({c} is null) as n_null, {O.r6(f'count_if({c} is null) / count(*)')} as null_rate from fxd" for c in _NP_COLS),
+    + " union all ".join(f"select '{c}' as column_name, cast(count_if({c} is null) as bigint) as n_null, {O.r6(f'count_if({c} is null) / count(*)')} as null_rate from fxd" for c in _NP_COLS),
 )
 def q_null_profile(spark, sf):
     return round_doubles(ST.null_profile(prepare_long(fx_dirty(spark, sf)), _NP_COLS))
@@ -532,7 +532,7 @@ def q_null_profile(spark, sf):
 @register(
     "rows_with_nulls_by_town",
     O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP)
-    + "select code_commune, count_if(" + " or ".join(f"{c} is null" for c in _NP_COLS) + ") as n_rows_with_null, count(*) as n_rows from fxd group by code_commune",
+    + "select code_commune, cast(count_if(" + " or ".join(f"{c} is null" for c in _NP_COLS) + ") as bigint) as n_rows_with_null, count(*) as n_rows from fxd group by code_commune",
 )
 def q_rows_with_nulls_by_town(spark, sf):
     d = prepare_long(fx_dirty(spark, sf)).withColumnRenamed("commune_code", "code_commune")
@@ -617,8 +617,8 @@ def q_check_mass(spark, sf):
 @register(
     "check_keys",
     O.with_ctes(O.FX_LONG)
-    + """select 'n_bad_town' as check_name, count_if(length(code_commune) != 5) as n from fx_long
- union all select 'n_bad_station', count_if(length(split_part(code_bv, '-', -1)) != 4) from fx_long
+    + """select 'n_bad_town' as check_name, cast(count_if(length(code_commune) != 5) as bigint) as n from fx_long
+ union all select 'n_bad_station', cast(count_if(length(split_part(code_bv, '-', -1)) != 4) as bigint) from fx_long
  union all select 'n_dup_rows', coalesce(sum(c - 1), 0)::bigint from (select count(*) as c from fx_long group by code_bv, type_scrutin, annee, tour, code_candidature having count(*) > 1) d""",
 )
 def q_check_keys(spark, sf):
