@@ -122,3 +122,18 @@ def test_interval_swap_and_default(spark):
     assert rows["centre"]["min"] == 30 and rows["centre"]["max"] == 60          # crossed bounds swapped
     assert rows["gauche_dure"]["max"] == 3 and rows["gauche_dure"]["min"] == 0  # default +-3 points, clipped
     assert rows["centre"].baseline_pct == 50.0
+
+
+def test_exact_quantiles_bracket_path(spark):
+    """The bracketed quantile equals Spark's exact percentile without falling back (grouped and global)."""
+    from votepanel.operators.quantiles import exact_quantiles
+
+    df = spark.range(0, 200_000).select((F.col("id") % 3).alias("g"), (F.sin(F.col("id")) * 1000 + F.col("id") % 97).alias("v"))
+    qs = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r.g: r for r in exact_quantiles(df, "v", qs, ("g",), fallback=False).collect()}
+    ref = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()]).collect()}
+    for g in ref:
+        for n in qs:
+            assert got[g][n] is not None and abs(got[g][n] - ref[g][n]) < 1e-9
+    one = exact_quantiles(df, "v", {"m": 0.5}, fallback=False).first().m
+    assert abs(one - df.agg(F.percentile("v", 0.5)).first()[0]) < 1e-9

@@ -1,8 +1,9 @@
 """Evaluation metrics and diagnostics over a long prediction table.
 
 Input shape (``diag``): one row per station x election x category with ``y_true`` and ``y_pred``
-(optionally ``weight``). Every metric is one aggregation pass; medians and tail quantiles use Spark's
-exact ``percentile`` (linear interpolation, same as the original's quantiles).
+(optionally ``weight``). Means are one aggregation pass; medians and tail quantiles are exact (linear
+interpolation, same as the original's quantiles) through the bracketed two-pass operator of
+``votepanel.operators.quantiles`` (no group is ever merged whole in one task).
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votepanel.constants import CATEGORIES
+from votepanel.operators.quantiles import exact_quantiles
+from votepanel.session import bounded_broadcast
 
 EVENT_KEYS = ("code_bv", "election_type", "election_year", "round")
 
@@ -63,7 +66,6 @@ def regression_metrics(diag: DataFrame) -> DataFrame:
     m = diag.agg(
         F.avg(ae).alias("mae_mean"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
-        F.percentile(ae, 0.5).alias("medae"),
         F.sum(err * err).alias("_ssr"),
         F.var_pop("y_true").alias("_vy"),
         F.count(F.lit(1)).alias("_n"),
@@ -75,6 +77,8 @@ def regression_metrics(diag: DataFrame) -> DataFrame:
         *per_cat,
     )
     n = F.col("_n")
+    med = exact_quantiles(diag, ae, {"medae": 0.5})
+    m = _attach_scalar_row(m, med)
     return m.select(
         "mae_mean",
         "rmse",
@@ -125,39 +129,33 @@ def bin_label(c: str = "y_true"):
 def error_by_bin(diag: DataFrame) -> DataFrame:
     ae = F.abs(F.col("y_pred") - F.col("y_true"))
     d = diag.select(bin_label().alias("bin_part"), ae.alias("abs_error")).where(F.col("bin_part").isNotNull())
-    return d.groupBy("bin_part").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("abs_error").alias("mae"),
-        F.percentile("abs_error", 0.5).alias("medae"),
-        F.percentile("abs_error", 0.95).alias("p95"),
-        F.percentile("abs_error", 0.99).alias("p99"),
-    )
+    base = d.groupBy("bin_part").agg(F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"))
+    q = exact_quantiles(d, "abs_error", {"medae": 0.5, "p95": 0.95, "p99": 0.99}, ("bin_part",))
+    return base.join(q, on="bin_part", how="left")
 
 
 def error_in_zone(diag: DataFrame, lo: float = 0.12, hi: float = 0.15) -> DataFrame:
     ae = F.abs(F.col("y_pred") - F.col("y_true"))
-    z = diag.where((F.col("y_true") >= lo) & (F.col("y_true") <= hi))
-    return z.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(ae).alias("mae"),
-        F.percentile(ae, 0.5).alias("medae"),
-        F.avg(F.col("y_pred") - F.col("y_true")).alias("bias"),
-        F.percentile(ae, 0.95).alias("p95"),
-        F.percentile(ae, 0.99).alias("p99"),
-    )
+    z = diag.where((F.col("y_true") >= lo) & (F.col("y_true") <= hi)).withColumn("_ae", ae)
+    m = z.agg(F.count(F.lit(1)).alias("n"), F.avg("_ae").alias("mae"), F.avg(F.col("y_pred") - F.col("y_true")).alias("bias"))
+    q = exact_quantiles(z, "_ae", {"medae": 0.5, "p95": 0.95, "p99": 0.99})
+    return _attach_scalar_row(m, q).select("n", "mae", "medae", "bias", "p95", "p99")
 
 
 def residual_quantiles(diag: DataFrame, qs: tuple[float, ...] = (0.01, 0.05, 0.5, 0.95, 0.99)) -> DataFrame:
     r = F.col("y_pred") - F.col("y_true")
-    return diag.agg(*[F.percentile(r, q).alias(f"q{int(round(q * 100)):02d}") for q in qs])
+    return exact_quantiles(diag, r, {f"q{int(round(q * 100)):02d}": q for q in qs})
 
 
 def residual_intervals(diag: DataFrame, qs: tuple[float, ...] = (0.05, 0.1, 0.9, 0.95)) -> DataFrame:
     """Per category: residual (pred - true) quantiles, mean, population std and count."""
     r = F.col("y_pred") - F.col("y_true")
-    return diag.groupBy("category").agg(
-        *[F.percentile(r, q).alias(f"q{int(round(q * 100)):02d}") for q in qs],
-        F.avg(r).alias("mean"),
-        F.stddev_pop(r).alias("std"),
-        F.count(r).alias("n"),
-    )
+    d = diag.withColumn("_r", r)
+    m = d.groupBy("category").agg(F.avg("_r").alias("mean"), F.stddev_pop("_r").alias("std"), F.count("_r").alias("n"))
+    q = exact_quantiles(d, "_r", {f"q{int(round(x * 100)):02d}": x for x in qs}, ("category",))
+    return q.join(m, on="category", how="inner").select("category", *[f"q{int(round(x * 100)):02d}" for x in qs], "mean", "std", "n")
+
+
+def _attach_scalar_row(left: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row aggregate to a one-row aggregate (join on a constant key)."""
+    return left.withColumn("_k", F.lit(1)).join(F.broadcast(one_row.withColumn("_k", F.lit(1))), on="_k").drop("_k")

@@ -99,9 +99,14 @@ def default_rates(stats: DataFrame) -> DataFrame:
     rows when there are any (exact medians, one pass with grouping sets)."""
     has_r1 = stats.where(F.col("round") == 1).limit(1).count() > 0
     s = stats.where(F.col("round") == 1) if has_r1 else stats
-    return s.rollup("election_type").agg(
-        F.median("turnout_pct").alias("turnout_pct"), F.median("blancs_pct").alias("blancs_pct"), F.median("nuls_pct").alias("nuls_pct")
-    )
+    from votepanel.operators.quantiles import exact_quantiles
+
+    rates = ("turnout_pct", "blancs_pct", "nuls_pct")
+    long_ = s.select("election_type", F.explode(F.array(*[F.struct(F.lit(r).alias("rate"), F.col(r).alias("v")) for r in rates])).alias("x")).select("election_type", "x.*")
+    by_type = exact_quantiles(long_, "v", {"m": 0.5}, ("election_type", "rate"))
+    overall = exact_quantiles(long_, "v", {"m": 0.5}, ("rate",)).select(F.lit(None).cast("string").alias("election_type"), "rate", "m")
+    both = by_type.unionByName(overall)
+    return both.groupBy("election_type").agg(*[F.max(F.when(F.col("rate") == r, F.col("m"))).alias(r) for r in rates])
 
 
 def star_national(local: DataFrame) -> DataFrame:

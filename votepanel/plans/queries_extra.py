@@ -449,7 +449,9 @@ def q_backtest(spark, sf):
     diag = ML.predictions_long(m.transform(p.where(F.col("election_year") == last))).withColumn("weight", F.lit(1.0))
     wm = ME.weighted_mae(diag).first()[0]
     wa = ME.winner_accuracy(diag).first()[0]
-    p95 = diag.agg(F.percentile(F.abs(F.col("y_pred") - F.col("y_true")), 0.95)).first()[0]
+    from votepanel.operators.quantiles import exact_quantiles
+
+    p95 = exact_quantiles(diag, F.abs(F.col("y_pred") - F.col("y_true")), {"p95": 0.95}).first()[0]
     return round_doubles(spark.createDataFrame([(wm, wa, p95)], "weighted_mae double, winner_accuracy double, p95_abs_error double"))
 
 
