@@ -36,17 +36,20 @@ def get_session(master: str | None = None, app: str = "votepanel", shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+    """The shared folder named by ``spark.checkpoint.dir``, as the session was launched with it.
 
-    Only when the session has none (local tests) a scratch folder is created and registered.
+    A session without the setting is accepted only in local mode (tests): it gets a scratch folder of its own. On a cluster a
+    missing setting is an error, since a folder of one machine is not seen by the others.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: launch the session with a shared folder in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="votepanel-ckpt-"))
         current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="votepanel-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
     return current
 
 
