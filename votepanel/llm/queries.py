@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from votepanel.llm import near_dup
+from votepanel.llm import bpe, near_dup
 
-QUERIES = {"op3_near_dup": near_dup.op3_near_dup}
+QUERIES = {"op3_near_dup": near_dup.op3_near_dup, "op9_byte_bpe": bpe.op9_byte_bpe}
 ORACLES: dict[str, str] = {}
