@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from votepanel.llm import bpe, near_dup
+from votepanel.llm import bpe, near_dup, repeats
 
-QUERIES = {"op3_near_dup": near_dup.op3_near_dup, "op9_byte_bpe": bpe.op9_byte_bpe}
+QUERIES = {"op3_near_dup": near_dup.op3_near_dup, "op9_byte_bpe": bpe.op9_byte_bpe, "op10_repeats": repeats.op10_repeats}
 ORACLES: dict[str, str] = {}
