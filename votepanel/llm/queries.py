@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from votepanel.llm import bpe, near_dup, repeats
+from votepanel.llm import bpe, licences, mixing, near_dup, repeats
 
-QUERIES = {"op3_near_dup": near_dup.op3_near_dup, "op9_byte_bpe": bpe.op9_byte_bpe, "op10_repeats": repeats.op10_repeats}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_licences": licences.op1_licences, "op5_mix": mixing.op5_mix, "op3_near_dup": near_dup.op3_near_dup, "op9_byte_bpe": bpe.op9_byte_bpe, "op10_repeats": repeats.op10_repeats}
+ORACLES: dict[str, str] = {"op1_licences": licences.ORACLE, "op5_mix": mixing.ORACLE}
