@@ -3,7 +3,9 @@
 Grades come from the labels: 0 toxic, 1 of low quality, 2 good. One weight vector over hashed tokens is shared by all grades, and
 ordered thresholds cut its score: P(grade <= k) = logistic(threshold_k - score). A text's features are its distinct tokens (lower-cased
 runs of letters and digits, and runs of other signs), hashed to 2^18 places. The fit takes at most SAMPLE rows of each grade, those
-with the smallest digest of doc_id; scoring covers every row. Weights of places seen in fewer than MIN_ROWS sampled texts stay 0.
+with the smallest hash of doc_id, weighted back to the labelled rows they stand for; scoring covers every row. Only places whose share
+of texts differs clearly between grades (telling_places) get a weight, so rare words add no noise; weights count against a
+text only, so a short clean text is not rejected for lack of evidence.
 
 Selection keeps a text whose probability of the top grade is at least ``keep_at``.
 
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-GRADES, PLACES, SAMPLE, MIN_ROWS = 3, 1 << 18, 4000, 8
+GRADES, PLACES, SAMPLE, MIN_ROWS, TELLING = 3, 1 << 18, 4000, 8, 4.5
 #: Rounds of the fit, its step size and the pull of weights towards 0.
 ROUNDS, STEP, RIDGE = 150, 0.15, 2e-4
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
@@ -60,8 +62,24 @@ class OrdinalModel:
         return np.array([float(self.weights[f].sum(dtype=np.float64)) for f in features])
 
 
-def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, places: int = PLACES) -> OrdinalModel:
-    """Full-batch adaptive gradient descent on the cumulative-link likelihood; the same result for the same rows in the same order."""
+def telling_places(at: np.ndarray, row: np.ndarray, grades: np.ndarray, n_grades: int, places: int) -> np.ndarray:
+    """Places seen in MIN_ROWS texts or more whose share differs between a grade and the rest by TELLING standard errors."""
+    seen = np.bincount(at, minlength=places)
+    out = np.zeros(places, bool)
+    for g in range(n_grades):
+        n, rest = int((grades == g).sum()), int((grades != g).sum())
+        if n and rest:
+            own = np.bincount(at[grades[row] == g], minlength=places)
+            p = seen / (n + rest)
+            error = np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n + 1 / rest))
+            out |= np.abs(own / n - (seen - own) / rest) >= TELLING * error
+    return out & (seen >= min(MIN_ROWS, max(1, len(grades) // 10)))
+
+
+def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, places: int = PLACES, totals: np.ndarray | None = None) -> OrdinalModel:
+    """Full-batch adaptive gradient descent on the cumulative-link likelihood; the same result for the same rows in the same order.
+
+    ``totals``: rows per grade that the sample stands for (default: the sample's own)."""
     weights = np.zeros(places)
     present = np.unique(grades)
     if len(present) < 2:
@@ -69,13 +87,15 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int =
     sizes = np.fromiter(map(len, features), np.int64, len(features))
     at = np.concatenate(features) if len(features) else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(features)), sizes)
-    frequent = np.bincount(at, minlength=places) >= min(MIN_ROWS, max(1, len(features) // 10))
+    frequent = telling_places(at, row, grades, n_grades, places)
     use = frequent[at]
     at, row = at[use], row[use]
     # first threshold, and logs of the gaps: the thresholds stay ordered
     cut = np.concatenate([[-0.5], np.zeros(n_grades - 2)])
-    # every grade counts the same
-    share = np.bincount(grades, minlength=n_grades)[grades] * len(present)
+    # a grade weighs as much as all its labelled rows
+    counts = np.bincount(grades, minlength=n_grades)
+    totals = counts if totals is None else np.asarray(totals, float)
+    share = (counts * totals.sum() / np.maximum(totals, 1))[grades]
     g_w, g_c = np.full(places, 1e-8), np.full(len(cut), 1e-8)
     for _ in range(ROUNDS):
         thresholds = np.concatenate([[cut[0]], cut[0] + np.cumsum(np.exp(cut[1:]))])
@@ -93,7 +113,7 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, n_grades: int =
         d_c = np.array([d_t.sum(), *(np.exp(cut[k]) * d_t[k:].sum() for k in range(1, len(cut)))])
         g_w += grad**2
         g_c += d_c**2
-        weights -= STEP * grad / np.sqrt(g_w) * frequent
+        weights = np.minimum(weights - STEP * grad / np.sqrt(g_w) * frequent, 0)
         cut -= STEP * d_c / np.sqrt(g_c)
     return OrdinalModel(weights.astype(np.float32), np.concatenate([[cut[0]], cut[0] + np.cumsum(np.exp(cut[1:]))]))
 
@@ -124,7 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMode
     rows = chosen.mapInArrow(_features, "doc_id long, grade int, places array<int>").toPandas()
     rows["size"] = rows["places"].map(len)
     rows = rows.sort_values(["doc_id", "size"], kind="stable").drop_duplicates("doc_id")
-    return fit_ordinal([np.asarray(x, np.int64) for x in rows["places"]], rows["grade"].to_numpy(np.int64))
+    totals = {r["grade"]: r["n"] for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return fit_ordinal([np.asarray(x, np.int64) for x in rows["places"]], rows["grade"].to_numpy(np.int64), totals=np.array([totals.get(g, 0) for g in range(GRADES)]))
 
 
 def _score(model: OrdinalModel, keep_at: float, at: int, extra: bool):
