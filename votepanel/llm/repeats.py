@@ -355,14 +355,15 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     spans = repeated_spans(docs, length)[1].select(F.col("key").alias("_repeat_key"), F.col("spans").alias("_repeat_spans"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     joined = docs.withColumn("_repeat_key", F.xxhash64(text, F.octet_length(text))).join(spans, "_repeat_key", "left").drop("_repeat_key")
-    at = docs.columns.index("text")
+    names = list(docs.columns)
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(batch.columns)
             spans = cols.pop()
             cols[at] = pa.array([t.as_py() if s.as_py() is None else _kept_bytes(t.as_py().encode(), s.as_py()).decode(errors="ignore") for t, s in zip(cols[at], spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(run, docs.schema)
 
