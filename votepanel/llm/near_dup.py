@@ -5,9 +5,12 @@ Every permutation keeps both its minimum and its maximum over a document's shing
 propose candidates: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2e-7.
 
 Documents with the same shingle set are one class from the start. Inside a band bucket, members are first compared with one hub
-(linear in the bucket). Buckets that still hold several components compare only members of different components, in blocks
-of bounded size, on one-byte signatures; the pairs that may reach the threshold are then confirmed on full sets. So a group
-of copies that are close to each other costs a linear number of rows, and no link between different texts is given up for it.
+(linear in the bucket). Buckets that still hold several components compare only members of different components on one-byte
+signatures; pairs that may reach the threshold are confirmed on full sets. Small buckets give their pairs (at most SMALL per
+member) to a join with the sets. Large ones bring the sets of two blocks of bounded size together in one row and confirm there, each
+pair only in the first band its members share, and return links alone. So a group of copies that are close to each other
+costs a linear number of rows, one whose members stay just under the threshold is never written out as pairs, and no link
+between different texts is given up for it.
 
 Defined results: null, empty or blank text has no shingles and links with nothing; a text of fewer than five words is one
 shingle; rows that repeat a doc_id each get the component of their own text (classes with the same smallest doc_id are one node);
@@ -31,8 +34,8 @@ PERMUTATIONS, ROWS_PER_BAND, SHINGLE_WORDS = 65, 5, 5
 BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
 #: Signature values that must agree before a pair is confirmed on full sets: 5.5 standard deviations under 0.85 * 130.
 MIN_AGREE = 88
-#: Members of a bucket compared at once with another such block of the same bucket.
-BLOCK = 1024
+#: Members of a small bucket; members, and their shingles, of a block of a large one.
+SMALL, BLOCK, BLOCK_SHINGLES = 64, 1024, 500_000
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +84,7 @@ def _confirm(percent: int):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([a, b]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+                common = _common(a, b)
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
@@ -103,15 +105,25 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= MIN_AGREE))
 
 
-def _across(percent: int):
-    """Pairs between different components of one block pair; a block pair comes as one row of lists."""
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _across(percent: int, confirm: bool):
+    """Pairs between different components of one pair of blocks, which comes as one row of lists.
+
+    ``confirm``: members bring their bands and sets, and only confirmed pairs are returned, in the first band they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                i, j, members = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].values
+                h, i, j, members = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py(), batch.column(3)[row].values
                 node, label, size, side = (members.field(k).to_numpy() for k in ("node", "label", "n_shingles", "side"))
                 sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+                if confirm:
+                    bands = members.field("bands").flatten().to_numpy().reshape(len(node), -1)
+                    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in members.field("shingles")]
                 left = np.flatnonzero(side == i)
                 right = left if i == j else np.flatnonzero(side == j)
                 us, vs = [], []
@@ -123,8 +135,18 @@ def _across(percent: int):
                     for p in range(0, len(x), 65536):
                         xs, ys = a[x[p : p + 65536]], right[y[p : p + 65536]]
                         near = (sig[xs] == sig[ys]).sum(axis=1) >= MIN_AGREE
-                        us.append(node[xs[near]])
-                        vs.append(node[ys[near]])
+                        xs, ys = xs[near], ys[near]
+                        if confirm and len(xs):
+                            shared = bands[xs] == bands[ys]
+                            here = bands[xs, shared.argmax(axis=1)] == h
+                            xs, ys = xs[here], ys[here]
+                            linked = np.zeros(len(xs), bool)
+                            for n, (q, r) in enumerate(zip(xs.tolist(), ys.tolist(), strict=True)):
+                                common = _common(sets[q], sets[r])
+                                linked[n] = 100 * common >= percent * (len(sets[q]) + len(sets[r]) - common)
+                            xs, ys = xs[linked], ys[linked]
+                        us.append(node[xs])
+                        vs.append(node[ys])
                 u, v = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (us, vs))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
@@ -145,12 +167,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = live.join(classes.select(F.col("node").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi")
     reps = reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig", "bands").dropDuplicates(["node", "bands"])
     banded = reps.select("node", "n_shingles", F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    shared = banded.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"), F.min("node").alias("hub")).where("n > 1")
     members = cut_lineage(banded.join(shared, "h"), "buckets")
-    sigs = cut_lineage(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig"), "sigs")
+    sigs = cut_lineage(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "n_shingles", "sig", "bands"), "sigs")
     # sets of all bucket members, from whole texts, once for both confirmations
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = cut_lineage(texts.join(sigs.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    wanted = sigs.select(F.col("node").alias("doc_id")).distinct().hint("merge")  # the same plan at every size
+    sets = cut_lineage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
 
     def side(name: str) -> DataFrame:
         return sigs.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
@@ -164,13 +187,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     labels = members.select("node").distinct().join(first, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
     labelled = cut_lineage(members.drop("hub").join(labels, "node"), "labelled")
     mixed = labelled.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("h")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    side_no = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rest = labelled.join(mixed, "h", "left_semi").join(sigs.select("node", "sig").dropDuplicates(["node"]), "node").withColumn("blocks", blocks).withColumn("side", side_no)
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.groupBy("h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("node", "label", "n_shingles", "side", "sig")).alias("members"))
-    pairs = rest.select("i", "j", "members").mapInArrow(_across(percent), "u long, v long").distinct()
-    more = confirmed(pairs, sets, percent)
+    rest = labelled.join(mixed, "h", "left_semi")
+    keys = ["h", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")]
+    small = rest.where(F.col("n") <= SMALL).join(sigs.select("node", "sig").dropDuplicates(["node"]), "node").withColumn("side", F.lit(0)).withColumn("other", F.lit(0))
+    small = small.groupBy(*keys).agg(F.collect_list(F.struct("node", "label", "n_shingles", "side", "sig")).alias("members"))
+    pairs = small.mapInArrow(_across(percent, False), "u long, v long").distinct()
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
+    large = rest.where(F.col("n") > SMALL).join(sigs.select("node", "sig", "bands").dropDuplicates(["node"]), "node").join(sets.select(F.col("doc_id").alias("node"), "shingles").dropDuplicates(["node"]), "node")
+    large = large.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.groupBy(*keys).agg(F.collect_list(F.struct("node", "label", "n_shingles", "side", "sig", "bands", "shingles")).alias("members"))
+    more = confirmed(pairs, sets, percent).unionByName(large.mapInArrow(_across(percent, True), "u long, v long"))
     component = connected_components(links.unionByName(more))
 
     by_class = classes.join(component, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("component", "node").alias("component"))
