@@ -79,7 +79,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
         .withColumn("_whole", F.floor("_e"))
         .withColumn("_q", F.when(p > 0, odds))
         .withColumn("_place", place)
-        .withColumn("_b1", F.least(F.floor(F.col("_place") * BUCKETS), F.lit(BUCKETS - 1)))
+        .withColumn("_b1", F.when(F.col("_place").isNotNull(), F.least(F.floor(F.col("_place") * BUCKETS), F.lit(BUCKETS - 1))))
         .withColumn("_b2", F.floor(F.col("_place") * (BUCKETS * BUCKETS)))
         .drop("_s")
     )
