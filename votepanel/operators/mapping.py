@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from votepanel.functions.categories import category_from_list, category_from_name, normalise_bloc, normalise_category
 from votepanel.functions.text import normalise_code
-from votepanel.session import bounded_broadcast
 
 BLOC_COLS = ("bloc_1", "bloc_2", "bloc_3")
 EXPANDED_COLS = (
@@ -56,7 +55,7 @@ def join_mapping(long_df: DataFrame, mapping: DataFrame, *, broadcast: bool | No
     if "nom_candidature" in long_df.columns:
         m = m.withColumnRenamed("nom_candidature", "nom_candidature_map")
     if broadcast is None:
-        m = bounded_broadcast(m)
+        m = (m)
     elif broadcast:
         m = F.broadcast(m)
     return long_df.join(m, on="code_candidature", how="left")

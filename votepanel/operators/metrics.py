@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from votepanel.constants import CATEGORIES
 from votepanel.operators.quantiles import exact_quantiles
-from votepanel.session import bounded_broadcast
 
 EVENT_KEYS = ("code_bv", "election_type", "election_year", "round")
 

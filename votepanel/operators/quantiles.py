@@ -1,62 +1,46 @@
 """Exact quantiles without sending a whole group to one task.
 
-``percentile`` (exact) merges every distinct value of a group in one task: unbounded for continuous
-values. Here: (1) an approximate bracket [lo, hi] around each wanted rank per group
-(``percentile_approx``, bounded sketch); (2) only the values inside the bracket are collected
-(about 6 / accuracy of the group) together with the count of values below it; (3) the exact order
-statistics are read from the sorted bracket and interpolated linearly (same definition as
-``percentile`` / ``quantile_cont``). A group whose bracket misses its ranks (not expected from the
-sketch's error bound) is recomputed with the exact aggregate.
+The values of a group are first counted per distinct value (partial aggregation, so ties are one row). Approximate edges cut the
+distinct values of each group into EDGES buckets; counts per bucket give, by a running sum over at most EDGES + 1 rows, the bucket
+that holds each wanted rank; only the distinct values of those buckets are put in order. The order statistics are exact whatever
+the edges, and are interpolated linearly (same definition as ``percentile`` / ``quantile_cont``). Null group keys are groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votepanel.session import bounded_broadcast
-
-
-def exact_quantiles(df: DataFrame, value: Column | str, qs: dict[str, float], keys: tuple[str, ...] = (), *, accuracy: int = 10000,
-                    fallback: bool = True) -> DataFrame:
-    """One row per group (``keys``) with one column per name in ``qs`` (null when the group is empty)."""
-    x = F.col(value) if isinstance(value, str) else value
-    g = list(keys) if keys else ["_g"]
-    base = df.select(*[F.col(k) for k in keys], x.cast("double").alias("_x")) if keys else df.select(F.lit(0).alias("_g"), x.cast("double").alias("_x"))
-    base = base.where(F.col("_x").isNotNull())
-    eps = 3.0 / accuracy
-    aggs = [F.count("_x").alias("_n")]
-    for name, q in qs.items():
-        aggs += [F.percentile_approx("_x", max(q - eps, 0.0), accuracy).alias(f"_lo_{name}"), F.percentile_approx("_x", min(q + eps, 1.0), accuracy).alias(f"_hi_{name}")]
-    brackets = base.groupBy(*g).agg(*aggs)
-    j = base.join(bounded_broadcast(brackets), on=g)
-    aggs2 = [F.first("_n").alias("_n")]
-    for name in qs:
+from votepanel.session import cut_lineage
+
+EDGES = 256
+
+
+def exact_quantiles(df: DataFrame, value: Column | str, qs: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per group (``keys``) with one column per name in ``qs``; null where a group has no value. No rows, no result."""
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    counted = df.select(*keys, key.alias("_g"), x.alias("_x")).groupBy("_g", "_x").agg(F.count("_x").alias("_n"), *[F.first(k).alias(k) for k in keys])
+    counted = cut_lineage(counted, "quantiles")
+    groups = counted.groupBy("_g").agg(F.sum("_n").alias("_all"), *[F.first(k).alias(k) for k in keys])
+    values = counted.where("_n > 0").select("_g", "_x", "_n")
+    edges = values.groupBy("_g").agg(F.percentile_approx("_x", F.array(*[F.lit(i / EDGES) for i in range(1, EDGES)]), F.lit(10000)).alias("_edges"))
+    placed = values.join(edges, "_g").select("_g", "_x", "_n", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_b"))
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = placed.groupBy("_g", "_b").agg(F.sum("_n").alias("_bn")).withColumn("_from", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
+    # both neighbours of every wanted position
+    places = [(name, end, fn(F.lit(float(q)) * (F.col("_all") - 1)).cast("long")) for name, q in qs.items() for end, fn in (("lo", F.floor), ("hi", F.ceil))]
+    wanted = groups.where("_all > 0").select("_g", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(e).alias("end"), k.alias("k")) for n, e, k in places])).alias("w")).select("_g", "w.*")
+    hits = wanted.join(buckets, "_g").where((F.col("_from") <= F.col("k")) & (F.col("k") < F.col("_from") + F.col("_bn")))
+    inner = Window.partitionBy("_g", "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.join(hits.select("_g", "_b", "_from").distinct(), ["_g", "_b"]).withColumn("_start", F.col("_from") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+    found = near.drop("_from").join(hits.select("_g", "_b", "name", "end", "k"), ["_g", "_b"]).where((F.col("_start") <= F.col("k")) & (F.col("k") < F.col("_start") + F.col("_n")))
+    picked = found.groupBy("_g").agg(*[F.max(F.when((F.col("name") == n) & (F.col("end") == e), F.col("_x"))).alias(f"_{e}_{n}") for n, e, _ in places])
+    out = groups.join(picked, "_g", "left")
+
+    def between(name: str, q: float) -> Column:
+        pos = F.lit(float(q)) * (F.col("_all") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        aggs2 += [
-            F.count_if(F.col("_x") < lo).alias(f"_below_{name}"),
-            F.array_sort(F.collect_list(F.when((F.col("_x") >= lo) & (F.col("_x") <= hi), F.col("_x")))).alias(f"_br_{name}"),
-        ]
-    picked = j.groupBy(*g).agg(*aggs2)
-    cols, checks = [], []
-    for name, q in qs.items():
-        pos = F.lit(q) * (F.col("_n") - 1)
-        k = F.floor(pos)
-        frac = pos - k
-        i0 = (k - F.col(f"_below_{name}")).cast("int")
-        br = F.col(f"_br_{name}")
-        need_next = (frac > 0)
-        ok = (i0 >= 0) & (i0 < F.size(br)) & (~need_next | (i0 + 1 < F.size(br)))
-        v0 = F.try_element_at(br, i0 + 1)
-        v1 = F.when(need_next, F.try_element_at(br, i0 + 2)).otherwise(v0)
-        cols.append(F.when(ok, v0 + (v1 - v0) * frac).alias(name))
-        checks.append(ok)
-    all_ok = checks[0]
-    for c in checks[1:]:
-        all_ok = all_ok & c
-    out = picked.select(*g, *cols, all_ok.alias("_ok"))
-    if fallback and out.where(~F.col("_ok")).limit(1).count() > 0:
-        exact = base.groupBy(*g).agg(*[F.percentile("_x", q).alias(n) for n, q in qs.items()])
-        out = exact.withColumn("_ok", F.lit(True))
-    out = out.drop("_ok")
-    return out.drop("_g") if not keys else out
+        return (lo + (hi - lo) * (pos - F.floor(pos))).alias(name)
+
+    return out.select(*keys, *[between(n, q) for n, q in qs.items()])

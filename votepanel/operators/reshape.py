@@ -73,10 +73,8 @@ def unpivot_candidates_mixed(df: DataFrame, base_cols: list[str], indexed: dict[
     keep one candidate, filled from the unsuffixed columns (``voix`` <- ``Voix`` when missing or 0,
     code <- ``Code Nuance`` then ``Nuance``). Both parts come from one scan and are unioned by name."""
     unsuffixed = unsuffixed or {}
-    any_wide = None
-    for spec in indexed.values():
-        e = F.col(f"`{spec['voix']}`").isNotNull()
-        any_wide = e if any_wide is None else (any_wide | e)
+    # one expression, whatever the width: a chain of "or" makes the optimizer's filter inference grow with it
+    any_wide = F.coalesce(*[F.col(f"`{spec['voix']}`") for spec in indexed.values()]).isNotNull() if indexed else F.lit(False)
     wide = unpivot_numbered(df.where(any_wide), base_cols, indexed, positive_only=True).drop("cand_idx")
 
     def col(name):

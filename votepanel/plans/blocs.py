@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from votepanel.operators.aggregate import nz
 from votepanel.operators.mapping import expand_by_bloc
-from votepanel.session import bounded_broadcast
 
 BLOC_EVENT_KEYS = ("code_bv", "date_scrutin", "annee", "type_scrutin", "tour", "bloc")
 
@@ -53,7 +52,7 @@ def national_reference_by_date(blocs: DataFrame) -> DataFrame:
 def attach_national(blocs: DataFrame, national: DataFrame | None = None) -> DataFrame:
     """Left join of the (small, checked) reference on date and bloc, plus the two gaps."""
     nat = national_reference_by_date(blocs) if national is None else national
-    out = blocs.join(bounded_broadcast(nat), on=["date_scrutin", "bloc"], how="left")
+    out = blocs.join((nat), on=["date_scrutin", "bloc"], how="left")
     return out.select(
         "*",
         (F.col("part_bloc") - F.col("part_bloc_national")).alias("ecart_bloc_vs_national"),
@@ -73,7 +72,7 @@ def filter_communes(df: DataFrame, communes: DataFrame, *, key_col: str | None =
     """
     src = F.col(key_col) if key_col else F.substring_index(F.col("code_bv").cast("string"), "-", 1)
     d = df.withColumn("code_commune", town_code(src.cast("string")))
-    return d.join(bounded_broadcast(communes.select("code_commune", "nom_commune")), on="code_commune", how="inner")
+    return d.join((communes.select("code_commune", "nom_commune")), on="code_commune", how="inner")
 
 
 def registered_growth(df: DataFrame, base_year: int) -> DataFrame:
@@ -138,4 +137,4 @@ def commune_event_stats(long_df: DataFrame, communes: DataFrame) -> DataFrame:
         (F.col("blancs") / ins).alias("blancs_pct"),
         (F.col("nuls") / ins).alias("nuls_pct"),
     )
-    return town.join(bounded_broadcast(communes.select("code_commune", "nom_commune")), on="code_commune", how="left")
+    return town.join((communes.select("code_commune", "nom_commune")), on="code_commune", how="left")

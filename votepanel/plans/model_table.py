@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from votepanel.functions.categories import normalise_bloc
 from votepanel.operators.aggregate import nz
-from votepanel.session import bounded_broadcast
 
 # Lag steps and rolling window sizes of the model features.
 LAG_STEPS = (1, 2, 3, 4, 7, 14, 28)
@@ -98,7 +97,7 @@ def town_lag(df: DataFrame, y: str = "part_bloc") -> DataFrame:
     town = town_weighted_avg(df, y)
     w = Window.partitionBy("code_commune", "bloc").orderBy("date_scrutin")
     town = town.select("code_commune", "bloc", "date_scrutin", F.lag("y_comm", 1).over(w).alias("y_comm_lag1"))
-    return df.join(bounded_broadcast(town), on=["code_commune", "bloc", "date_scrutin"], how="left")
+    return df.join((town), on=["code_commune", "bloc", "date_scrutin"], how="left")
 
 
 def interaction_features(df: DataFrame) -> DataFrame:

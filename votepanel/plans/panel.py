@@ -16,7 +16,7 @@ from votepanel.operators.aggregate import aggregate_event, national_reference
 from votepanel.operators.mapping import expand_by_category
 from votepanel.operators.reshape import pivot_category
 from votepanel.operators.windows import panel_lags, turnout_lags
-from votepanel.session import bounded_broadcast, cut_lineage
+from votepanel.session import cut_lineage
 
 
 def event_category_table(long_df: DataFrame, mapping: DataFrame, *, reference_df: DataFrame | None = None, broadcast: bool | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def event_category_table(long_df: DataFrame, mapping: DataFrame, *, reference_df
     local = cut_lineage(local, "event_category").repartition("code_bv")
     ref_local = local if reference_df is None else aggregate_event(expand_by_category(reference_df, mapping, broadcast=broadcast))
     nat = national_reference(ref_local)
-    nat = bounded_broadcast(nat) if broadcast is None else (F.broadcast(nat) if broadcast else nat)
+    nat = F.broadcast(nat) if broadcast else nat
     return local.join(nat, on=[*EVENT_COLS, "category"], how="left")
 
 

@@ -457,10 +457,10 @@ def q_backtest(spark, sf):
 
 # ------------------------------------------------------------------ mixed wide / long candidate files
 from votepanel.operators.reshape import fill_presidential_code, unpivot_candidates_mixed  # noqa: E402
-from votepanel.sources.tables import fx_wide  # noqa: E402
+from votepanel.sources.tables import fx_wide, wide_numbers  # noqa: E402
 
 _MIX_SQL = O.with_ctes(O.FX_LONG) + """, r as (select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long)
- select code_bv, type_scrutin, annee, tour, code_candidature, voix from r where cast(right(code_bv, 4) as int) % 2 = 0 and rn <= 6
+ select code_bv, type_scrutin, annee, tour, code_candidature, voix from r where cast(right(code_bv, 4) as int) % 2 = 0
  union all select code_bv, type_scrutin, annee, tour, code_candidature, voix from fx_long where cast(right(code_bv, 4) as int) % 2 = 1"""
 
 
@@ -469,27 +469,30 @@ def mixed_table(spark, sf):
     unsuffixed columns only: the shape of a file mixing both layouts."""
     even = F.substring("code_bv", -4, 4).cast("int") % 2 == 0
     w = fx_wide(spark, sf).where(even)
+    numbers = wide_numbers(w)
     base = ["code_bv", "type_scrutin", "annee", "tour"]
-    wide = w.select(*base, *[F.col(f"voix_{i}").alias(f"Voix {i}") for i in range(1, 7)], *[F.col(f"nuance_{i}").alias(f"Code Nuance {i}") for i in range(1, 7)],
+    wide = w.select(*base, *[F.col(f"voix_{i}").alias(f"Voix {i}") for i in numbers], *[F.col(f"nuance_{i}").alias(f"Code Nuance {i}") for i in numbers],
                     F.lit(None).cast("double").alias("Voix"), F.lit(None).cast("string").alias("Code Nuance"))
-    lg = fx_long(spark, sf).where(~even).select(*base, *[F.lit(None).cast("double").alias(f"Voix {i}") for i in range(1, 7)],
-                                               *[F.lit(None).cast("string").alias(f"Code Nuance {i}") for i in range(1, 7)],
+    lg = fx_long(spark, sf).where(~even).select(*base, *[F.lit(None).cast("double").alias(f"Voix {i}") for i in numbers],
+                                               *[F.lit(None).cast("string").alias(f"Code Nuance {i}") for i in numbers],
                                                F.col("voix").alias("Voix"), F.col("code_candidature").alias("Code Nuance"))
-    return wide.unionByName(lg)
+    return cut_lineage(wide.unionByName(lg), "mixed_layout")  # a file of mixed layout, written and read back
 
 
 @register("unpivot_candidates_mixed", _MIX_SQL)
 def q_unpivot_candidates_mixed(spark, sf):
-    idx = {i: {"voix": f"Voix {i}", "code_candidature": f"Code Nuance {i}"} for i in range(1, 7)}
-    out = unpivot_candidates_mixed(mixed_table(spark, sf), ["code_bv", "type_scrutin", "annee", "tour"], idx, unsuffixed={"Voix": "Voix", "Code Nuance": "Code Nuance"})
+    mixed = mixed_table(spark, sf)
+    idx = {i: {"voix": f"Voix {i}", "code_candidature": f"Code Nuance {i}"} for i in wide_numbers(mixed)}
+    out = unpivot_candidates_mixed(mixed, ["code_bv", "type_scrutin", "annee", "tour"], idx, unsuffixed={"Voix": "Voix", "Code Nuance": "Code Nuance"})
     return out.select("code_bv", "type_scrutin", "annee", "tour", "code_candidature", "voix")
 
 
 @register("fill_unsuffixed", O.with_ctes(O.FX_LONG) + "select code_bv, type_scrutin, annee, tour, code_candidature, voix from fx_long where cast(right(code_bv, 4) as int) % 2 = 1")
 def q_fill_unsuffixed(spark, sf):
     """Rows without numbered candidates take votes and code from the unsuffixed columns."""
-    idx = {i: {"voix": f"Voix {i}", "code_candidature": f"Code Nuance {i}"} for i in range(1, 7)}
-    out = unpivot_candidates_mixed(mixed_table(spark, sf), ["code_bv", "type_scrutin", "annee", "tour"], idx, unsuffixed={"Voix": "Voix", "Code Nuance": "Code Nuance"})
+    mixed = mixed_table(spark, sf)
+    idx = {i: {"voix": f"Voix {i}", "code_candidature": f"Code Nuance {i}"} for i in wide_numbers(mixed)}
+    out = unpivot_candidates_mixed(mixed, ["code_bv", "type_scrutin", "annee", "tour"], idx, unsuffixed={"Voix": "Voix", "Code Nuance": "Code Nuance"})
     odd = F.substring("code_bv", -4, 4).cast("int") % 2 == 1
     return out.where(odd).select("code_bv", "type_scrutin", "annee", "tour", "code_candidature", "voix")
 
@@ -497,14 +500,15 @@ def q_fill_unsuffixed(spark, sf):
 @register(
     "candidates_long",
     O.with_ctes(O.FX_LONG) + """select code_bv, type_scrutin, annee, tour, cast(rn as integer) as cand_idx, code_candidature as raw_code, voix from (
- select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long) r where rn <= 6""",
+ select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long) r""",
 )
 def q_candidates_long(spark, sf):
     """Notebook variant: keep the candidate index and the raw code (``posexplode`` of the numbered blocks)."""
     from votepanel.operators.reshape import unpivot_numbered
 
-    idx = {i: {"voix": f"voix_{i}", "code_candidature": f"nuance_{i}"} for i in range(1, 7)}
-    out = unpivot_numbered(fx_wide(spark, sf), ["code_bv", "type_scrutin", "annee", "tour"], idx)
+    w = fx_wide(spark, sf)
+    idx = {i: {"voix": f"voix_{i}", "code_candidature": f"nuance_{i}"} for i in wide_numbers(w)}
+    out = unpivot_numbered(w, ["code_bv", "type_scrutin", "annee", "tour"], idx)
     return out.select("code_bv", "type_scrutin", "annee", "tour", F.col("cand_idx").cast("int").alias("cand_idx"), F.col("code_candidature").alias("raw_code"), "voix")
 
 

@@ -342,9 +342,8 @@ def first_bloc_candidates(spark, sf, *, dirty: bool = False):
     """Candidate rows with the first mapped bloc of their party (unmapped -> centre)."""
     lg = prepare_long(fx_dirty(spark, sf)) if dirty else long_table(spark, sf)
     m = mapping_table(spark, sf).select("code_candidature", "bloc_1")
-    from votepanel.session import bounded_broadcast
 
-    j = lg.join(bounded_broadcast(m), on="code_candidature", how="left")
+    j = lg.join((m), on="code_candidature", how="left")
     return j.withColumn("bloc", F.coalesce(F.col("bloc_1"), F.lit("centre"))).drop("bloc_1")
 
 
@@ -1009,7 +1008,7 @@ def q_interval_table(spark, sf):
 # ------------------------------------------------------------------ ingest family (write derived raw files, read them back)
 from votepanel.session import scratch_path  # noqa: E402
 from votepanel.sources import delimited as DL  # noqa: E402
-from votepanel.sources.tables import fx_long, fx_wide  # noqa: E402
+from votepanel.sources.tables import fx_long, fx_wide, wide_numbers  # noqa: E402
 from votepanel.operators.reshape import unpivot_numbered  # noqa: E402
 
 # Raw-file vocabulary of the derived fixtures (French labels with accents, decimal comma).
@@ -1075,13 +1074,13 @@ def q_read_delimited(spark, sf):
 
 
 _RB_SQL = O.with_ctes(O.FX_LONG) + """select code_bv, type_scrutin, annee, tour, cast(rn as integer) as cand_idx, code_candidature, voix from (
- select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long) r where rn <= 6"""
+ select *, row_number() over (partition by code_bv, type_scrutin, annee, tour order by voix desc, code_candidature) as rn from fx_long) r"""
 
 
 @register("read_repeated_blocks", _RB_SQL)
 def q_read_repeated_blocks(spark, sf):
     w = fx_wide(spark, sf)
-    blocks = [F.when(F.col(f"voix_{i}").isNotNull(), F.concat_ws(";", F.col(f"nuance_{i}"), F.col(f"voix_{i}").cast("string"), F.lit("x"))) for i in range(1, 7)]
+    blocks = [F.when(F.col(f"voix_{i}").isNotNull(), F.concat_ws(";", F.col(f"nuance_{i}"), F.col(f"voix_{i}").cast("string"), F.lit("x"))) for i in wide_numbers(w)]
     line = F.concat_ws(";", "code_bv", "type_scrutin", F.col("annee").cast("string"), F.col("tour").cast("string"), F.col("exprimes").cast("string"), *blocks)
     path = scratch_path(spark, "repeated_blocks")
     w.select(line.alias("value")).write.mode("overwrite").text(path)
@@ -1094,7 +1093,7 @@ def q_read_repeated_blocks(spark, sf):
 @register("unpivot_candidates", _RB_SQL)
 def q_unpivot_candidates(spark, sf):
     w = fx_wide(spark, sf)
-    idx = {i: {"voix": f"voix_{i}", "code_candidature": f"nuance_{i}"} for i in range(1, 7)}
+    idx = {i: {"voix": f"voix_{i}", "code_candidature": f"nuance_{i}"} for i in wide_numbers(w)}
     out = unpivot_numbered(w, ["code_bv", "type_scrutin", "annee", "tour"], idx, positive_only=True)
     return out.select("code_bv", "type_scrutin", "annee", "tour", F.col("cand_idx").cast("int").alias("cand_idx"), "code_candidature", "voix")
 

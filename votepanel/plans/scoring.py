@@ -97,10 +97,10 @@ def join_last_refs(preds: DataFrame, local: DataFrame, *, leg_type: str, mun_typ
     """Attach the last share of a reference type before the target year and the share of one past
     election (the two delta references of the report)."""
     leg = local.where((F.col("election_type") == leg_type) & (F.col("election_year") < target_year)).groupBy("code_bv", "category").agg(
-        F.max_by("share", _ord()).alias("ref_leg")
+        F.max_by("share", F.when(F.col("share").isNotNull(), _ord())).alias("ref_leg")
     )
     mun = local.where((F.col("election_type") == mun_type) & (F.col("election_year") == mun_year)).groupBy("code_bv", "category").agg(
-        F.max_by("share", _ord()).alias("ref_mun")
+        F.max_by("share", F.when(F.col("share").isNotNull(), _ord())).alias("ref_mun")
     )
     return preds.join(leg, on=["code_bv", "category"], how="left").join(mun, on=["code_bv", "category"], how="left")
 

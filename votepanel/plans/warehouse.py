@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from votepanel.constants import CATEGORIES, INDEX_COLS, TARGET_COLS
 from votepanel.operators.reshape import melt
-from votepanel.session import bounded_broadcast
 
 
 def melt_panel(panel: DataFrame) -> DataFrame:
@@ -38,7 +37,7 @@ def star_dimensions(long_panel: DataFrame) -> dict[str, DataFrame]:
     towns = dense_ids(long_panel.select(F.col("commune_code").alias("insee_code")).where(F.col("insee_code").isNotNull()).distinct(), ["insee_code"])
     towns = towns.select("id", F.col("insee_code").alias("name_normalized"), "insee_code")
     st = long_panel.select("commune_code", station_part(F.col("code_bv")).alias("bureau_code")).distinct()
-    st = st.join(bounded_broadcast(towns.select(F.col("insee_code").alias("commune_code"), F.col("id").alias("commune_id"))), on="commune_code")
+    st = st.join((towns.select(F.col("insee_code").alias("commune_code"), F.col("id").alias("commune_id"))), on="commune_code")
     bureaux = dense_ids(st.select("commune_id", "bureau_code"), ["commune_id", "bureau_code"]).select(
         "id", "commune_id", "bureau_code", F.lit(None).cast("string").alias("bureau_label")
     )
@@ -57,8 +56,8 @@ def key_lookup(long_panel: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     e = dims["elections"].select(F.col("id").alias("election_id"), "election_type", "election_year", "round")
     c = dims["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     d = long_panel.withColumn("bureau_code", station_part(F.col("code_bv"))).withColumn("round", F.coalesce("round", F.lit(1)))
-    d = d.join(bounded_broadcast(towns), on="commune_code").join(bounded_broadcast(b), on=["commune_id", "bureau_code"])
-    d = d.join(bounded_broadcast(e), on=["election_type", "election_year", "round"]).join(F.broadcast(c), on="category")
+    d = d.join((towns), on="commune_code").join((b), on=["commune_id", "bureau_code"])
+    d = d.join((e), on=["election_type", "election_year", "round"]).join(F.broadcast(c), on="category")
     return d
 
 
@@ -112,7 +111,7 @@ def history_star_join(spark, paths: dict[str, str], commune_code: str | None = N
     rn = spark.read.parquet(paths["results_national"]).select("election_id", "category_id", F.col("share_pct").alias("share_nat_pct"))
     if commune_code is not None:
         cm = cm.where(F.col("commune_code") == commune_code)
-    j = rl.join(bounded_broadcast(b), "bureau_id").join(bounded_broadcast(cm), "commune_id").join(bounded_broadcast(e), "election_id").join(F.broadcast(c), "category_id")
+    j = rl.join((b), "bureau_id").join((cm), "commune_id").join((e), "election_id").join(F.broadcast(c), "category_id")
     j = j.join(rn, on=["election_id", "category_id"], how="left")
     return j.select(
         "commune_code",

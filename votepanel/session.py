@@ -8,11 +8,6 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Largest dimension (rows) we are willing to ship to every executor. Sides above it fall back to a
-# shuffle join (AQE may still convert it at run time from measured sizes).
-BROADCAST_MAX_ROWS = 200_000
-
-
 def get_session(master: str | None = None, app: str = "votepanel", shuffle_partitions: int | None = None) -> SparkSession:
     """Session for tests and local benches. On a cluster, pass the session you already have instead."""
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -64,12 +59,6 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after checking the side really is small; otherwise leave it to a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def r6(c: Column | str) -> Column:
     """Report rounding to 6 decimals, half-up, identical in Spark and DuckDB (``round`` differs on ties)."""
     c = F.col(c) if isinstance(c, str) else c

@@ -148,15 +148,22 @@ def fx_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_wide(spark: SparkSession, sf_dir: str, n_candidates: int = 6) -> DataFrame:
-    """Wide table: per station-event the top ``n_candidates`` parties as ``voix_i`` / ``nuance_i``."""
+def fx_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide table: per station-event all parties as ``voix_i`` / ``nuance_i``; as wide as the largest event in the data."""
     lg = fx_long(spark, sf_dir)
+    events = lg.groupBy("code_bv", "type_scrutin", "annee", "tour").agg(F.count(F.lit(1)).alias("n"))
+    n_candidates = events.agg(F.max("n")).first()[0] or 0
     ev = ["code_bv", "type_scrutin", "annee", "tour"]
     w = Window.partitionBy(*ev).orderBy(F.col("voix").desc(), F.col("code_candidature"))
-    ranked = lg.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n_candidates)
+    ranked = lg.withColumn("rn", F.row_number().over(w))
     keys = ["code_commune", *ev, "date_scrutin", "exprimes", "votants", "inscrits", "blancs", "nuls"]
     aggs = []
     for i in range(1, n_candidates + 1):
         aggs.append(F.max(F.when(F.col("rn") == i, F.col("voix"))).alias(f"voix_{i}"))
         aggs.append(F.max(F.when(F.col("rn") == i, F.col("code_candidature"))).alias(f"nuance_{i}"))
     return ranked.groupBy(*keys).agg(*aggs)
+
+
+def wide_numbers(df: DataFrame) -> range:
+    """The candidate numbers of a wide table."""
+    return range(1, 1 + sum(c.startswith("voix_") or c.startswith("Voix ") for c in df.columns))
