@@ -124,16 +124,51 @@ def test_interval_swap_and_default(spark):
     assert rows["centre"].baseline_pct == 50.0
 
 
-def test_exact_quantiles_bracket_path(spark):
-    """The bracketed quantile equals Spark's exact percentile without falling back (grouped and global)."""
+def test_exact_quantiles_equal_percentile(spark):
+    """The bucketed quantile equals Spark's exact percentile (grouped and global); there is no other path."""
     from votepanel.operators.quantiles import exact_quantiles
 
     df = spark.range(0, 200_000).select((F.col("id") % 3).alias("g"), (F.sin(F.col("id")) * 1000 + F.col("id") % 97).alias("v"))
     qs = {"p01": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r.g: r for r in exact_quantiles(df, "v", qs, ("g",), fallback=False).collect()}
+    got = {r.g: r for r in exact_quantiles(df, "v", qs, ("g",)).collect()}
     ref = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()]).collect()}
     for g in ref:
         for n in qs:
             assert got[g][n] is not None and abs(got[g][n] - ref[g][n]) < 1e-9
-    one = exact_quantiles(df, "v", {"m": 0.5}, fallback=False).first().m
+    one = exact_quantiles(df, "v", {"m": 0.5}).first().m
     assert abs(one - df.agg(F.percentile("v", 0.5)).first()[0]) < 1e-9
+
+
+def test_exact_quantiles_ties_and_null_groups(spark):
+    """60 % ties collapse to one row, a null key is a group, a group without values is null, no rows give no result."""
+    from votepanel.operators.quantiles import exact_quantiles
+
+    df = spark.range(0, 100_000).select(F.when(F.col("id") % 2 == 0, "a").alias("g"), F.when(F.col("id") % 10 < 6, 0.0).otherwise(F.col("id") / 7).alias("v"))
+    df = df.unionByName(spark.createDataFrame([("empty", None)], "g string, v double"))
+    qs = {"p50": 0.5, "p61": 0.61, "p99": 0.99}
+    got = {r.g: r for r in exact_quantiles(df, "v", qs, ("g",)).collect()}
+    ref = {r.g: r for r in df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()]).collect()}
+    assert set(got) == {"a", None, "empty"} and got["empty"].p50 is None
+    assert all(abs(got[g][n] - ref[g][n]) < 1e-9 for g in ("a", None) for n in qs)
+    assert exact_quantiles(df.limit(0), "v", qs).count() == 0
+
+
+def test_missing_checkpoint_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from votepanel.session import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))
+
+
+def test_last_reference_skips_null_shares(spark):
+    from votepanel.plans.scoring import join_last_refs
+
+    rows = [("s", "centre", "legislatives", 2017, 1, 0.3), ("s", "centre", "legislatives", 2022, 1, None)]
+    local = spark.createDataFrame(rows, "code_bv string, category string, election_type string, election_year int, round int, share double").withColumn("date_scrutin", F.make_date("election_year", F.lit(6), F.lit(1)))
+    preds = spark.createDataFrame([("s", "centre")], "code_bv string, category string")
+    assert join_last_refs(preds, local, leg_type="legislatives", mun_type="municipales", mun_year=2020, target_year=2026).first().ref_leg == 0.3
