@@ -29,6 +29,31 @@ def test_repeated_blocks_ragged(spark, tmp_path):
     assert got == [("a", 1, "A", "10"), ("b", 1, "A", "5"), ("b", 2, "B", "7"), ("b", 3, "C", "1")]
 
 
+def test_single_byte_body_under_ascii_header(spark, tmp_path):
+    (tmp_path / "f.csv").write_bytes("Commune;Voix\nSète;3\nBéziers;4\n".encode("latin-1"))
+    df = DL.read_delimited(spark, str(tmp_path / "f.csv"))
+    assert sorted(r.Commune for r in df.collect()) == ["Béziers", "Sète"]
+    (tmp_path / "b.txt").write_bytes("Sète;1;x;Écolo;10\n".encode("latin-1") + "Mèze;2;y;A;5\n".encode())
+    df = DL.read_repeated_blocks(spark, str(tmp_path / "b.txt"), base_width=3, block_width=2, block_fields={"code": 0, "voix": 1}, base_names=["k", "n", "x"], skip_header=False)
+    assert sorted((r.k, r.code) for r in df.collect()) == [("Mèze", "A"), ("Sète", "Écolo")]
+
+
+def test_colour_key_forms(spark):
+    polys = spark.createDataFrame([("Bureau 7",), ("Bureau 12345",), (None,)], "label string")
+    colours = spark.createDataFrame([("1-0007", "centre"), ("1-007", "neutral"), ("1-12345", "neutral"), ("1-123", "centre")], "code_bv string, colour_key string")
+    got = {r.label: (r.code_bv, r.colour_key) for r in G.map_colour_table(polys, colours, "1").collect()}
+    assert got == {"Bureau 7": ("1-0007", "centre"), "Bureau 12345": ("1-12345", "neutral"), None: (None, "no_data")}
+
+
+def test_surrogate_ids_are_dense_ranks(spark):
+    from votepanel.plans.warehouse import dense_ids
+
+    keys = [(k % 7, f"b{k:03d}") for k in range(300)] + [(None, "z"), (3, "b003")]
+    got = {(r.a, r.b): r.id for r in dense_ids(spark.createDataFrame(keys, "a int, b string"), ["a", "b"], start_after=10).collect()}
+    order = sorted(set(keys), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert got == {k: i + 11 for i, k in enumerate(order)}
+
+
 def test_catalog_inheritance():
     cat = {"base": {"path": "p0", "sep": ";", "rename_map": {"A": "a"}}, "child": {"copy_from": "base", "path": "p1", "rename_map": {"B": "b"}}}
     r = DL.resolve_catalog(cat)

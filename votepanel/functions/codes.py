@@ -43,9 +43,13 @@ def extract_station_number(c: Column | str) -> Column:
 
 
 def station_code_candidates(town: Column | str, number: Column) -> tuple[Column, Column]:
-    """Key forms a station number may take: ``town-NNNN`` and ``town-NNN`` (joined on either)."""
+    """Key forms a station number may take: ``town-NNNN`` and ``town-NNN`` (joined on either); longer numbers stay whole."""
     n = number.cast("string")
-    return F.concat(_col(town), F.lit("-"), F.lpad(n, 4, "0")), F.concat(_col(town), F.lit("-"), F.lpad(n, 3, "0"))
+
+    def form(width):
+        return F.concat(_col(town), F.lit("-"), F.lpad(n, F.greatest(F.length(n), F.lit(width)), "0"))
+
+    return form(4), form(3)
 
 
 def event_key(etype: Column | str, year: Column | str, rnd: Column | str) -> Column:

@@ -44,6 +44,12 @@ def prepare_long(df: DataFrame, *, commune_code: str | None = None) -> DataFrame
     return out
 
 
+def filter_department(df: DataFrame, dept: str) -> DataFrame:
+    """Rows of one department: its ``dept`` column, or where that is null or missing, the start of the town code."""
+    start = F.substring("commune_code", 1, 2)
+    return df.where((F.coalesce("dept", start) if "dept" in df.columns else start) == F.lit(dept))
+
+
 def clean_history(df: DataFrame, categories: tuple[str, ...] | None = None) -> DataFrame:
     """History clean-up: trimmed / lower-cased keys, round null -> 1, shares and turnout clipped to
     [0, 1], rows with a missing key dropped, unknown categories dropped."""

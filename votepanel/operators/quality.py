@@ -59,12 +59,9 @@ def check_keys(long_df: DataFrame, cand_keys: list[str]) -> DataFrame:
 
 
 def check_scope(long_df: DataFrame, towns: list[str], types: list[str], rounds: list[int]) -> DataFrame:
-    """Unexpected towns, types and rounds (sorted, comma-joined) in one row."""
-    def unexpected(c, allowed):
-        return F.array_join(F.sort_array(F.collect_set(F.when(~F.col(c).isin(*allowed), F.col(c).cast("string")))), ",")
-
-    return long_df.agg(
-        unexpected("commune_code", towns).alias("unexpected_towns"),
-        unexpected("election_type", types).alias("unexpected_types"),
-        unexpected("round", rounds).alias("unexpected_rounds"),
-    )
+    """Unexpected towns, types and rounds: one ``(kind, value)`` row for each value."""
+    def entry(kind, c, allowed):
+        return F.struct(F.lit(kind).alias("kind"), F.when(~F.col(c).isin(*allowed), F.col(c).cast("string")).alias("value"))
+
+    found = F.array(entry("town", "commune_code", towns), entry("type", "election_type", types), entry("round", "round", rounds))
+    return long_df.select(F.inline(found)).where(F.col("value").isNotNull()).distinct()

@@ -21,7 +21,7 @@ from votepanel.plans.catalog import register
 from votepanel.plans.panel import event_category_table, renormalise_targets
 from votepanel.plans.queries_core import TARGET_TYPE, TARGET_YEAR, local_table, long_table, mapping_table, q_build_panel
 from votepanel.plans.queries_more import (
-    BASE_YEAR, RAW_RENAME, _STD, blocs_table, communes_table, write_raw_results,
+    _DIMS_SQL, _STD, BASE_YEAR, PN_LONG, RAW_RENAME, _pn, blocs_table, communes_table, write_raw_results,
 )
 from votepanel.session import cut_lineage, round_doubles, scratch_path
 from votepanel.sources import delimited as DL
@@ -121,12 +121,13 @@ def _raw(spark, sf):
 
 @register(
     "rename_by_label",
-    "select * from (values ('Code de la commune'), ('Code B.Vote'), ('Année'), ('N° tour'), ('Date'), ('inscrits'), ('votants'), ('blancs'), ('nuls'), ('exprimes'), ('code_candidature'), ('voix'), ('type_scrutin')) v(column_name)",
+    O.with_ctes(O.FX_LONG) + "select type_scrutin, cast(annee as varchar) as annee_brute, date_scrutin, code_candidature, exprimes, voix from fx_long",
 )
 def q_rename_by_label(spark, sf):
+    """Rows under their new names; unmatched raw columns keep theirs."""
     raw, _ = _raw(spark, sf)
-    cols = DL.rename_by_label(raw, RAW_RENAME).columns
-    return spark.createDataFrame([(c,) for c in cols], "column_name string")
+    df = DL.coerce_numeric(DL.rename_by_label(raw, RAW_RENAME))
+    return df.select("type_scrutin", F.col("Année").alias("annee_brute"), F.to_date("Date").alias("date_scrutin"), "code_candidature", "exprimes", "voix")
 
 
 @register(
@@ -162,23 +163,28 @@ def q_add_event_metadata(spark, sf):
 
 @register(
     "ensure_columns",
-    "select * from (values ('code_bv'), ('nom_bv'), ('annee'), ('date_scrutin'), ('type_scrutin'), ('tour'), ('inscrits'), ('votants'), ('abstentions'), ('blancs'), ('nuls'), ('exprimes'), ('code_candidature'), ('nom_candidature'), ('voix'), ('source')) v(column_name)",
+    O.with_ctes(O.FX_LONG) + """select code_bv, cast(null as varchar) as nom_bv, annee, date_scrutin, type_scrutin, tour, inscrits, votants, cast(null as double) as abstentions,
+ blancs, nuls, exprimes, code_candidature, cast(null as varchar) as nom_candidature, voix from fx_long""",
 )
 def q_ensure_columns(spark, sf):
-    """Column order of a standardised file: standard columns (missing ones added as null) then extras."""
+    """Rows of a standardised file with every standard column; missing ones are null."""
     path, types = write_raw_results(spark, sf)
     meta = {"path": path, "tour_column": "N° tour", "date_column": "Date", "year_column": "Année", "type_column": "type_scrutin",
             "code_bv_cols": ["Code de la commune", "Code B.Vote"], "code_bv_widths": [5, 4], "rename_map": RAW_RENAME}
-    df = DL.standardise_election(spark, meta).withColumn("source", F.lit("x"))
-    keep = [c for c in df.columns if c in DL.STANDARD_COLUMNS or c == "source"]
-    return spark.createDataFrame([(c,) for c in keep], "column_name string")
+    return DL.standardise_election(spark, meta).select(*DL.STANDARD_COLUMNS)
 
 
-@register("order_columns", "select 'code_bv,nom_bv,annee,date_scrutin,type_scrutin,tour,inscrits,votants,abstentions,blancs,nuls,exprimes,code_candidature,nom_candidature,voix' as leading_columns")
+@register(
+    "order_columns",
+    O.with_ctes(O.FX_LONG) + "select concat_ws('|', '', '', '', '', type_scrutin, '', "
+    + ", ".join("''" if c is None else f"replace(cast({c} as varchar), '.', ',')" for c in ("inscrits", "votants", None, "blancs", "nuls", "exprimes"))
+    + ", code_candidature, '', replace(cast(voix as varchar), '.', ',')) as record from fx_long",
+)
 def q_order_columns(spark, sf):
+    """Leading columns of every row, joined in their order."""
     raw, _ = _raw(spark, sf)
     df = DL.order_columns(DL.ensure_columns(DL.rename_by_label(raw, RAW_RENAME)))
-    return spark.createDataFrame([(",".join(df.columns[: len(DL.STANDARD_COLUMNS)]),)], "leading_columns string")
+    return df.select(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in df.columns[: len(DL.STANDARD_COLUMNS)]]).alias("record"))
 
 
 @register("standardise_election", O.with_ctes(O.FX_LONG) + "select " + ", ".join(_STD) + " from fx_long")
@@ -189,20 +195,22 @@ def q_standardise_election(spark, sf):
     return DL.standardise_election(spark, meta).select(*_STD)
 
 
-@register("split_rounds", O.with_ctes(O.FX_LONG) + "select type_scrutin, annee, tour, count(*) as n_rows from fx_long group by all")
+@register("split_rounds", O.with_ctes(O.FX_LONG) + "select code_bv, type_scrutin, annee, tour, date_scrutin, code_candidature, voix from fx_long")
 def q_split_rounds(spark, sf):
-    """A file holding both rounds: no split, the round column becomes an integer key."""
+    """A file holding both rounds: no split, the round column becomes an integer key of every row."""
     raw, _ = _raw(spark, sf)
     meta = {"tour_column": "N° tour", "date_column": "Date", "year_column": "Année", "type_column": "type_scrutin"}
-    return DL.add_event_metadata(raw, meta).groupBy("type_scrutin", "annee", "tour").agg(F.count(F.lit(1)).alias("n_rows"))
+    df = DL.add_event_metadata(DL.rename_by_label(raw, RAW_RENAME), meta)
+    df = DL.coerce_numeric(DL.build_station_key(df, ["Code de la commune", "Code B.Vote"], widths=[5, 4]))
+    return df.select("code_bv", "type_scrutin", "annee", "tour", "date_scrutin", "code_candidature", "voix")
 
 
-@register("write_harmonised_per_source", O.with_ctes(O.FX_LONG) + "select type_scrutin as source, count(*) as n_rows from fx_long group by all")
+@register("write_harmonised_per_source", O.with_ctes(O.FX_LONG) + "select type_scrutin as source, " + ", ".join(_STD) + " from fx_long")
 def q_write_harmonised_per_source(spark, sf):
     lg = fx_long(spark, sf).withColumn("source", F.col("type_scrutin"))
     path = scratch_path(spark, "per_source")
     lg.write.mode("overwrite").partitionBy("source").parquet(path)
-    return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    return spark.read.parquet(path).select("source", *_STD)
 
 
 @register("read_panel", lambda: f"with pn as ({O.panel_sql()}) select code_bv, election_type, election_year, round, " + ", ".join(TARGET_COLS) + " from pn")
@@ -240,9 +248,13 @@ def q_write_metrics(spark, sf):
     return back.select("metric").where(~F.col("metric").startswith("mae_") | (F.col("metric") == "mae_mean"))
 
 
-@register("ingest_star", lambda: O.with_ctes(f"pn as ({O.panel_sql()})") + "select count(*) * 7 as n_rows from pn")
+@register(
+    "ingest_star",
+    lambda: O.with_ctes(_pn(), PN_LONG(), _DIMS_SQL)
+    + f"select bureau_id, election_id, category_id, {O.r6('round_even(share * 100, 6)')} as share_pct, {O.r6('turnout_pct * 100')} as turnout_pct from lk",
+)
 def q_ingest_star(spark, sf):
-    """Panel -> mass check -> melt -> dimensions -> key lookups -> facts, written; local fact row count."""
+    """Panel -> mass check -> melt -> dimensions -> key lookups -> facts, written; the local facts read back."""
     from votepanel.operators.quality import check_mass
     from votepanel.plans import warehouse as WH
 
@@ -251,7 +263,71 @@ def q_ingest_star(spark, sf):
     lp = WH.melt_panel(panel)
     dims = WH.star_dimensions(lp)
     paths = WH.write_star({**dims, **WH.star_facts(lp, dims)}, scratch_path(spark, "star"))
-    return spark.read.parquet(paths["results_local"]).agg(F.count(F.lit(1)).alias("n_rows"))
+    return round_doubles(spark.read.parquet(paths["results_local"]).select("bureau_id", "election_id", "category_id", "share_pct", "turnout_pct"))
+
+
+# ------------------------------------------------------------------ polygons: one for a station, two for every third one
+_RINGS_SQL = """rings as (select s_suppkey, cast('Bureau ' || s_suppkey as varchar) as label, s_suppkey % 90 + 10 * r as lon, s_nationkey as lat, r as ring
+ from supplier, (values (0), (1)) v(r) where r = 0 or s_suppkey % 3 = 0)"""
+
+
+def polygons_table(spark, sf):
+    """Station polygons written as KML placemarks and read back."""
+    from votepanel.sources.geo import read_polygons
+    from votepanel.sources.tables import read_table
+
+    s = read_table(spark, sf, "supplier", ["s_suppkey", "s_nationkey"])
+
+    def polygon(shift):
+        corner = [[F.format_string("%d.5,%d.25", F.col("s_suppkey") % 90 + shift + dx, F.col("s_nationkey") + dy)] for dx, dy in ((0, 0), (1, 0), (0, 1), (0, 0))]
+        ring = F.concat_ws(" ", *[c for (c,) in corner])
+        return F.concat(F.lit("<Polygon><outerBoundaryIs><LinearRing><coordinates>"), ring, F.lit("</coordinates></LinearRing></outerBoundaryIs></Polygon>"))
+
+    both = F.concat(F.lit("<MultiGeometry>"), polygon(0), polygon(10), F.lit("</MultiGeometry>"))
+    shape = F.when(F.col("s_suppkey") % 3 == 0, both).otherwise(polygon(0))
+    mark = F.concat(F.lit("<Placemark><name>Bureau "), F.col("s_suppkey").cast("string"), F.lit("</name>"), shape, F.lit("</Placemark>"))
+    # a file holds a thousand stations at most, between the tags of its root
+    marks = s.select(F.floor(F.col("s_suppkey") / 1000).alias("file"), F.lit(1).alias("k"), mark.alias("value"))
+    tags = marks.select("file").distinct().select("file", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("value")) for k, v in ((0, "<kml>"), (2, "</kml>"))])))
+    path = scratch_path(spark, "polygons") + ".kml"
+    lines = marks.unionByName(tags).repartition("file").sortWithinPartitions("file", "k")
+    lines.drop("k").write.partitionBy("file").text(path)
+    return read_polygons(spark, path)
+
+
+@register("read_polygons", "with " + _RINGS_SQL + " select label, ring, 4 as n_points, lon + 0.5::double as min_lon, lon + 1.5::double as max_lon, lat + 0.25::double as min_lat, lat + 1.25::double as max_lat from rings")
+def q_read_polygons(spark, sf):
+    lon, lat = F.col("points.lon"), F.col("points.lat")
+    return polygons_table(spark, sf).select("label", "ring", F.size("points").alias("n_points"), F.array_min(lon).alias("min_lon"), F.array_max(lon).alias("max_lon"),
+                                            F.array_min(lat).alias("min_lat"), F.array_max(lat).alias("max_lat"))
+
+
+@register(
+    "geo_bounds",
+    "with " + _RINGS_SQL + """, b as (select min(lon) + 0.5::double as min_lon, min(lat) + 0.25::double as min_lat, max(lon) + 1.5::double as max_lon, max(lat) + 1.25::double as max_lat from rings)
+ select *, (min_lat + max_lat) / 2 as center_lat, (min_lon + max_lon) / 2 as center_lon from b""",
+)
+def q_geo_bounds(spark, sf):
+    from votepanel.sources.geo import geo_bounds
+
+    return geo_bounds(polygons_table(spark, sf))
+
+
+@register(
+    "map_colour_table",
+    "with " + _RINGS_SQL + """, st as (select '00003-' || case when s_suppkey % 2 = 0 then lpad(cast(s_suppkey as varchar), 4, '0') else lpad(cast(s_suppkey as varchar), 3, '0') end as code_bv, s_suppkey,
+   case when s_acctbal > 5000 then 'centre' else 'neutral' end as colour_key from supplier where s_nationkey = 3)
+ select r.label, st.code_bv, coalesce(st.colour_key, 'no_data') as colour_key from (select distinct s_suppkey, label from rings) r left join st on st.s_suppkey = r.s_suppkey""",
+)
+def q_map_colour_table(spark, sf):
+    """Colours of the stations of one town, on the polygons of all towns; both forms of the station key occur."""
+    from votepanel.sources.geo import map_colour_table
+    from votepanel.sources.tables import read_table
+
+    s = read_table(spark, sf, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]).where("s_nationkey = 3")
+    k = F.col("s_suppkey").cast("string")
+    code = F.concat(F.lit("00003-"), F.lpad(k, F.greatest(F.length(k), F.when(F.col("s_suppkey") % 2 == 0, 4).otherwise(3)), "0"))
+    return map_colour_table(polygons_table(spark, sf), s.select(code.alias("code_bv"), F.when(F.col("s_acctbal") > 5000, "centre").otherwise("neutral").alias("colour_key")), "00003")
 
 
 # ------------------------------------------------------------------ display tables
@@ -321,21 +397,27 @@ def q_pivot_predictions(spark, sf):
     return round_doubles(pivot_category(blocs, ["code_bv"], [("", "predicted_share")], categories=DISPLAY_ORDER, agg="first", pivot_col="categorie"))
 
 
+def filled_cells(df):
+    """``(column_name, n)``: non-null values of every column, in one aggregation."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("n")) for c in df.columns])))
+
+
 @register(
     "column_matrix",
-    """select column_name, max(case when t = 'lineitem' then pos end) as lineitem, max(case when t = 'orders' then pos end) as orders,
- max(case when t = 'customer' then pos end) as customer from (
- select 'lineitem' as t, column_name, cast(row_number() over () as integer) as pos from (describe lineitem)
- union all select 'orders', column_name, cast(row_number() over () as integer) from (describe orders)
- union all select 'customer', column_name, cast(row_number() over () as integer) from (describe customer)) s group by column_name""",
+    """select column_name, max(case when t = 'lineitem' then n end) as lineitem, max(case when t = 'orders' then n end) as orders,
+ max(case when t = 'customer' then n end) as customer from (
+ select 'lineitem' as t, name as column_name, n from (unpivot (select count(columns(*)) from lineitem) on columns(*) into name name value n)
+ union all select 'orders', name, n from (unpivot (select count(columns(*)) from orders) on columns(*) into name name value n)
+ union all select 'customer', name, n from (unpivot (select count(columns(*)) from customer) on columns(*) into name name value n)) s group by column_name""",
 )
 def q_column_matrix(spark, sf):
-    """File x column presence / position table (schemas of three sources, pivoted per source)."""
+    """File x column table: the filled cells of each column in each of three sources, null where the source lacks it."""
     from votepanel.sources.tables import read_table
 
-    rows = [(t, c, i + 1) for t in ("lineitem", "orders", "customer") for i, c in enumerate(read_table(spark, sf, t).columns)]
-    sch = spark.createDataFrame(rows, "t string, column_name string, pos int")
-    return sch.groupBy("column_name").pivot("t", ["lineitem", "orders", "customer"]).agg(F.first("pos"))
+    names = ["lineitem", "orders", "customer"]
+    cells = reduce(lambda a, b: a.unionByName(b), [filled_cells(read_table(spark, sf, t)).withColumn("t", F.lit(t)) for t in names])
+    return cells.groupBy("column_name").pivot("t", names).agg(F.first("n"))
 
 
 # ------------------------------------------------------------------ rate choice per town and target rows

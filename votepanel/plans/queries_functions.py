@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from votepanel.constants import EUROPEAN_LIST_RULES, PRESIDENTIAL_NAME_RULES
 from votepanel.functions import codes as CD
 from votepanel.functions.categories import category_from_list, category_from_name, normalise_bloc, normalise_category
 from votepanel.functions.text import canonical_label, name_key, normalise_code, repair_mojibake, strip_accents
-from votepanel.operators.clean import prepare_long
+from votepanel.operators.clean import filter_department, prepare_long
 from votepanel.operators.mapping import mapping_override, unmapped_codes
 from votepanel.plans import oracle as O
 from votepanel.plans.catalog import register
@@ -39,32 +40,47 @@ def q_canonical_label(spark, sf):
 
 
 def _first_hit_sql(rules) -> str:
-    key = "regexp_replace(strip_accents(lower(text)), '[^a-z]', '', 'g')"
-    return "case when " + key + " = '' then null " + " ".join(f"when contains({key}, '{k}') then '{c}'" for k, c in rules) + " end"
+    words = ", ".join(f"'{k}'" for k, _ in rules)
+    key = "regexp_replace(strip_accents(lower(named)), '[^a-z]', '', 'g')"
+    hit = "case when " + key + " = '' then null " + " ".join(f"when contains({key}, '{k}') then '{c}'" for k, c in rules) + " end"
+    return f"select doc_id, {hit} as category from (select doc_id, concat_ws(' ', text, upper(([{words}])[doc_id % {len(rules) + 4} + 1])) as named from documents) d"
 
 
-@register("category_from_name", lambda: "select doc_id, " + _first_hit_sql(__import__("votepanel.constants", fromlist=["x"]).PRESIDENTIAL_NAME_RULES) + " as category from documents")
+def named_documents(spark, sf, rules):
+    """Documents that end with a word of ``rules``, by doc_id; four of every round of the words end with none."""
+    word = F.get(F.array(*[F.lit(k) for k, _ in rules]), (F.col("doc_id") % (len(rules) + 4)).cast("int"))
+    return documents(spark, sf).select("doc_id", F.concat_ws(" ", "text", F.upper(word)).alias("named"))
+
+
+@register("category_from_name", _first_hit_sql(PRESIDENTIAL_NAME_RULES))
 def q_category_from_name(spark, sf):
-    return documents(spark, sf).select("doc_id", category_from_name("text").alias("category"))
+    return named_documents(spark, sf, PRESIDENTIAL_NAME_RULES).select("doc_id", category_from_name("named").alias("category"))
 
 
-@register("category_from_list", lambda: "select doc_id, " + _first_hit_sql(__import__("votepanel.constants", fromlist=["x"]).EUROPEAN_LIST_RULES) + " as category from documents")
+@register("category_from_list", _first_hit_sql(EUROPEAN_LIST_RULES))
 def q_category_from_list(spark, sf):
-    return documents(spark, sf).select("doc_id", category_from_list("text").alias("category"))
+    return named_documents(spark, sf, EUROPEAN_LIST_RULES).select("doc_id", category_from_list("named").alias("category"))
 
 
 def _mojibake_sql() -> str:
     from votepanel.functions.text import MOJIBAKE_PAIRS
 
-    e = "replace(text, chr(65279), '')"
+    e = "replace(broken, chr(65279), '')"
     for bad, good in MOJIBAKE_PAIRS:
         e = f"replace({e}, '{bad}', '{good}')"
-    return f"select doc_id, regexp_replace(regexp_replace({e}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as text from documents"
+    bad = "replace(replace(replace(text, 'e', 'Ã©'), 'o', 'Ã´'), 'C', chr(65279) || 'Ã‡')"
+    return f"""select doc_id, regexp_replace(regexp_replace({e}, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as text
+ from (select doc_id, case when doc_id % 2 = 0 then {bad} else text end as broken from documents) d"""
 
 
 @register("repair_mojibake", _mojibake_sql)
 def q_repair_mojibake(spark, sf):
-    return documents(spark, sf).select("doc_id", repair_mojibake("text").alias("text"))
+    """Every second document carries letters that were decoded wrongly, and byte order marks."""
+    broken = F.col("text")
+    for good, bad in (("e", "Ã©"), ("o", "Ã´"), ("C", "﻿Ã‡")):
+        broken = F.replace(broken, F.lit(good), F.lit(bad))
+    text = F.when(F.col("doc_id") % 2 == 0, broken).otherwise(F.col("text"))
+    return documents(spark, sf).select("doc_id", repair_mojibake(text).alias("text"))
 
 
 @register("strip_accents", "select doc_id, strip_accents(text) as text from documents")
@@ -170,6 +186,16 @@ def q_extract_station_number(spark, sf):
     return s.select("s_suppkey", "s_name", CD.extract_station_number("s_name").alias("station_number"))
 
 
+@register(
+    "format_delta",
+    """with c as (select c_custkey, c_acctbal as v, cast(abs(round(c_acctbal * 100)) as bigint) as a from customer),
+ t as (select c_custkey, v, a // 10 + case when a % 10 > 5 or (a % 10 = 5 and (a // 10) % 2 = 1) then 1 else 0 end as tenths from c)
+ select c_custkey, case when v is null then 'N/A' else concat(case when v >= 0 then '+' else '-' end, tenths // 10, '.', tenths % 10) end as delta from t""",
+)
+def q_format_delta(spark, sf):
+    return read_table(spark, sf, "customer", ["c_custkey", "c_acctbal"]).select("c_custkey", CD.format_delta("c_acctbal").alias("delta"))
+
+
 @register(
     "event_key",
     O.with_ctes(O.FX_LONG) + "select distinct lower(trim(type_scrutin)) || '|' || cast(annee as varchar) || '|' || cast(tour as varchar) as event_key, type_scrutin, annee, tour from fx_long",
@@ -243,11 +269,15 @@ def q_mapping_override(spark, sf):
 
 
 # ------------------------------------------------------------------ filters
-@register("filter_department", O.with_ctes(O.FX_LONG) + "select code_bv, type_scrutin, annee, tour, lower(code_candidature) as code_candidature, voix from fx_long where substr(code_commune, 1, 2) = '00'")
+@register(
+    "filter_department",
+    O.with_ctes(O.FX_LONG) + """select code_bv, type_scrutin, annee, tour, lower(code_candidature) as code_candidature, voix from fx_long
+ where case when cast(code_commune as int) % 3 = 0 then substr(code_commune, 1, 2) else lpad(cast(cast(code_commune as int) % 5 as varchar), 2, '0') end = '00'""",
+)
 def q_filter_department(spark, sf):
-    lg = long_table(spark, sf)
-    dept = F.coalesce(F.col("dept") if "dept" in lg.columns else F.lit(None).cast("string"), F.substring("commune_code", 1, 2))
-    out = lg.where(dept == "00")
+    """Two towns of three name a department; the others fall back to the start of the town code."""
+    town = F.col("commune_code").cast("int")
+    out = filter_department(long_table(spark, sf).withColumn("dept", F.when(town % 3 != 0, F.lpad((town % 5).cast("string"), 2, "0"))), "00")
     return out.select("code_bv", F.col("election_type").alias("type_scrutin"), F.col("election_year").alias("annee"), F.col("round").alias("tour"),
                       F.lower("code_candidature").alias("code_candidature"), "voix")
 
@@ -373,12 +403,14 @@ def q_sample_rows(spark, sf):
 
 @register(
     "common_columns",
-    """select column_name, count(*) as n_tables from (select column_name from (describe lineitem) union all select column_name from (describe orders)
- union all select column_name from (describe customer)) t group by column_name""",
+    """select o_custkey as custkey, 'orders' as source from orders where o_custkey is not null union all select c_custkey, 'customer' from customer where c_custkey is not null""",
 )
 def q_common_columns(spark, sf):
-    rows = []
-    for t in ("lineitem", "orders", "customer"):
-        rows += [(t, c) for c in read_table(spark, sf, t).columns]
-    schema = spark.createDataFrame(rows, "table_name string, column_name string")
-    return schema.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_tables"))
+    """Rows of two sources over the columns they have in common (names without their table prefix)."""
+    frames = {}
+    for t in ("orders", "customer"):
+        df = read_table(spark, sf, t)
+        frames[t] = df.select(*[F.col(c).alias(c.split("_", 1)[1]) for c in df.columns])
+    common = [c for c in frames["orders"].columns if c in frames["customer"].columns and c != "comment"]
+    orders, customer = (df.select(*common, F.lit(t).alias("source")) for t, df in frames.items())
+    return orders.unionByName(customer).where(F.col("custkey").isNotNull())

@@ -576,10 +576,14 @@ def q_check_turnout_bound(spark, sf):
 @register(
     "check_balance",
     O.with_ctes(O.FX_LONG, O.FX_DIRTY, FXD_PREP, FXD_EV)
-    + f", g as (select *, abs((exprimes + blancs + nuls - votants) / nullif(votants, 0)) as balance_gap from fxd_ev) select * replace ({O.r6('balance_gap')} as balance_gap) from g where balance_gap > 0.02",
+    + f""", u as (select * replace (case when cast(right(code_bv, 4) as int) % 9 = 0 then blancs + 50.0 else blancs end as blancs) from fxd_ev),
+ g as (select *, abs((exprimes + blancs + nuls - votants) / nullif(votants, 0)) as balance_gap from u) select * replace ({O.r6('balance_gap')} as balance_gap) from g where balance_gap > 0.02""",
 )
 def q_check_balance(spark, sf):
-    return round_doubles(QC.check_balance(dirty_events(spark, sf)))
+    """Every ninth station reports 50 blank votes too many; the other stations balance."""
+    over = F.substring("code_bv", -4, 4).cast("int") % 9 == 0
+    events = dirty_events(spark, sf).withColumn("blancs", F.when(over, F.col("blancs") + 50.0).otherwise(F.col("blancs")))
+    return round_doubles(QC.check_balance(events))
 
 
 @register(
@@ -630,9 +634,9 @@ _SCOPE_TOWNS, _SCOPE_TYPES, _SCOPE_ROUNDS = ["00000", "00001", "00002"], ["low",
 @register(
     "check_scope",
     O.with_ctes(O.FX_LONG)
-    + f"""select array_to_string(list_sort(list_distinct(list(case when code_commune not in ('00000', '00001', '00002') then code_commune end))), ',') as unexpected_towns,
- array_to_string(list_sort(list_distinct(list(case when type_scrutin not in ('low', 'high', 'medium', 'urgent') then type_scrutin end))), ',') as unexpected_types,
- array_to_string(list_sort(list_distinct(list(case when tour not in (1) then cast(tour as varchar) end))), ',') as unexpected_rounds from fx_long""",
+    + """select distinct 'town' as kind, code_commune as value from fx_long where code_commune not in ('00000', '00001', '00002')
+ union all select distinct 'type', type_scrutin from fx_long where type_scrutin not in ('low', 'high', 'medium', 'urgent')
+ union all select distinct 'round', cast(tour as varchar) from fx_long where tour <> 1""",
 )
 def q_check_scope(spark, sf):
     return QC.check_scope(long_table(spark, sf), _SCOPE_TOWNS, _SCOPE_TYPES, _SCOPE_ROUNDS)
@@ -1182,18 +1186,28 @@ def q_key_lookup(spark, sf):
 
 @register(
     "star_schema",
-    lambda: O.with_ctes(_pn(), PN_LONG(), _DIMS_SQL) + """select 'categories' as table_name, count(*) as n_rows from ca union all select 'communes', count(*) from tw
- union all select 'bureaux', count(*) from bu union all select 'elections', count(*) from el union all select 'results_local', count(*) from lk
- union all select 'results_national', count(*) from (select distinct election_id, category_id from lk) n""",
+    lambda: O.with_ctes(_pn(), PN_LONG(), _DIMS_SQL) + f"""select 'categories' as table_name, category_id as id, category as label, cast(null as double) as share_pct from ca
+ union all select 'communes', commune_id, commune_code, null from tw
+ union all select 'bureaux', bureau_id, concat(commune_id, '|', bureau_code), null from bu
+ union all select 'elections', election_id, concat(election_type, '|', election_year, '|', round), null from el
+ union all select 'results_local', bureau_id, concat(election_id, '|', category_id), {O.r6('round_even(share * 100, 6)')} from lk
+ union all select 'results_national', election_id, cast(category_id as varchar), {O.r6('sum(cast(round(round_even(share * 100, 6) * 1000000) as bigint)) / count(share) / 1000000.0')} from lk group by election_id, category_id""",
 )
 def q_star_schema(spark, sf):
+    """The rows of all six tables as they are read back: table, id, natural key, share."""
     lp, dims = _star(spark, sf)
-    tables = {**dims, **WH.star_facts(lp, dims)}
-    paths = WH.write_star(tables, scratch_path(spark, "star"))
-    counts = [spark.read.parquet(p).select(F.lit(n).alias("table_name")).groupBy("table_name").count().withColumnRenamed("count", "n_rows") for n, p in paths.items()]
+    paths = WH.write_star({**dims, **WH.star_facts(lp, dims)}, scratch_path(spark, "star"))
+    shown = {"categories": ("id", ["name"]), "communes": ("id", ["insee_code"]), "bureaux": ("id", ["commune_id", "bureau_code"]),
+             "elections": ("id", ["election_type", "election_year", "round"]), "results_local": ("bureau_id", ["election_id", "category_id"]),
+             "results_national": ("election_id", ["category_id"])}
     from functools import reduce as _reduce
 
-    return _reduce(lambda a, b: a.unionByName(b), counts)
+    def rows(name):
+        t, (key, label) = spark.read.parquet(paths[name]), shown[name]
+        share = F.col("share_pct") if "share_pct" in t.columns else F.lit(None).cast("double")
+        return t.select(F.lit(name).alias("table_name"), F.col(key).alias("id"), F.concat_ws("|", *label).alias("label"), share.alias("share_pct"))
+
+    return round_doubles(_reduce(lambda a, b: a.unionByName(b), [rows(n) for n in shown]))
 
 
 @register(
@@ -1245,10 +1259,10 @@ def q_upsert_update(spark, sf):
     return round_doubles(WH.upsert_update(new, old, _UKEYS))
 
 
-@register("load_flat_table", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + "select count(*) as n_rows from fb_lags")
+@register("load_flat_table", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + O.select_r6(_BLOCS, _BLOCS_DBL, "fb_lags"))
 def q_load_flat_table(spark, sf):
-    n = WH.load_flat_table(blocs_table(spark, sf), scratch_path(spark, "elections_blocs"))
-    return spark.createDataFrame([(n,)], "n_rows long")
+    loaded = WH.load_flat_table(blocs_table(spark, sf), scratch_path(spark, "elections_blocs"))
+    return round_doubles(loaded.select(*_BLOCS))
 
 
 # ------------------------------------------------------------------ streaming ingest (file stream -> long table)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from votepanel.constants import CATEGORIES, INDEX_COLS, TARGET_COLS
 from votepanel.operators.reshape import melt
+from votepanel.session import cut_lineage
 
 
 def melt_panel(panel: DataFrame) -> DataFrame:
@@ -21,10 +22,18 @@ def melt_panel(panel: DataFrame) -> DataFrame:
 
 
 def dense_ids(keys: DataFrame, key_cols: list[str], *, id_col: str = "id", start_after: int = 0) -> DataFrame:
-    """Surrogate ids 1..n (after ``start_after``) ordered by the natural key. Dimensions are small
-    (elections, towns, stations, categories), so one ordered window over their distinct keys is fine."""
-    w = Window.orderBy(*key_cols)
-    return keys.select(*key_cols, (F.dense_rank().over(w) + F.lit(start_after)).cast("int").alias(id_col))
+    """Surrogate ids 1..n (after ``start_after``) of the distinct keys, ordered by the natural key.
+
+    The keys are written in ranges. A range numbers its own keys, after the sizes of the ranges before it; only these
+    sizes, one row a range, meet in one task."""
+    ranges = keys.select(*key_cols).distinct().repartitionByRange(*key_cols).withColumn("_range", F.spark_partition_id())
+    ranges = cut_lineage(ranges, "key_ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*key_cols))
+    ids = ranges.withColumn("_place", place).join(starts, "_range")
+    return ids.select(*key_cols, (F.col("_before") + F.col("_place") + F.lit(start_after)).cast("int").alias(id_col))
 
 
 def station_part(code_bv) -> F.Column:
@@ -121,7 +130,7 @@ def history_star_join(spark, paths: dict[str, str], commune_code: str | None = N
     )
 
 
-def load_flat_table(df: DataFrame, path: str) -> int:
-    """Replace-load of a processed table (Parquet) and its row count."""
+def load_flat_table(df: DataFrame, path: str) -> DataFrame:
+    """Replace-load of a processed table (Parquet); the loaded table."""
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).count()
+    return df.sparkSession.read.parquet(path)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votepanel.functions.codes import extract_station_number
+from votepanel.functions.codes import extract_station_number, station_code_candidates
 
 
 def _points(text_col) -> F.Column:
@@ -64,11 +64,9 @@ def geo_bounds(polys: DataFrame) -> DataFrame:
 
 def map_colour_table(polys: DataFrame, colours: DataFrame, commune_code: str) -> DataFrame:
     """Polygon label -> station number -> station key (``town-NNNN`` or ``town-NNN``) -> colour key;
-    labels without a number or without a forecast get ``no_data``."""
-    n = extract_station_number("label")
-    p = polys.select("label", n.alias("num")).distinct()
-    k4 = F.concat(F.lit(commune_code), F.lit("-"), F.lpad(F.col("num").cast("string"), 4, "0"))
-    k3 = F.concat(F.lit(commune_code), F.lit("-"), F.lpad(F.col("num").cast("string"), 3, "0"))
-    c = F.broadcast(colours.select("code_bv", "colour_key"))
-    j = p.join(c, (k4 == c.code_bv) | (k3 == c.code_bv), "left")
-    return j.select("label", "code_bv", F.coalesce("colour_key", F.lit("no_data")).alias("colour_key"))
+    labels without a number or without a forecast get ``no_data``. One row per label: the four-digit key goes first."""
+    forms = station_code_candidates(F.lit(commune_code), extract_station_number("label"))
+    labels = polys.select("label").distinct()
+    keys = labels.select("label", F.posexplode(F.array(*forms)).alias("form", "code_bv"))
+    hits = keys.join(colours.select("code_bv", "colour_key"), "code_bv").groupBy("label").agg(F.min(F.struct("form", "code_bv", "colour_key")).alias("hit"))
+    return labels.join(hits, "label", "left").select("label", "hit.code_bv", F.coalesce("hit.colour_key", F.lit("no_data")).alias("colour_key"))
