@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Limits of what a worker remembers: deterministic states, and pieces with their tokens.
-MAX_STATES, MAX_PIECES = 300_000, 400_000
+MAX_STATES, MAX_PIECES = 100_000, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -60,13 +61,14 @@ class Merger:
 class Transducer:
     """Lazily determinised transducer of a rank table: pieces of bytes to token ids.
 
-    A hypothesis is one number, (last token + 1, or 0) * 2^24 + trie node of the open bytes; a state is a tuple of them."""
+    A hypothesis is one number, (last token + 1, or 0) * 2^24 + trie node of the open bytes; a state is the bytes of an array of them.
+    A transition is one number, next state * 2^32 + token that ends here + 1 (0: none)."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.merge = Merger(ranks)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.length_of = {i: len(t) for t, i in ranks.items()}
+        self.length_of = {i: (i, len(t)) for t, i in ranks.items()}  # with the one object of each id, so that remembered ids share it
         self.child: dict[int, int] = {}
         self.token_at = [-1]
         for token, i in ranks.items():
@@ -83,12 +85,12 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.steps: dict[int, tuple[int, int]] = {}
-        self.hypotheses: list[tuple] = []
-        self.numbers: dict[tuple, int] = {}
-        self.start = self.number((0,))
+        self.steps: dict[int, int] = {}
+        self.hypotheses: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
+        self.start = self.number(array("q", (0,)).tobytes())
 
-    def number(self, state: tuple) -> int:
+    def number(self, state: bytes) -> int:
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.hypotheses)
@@ -156,11 +158,11 @@ class Transducer:
         self.follows[key] = known
         return known
 
-    def step(self, n: int, byte: int) -> tuple[int, int]:
+    def step(self, n: int, byte: int) -> int:
         """Build one transition of the determinised transducer: the next state, and the token that ends here or -1."""
-        found, ended = [], -1
+        found, ended = array("q"), -1
         child, token_at = self.child, self.token_at
-        for hypothesis in self.hypotheses[n]:  # the oldest open bytes first
+        for hypothesis in array("q", self.hypotheses[n]):  # the oldest open bytes first
             node = child.get((hypothesis & 0xFFFFFF) << 8 | byte)
             if node is not None:
                 last = hypothesis >> 24
@@ -170,7 +172,7 @@ class Transducer:
                     ended = token
         if ended >= 0:
             found.append((ended + 1) << 24)
-        out = self.steps[n << 8 | byte] = (self.number(tuple(found)), ended)
+        out = self.steps[n << 8 | byte] = self.number(found.tobytes()) << 32 | ended + 1
         return out
 
     def __call__(self, piece: bytes) -> tuple[int, ...]:
@@ -184,9 +186,9 @@ class Transducer:
             got = known(n << 8 | byte)
             if got is None:
                 got = self.step(n, byte)
-            n, token = got
+            n, token = got >> 32, (got & 0xFFFFFFFF) - 1
             ends.append(token)
-            if len(ends) >= 512 and token >= 0 and len(self.hypotheses[n]) == 1:  # one hypothesis left: all before it is certain
+            if len(ends) >= 512 and token >= 0 and len(self.hypotheses[n]) == 8:  # one hypothesis left: all before it is certain
                 out += self.emitted(ends)
                 ends.clear()
         return (*out, *self.emitted(ends))
@@ -195,9 +197,9 @@ class Transducer:
         """The certain tokens, read back from the last byte by their lengths."""
         out, at = [], len(ends)
         while at:
-            token = ends[at - 1]
+            token, length = self.length_of[ends[at - 1]]
             out.append(token)
-            at -= self.length_of[token]
+            at -= length
         out.reverse()
         return out
 
@@ -222,13 +224,31 @@ class Remembered(dict):
 _LEADS = ((0xC2, 0xDF, 1, 0x80, 0xBF), (0xE0, 0xE0, 2, 0xA0, 0xBF), (0xE1, 0xEC, 2, 0x80, 0xBF), (0xED, 0xED, 2, 0x80, 0x9F), (0xEE, 0xEF, 2, 0x80, 0xBF), (0xF0, 0xF0, 3, 0x90, 0xBF), (0xF1, 0xF3, 3, 0x80, 0xBF), (0xF4, 0xF4, 3, 0x80, 0x8F))
 
 
+class OpenSequence(dict):
+    """A state of the decoder, the unfinished UTF-8 sequence: token id -> (next state, text), built when first met."""
+
+    def __init__(self, decoder: StreamDecoder, unfinished: bytes) -> None:
+        super().__init__()
+        self.decoder, self.unfinished = decoder, unfinished
+
+    def __missing__(self, token: int) -> tuple[OpenSequence, str]:
+        state, text = self.decoder.feed(self.unfinished, self.decoder.tokens[token])
+        got = self[token] = (self.decoder.state(state), text)
+        return got
+
+
 class StreamDecoder:
     """Token ids to text, one token at a time; the state is the open UTF-8 sequence."""
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
         self.tokens = tokens
         self.leads = {b: (n, lo, hi) for first, last, n, lo, hi in _LEADS for b in range(first, last + 1)}
-        self.steps: dict[tuple[bytes, int], tuple[bytes, str]] = {}
+        self.states: dict[bytes, OpenSequence] = {}
+
+    def state(self, unfinished: bytes) -> OpenSequence:
+        if unfinished not in self.states:
+            self.states[unfinished] = OpenSequence(self, unfinished)
+        return self.states[unfinished]
 
     def feed(self, state: bytes, data: bytes) -> tuple[bytes, str]:
         """The per-byte machine: open sequence and bytes -> open sequence and text."""
@@ -256,16 +276,13 @@ class StreamDecoder:
         return state, "".join(out)
 
     def __call__(self, ids: list[int]) -> str:
-        state, out, steps = b"", [], self.steps
+        if sum(map(len, self.states.values())) >= MAX_STATES:
+            self.states.clear()
+        state, out = self.state(b""), []
         for i in ids:
-            got = steps.get((state, i))
-            if got is None:
-                if len(steps) >= MAX_PIECES:
-                    steps.clear()
-                got = steps[state, i] = self.feed(state, self.tokens[i])
-            state = got[0]
-            out.append(got[1])
-        return "".join(out) + ("�" if state else "")
+            state, text = state[i]
+            out.append(text)
+        return "".join(out) + ("�" if state.unfinished else "")
 
 
 def codec(path: str, pattern: str) -> tuple[Callable[[str], list[int]], StreamDecoder]:
@@ -303,6 +320,7 @@ def _run(name: str, pattern: str, keep_ids: bool):
         if (path, pattern) not in _CODECS:
             _CODECS[path, pattern] = codec(path, pattern)
         encode, decode = _CODECS[path, pattern]
+        decimal = {i: str(i) for i in decode.tokens}
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
@@ -311,7 +329,7 @@ def _run(name: str, pattern: str, keep_ids: bool):
                 for text in batch.column(1):
                     ids = encode(text.as_py() or "")
                     rows[0].append(len(ids))
-                    rows[1].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+                    rows[1].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     rows[2].append(hashlib.sha256(decode(ids).encode()).hexdigest())
                     if keep_ids:
                         kept.append(pa.array(ids, pa.int32()))
