@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from votepanel.llm import bpe, grading, mixing, near_dup, repeats
 from votepanel.session import cut_lineage
 
+#: Near duplicates of the corpus: the general rule, five words and similarity 0.8 or more (``op3_near_dup`` has 0.85).
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier does not reject."""
@@ -19,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the smallest doc_id. Rows without doc_id stay; so do texts without words."""
-    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    """One document of each near-duplicate group at similarity 0.80: the smallest doc_id. Rows without doc_id stay; so do texts without words."""
+    kept = near_dup.near_duplicates(docs.select("doc_id", "text"), NEAR_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     chosen = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left").where("_kept is not null or doc_id is null")
     return chosen.select(*docs.columns)
 

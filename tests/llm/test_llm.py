@@ -81,6 +81,27 @@ def test_near_duplicates_odd_rows_and_groups(spark, monkeypatch):
     assert near_dup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_near_duplicates_at_80_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    assert near_dup.layout(85) == (26, 5, 88) and near_dup.layout(80)[:2] == (32, 4)
+    with pytest.raises(ValueError):
+        near_dup.layout(79)
+    rows, far = [], 0
+    for k in range(40):  # 204 words are 200 shingles; 4 far edits replace 20 of them: 180 of 220, similarity 0.818
+        w = words(204, 1000 + k, 5000)
+        rows.append((2 * k, " ".join(w), "en", "a", 0))
+        n = 4 if k % 4 else 5  # 5 edits: 175 of 225, similarity 0.778
+        far += n == 5
+        for at in range(20, 20 + 40 * n, 40):
+            w[at] = f"edit{k}"
+        rows.append((2 * k + 1, " ".join(w), "en", "a", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert near_dup.near_duplicates(docs).where("kept").count() == 80  # op3 stays at 0.85
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert left == {2 * k for k in range(40)} | {2 * k + 1 for k in range(0, 40, 4)} and len(left) == 40 + far
+
+
 def test_components_chain_and_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(5, 5), (None, 3)]
     got = dict(components.connected_components(spark.createDataFrame(links, "u long, v long")).collect())

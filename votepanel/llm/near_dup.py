@@ -1,8 +1,9 @@
 """MinHash near-duplicate groups by min-max hashing.
 
 Every permutation keeps both its minimum and its maximum over a document's shingle set, so 65 hash evaluations per shingle give
-130 signature values; both agree between two sets with probability equal to their Jaccard similarity. 26 bands of 5 values
-propose candidates: a pair at similarity 0.85 is missed with probability (1 - 0.85^5)^26 = 2e-7.
+130 signature values; both agree between two sets with probability equal to their Jaccard similarity. Bands of values propose
+candidates, laid out for the threshold: 26 bands of 5 at 0.85, where a pair at the threshold is missed with probability
+(1 - 0.85^5)^26 = 2e-7; 32 bands of 4 at 0.80, (1 - 0.80^4)^32 = 5e-8.
 
 Documents with the same shingle set are one class from the start. Inside a band bucket, members are first compared with one hub
 (linear in the bucket). Buckets that still hold several components compare only members of different components on one-byte
@@ -19,6 +20,7 @@ a row without doc_id keeps a null component, is linked with nothing and is kept;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +32,37 @@ from votepanel.llm.components import connected_components
 from votepanel.llm.hashing import U, WordIds, mix, odd_constants, shingle_set
 from votepanel.session import cut_lineage
 
-PERMUTATIONS, ROWS_PER_BAND, SHINGLE_WORDS = 65, 5, 5
-BANDS = 2 * PERMUTATIONS // ROWS_PER_BAND
-#: Signature values that must agree before a pair is confirmed on full sets: 5.5 standard deviations under 0.85 * 130.
-MIN_AGREE = 88
+PERMUTATIONS, SHINGLE_WORDS, LEAST_PERCENT = 65, 5, 80
+VALUES = 2 * PERMUTATIONS
+#: Chance that a pair at the threshold shares no band, at most.
+MISS = 5e-7
 #: Members of a small bucket; members, and their shingles, of a block of a large one.
 SMALL, BLOCK, BLOCK_SHINGLES = 64, 1024, 500_000
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    ids, a, c = WordIds(), odd_constants(PERMUTATIONS, 11), odd_constants(ROWS_PER_BAND, 23)
-    of_band = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+def layout(percent: int) -> tuple[int, int, int]:
+    """Bands, values per band, and signature values that must agree before a pair is confirmed on full sets.
+
+    Bands hold as many values as MISS allows; the values that must agree are 5.5 standard deviations under those expected."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the bands are laid out for similarities of 0.{LEAST_PERCENT} and more")
+    s = percent / 100
+    rows = max(r for r in range(1, 6) if (1 - s**r) ** (VALUES // r) <= MISS)
+    return VALUES // rows, rows, math.floor(VALUES * s - 5.5 * math.sqrt(VALUES * s * (1 - s)))
+
+
+def _signatures(percent: int):
+    n_bands, rows, _ = layout(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _signature_batches(batches, n_bands, rows)
+
+    return run
+
+
+def _signature_batches(batches: Iterator[pa.RecordBatch], n_bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+    ids, a, c = WordIds(), odd_constants(PERMUTATIONS, 11), odd_constants(rows, 23)
+    of_band = mix(np.arange(1, n_bands + 1, dtype=np.uint64))
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -53,7 +75,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     np.minimum(low, p.min(axis=0), out=low)
                     np.maximum(high, p.max(axis=0), out=high)
                 values = mix(np.stack([low, high], axis=1).ravel())
-                bands = mix((values.reshape(BANDS, ROWS_PER_BAND) * c).sum(axis=1, dtype=np.uint64) + of_band).view(np.int64)
+                bands = mix((values[: n_bands * rows].reshape(n_bands, rows) * c).sum(axis=1, dtype=np.uint64) + of_band).view(np.int64)
                 sig = (values & U(255)).astype(np.uint8).tobytes()
                 d1, d2 = (int(mix(s ^ U(k)).sum(dtype=np.uint64).view(np.int64)) for k in (0x5BD1E995, 0x27D4EB2F))
             for col, v in zip(out, (doc_id, len(s), d1, d2, bands, sig), strict=True):
@@ -64,10 +86,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``(doc_id, n_shingles, d1, d2, bands, sig)``: set size, 128-bit set digest, band hashes, one byte per signature value."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _signatures, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"
+        _signatures(percent), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sig binary"
     )
 
 
@@ -98,11 +120,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "su", "sv").mapInArrow(_confirm(percent), "u long, v long")
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= MIN_AGREE))
+def _agree(percent: int):
+    _, _, min_agree = layout(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= min_agree))
+
+    return run
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -114,6 +141,7 @@ def _across(percent: int, confirm: bool):
     """Pairs between different components of one pair of blocks, which comes as one row of lists.
 
     ``confirm``: members bring their bands and sets, and only confirmed pairs are returned, in the first band they share."""
+    _, _, min_agree = layout(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +162,7 @@ def _across(percent: int, confirm: bool):
                     x, y = np.nonzero(ok if i != j else ok & (node[a][:, None] < node[right]))
                     for p in range(0, len(x), 65536):
                         xs, ys = a[x[p : p + 65536]], right[y[p : p + 65536]]
-                        near = (sig[xs] == sig[ys]).sum(axis=1) >= MIN_AGREE
+                        near = (sig[xs] == sig[ys]).sum(axis=1) >= min_agree
                         xs, ys = xs[near], ys[near]
                         if confirm and len(xs):
                             shared = bands[xs] == bands[ys]
@@ -157,11 +185,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Components of the links 100 * |A & B| >= percent * |A | B| between shingle sets.
 
     Returns every row's ``doc_id, n_shingles, component_id`` (smallest doc_id reachable, itself included) and ``kept`` (doc_id =
-    component_id). ``percent`` of 85 or more; the banding is laid out for it.
+    component_id). ``percent`` of 80 or more; the bands are laid out for it.
     """
-    if percent < 85:
-        raise ValueError("the bands are laid out for similarities of 0.85 and more")
-    sig = cut_lineage(signatures(docs), "signatures")
+    sig = cut_lineage(signatures(docs, percent), "signatures")
     live = sig.where("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(live.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     reps = live.join(classes.select(F.col("node").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi")
@@ -180,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     star = members.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     star = star.join(side("v"), "v").join(side("u"), "u").where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-    links = cut_lineage(confirmed(star.select("u", "v", "s_u", "s_v").mapInArrow(_agree, "u long, v long"), sets, percent), "links")
+    links = cut_lineage(confirmed(star.select("u", "v", "s_u", "s_v").mapInArrow(_agree(percent), "u long, v long"), sets, percent), "links")
     first = connected_components(links)
 
     # buckets that still hold more than one component
