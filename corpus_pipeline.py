@@ -22,10 +22,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group at similarity 0.80: the smallest doc_id. Rows without doc_id stay; so do texts without words."""
-    kept = near_dup.near_duplicates(docs.select("doc_id", "text"), NEAR_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left").where("_kept is not null or doc_id is null")
-    return chosen.select(*docs.columns)
+    """One row of each near-duplicate group at similarity 0.80: the smallest doc_id, a row without doc_id only where none has one.
+
+    Rows are told apart by a number of their own, so rows that repeat a doc_id, or have none, are members like others. Texts without
+    words have no group and stay."""
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_PERCENT)
+    groups = found.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("doc_id").cast("long").alias("_id"))
+    # false before true: null ids come last; the rows of one id by number
+    kept = groups.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row")))["_row"].alias("_row")).select("_row")
+    wordless = found.where("n_shingles = 0").select(F.col("doc_id").alias("_row"))
+    return rows.join(kept.unionByName(wordless), "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

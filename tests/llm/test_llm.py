@@ -102,6 +102,20 @@ def test_near_duplicates_at_80_percent(spark, tmp_path):
     assert left == {2 * k for k in range(40)} | {2 * k + 1 for k in range(0, 40, 4)} and len(left) == 40 + far
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, tmp_path):
+    import corpus_pipeline
+
+    x, y, z, q = (" ".join(words(150, 2000 + k, 5000)) for k in range(4))  # all over 400 bytes
+    near = " ".join(words(150, 2002, 5000)[:-1] + ["edit"])
+    rows = [(7, x), (7, x), (None, x), (None, y), (None, y), (9, z), (9, q), (8, near), (None, q), (20, None), (20, None), (21, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(7, x), (None, y), (8, near), (9, q), (20, None), (20, None), (21, " ")], key=str)
+    left = {r.text for r in corpus_pipeline.repeated_passages(spark, out, str(tmp_path)).collect()}
+    assert {x, y, near, q} <= left
+
+
 def test_components_chain_and_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(5, 5), (None, 3)]
     got = dict(components.connected_components(spark.createDataFrame(links, "u long, v long")).collect())
