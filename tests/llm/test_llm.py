@@ -250,6 +250,17 @@ def test_outliers(spark):
     assert outliers.quality_rules(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_outliers_in_small_pools(spark):
+    r = random.Random(8)
+    rows = [(i, " ".join(words(r.randrange(60, 300), i, 5000)), "en", "hot", "") for i in range(200)]
+    for k, (lang, source) in enumerate([("en", "small"), ("xx", "s1"), ("xx", "s2")]):  # a pool under 50; a language under 50
+        rows += [(1000 + 100 * k + i, " ".join(words(150, 3000 + 10 * k + i, 5000)), lang, source, "") for i in range(6)]
+        rows += [(1050 + 100 * k + i, " ".join(x + "%%%" for x in words(150, 4000 + 10 * k + i, 5000)), lang, source, "") for i in range(4)]
+    got = {x.doc_id: x for x in outliers.quality_rules(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len(got) == 230 and all(x.distance is not None for x in got.values())
+    assert all(x.kept == (x.doc_id < 1000 or x.doc_id % 100 < 50) for x in got.values())
+
+
 def test_grades_held_out(spark):
     r = random.Random(9)
     rows, labels = [], []

@@ -1,7 +1,8 @@
 """Quality rules: text statistics, base rules, and robust multivariate outliers per language and source.
 
 The statistics of a text are turned into five numbers: log words, log mean word length, log symbols per hundred words, share of repeated
-lines, share of repeated words. Per group (language and source; sources with under MIN_GROUP rows are pooled in their language) the
+lines, share of repeated words. Per group (language and source; sources with under MIN_GROUP rows are pooled in their language; a pool under
+MIN_GROUP is judged by the estimate of its whole language, large sources included, and a language under it by that of all rows) the
 minimum covariance determinant is estimated over the rows that pass the base rules: from a start, concentration steps
 repeatedly take the three quarters of the rows with the smallest Mahalanobis distances and recompute mean and covariance. Two
 starts run side by side (coordinate medians and deviations; classical moments), and the smaller determinant wins. Rows
@@ -11,8 +12,8 @@ Distribution. Numbers are fixed-point integers, so sums of moments are exact and
 a distance comes from a histogram over a fine logarithmic grid (the whole grid cell at the rank is taken). So a step is two
 aggregations with map-side partials, whatever share of the rows a group holds; only one row per group is solved in numpy.
 
-Defined results: null text has no words and fails the base rules; null language or source is the empty name; a group with under
-MIN_GROUP rows even when pooled rejects nothing; a covariance is never under FLOOR per number, so constant numbers are no
+Defined results: null text has no words and fails the base rules; null language or source is the empty name; every
+row that passes the base rules has a distance; a covariance is never under FLOOR per number, so constant numbers are no
 singularity; repeated rows count each; null ids pass through; other columns are ignored.
 """
 
@@ -134,18 +135,24 @@ def _median_start(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """Statistics, ``base_failed``, squared ``distance`` (null without an estimate) and ``kept`` of every row."""
+    """Statistics, ``base_failed``, squared ``distance`` (null where the base rules fail) and ``kept`` of every row."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS)
     stats = text.mapInArrow(_stats, schema).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     stats = cut_lineage(stats.select("*", *_numbers()), "stats")
     named = F.to_json(F.array("lang", "source"))
-    pooled = F.to_json(F.array("lang"))
+    pooled, whole, every = F.to_json(F.array("lang")), F.to_json(F.array("lang", F.lit(""), F.lit(""))), F.lit("[]")
     sound = stats.where("not base_failed")
-    groups = sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).select("lang", "source", F.when(F.col("n") >= MIN_GROUP, named).otherwise(pooled).alias("g"))
-    rows = cut_lineage(sound.join(groups, ["lang", "source"]).select("g", *[f"x{i}" for i in range(P)]), "numbers")
-    large = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_GROUP).select("g")
-    rows = rows.join(large, "g", "left_semi")
+    counts = cut_lineage(sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "counts")
+    langs = counts.groupBy("lang").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") < MIN_GROUP, F.col("n")).otherwise(0)).alias("pool"))
+    tiny = langs.agg(F.coalesce(F.min("all") < MIN_GROUP, F.lit(False)).alias("tiny"))
+    own = F.when(F.col("n") >= MIN_GROUP, named).when(F.col("pool") >= MIN_GROUP, pooled).when(F.col("all") >= MIN_GROUP, whole).otherwise(every)
+    # the wider estimates are made only where a pool or a language needs them
+    wide = [F.when((F.col("pool") > 0) & (F.col("pool") < MIN_GROUP) & (F.col("all") >= MIN_GROUP), whole), F.when(F.col("tiny"), every)]
+    groups = counts.join(langs, "lang").crossJoin(tiny).select("lang", "source", own.alias("g"), F.array_compact(F.array_distinct(F.array(own, *wide))).alias("member"))
+    groups = cut_lineage(groups, "groups")
+    rows = sound.join(groups, ["lang", "source"]).select(F.explode("member").alias("g"), *[f"x{i}" for i in range(P)])
+    rows = cut_lineage(rows, "numbers")
     start = _median_start(rows).unionByName(_fit(rows.withColumn("start", F.lit(1))))
     params = cut_lineage(start, "mcd_start")
     both = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -155,7 +162,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     params = params.join(best, ["g", "start"])
     for _ in range(STEPS - 2):
         params = cut_lineage(_fit(_nearest(rows.join(params.select("g", "start"), "g"), params)), "mcd")
-    scored = stats.join(groups, ["lang", "source"], "left").join(params.drop("start", "det"), "g", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))
+    scored = stats.join(groups.drop("member"), ["lang", "source"], "left").join(params.drop("start", "det"), "g", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept"), "distance")
 
 
