@@ -163,7 +163,7 @@ def test_repeats_against_brute_force(spark, monkeypatch, collection):
     rows = [(1, base[:900]), (2, "x" * 200 + base[100:700] + "y" * 300), (3, base[300:1200]), (4, "a" * 3000), (5, "ab" * 500), (6, None), (7, ""), (8, base[1500:1899]), (9, base[1400:2000])]
     rows += [(10, ("a line that repeats %s\n" % base[2000:2100]) * 7), (11, base[2100:2700]), (11, base[2100:2700]), (None, "q" * 100 + base[2500:3000]), (12, "a" * 399)]
     docs = spark.createDataFrame([(*x, "t") for x in rows], "doc_id long, text string, key string")
-    want = [(d, *x) for (d, _), x in zip(rows, repeats_oracle([(t or "").encode() for _, t in rows], 400))]
+    want = [(d, *x, x[0] - x[1]) for (d, _), x in zip(rows, repeats_oracle([(t or "").encode() for _, t in rows], 400))]
     assert sorted(map(tuple, repeats.repeats_report(docs).collect()), key=str) == sorted(want, key=str)
     left = repeats.remove_repeats(docs)
     assert left.columns == docs.columns and {x.doc_id: x.text for x in left.collect()}[6] is None
@@ -295,3 +295,62 @@ def test_pipeline_keeps_columns_and_effects(spark, tmp_path):
     assert 500 not in ids and 3 in ids and 501 in ids
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 0
+
+
+def passages_oracle(texts, length):
+    """Words left of every text: those under no window of ``length`` words that a different text holds."""
+    split = {t: t.encode().split() for t in texts}
+    holders = collections.defaultdict(set)
+    for t, w in split.items():
+        for i in range(len(w) - length + 1):
+            holders[tuple(w[i : i + length])].add(t)
+    out = []
+    for t in texts:
+        w = split[t]
+        gone = {k for i in range(len(w) - length + 1) if len(holders[tuple(w[i : i + length])]) > 1 for k in range(i, i + length)}
+        out.append([x.decode() for k, x in enumerate(w) if k not in gone])
+    return out
+
+
+@pytest.mark.parametrize("collection", [4096, 1])
+def test_passages_against_brute_force(spark, monkeypatch, collection):
+    monkeypatch.setattr(repeats, "COLLECTION", collection)
+    passages = [words(n, 70 + n, 900) for n in (49, 50, 51, 55, 60, 200)]
+    rows = []
+    for i in range(60):
+        w = words(30 + i, 500 + i, 3000)
+        for p in range(len(passages)):
+            if i % (p + 3) == 0:
+                at = (i * 7) % len(w)
+                w = w[:at] + passages[p] + w[at:]
+        rows.append((i, (" " if i % 2 else "\n\t").join(w)))
+    own = words(60, 5, 3000)
+    rows += [(100, " ".join(own * 2)), (101, " ".join(words(80, 9, 3000))), (102, " ".join(words(80, 9, 3000))), (103, " ".join(passages[5])), (104, " ".join(passages[5]) + "\n"), (105, "a " * 400), (106, "b a " + "a " * 300 + "é"), (107, None), (108, ""), (109, " \n")]
+    docs = spark.createDataFrame([(*x, "t", [1]) for x in rows], "doc_id long, text string, key string, spans array<int>").repartition(3)
+    got = {r.doc_id: r.text for r in repeats.remove_passages(docs).collect()}
+    want = passages_oracle([t or "" for _, t in rows], 50)
+    text = dict(rows)
+    for (i, t), left in zip(rows, want, strict=True):
+        if t is None or left == t.split():
+            assert got[i] == t  # unchanged
+        elif left:
+            assert got[i].split() == left
+        else:
+            assert i not in got
+    assert got[100] == text[100] and got[101] == text[101] == got[102] and 103 not in got and 104 not in got  # own repeats and whole copies stay
+    assert repeats.remove_passages(docs.limit(0)).count() == 0 and repeats.remove_passages(docs).columns == docs.columns
+
+
+def test_pipeline_passages_of_51_to_60_words(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = {n: " ".join(words(n, 90 + n, 400)) for n in range(51, 61)}
+    assert all(len(p) < 400 for p in passage.values())
+    rows = [(i, " ".join(words(100, 800 + i, 4000)), "en", "a", 0) for i in range(60)]
+    rows += [(100 + i, f"{t}\n{passage[51 + i % 10]}\n{t[::-1]}", "en", "a", 0) for i, (_, t, *_) in enumerate(rows[:20])]
+    docs = spark.createDataFrame([(i, t, x, y, len(t)) for i, t, x, y, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.repeated_passages(spark, docs, str(tmp_path)).collect()}
+    whole = {i: t for i, t, *_ in rows}
+    assert all(got[i].text == whole[i] for i in range(20, 60))
+    assert all(passage[51 + i % 10] not in got[100 + i].text and got[100 + i].text.strip() == whole[i][::-1] and got[100 + i].n_chars == len(got[100 + i].text) for i in range(20))
+    assert not any(i in got for i in range(20))  # of these texts all 100 words occur in another text

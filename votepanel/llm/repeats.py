@@ -1,4 +1,8 @@
-"""Removal of long repeated byte strings by column-wise construction of multi-document Burrows-Wheeler transforms.
+"""Removal of long repeats by column-wise construction of multi-document Burrows-Wheeler transforms.
+
+A text is a sequence of symbols: its bytes (``remove_repeats``: strings of 400 bytes that start anywhere else, same text included) or its
+words (``remove_passages``: 50 words in a row that another text holds too, whatever the white space between them). What follows
+names bytes; words are the same with 8-word grams and 64-bit word hashes as symbols, and "another string" means one of another text.
 
 Distribution. Two equal windows of ``length`` bytes have the same smallest 64-byte-gram hash. Every document is cut into runs of windows
 with the same smallest hash ("super-windows": the bytes of the run's windows, at most 511 + length of them); equal windows
@@ -18,30 +22,51 @@ further, window by window, with partial counts.
 
 Defined results: null text is the empty text; texts shorter than ``length`` bytes lose nothing; rows that repeat a text (with or
 without the same doc_id) are occurrences of each other; null ids pass through; columns beside ``doc_id`` and ``text`` are
-ignored by the report.
+ignored by the report. Between documents (passages), rows of one text are one document: copies of whole texts stay, and so does what
+only one text repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from votepanel.llm.hashing import U, mix, odd_constants
+from votepanel.llm.hashing import U, WordIds, mix, odd_constants
 from votepanel.session import cut_lineage
 
-GRAM, CHUNK, MAX_RUN = 64, 65_536, 512
+CHUNK, MAX_RUN = 65_536, 512
 #: Strings of one collection; larger hash groups are split by window.
 COLLECTION = 4096
 
 
+_WORDS = WordIds()
+
+
+@dataclass(frozen=True)
+class Alphabet:
+    """What a text is a sequence of: the symbols of its bytes, and how many make a gram. ``across``: only repeats in other texts count."""
+
+    symbols: Callable[[bytes], np.ndarray]
+    kind: type
+    gram: int
+    across: bool
+
+
+BYTES = Alphabet(lambda data: np.frombuffer(data, np.uint8), np.uint8, 64, False)
+WORDS = Alphabet(lambda data: _WORDS.of(data.split()), np.uint64, 8, True)
+
+
 class RollingHash:
-    """Hashes of all grams of a byte array, from prefix sums of a polynomial modulo 2^64."""
+    """Hashes of all grams of a symbol array, from prefix sums of a polynomial modulo 2^64."""
 
     def __init__(self, size: int) -> None:
         base = int(odd_constants(1, 71)[0])
@@ -54,7 +79,8 @@ class RollingHash:
 
     def grams(self, data: np.ndarray, n: int) -> np.ndarray:
         prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.of_byte[data] * self.power[: len(data)], out=prefix[1:])
+        values = self.of_byte[data] if data.dtype == np.uint8 else data
+        np.cumsum(values * self.power[: len(data)], out=prefix[1:])
         m = len(data) - n + 1
         return mix((prefix[n:] - prefix[:m]) * self.inverse[:m])
 
@@ -70,15 +96,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def super_windows(data: bytes, length: int, rolling: RollingHash) -> tuple[np.ndarray, ...]:
+def super_windows(whole: np.ndarray, length: int, gram: int, rolling: RollingHash) -> tuple[np.ndarray, ...]:
     """Runs of windows with one smallest gram hash: (hash, first window, windows, hash occurs twice, two content hashes)."""
     out: list[list] = [[], [], [], []]
     digests = []
-    whole = np.frombuffer(data, np.uint8)
-    for c in range(0, len(data) - length + 1, CHUNK):
+    data, item = whole.tobytes(), whole.itemsize
+    for c in range(0, len(whole) - length + 1, CHUNK):
         part = whole[c : c + CHUNK + length - 1]
-        g = rolling.grams(part, GRAM)
-        low = sliding_min(g, length - GRAM + 1)
+        g = rolling.grams(part, gram)
+        low = sliding_min(g, length - gram + 1)
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         size = np.diff(np.append(start, len(low)))
         if size.max() > MAX_RUN:
@@ -87,12 +113,12 @@ def super_windows(data: bytes, length: int, rolling: RollingHash) -> tuple[np.nd
             start, left = np.repeat(start, extra) + k * MAX_RUN, np.repeat(size, extra) - k * MAX_RUN
             size = np.minimum(left, MAX_RUN)
         value = low[start]
-        span = length - GRAM
+        span = length - gram
         out[0].append(value)
         out[1].append(start + c)
         out[2].append(size)
         out[3].append(np.fromiter((np.count_nonzero(g[s : s + n + span] == v) > 1 for s, n, v in zip(start.tolist(), size.tolist(), value, strict=True)), bool, len(start)))
-        digests += [xxhash.xxh3_128_digest(data[s : s + n + length - 1]) for s, n in zip((start + c).tolist(), size.tolist(), strict=True)]
+        digests += [xxhash.xxh3_128_digest(data[item * s : item * (s + n + length - 1)]) for s, n in zip((start + c).tolist(), size.tolist(), strict=True)]
     if not digests:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, bool, np.int64, np.int64))
     content = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
@@ -103,7 +129,7 @@ def super_windows(data: bytes, length: int, rolling: RollingHash) -> tuple[np.nd
 RUN_TYPE = pa.struct([("mh", pa.int64()), ("first", pa.int64()), ("size", pa.int64()), ("twice", pa.bool_()), ("c1", pa.int64()), ("c2", pa.int64())])
 
 
-def _cut(length: int):
+def _cut(length: int, alphabet: Alphabet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = RollingHash(CHUNK + length)
         for whole in batches:
@@ -114,7 +140,7 @@ def _cut(length: int):
                     data = (text.as_py() or "").encode()
                     sizes.append(len(data))
                     shas.append(hashlib.sha256(data).hexdigest())
-                    parts.append(super_windows(data, length, rolling))
+                    parts.append(super_windows(alphabet.symbols(data), length, alphabet.gram, rolling))
                     offsets.append(offsets[-1] + len(parts[-1][0]))
                 fields = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
                 runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(RUN_TYPE)))
@@ -124,18 +150,24 @@ def _cut(length: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``key`` (a hash of the text, also its size: the result depends on the text alone) and the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.octet_length(text)).alias("key"), text.alias("text"))
+    """``doc_id``, ``key`` and the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
 
+def _key() -> Column:
+    """The identity of a text, on which alone the result depends: 128 bits of its bytes."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
-def column_order_repeats(strings: list[bytes], anchors: np.ndarray, windows: np.ndarray, length: int) -> list[np.ndarray]:
+
+def column_order_repeats(strings: list[bytes], anchors: np.ndarray, windows: np.ndarray, length: int, kind: type = np.uint8, owners: np.ndarray | None = None) -> list[np.ndarray]:
     """Per string, which of its first ``windows[i]`` windows also start in another string at the same distance from the anchor.
 
-    ``anchors[i]``: place of the string's anchor. Every window holds its anchor, so equal windows are in one column."""
+    ``anchors[i]``: place of the string's anchor. Every window holds its anchor, so equal windows are in one column. ``kind``: the symbols
+    that the bytes of a string are. ``owners[i]``: strings of one owner don't count for each other."""
     n = len(strings)
-    sizes = np.fromiter(map(len, strings), np.int64, n)
-    text = np.frombuffer(b"".join(strings), np.uint8)
+    text = np.frombuffer(b"".join(strings), kind)
+    sizes = np.fromiter(map(len, strings), np.int64, n) // text.itemsize
+    owners = np.arange(n) if owners is None else owners
     begin = np.cumsum(sizes) - sizes
     right = sizes - anchors
     found = [np.zeros(w, bool) for w in windows.tolist()]
@@ -161,10 +193,11 @@ def column_order_repeats(strings: list[bytes], anchors: np.ndarray, windows: np.
         same = symbol[turn[1:]] == symbol[turn[:-1]]
         lcp = np.concatenate([[0], np.where(same, 1 + range_minima(lcp, turn[:-1] + 1, turn[1:]), 0)])
         order = order[turn]
-        near = np.flatnonzero(lcp >= length)
-        if len(near):
+        if (lcp >= length).any():  # equal windows are neighbours: classes of them, and whether a class has two owners
+            start = np.flatnonzero(lcp < length)
+            shared = np.minimum.reduceat(owners[order], start) != np.maximum.reduceat(owners[order], start)
             at = anchors + column
-            for i in np.unique(np.concatenate([order[near], order[near - 1]])).tolist():
+            for i in order[np.repeat(shared, np.diff(np.append(start, len(order))))].tolist():
                 if at[i] < windows[i]:
                     found[i][at[i]] = True
     return found
@@ -187,29 +220,29 @@ def range_minima(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
-def _fetch(length: int):
-    """Rows of (text, cuts) -> the strings to compare, one per place of the smallest gram."""
+def _fetch(length: int, alphabet: Alphabet):
+    """Rows of (text, cuts) -> the strings to compare, one per place of the smallest gram; no key: other texts hold the string too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = RollingHash(MAX_RUN + length)
-        span = length - GRAM
+        span = length - alphabet.gram
         for batch in batches:
             for row in range(batch.num_rows):
-                data = batch.column(0)[row].as_py().encode()
+                data = alphabet.symbols(batch.column(0)[row].as_py().encode())
                 rows: list[list] = [[] for _ in range(8)]
                 for cut in batch.column(1)[row].as_py():
                     s, n = cut["first"], cut["size"]
-                    part = np.frombuffer(data, np.uint8)[s : s + n + length - 1]
-                    places = np.flatnonzero(rolling.grams(part, GRAM) == np.int64(cut["mh"]).view(np.uint64))
+                    part = data[s : s + n + length - 1]
+                    places = np.flatnonzero(rolling.grams(part, alphabet.gram) == np.int64(cut["mh"]).view(np.uint64))
                     before = -1
                     for p in places.tolist():
                         lo, hi = max(0, before + 1, p - span), min(n, p + 1)  # windows whose first place is p
                         before = p
                         if lo < hi:
-                            string = data[s + lo : s + hi + length - 1]
-                            for col, v in zip(rows, (cut["mh"], cut["nd"], xxhash.xxh3_64_intdigest(string) - (1 << 63), string, p - lo, hi - lo, cut["key"] if cut["cnt"] == 1 else None, s + lo), strict=True):
+                            string = data[s + lo : s + hi + length - 1].tobytes()
+                            for col, v in zip(rows, (cut["mh"], cut["nd"], xxhash.xxh3_64_intdigest(string) - (1 << 63), string, p - lo, hi - lo, cut["key"] if cut["single"] else None, s + lo), strict=True):
                                 col.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=STRINGS)
 
     return run
@@ -218,7 +251,7 @@ def _fetch(length: int):
 STRINGS = ["mh", "nd", "content", "string", "anchor", "windows", "key", "first"]
 
 
-def _compare(length: int):
+def _compare(length: int, alphabet: Alphabet):
     """Sorted strings of whole hash groups -> the repeated windows of those that were seen once, as (key, first, size)."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
@@ -226,15 +259,18 @@ def _compare(length: int):
         strings = rows.column("string").to_pylist()
         anchors, windows, first = (cols[c].to_numpy() for c in ("anchor", "windows", "first"))
         keys = cols["key"].to_pylist()
-        # equal strings repeat whole; one of them is compared with the others
+        # equal strings repeat whole (in one text only, if that counts); one of them is compared with the others
         seen: dict[tuple, list[int]] = {}
         for i, x in enumerate(zip(anchors.tolist(), strings, strict=True)):
             seen.setdefault(x, []).append(i)
         one = [v[0] for v in seen.values()]
-        marks = column_order_repeats([strings[i] for i in one], anchors[one], windows[one], length)
+        shared = [len(v) > 1 and (not alphabet.across or len({keys[i] for i in v}) > 1) for v in seen.values()]
+        number: dict[bytes | int, int] = {}
+        owners = np.array([number.setdefault(i if not alphabet.across or many or keys[i] is None else keys[i], len(number)) for i, many in zip(one, shared, strict=True)])
+        marks = column_order_repeats([strings[i] for i in one], anchors[one], windows[one], length, alphabet.kind, owners)
         out: list[list] = [[], [], []]
-        for same, mark in zip(seen.values(), marks, strict=True):
-            if len(same) > 1:
+        for same, mark, many in zip(seen.values(), marks, shared, strict=True):
+            if many:
                 mark[:] = True
             if not mark.any():
                 continue
@@ -244,7 +280,7 @@ def _compare(length: int):
                     for a, b in edge.reshape(-1, 2).tolist():
                         for col, v in zip(out, (keys[i], int(first[i]) + a, b - a), strict=True):
                             col.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "first", "size"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["key", "first", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_rows: list[pa.RecordBatch] = []
@@ -265,22 +301,24 @@ def _compare(length: int):
     return run
 
 
-def _windows(length: int):
+def _windows(length: int, alphabet: Alphabet):
     """Strings of very large hash groups -> one row per window."""
 
+    item = np.dtype(alphabet.kind).itemsize
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 string, n = batch.column(3)[row].as_py(), batch.column(5)[row].as_py()
-                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(string[i : i + length]) for i in range(n)), np.int64).reshape(-1, 2)
+                digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(string[item * i : item * (i + length)]) for i in range(n)), np.int64).reshape(-1, 2)
                 key, first = batch.column(6)[row].as_py(), batch.column(7)[row].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([key] * n, pa.int64()), pa.array(np.arange(first, first + n))], names=["w1", "w2", "key", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([key] * n, pa.binary()), pa.array(np.arange(first, first + n))], names=["w1", "w2", "key", "first"])
 
     return run
 
 
 def _merge(length: int):
-    """Lists of repeated windows -> maximal byte spans, their number and their bytes."""
+    """Lists of repeated windows -> maximal spans, their number and their symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,30 +337,33 @@ def _merge(length: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, alphabet: Alphabet = BYTES) -> tuple[DataFrame, DataFrame]:
     """``(scan, spans)``: per row ``doc_id, key, n_bytes, sha`` of its text; per text with repeats ``key, n_removed, n_spans, spans``
-    (spans: from, to, from, to, ... in bytes)."""
-    scan = cut_lineage(_keyed(docs).mapInArrow(_cut(length), "doc_id long, key long, n_bytes long, sha string, runs array<struct<mh:long,first:long,size:long,twice:boolean,c1:long,c2:long>>"), "scan")
+    (spans: from, to, from, to, ... in symbols)."""
+    scan = cut_lineage(_keyed(docs).mapInArrow(_cut(length, alphabet), "doc_id long, key binary, n_bytes long, sha string, runs array<struct<mh:long,first:long,size:long,twice:boolean,c1:long,c2:long>>"), "scan")
     runs = scan.select("key", F.explode("runs").alias("r")).select("key", "r.*")
     by_content = ["mh", "c1", "c2", "size"]
-    counted = cut_lineage(runs.groupBy(*by_content).agg(F.count(F.lit(1)).alias("cnt"), F.max("twice").alias("twice"), F.min("key").alias("key"), F.min_by("first", "key").alias("first")), "runs")
-    groups = counted.groupBy("mh").agg(F.count(F.lit(1)).alias("nd"), F.min("cnt").alias("least"), F.max("twice").alias("any_twice"))
-    cuts = counted.join(groups.where("least = 1 and (nd > 1 or any_twice)"), "mh")
-    per_text = cuts.groupBy("key").agg(F.collect_list(F.struct("mh", "nd", "cnt", "first", "size", "key")).alias("cuts"))
+    single = F.min("key") == F.max("key") if alphabet.across else F.count(F.lit(1)) == 1
+    counted = cut_lineage(runs.groupBy(*by_content).agg(single.alias("single"), F.max("twice").alias("twice"), F.min("key").alias("key"), F.max("key").alias("last_key"), F.min_by("first", "key").alias("first")), "runs")
+    rivals = F.min("key") != F.max("last_key") if alphabet.across else (F.count(F.lit(1)) > 1) | F.max("twice")
+    groups = counted.groupBy("mh").agg(F.count(F.lit(1)).alias("nd"), F.bool_or("single").alias("open"), rivals.alias("rivals"))
+    cuts = counted.join(groups.where("open and rivals"), "mh")
+    per_text = cuts.groupBy("key").agg(F.collect_list(F.struct("mh", "nd", "single", "first", "size", "key")).alias("cuts"))
     # one row of each needed text, whichever
     one = scan.select("key", F.col("doc_id").alias("id")).groupBy("key").agg(F.min("id").alias("id"))
     needed = per_text.join(one, "key")
     texts = _keyed(docs).join(needed, "key").where("doc_id <=> id").drop("id")
-    strings = cut_lineage(texts.select("text", "cuts").mapInArrow(_fetch(length), "mh long, nd long, content long, string binary, anchor long, windows long, key long, first long").dropDuplicates(["mh", "content", "key", "first"]), "strings")
+    strings = cut_lineage(texts.select("text", "cuts").mapInArrow(_fetch(length, alphabet), "mh long, nd long, content long, string binary, anchor long, windows long, key binary, first long").dropDuplicates(["mh", "content", "key", "first"]), "strings")
     small = strings.where(F.col("nd") <= COLLECTION).repartition("mh").sortWithinPartitions("mh")
-    compared = small.mapInArrow(_compare(length), "key long, first long, size long")
-    windows = strings.where(F.col("nd") > COLLECTION).mapInArrow(_windows(length), "w1 long, w2 long, key long, first long")
-    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    compared = small.mapInArrow(_compare(length, alphabet), "key binary, first long, size long")
+    windows = strings.where(F.col("nd") > COLLECTION).mapInArrow(_windows(length, alphabet), "w1 long, w2 long, key binary, first long")
+    several = (F.min("key") != F.max("key")) | (F.count("key") < F.count(F.lit(1))) if alphabet.across else F.count(F.lit(1)) > 1
+    again = windows.groupBy("w1", "w2").agg(several.alias("several")).where("several")
     split = windows.where("key is not null").join(again.select("w1", "w2"), ["w1", "w2"], "left_semi").select("key", "first", F.lit(1).cast("long").alias("size"))
-    whole = runs.join(counted.where("cnt > 1").select(*by_content), by_content, "left_semi").select("key", "first", "size")
+    whole = runs.join(counted.where("not single").select(*by_content), by_content, "left_semi").select("key", "first", "size")
     found = whole.unionByName(compared).unionByName(split).distinct()
     listed = found.groupBy("key").agg(F.collect_list(F.struct("first", "size")).alias("found"))
-    spans = cut_lineage(listed.mapInArrow(_merge(length), "key long, n_removed long, n_spans long, spans array<bigint>"), "spans")
+    spans = cut_lineage(listed.mapInArrow(_merge(length), "key binary, n_removed long, n_spans long, spans array<bigint>"), "spans")
     return scan, spans
 
 
@@ -337,33 +378,61 @@ def _kept_sha(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats_report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept`` of every row (bytes of the text, taken out, and left)."""
     scan, spans = repeated_spans(docs, length)
     rows = scan.select("doc_id", "key", "n_bytes", "sha").join(spans.drop("spans"), "key", "left")
     rows = rows.select("doc_id", "key", "n_bytes", "sha", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"))
     partly = rows.where("n_removed > 0 and n_removed < n_bytes").groupBy("key").agg(F.min("doc_id").alias("id"))
     texts = _keyed(docs).join(partly, "key").where("doc_id <=> id").join(spans.select("key", "spans"), "key")
-    shas = texts.select("key", "text", "spans").mapInArrow(_kept_sha, "key long, kept_sha256 string").dropDuplicates(["key"])
+    shas = texts.select("key", "text", "spans").mapInArrow(_kept_sha, "key binary, kept_sha256 string").dropDuplicates(["key"])
     kept = F.when(F.col("n_removed") == 0, F.col("sha")).when(F.col("n_removed") == F.col("n_bytes"), F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256"))
-    return rows.join(shas, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
+    return rows.join(shas, "key", "left").select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"), (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """The rows of ``docs``, all columns, with repeated bytes cut out of ``text``; a character cut in two is dropped whole.
 
     Rows without repeats, and null texts, are unchanged; a text that repeats whole becomes empty."""
-    spans = repeated_spans(docs, length)[1].select(F.col("key").alias("_repeat_key"), F.col("spans").alias("_repeat_spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_repeat_key", F.xxhash64(text, F.octet_length(text))).join(spans, "_repeat_key", "left").drop("_repeat_key")
+    return _without(docs, repeated_spans(docs, length)[1], BYTES)
+
+
+def remove_passages(docs: DataFrame, length: int = 50) -> DataFrame:
+    """The rows of ``docs``, all columns, without the words under ``length`` words in a row that another text holds too.
+
+    A passage goes from every text that holds it, with the white space before it, and rows of which nothing is left go. Words are the
+    runs ``[^\\x20\\x09-\\x0D]+``; rows without such passages, and null or empty texts, are unchanged."""
+    return _without(docs, repeated_spans(docs, length, WORDS)[1], WORDS)
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def word_spans(data: bytes, spans: list[int]) -> list[int]:
+    """Spans of words as spans of bytes, each from the end of the word before it; after the last word nothing is left."""
+    ends = [0, *(m.end() for m in _WORD.finditer(data))]
+    ends[-1] = len(data)
+    return [ends[k] for k in spans]
+
+
+def _without(docs: DataFrame, spans: DataFrame, alphabet: Alphabet) -> DataFrame:
+    """``docs`` without the spans of their texts."""
+    spans = spans.select(F.col("key").alias("_repeat_key"), F.col("spans").alias("_repeat_spans"))
+    joined = docs.withColumn("_repeat_key", _key()).join(spans, "_repeat_key", "left").drop("_repeat_key")
     names = list(docs.columns)
     at = names.index("text")
+    in_words = alphabet is WORDS
+
+    def left(text: str, spans: list[int]) -> str:
+        data = text.encode()
+        return _kept_bytes(data, word_spans(data, spans) if in_words else spans).decode(errors="ignore")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = list(batch.columns)
             spans = cols.pop()
-            cols[at] = pa.array([t.as_py() if s.as_py() is None else _kept_bytes(t.as_py().encode(), s.as_py()).decode(errors="ignore") for t, s in zip(cols[at], spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols[at] = pa.array([t.as_py() if s.as_py() is None else left(t.as_py(), s.as_py()) for t, s in zip(cols[at], spans, strict=True)], pa.string())
+            out = pa.RecordBatch.from_arrays(cols, names=names)
+            yield out.filter(pc.or_kleene(spans.is_null(), pc.fill_null(pc.not_equal(cols[at], ""), True))) if in_words else out
 
     return joined.mapInArrow(run, docs.schema)
 
