@@ -14,6 +14,8 @@ from votepanel.session import cut_lineage
 
 #: Near duplicates of the corpus: the general rule, five words and similarity 0.8 or more (``op3_near_dup`` has 0.85).
 NEAR_PERCENT = 80
+#: Passages of the corpus: words in a row that two texts share (``op10_repeats`` has 400 bytes).
+PASSAGE_WORDS = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes under 400-byte strings that occur more than once; documents of which nothing is left go."""
+    """Documents without the passages of PASSAGE_WORDS words and more that other texts hold too; documents of which nothing is left go."""
     columns = docs.columns
-    left = repeats.remove_repeats(docs).where("text is null or text <> ''")
+    left = repeats.remove_passages(docs, PASSAGE_WORDS)
     if "n_chars" in columns:
         left = left.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return left.select(*columns)
