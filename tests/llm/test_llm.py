@@ -217,6 +217,20 @@ def test_mix_targets_cap_and_repeats(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mix_of_wordless_sources_and_clashing_names(spark):
+    names = "doc_id long, text string, source string, target string, source_size int, taken int, size int, copies int, `a.b` string, weight double"
+    rows = [(i, " ".join(["w"] * (i % 7 + 1)), "abc"[i % 3], f"t{i}", i, i, i, i, "x", 1.0) for i in range(60)]
+    empty = [(100 + i, t, "none", "t", 0, 0, 0, 0, "x", 1.0) for i, t in enumerate([None, "", " \n", None])]
+    for part in (rows + empty, empty):
+        docs = spark.createDataFrame(part, names)
+        got = mixing.mix_sources(docs).collect()
+        assert len(got) == len(part) and all(x.taken == 0 and x.target == 0 for x in got if x.doc_id >= 100)
+        mixed = mixing.mixed_documents(docs, doc_weight="weight")
+        assert mixed.columns == docs.columns and mixed.schema.simpleString() == docs.schema.simpleString()
+        back = mixed.collect()
+        assert sum(x["taken"] for x in got) == sum(len(r.text.split()) for r in back) and all(r.target == f"t{r.doc_id}" and r.taken == r.doc_id for r in back)
+
+
 def test_licences(spark):
     rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, "This work is licensed under the GNU General Public License, version 3; or, at your option, any later version."), (3, None), (4, "license"), (5, "Released under the MIT License. All rights reserved."), (5, "# Licensed under CC BY-NC 4.0.")]
     got = sorted((r.doc_id, r.licences, r.unmatched, r.n_known) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -230,10 +244,12 @@ def test_revisits(spark):
         (1, "http://e.com/a", 10, 200, h(ETag="t1", X="1", Date="d1"), "D1", 5), (2, "http://e.com/a", 20, 200, h(ETag="t2"), "D2", 6), (3, "http://E.com/a#x", 20, 304, h(etag="W/t1", date="d3", x="9"), None, 0),
         (4, "http://e.com/a", 30, 304, h(etag="t1"), None, 0), (5, "http://e.com/a", 5, 304, h(etag="t1"), None, 0), (6, "http://e.com/a", 31, 304, None, None, 0), (7, None, 1, 304, None, None, 0),
     ]
+    rows += [(8, "http://e.com/b", 1, 200, {"ETag": "t", "VARY": "b", "Vary": "a"}, "D3", 1), (9, "http://e.com/b", 2, 304, {"ETag": "t", "etag": "t", "Date": None, "date": "d9"}, None, 0)]
     rows += [(100 + k, "http://e.com/hot", 100 + k, 200 if k % 50 == 0 else 304, h(etag="s"), f"H{k}", 1) for k in range(200)]
     got = {r.record_id: r for r in revisits.resolve_revisits(spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>, digest string, n_bytes long").repartition(5)).collect()}
     assert got[3].outcome == "resolved" and got[3].response_id == 1 and got[3].headers == "date: d3\netag: W/t1\nx: 1"
     assert (got[4].outcome, got[5].outcome, got[6].outcome) == ("changed", "unmatched", "unchecked") and 7 not in got
+    assert got[9].outcome == "resolved" and got[9].headers == "date: d9\netag: t\nvary: b, a"
     assert all(got[100 + k].response_id == 100 + k // 50 * 50 for k in range(200) if k % 50)
 
 

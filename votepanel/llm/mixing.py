@@ -9,7 +9,7 @@ sample of fixed size in words with unequal probabilities. u comes from a digest
 A source is never one task: ranks are mapped to (0, 1) and cut into 4096 and again 4096 buckets; words per bucket are summed
 with partial aggregation, running sums find the bucket in which the target is met, and only its rows are put in order.
 
-Defined results: null text has size 0 and takes no words; a null source is a source of its own, last; a null doc_id has the draw of
+Defined results: null text has size 0 and takes no words; a source without words has target 0 and takes none; a null source is a source of its own, last; a null doc_id has the draw of
 an empty id; rows that repeat a doc_id share its draw and are taken next to each other; no rows, no result; columns beside
 ``doc_id, text, source`` are carried by :func:`mixed_documents` and ignored by :func:`mix_sources`.
 """
@@ -69,7 +69,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("_own") * F.col("size")).alias("_own_size"))
     targets = source_targets(sizes, weights, max_repeat).withColumnRenamed("source", "_s").join(sizes.select(F.col("source").alias("_t"), "_own_size"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
     targets = cut_lineage(targets, "targets")
-    expected = F.coalesce(F.least(F.lit(float(max_repeat)), F.col("target") / F.col("_own_size") * F.col("_own")), F.lit(0.0))
+    expected = F.coalesce(F.least(F.lit(float(max_repeat)), F.try_divide(F.col("target"), F.col("_own_size")) * F.col("_own")), F.lit(0.0))
     p = F.col("_e") - F.col("_whole")
     odds = (F.col("_u") / (1 - F.col("_u"))) / (p / (1 - p))
     place = F.when(p > 0, odds / (1 + odds))
@@ -108,9 +108,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_repea
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of ``docs``, all columns, as often as it is taken; rows without words are left out."""
-    at = list(docs.columns)
-    plan = mix_sources(docs, keep=[c for c in at if c != "doc_id"], **options) if "size" not in at else mix_sources(docs, keep=[c for c in at if c not in ("doc_id", "size")], **options)
-    return plan.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*at)
+    own = {c: f"_col{i}" for i, c in enumerate(docs.columns)}
+    if options.get("doc_weight"):
+        options["doc_weight"] = own[options["doc_weight"]]
+    plan = mix_sources(docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(name) for c, name in own.items()]), keep=list(own.values()), **options)
+    taken = plan.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*[F.col(name).alias(c) for c, name in own.items()])
 
 
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ with one row per URL and partition. Bodies are not moved: records carry the dige
 Defined results: records without URL, time or id take no part; a response at the same time as a revisit is not earlier than it; of
 responses at one time the one with the larger id is the latest; a revisit without earlier response is ``unmatched``, one
 without any validator ``unchecked`` (it is not merged), one whose validators differ ``changed``; repeated records are resolved each;
-null headers are no headers; no revisits, no rows. Header names are taken in lower case.
+null headers are no headers; no revisits, no rows. Header names are taken in lower case; the different values of names that differ
+only in case are one value, joined by commas in the order of the names as spelled.
 """
 
 from __future__ import annotations
@@ -42,11 +43,23 @@ def _weak(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
 
+def _lower_names(headers: Column) -> Column:
+    """Headers by lower-case name; names that meet have their different values joined."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+
+    def value(name: Column) -> Column:
+        same = F.array_sort(F.filter(entries, lambda e: (F.lower(e["key"]) == name) & e["value"].isNotNull()))
+        return F.when(F.size(same) > 0, F.array_join(F.array_distinct(F.transform(same, lambda e: e["value"])), ", "))
+
+    return F.when(F.size(names) == F.size(entries), F.transform_keys(headers, lambda k, v: F.lower(k))).otherwise(F.map_from_arrays(names, F.transform(names, value)))
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``records``: ``record_id, url, ts, status, headers map<string,string>, digest, n_bytes`` (digest and size of the body).
 
     Returns per revisit ``record_id, url, outcome, response_id, digest, n_bytes, headers`` (merged, as sorted ``name: value`` lines)."""
-    headers = F.transform_keys(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k))
+    headers = _lower_names(F.coalesce(F.col("headers"), F.create_map().cast("map<string,string>")))
     rows = records.select(
         F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("url"), F.col("ts").alias("ts"), (F.col("status") == 304).alias("revisit"), headers.alias("headers"), F.col("digest"), F.col("n_bytes").cast("long").alias("n_bytes")
     ).where("record_id is not null and url is not null and ts is not null and (revisit or status = 200)")
