@@ -57,12 +57,13 @@ def winner_accuracy(diag: DataFrame, *, keys: tuple[str, ...] = EVENT_KEYS) -> D
     return w.agg(F.avg((F.col("winner_true") == F.col("winner_pred")).cast("double")).alias("winner_accuracy"), F.count(F.lit(1)).alias("n_events"))
 
 
-def regression_metrics(diag: DataFrame) -> DataFrame:
-    """MAE, RMSE, median AE, R2, explained variance, WAPE, SMAPE, bias and MAE per category (one row)."""
+def regression_metrics(diag: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """MAE, RMSE, median AE, R2, explained variance, WAPE, SMAPE, bias and MAE per category: one row, or one for each group ``by``
+    (columns without nulls)."""
     err = F.col("y_pred") - F.col("y_true")
     ae = F.abs(err)
     per_cat = [F.avg(F.when(F.col("category") == c, ae)).alias(f"mae_{c}") for c in CATEGORIES]
-    m = diag.agg(
+    m = diag.groupBy(*by).agg(
         F.avg(ae).alias("mae_mean"),
         F.sqrt(F.avg(err * err)).alias("rmse"),
         F.sum(err * err).alias("_ssr"),
@@ -76,9 +77,10 @@ def regression_metrics(diag: DataFrame) -> DataFrame:
         *per_cat,
     )
     n = F.col("_n")
-    med = exact_quantiles(diag, ae, {"medae": 0.5})
-    m = _attach_scalar_row(m, med)
+    med = exact_quantiles(diag, ae, {"medae": 0.5}, tuple(by))
+    m = m.join(med, list(by)) if by else _attach_scalar_row(m, med)
     return m.select(
+        *by,
         "mae_mean",
         "rmse",
         "medae",

@@ -76,9 +76,10 @@ def fit_multi_output(train: DataFrame, features: list[str], kind: str = "ridge",
         data.unpersist()
 
 
-def predictions_long(scored: DataFrame, *, targets: tuple[str, ...] = TARGET_COLS, keys: tuple[str, ...] = ("code_bv", "election_type", "election_year", "round")) -> DataFrame:
+def predictions_long(scored: DataFrame, *, targets: tuple[str, ...] = TARGET_COLS, keys: tuple[str, ...] = ("code_bv", "election_type", "election_year", "round"), keep: tuple[str, ...] = ()) -> DataFrame:
     """Wide predictions -> long diag rows (y_true / y_pred per category), predictions clipped and
-    normalised per row (sum 0 -> 1)."""
+    normalised per row (sum 0 -> 1). ``keep``: more columns of the rows."""
+    keys = (*keep, *keys)
     cats = [t.replace("target_share_", "") for t in targets]
     clipped = [F.least(F.greatest(F.col(f"pred_{c}"), F.lit(0.0)), F.lit(1.0)) for c in cats]
     total = None

@@ -30,5 +30,6 @@ def load_all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
     from votepanel.plans import queries_functions  # noqa: F401
     from votepanel.plans import queries_ml  # noqa: F401
     from votepanel.plans import queries_extra  # noqa: F401
+    from votepanel.plans import queries_ridge  # noqa: F401
 
     return REGISTRY

@@ -95,7 +95,8 @@ def with_ctes(*ctes: str) -> str:
     return "with " + ",\n".join(ctes) + "\n"
 
 
-def panel_sql() -> str:
+def panel_ctes() -> list[str]:
+    """CTEs of the panel up to ``fx_norm`` (targets ``n_{category}``, features under their own names, unrounded)."""
     idx = ", ".join(INDEX_COLS)
     piv = []
     for prefix, value in PANEL_FEATURES:
@@ -116,6 +117,10 @@ def panel_sql() -> str:
     renorm = {c: f"case when target_sum_before_renorm > 0 then t_{c}/target_sum_before_renorm else t_{c} end" for c in CATEGORIES}
     norm_cte = f"""fx_norm as (
  select *, {', '.join(f'{renorm[c]} as n_{c}' for c in CATEGORIES)} from fx_clip)"""
+    return [FX_LONG, FX_MAP, FX_LOCAL, FX_LOCAL_RATES, FX_NAT, FX_EC, FX_LAGS, wide, tl, clip_cte, norm_cte]
+
+
+def panel_sql() -> str:
     after = " + ".join(f"n_{c}" for c in CATEGORIES)
     cols = [*INDEX_COLS]
     for c in CATEGORIES:
@@ -130,7 +135,7 @@ def panel_sql() -> str:
         f"{r6('target_sum_before_renorm')} as target_sum_before_renorm",
         f"{r6(after)} as target_sum_after_renorm",
     ]
-    return with_ctes(FX_LONG, FX_MAP, FX_LOCAL, FX_LOCAL_RATES, FX_NAT, FX_EC, FX_LAGS, wide, tl, clip_cte, norm_cte) + "select " + ",\n ".join(cols) + " from fx_norm"
+    return with_ctes(*panel_ctes()) + "select " + ",\n ".join(cols) + " from fx_norm"
 
 
 # ---------------------------------------------------------------- forecast (trend_forecast family)

@@ -457,13 +457,6 @@ def _panel(spark, sf):
     return panel_frame(spark, sf)
 
 
-@register("ridge")
-def q_ridge(spark, sf):
-    p = _panel(spark, sf)
-    m = ML.fit_multi_output(p.where(F.col("election_year") <= 1999), ML.default_features(), "ridge", {"alpha": 1.0})
-    return round_doubles(ME.regression_metrics(ML.predictions_long(m.transform(p.where(F.col("election_year") >= 2000)))))
-
-
 @register("preprocessor")
 def q_preprocessor(spark, sf):
     """Fitted preprocessing: median per feature and how many features survive the variance filter."""
@@ -478,65 +471,6 @@ def q_preprocessor(spark, sf):
     return spark.createDataFrame([(f, float(med[f]) if med[f] is not None else None, i in kept) for i, f in enumerate(feats)], "feature string, median double, kept boolean")
 
 
-@register("cross_validate")
-def q_cross_validate(spark, sf):
-    from votepanel.operators import folds as FO
-
-    p = _panel(spark, sf)
-    cv = ML.cross_validate(p, FO.event_folds(FO.event_table(p), 3), ML.default_features(), "ridge", {"alpha": 0.1}, ME.regression_metrics)
-    return round_doubles(cv.drop("fold").agg(*[F.avg(c).alias(c) for c in cv.columns if c != "fold"]))
-
-
-@register("log_target")
-def q_log_target(spark, sf):
-    p = _panel(spark, sf)
-    logged = p
-    for t in TARGET_COLS:
-        logged = logged.withColumn(t, F.log1p(F.col(t)))
-    m = ML.fit_multi_output(logged.where(F.col("election_year") <= 1999), ML.default_features(), "ridge", {"alpha": 1.0})
-    sc = m.transform(p.where(F.col("election_year") >= 2000))
-    for c in CATEGORIES:
-        sc = sc.withColumn(f"pred_{c}", F.expm1(F.col(f"pred_{c}")))
-    return round_doubles(ME.regression_metrics(ML.predictions_long(sc)))
-
-
-@register("per_bloc_eval")
-def q_per_bloc_eval(spark, sf):
-    """One model per bloc (>= 30 rows), 3 event folds, MAE per bloc."""
-    from votepanel.operators import folds as FO
-
-    p = _panel(spark, sf)
-    folds = FO.event_folds(FO.event_table(p), 3)
-    rows = FO.assign_folds(p, folds)
-    out = []
-    for c in CATEGORIES:
-        t = f"target_share_{c}"
-        if rows.where(F.col(t).isNotNull()).limit(30).count() < 30:
-            continue
-        maes = []
-        for (fold,) in folds.select("fold").distinct().collect():
-            m = ML.fit_multi_output(rows.where((F.col("fold") == fold) & (F.col("role") == "train")), ML.default_features(), "ridge", {"alpha": 1.0}, targets=(t,))
-            te = m.transform(rows.where((F.col("fold") == fold) & (F.col("role") == "test")))
-            maes.append(te.agg(F.avg(F.abs(F.col(f"pred_{c}") - F.col(t)))).first()[0])
-        out.append((c, float(sum(maes) / len(maes))))
-    return round_doubles(spark.createDataFrame(out, "category string, mae double"))
-
-
-@register("backtest")
-def q_backtest(spark, sf):
-    """Train before the last year, test on it: valid-vote weighted MAE, winner accuracy, p95 error."""
-    p = _panel(spark, sf)
-    last = p.agg(F.max("election_year")).first()[0]
-    m = ML.fit_multi_output(p.where(F.col("election_year") < last), ML.default_features(), "ridge", {"alpha": 1.0})
-    diag = ML.predictions_long(m.transform(p.where(F.col("election_year") == last))).withColumn("weight", F.lit(1.0))
-    wm = ME.weighted_mae(diag).first()[0]
-    wa = ME.winner_accuracy(diag).first()[0]
-    from votepanel.operators.quantiles import exact_quantiles
-
-    p95 = exact_quantiles(diag, F.abs(F.col("y_pred") - F.col("y_true")), {"p95": 0.95}).first()[0]
-    return round_doubles(spark.createDataFrame([(wm, wa, p95)], "weighted_mae double, winner_accuracy double, p95_abs_error double"))
-
-
 # ------------------------------------------------------------------ mixed wide / long candidate files
 from votepanel.operators.reshape import fill_presidential_code, unpivot_candidates_mixed  # noqa: E402
 from votepanel.sources.tables import fx_wide, wide_numbers  # noqa: E402

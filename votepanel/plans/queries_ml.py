@@ -28,12 +28,6 @@ def _folds(panel, k=3):
     return FO.event_folds(FO.event_table(panel), k)
 
 
-@register("ridge_cv")
-def q_ridge_cv(spark, sf):
-    p = panel_frame(spark, sf)
-    return round_doubles(ML.cross_validate(p, _folds(p), ML.default_features(), "ridge", RIDGE, ME.regression_metrics))
-
-
 @register("boosted_trees")
 def q_boosted_trees(spark, sf):
     p = panel_frame(spark, sf)
@@ -42,19 +36,6 @@ def q_boosted_trees(spark, sf):
     return round_doubles(ME.regression_metrics(ML.predictions_long(model.transform(test))))
 
 
-@register("multi_output")
-def q_multi_output(spark, sf):
-    p = panel_frame(spark, sf)
-    model = ML.fit_multi_output(p.where(F.col("election_year") <= 1999), ML.default_features(), "ridge", RIDGE)
-    return round_doubles(ML.predictions_long(model.transform(p.where(F.col("election_year") >= 2000))))
-
-
-@register("oof_predictions")
-def q_oof_predictions(spark, sf):
-    p = panel_frame(spark, sf)
-    return round_doubles(ML.oof_predictions(p, _folds(p), ML.default_features(), "ridge", RIDGE))
-
-
 @register("grid_search")
 def q_grid_search(spark, sf):
     """Small grid (two ridge penalties, one boosted-trees setting) x event folds: mean metrics per setting."""
@@ -105,36 +86,6 @@ def q_batch_score(spark, sf):
     return round_doubles(ML.predictions_long(scored).select("code_bv", "election_type", "election_year", "round", "category", F.col("y_pred").alias("predicted_share")))
 
 
-@register("holdout_year")
-def q_holdout_year(spark, sf):
-    """Leave one year out: fit on the other years, MAE on the held-out one (one row per year)."""
-    p = panel_frame(spark, sf)
-    out = None
-    for (y,) in p.select("election_year").distinct().orderBy("election_year").collect():
-        model = ML.fit_multi_output(p.where(F.col("election_year") != y), ML.default_features(), "ridge", RIDGE)
-        m = ME.regression_metrics(ML.predictions_long(model.transform(p.where(F.col("election_year") == y)))).select(F.lit(int(y)).alias("election_year"), "mae_mean", "rmse")
-        out = m if out is None else out.unionByName(m)
-    return round_doubles(out)
-
-
-@register("learning_curve")
-def q_learning_curve(spark, sf):
-    """Error against chronological training size (first 20..100 % of the elections before the last year)."""
-    p = panel_frame(spark, sf)
-    last = p.agg(F.max("election_year")).first()[0]
-    test = p.where(F.col("election_year") == last)
-    ev = FO.event_table(p.where(F.col("election_year") < last))
-    w = ev.select("event_key", F.percent_rank().over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy("date_scrutin", "event_key")).alias("pr"))
-    out = None
-    for frac in (0.2, 0.4, 0.6, 0.8, 1.0):
-        keys = w.where(F.col("pr") <= frac - 1e-9 if frac < 1 else F.lit(True)).select("event_key")
-        train = FO.assign_folds(p, keys.select("event_key", F.lit(0).alias("fold"), F.lit("train").alias("role")))
-        model = ML.fit_multi_output(train, ML.default_features(), "ridge", RIDGE)
-        m = ME.regression_metrics(ML.predictions_long(model.transform(test))).select(F.lit(frac).alias("train_fraction"), "mae_mean")
-        out = m if out is None else out.unionByName(m)
-    return round_doubles(out)
-
-
 _SW_SQL = O.with_ctes(*O.model_table_sql_ctes(1995)) + """, c as (select bloc, count(*) as n from mt_final group by bloc),
  m as (select bloc, (max(n) over ()) / n as inv from c)
  select f.code_bv, f.bloc, f.date_scrutin, f.type_scrutin, f.tour, """ + O.r6("coalesce(m.inv, 1.0) * (1 + 2.0 * greatest(f.part_bloc, 0.0))") + """ as sample_weight
