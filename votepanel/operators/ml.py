@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VarianceThresholdSelector, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,19 +108,6 @@ def cross_validate(panel: DataFrame, folds: DataFrame, features: list[str], kind
     return out
 
 
-def oof_predictions(panel: DataFrame, folds: DataFrame, features: list[str], kind: str, params: dict) -> DataFrame:
-    """Out-of-fold predictions (long diag rows with their fold)."""
-    from votepanel.operators.folds import assign_folds
-
-    rows = assign_folds(panel, folds)
-    out = None
-    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
-        model = fit_multi_output(rows.where((F.col("fold") == fold) & (F.col("role") == "train")), features, kind, params)
-        p = predictions_long(model.transform(rows.where((F.col("fold") == fold) & (F.col("role") == "test")))).withColumn("fold", F.lit(int(fold)))
-        out = p if out is None else out.unionByName(p)
-    return out
-
-
 def select_best(cv_summary: DataFrame, bias_threshold: float = 0.02) -> DataFrame:
     """Keep |bias| <= threshold when any does, then sort by mean MAE, worst category MAE, |bias|, RMSE,
     SMAPE and take the first row."""
@@ -163,19 +150,5 @@ def two_stage(train: DataFrame, test: DataFrame, features: list[str], target: st
     return te.withColumn("prediction", F.col("_proba") * F.col("_reg"))
 
 
-def calibrate_isotonic(oof: DataFrame, scored: DataFrame, *, per_category: bool = True) -> DataFrame:
-    """Isotonic map fitted on out-of-fold (y_pred -> y_true), applied to ``scored.y_pred`` (values
-    outside the fitted range are clipped, as the model interpolates then holds its ends)."""
-    cats = [r[0] for r in oof.select("category").distinct().collect()] if per_category else [None]
-    out = None
-    for c in cats:
-        tr = oof if c is None else oof.where(F.col("category") == c)
-        sc = scored if c is None else scored.where(F.col("category") == c)
-        m = IsotonicRegression(featuresCol="f", labelCol="y_true", predictionCol="y_cal").fit(tr.select(array_to_vector(F.array("y_pred")).alias("f"), "y_true"))
-        s = m.transform(sc.withColumn("f", array_to_vector(F.array("y_pred")))).drop("f")
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
 def log_target(df: DataFrame, target: str) -> DataFrame:
     return df.withColumn(f"log_{target}", F.log1p(F.col(target)))

@@ -77,7 +77,7 @@ def ridge_ctes(alphas: Sequence[float] = (1.0,), back: str = "{p}") -> list[str]
  from test t join rp r using (event_key) join ic on ic.model = t.model left join cf on cf.model = t.model and cf.alpha = ic.alpha and cf.t = ic.t left join fl on fl.model = t.model and fl.j = cf.j
  group by all)""",
         f"clip as (select *, least(greatest({back.format(p='p')}, 0.0), 1.0) as q from raw)",
-        f"""diag as (select c.model, c.alpha, c.code_bv, r.election_type, r.election_year, r.round, {cats}[c.t] as category, r.shares[c.t] as y_true,
+        f"""diag as (select c.model, c.alpha, c.code_bv, c.event_key, r.election_type, r.election_year, r.round, {cats}[c.t] as category, r.shares[c.t] as y_true,
  q / case when sum(q) over w = 0 then 1.0 else sum(q) over w end as y_pred, r.exprimes as weight
  from clip c join rp r using (code_bv, event_key) window w as (partition by c.model, c.alpha, c.code_bv, c.event_key))""",
     ]
@@ -104,3 +104,41 @@ def ridge_metrics_sql(sets: list[str], keys: Sequence[tuple[str, str]] = (), alp
     group = ", ".join(k for k, _ in keys)
     cols = [f"{k} as {n}" for k, n in keys] + [f"{r6(x)} as {n}" for x, n in metric_columns()]
     return ridge_diag(sets, alphas, **options) + "select " + ", ".join(cols) + " from diag" + (f" group by {group}" if group else "")
+
+
+def isotonic_ctes(name: str, fitted: str, asked: str, min_rows: int = 30) -> list[str]:
+    """Isotonic maps by walking the lower hull of the cumulative sums, and ``{name}(g, v, y)``: their values at grid values.
+
+    ``fitted``: rows ``g, v, y`` (v: prediction on the grid); ``asked``: rows ``g, v``."""
+    return [
+        f"{name}_c as (select g, v, sum(w) over o as cw, sum(s) over o as cs, row_number() over o as i from (select g, v, count(*)::double as w, sum(y) as s from ({fitted}) group by g, v) window o as (partition by g order by v))",
+        f"""{name}_h as (with recursive h(g, i, k, cw, cs, y) as (
+ select distinct g, 0::bigint, 0::bigint, 0.0::double, 0.0::double, null::double from {name}_c where g in (select g from ({fitted}) group by g having count(*) >= {min_rows})
+ union all
+ select n.g, n.i, n.k, c.cw, c.cs, n.y from (select h.g, h.k as i, arg_min(c.i, (c.cs - h.cs) / (c.cw - h.cw)) as k, min((c.cs - h.cs) / (c.cw - h.cw)) as y from h join {name}_c c on c.g = h.g and c.i > h.k group by h.g, h.k) n
+  join {name}_c c on c.g = n.g and c.i = n.k)
+ select * from h where y is not null)""",
+        f"{name}_t as (select distinct h.g, c.v, h.y from {name}_h h join {name}_c c on c.g = h.g and (c.i = h.i + 1 or c.i = h.k))",
+        f"{name}_a as (select distinct g, v from ({asked}))",
+        f"{name}_l as (select a.g, a.v, t.v as lv, t.y as ly from {name}_a a asof left join {name}_t t on a.g = t.g and a.v >= t.v)",
+        f"{name}_u as (select a.g, a.v, t.v as uv, t.y as uy from {name}_a a asof left join {name}_t t on a.g = t.g and a.v <= t.v)",
+        f"{name} as (select g, v, case when ly is null then uy when uy is null then ly when lv = uv then ly else ly + (uy - ly) * (v - lv) / (uv - lv) end as y from {name}_l join {name}_u using (g, v))",
+    ]
+
+
+def calibration_sql(k: int = 3) -> str:
+    """Predictions of the test rows of each fold through three maps: of the fold's training rows, of the category in earlier folds, of all in earlier folds."""
+    sets = [x.replace("test as (", "tested as (") for x in fold_sets(k)] + ["test as (select * from train union all select * from tested)"]
+    keys = "code_bv, election_type, election_year, round"
+    grid = "cast(round(least(greatest(y_pred, 0.0), 1.0) * 1000000) as bigint) as v"
+    earlier = "select f.f as fold, e.category, e.v, e.y_true as y from dt e, range(0, " + str(k) + ") f(f) where e.tested and f.f > e.fold"
+    ctes = [
+        f"dt as (select d.model as fold, {', '.join('d.' + c for c in keys.split(', '))}, d.category, y_true, y_pred, {grid}, t.event_key is not null as tested from diag d left join tested t on t.model = d.model and t.event_key = d.event_key)",
+        *isotonic_ctes("mf", "select cast(fold as varchar) as g, v, y_true as y from dt where not tested", "select cast(fold as varchar) as g, v from dt where tested"),
+        *isotonic_ctes("mb", f"select cast(fold as varchar) || category as g, v, y from ({earlier})", "select cast(fold as varchar) || category as g, v from dt where tested"),
+        *isotonic_ctes("ma", f"select cast(fold as varchar) as g, v, y from ({earlier})", "select cast(fold as varchar) as g, v from dt where tested"),
+    ]
+    on = {"mf": "cast(fold as varchar)", "mb": "cast(fold as varchar) || category", "ma": "cast(fold as varchar)"}
+    joins = " ".join(f"left join {m} on {m}.g = {g} and {m}.v = dt.v" for m, g in on.items())
+    cols = ", ".join(f"{r6(f'coalesce({m}.y, y_pred)')} as {n}" for m, n in (("mf", "y_cal_fold"), ("mb", "y_cal_bloc"), ("ma", "y_cal_all")))
+    return ridge_diag(sets) + ", " + ", ".join(ctes) + f" select {keys}, category, fold, {r6('y_true')} as y_true, floor(y_pred * 10000 + 0.5) / 10000 as y_pred, {cols} from dt {joins} where tested"

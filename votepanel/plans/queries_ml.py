@@ -63,13 +63,6 @@ def q_two_stage(spark, sf):
     return round_doubles(out.select("code_bv", "election_type", "election_year", "round", F.col("target_share_extreme_droite").alias("y_true"), F.col("prediction").alias("y_pred")))
 
 
-@register("calibrate_isotonic")
-def q_calibrate_isotonic(spark, sf):
-    p = panel_frame(spark, sf)
-    oof = ML.oof_predictions(p, _folds(p), ML.default_features(), "ridge", RIDGE).cache()
-    return round_doubles(ML.calibrate_isotonic(oof, oof).select("code_bv", "election_type", "election_year", "round", "category", "y_true", "y_pred", "y_cal"))
-
-
 @register("batch_score")
 def q_batch_score(spark, sf):
     """Fit on the history, score every station for a future election from its score features."""

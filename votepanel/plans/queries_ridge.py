@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from votepanel.constants import CATEGORIES, TARGET_COLS
 from votepanel.operators import folds as FO
 from votepanel.operators import gram as GR
+from votepanel.operators import isotonic as ISO
 from votepanel.operators import metrics as ME
 from votepanel.operators import ml as ML
 from votepanel.operators.quantiles import exact_quantiles
@@ -204,3 +205,28 @@ def q_backtest(spark, sf):
     p95 = exact_quantiles(diag, F.abs(F.col("y_pred") - F.col("y_true")), {"p95_abs_error": 0.95}).withColumn("_k", F.lit(1))
     count = diag.agg(F.count(F.lit(1)).alias("n"), F.lit(1).alias("_k"))
     return round_doubles(out.join(winners, "_k").join(p95, "_k").join(count, "_k").drop("_k"))
+
+
+def earlier_folds(diag: DataFrame, k: int = 3) -> DataFrame:
+    """Out-of-fold rows once for every later fold (``fold`` is then the fold that may learn from them)."""
+    return diag.where(F.col("fold") < k - 1).withColumn("fold", F.explode(F.sequence(F.col("fold") + 1, F.lit(k - 1))))
+
+
+@register("calibrate_isotonic", OM.calibration_sql)
+def q_calibrate_isotonic(spark, sf):
+    """Out-of-fold predictions through three isotonic maps: of the fold's own training rows; of the category, and of all rows, in the
+    folds before it. No row is calibrated by a map that was fitted on it."""
+    p = panel_frame(spark, sf)
+    feats = ML.default_features()
+    folds = cut_lineage(FO.event_folds(FO.event_table(p), 3), "folds")
+    sets = folds.select(F.col("fold").alias("model"), "event_key", "role")
+    models = GR.fit_ridge(GR.event_statistics(p, feats), GR.training_sets(folds), feats)
+    rows = p.withColumn("event_key", GR.event_key()).join(F.broadcast(sets), "event_key")
+    diag = ML.predictions_long(GR.score_ridge(rows, models, feats), keep=("model", "role")).withColumnRenamed("model", "fold")
+    diag = cut_lineage(diag, "diag")
+    train, test = diag.where("role = 'train'"), diag.where("role = 'test'").drop("role")
+    before = cut_lineage(earlier_folds(test), "earlier")
+    out = ISO.calibrate(train, test, ("fold",), out="y_cal_fold")
+    out = ISO.calibrate(before, out, ("fold", "category"), out="y_cal_bloc")
+    out = ISO.calibrate(before, out, ("fold",), out="y_cal_all")
+    return _report(out, "fold", *[r6_col(c).alias(c) for c in ("y_cal_fold", "y_cal_bloc", "y_cal_all")])
