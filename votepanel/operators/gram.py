@@ -105,6 +105,8 @@ def solve_ridge(products: np.ndarray, n_features: int, fill: np.ndarray, alphas:
     b = (centred[:f, f:] / scale[:, None])[keep]
     out = []
     for alpha in alphas:
+        if not alpha >= 0:
+            raise ValueError(f"a penalty is not negative: {alpha}")
         coef = np.zeros((t, f))
         if keep.any():
             coef[:, keep] = np.linalg.solve(s + alpha * np.eye(len(s)), b).T
@@ -113,38 +115,47 @@ def solve_ridge(products: np.ndarray, n_features: int, fill: np.ndarray, alphas:
     return out
 
 
-def fit_ridge(statistics: DataFrame, training: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGET_COLS, alphas: Sequence[float] = (1.0,)) -> DataFrame:
-    """Models of every training set and penalty: ``model, alpha, n, fill, intercept, coef``.
+class TrainingSums:
+    """Sums of products and fills of every training set, on the driver: elections x cells are read, whatever the number of rows.
 
     ``training``: ``model`` and the ``event_key`` of each of its elections (a small table: elections x models)."""
-    spark = statistics.sparkSession
-    f, size = len(features), 1 + 2 * len(features) + len(targets)
-    upper = np.triu_indices(size)
-    grams: dict[str, np.ndarray] = {}
-    cells = statistics.where("feature = -1").select("event_key", "cell", "value").toArrow()
-    keys = cells.column(0).combine_chunks().dictionary_encode()
-    at, cell, value = keys.indices.to_numpy(), cells.column(1).to_numpy(), cells.column(2).to_numpy()
-    flat = np.zeros((len(keys.dictionary), len(upper[0])))
-    flat[at, cell] = value
-    for key, row in zip(keys.dictionary.to_pylist(), flat, strict=True):
-        m = np.zeros((size, size))
-        m[upper] = row
-        grams[key] = m + np.triu(m, 1).T
-    sets: dict = {}
-    for r in training.select("model", "event_key").distinct().orderBy("model", "event_key").collect():
-        sets.setdefault(r.model, []).append(r.event_key)
-    fill: dict = {m: np.zeros(f) for m in sets}
-    for r in fills(statistics, training.select("model", "event_key").distinct()).collect():
-        fill[r.model][r.feature] = r.fill
-    out = []
-    for model, events in sets.items():
-        known = [grams[e] for e in events if e in grams]
-        if known:
-            products = sum(known)
-            for alpha, (intercept, coef) in zip(alphas, solve_ridge(products, f, fill[model], alphas), strict=True):
-                out.append((model, float(alpha), float(products[0, 0]), fill[model].tolist(), intercept.tolist(), coef.tolist()))
-    kind = training.schema["model"].dataType.simpleString()
-    return spark.createDataFrame(out, f"model {kind}, alpha double, n double, fill array<double>, intercept array<double>, coef array<array<double>>")
+
+    def __init__(self, statistics: DataFrame, training: DataFrame, n_features: int, n_targets: int) -> None:
+        self.spark, self.n_features = statistics.sparkSession, n_features
+        self.kind = training.schema["model"].dataType.simpleString()
+        training = training.select("model", "event_key").distinct()
+        size = 1 + 2 * n_features + n_targets
+        upper = np.triu_indices(size)
+        cells = statistics.where("feature = -1").select("event_key", "cell", "value").toArrow()
+        keys = cells.column(0).combine_chunks().dictionary_encode()
+        flat = np.zeros((len(keys.dictionary), len(upper[0])))
+        flat[keys.indices.to_numpy(), cells.column(1).to_numpy()] = cells.column(2).to_numpy()
+        row = {k: i for i, k in enumerate(keys.dictionary.to_pylist())}
+        total: dict = {}
+        for r in training.orderBy("model", "event_key").collect():
+            if r.event_key in row:
+                total[r.model] = total.get(r.model, 0) + flat[row[r.event_key]]
+        self.products = {}
+        for model, values in total.items():
+            m = np.zeros((size, size))
+            m[upper] = values
+            self.products[model] = m + np.triu(m, 1).T
+        self.fill = {m: np.zeros(n_features) for m in self.products}
+        for r in fills(statistics, training).collect():
+            self.fill[r.model][r.feature] = r.fill
+
+    def models(self, alphas: Sequence[float]) -> DataFrame:
+        """``model, alpha, n, fill, intercept, coef`` of every set and penalty."""
+        out = []
+        for model, products in self.products.items():
+            for alpha, (intercept, coef) in zip(alphas, solve_ridge(products, self.n_features, self.fill[model], alphas), strict=True):
+                out.append((model, float(alpha), float(products[0, 0]), self.fill[model].tolist(), intercept.tolist(), coef.tolist()))
+        return self.spark.createDataFrame(out, f"model {self.kind}, alpha double, n double, fill array<double>, intercept array<double>, coef array<array<double>>")
+
+
+def fit_ridge(statistics: DataFrame, training: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGET_COLS, alphas: Sequence[float] = (1.0,)) -> DataFrame:
+    """Models of every training set and penalty: ``model, alpha, n, fill, intercept, coef``."""
+    return TrainingSums(statistics, training, len(features), len(targets)).models(alphas)
 
 
 def score_ridge(rows: DataFrame, models: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGET_COLS) -> DataFrame:

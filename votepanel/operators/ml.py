@@ -52,7 +52,9 @@ def make_regressor(kind: str, params: dict, *, features_col: str, label_col: str
         est = LinearRegression(regParam=float(params.get("alpha", 1.0)), elasticNetParam=0.0, standardization=False,
                                featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col)
     elif kind == "gbt":
-        est = GBTRegressor(maxIter=int(params.get("n_trees", 20)), maxDepth=int(params.get("max_depth", 3)), stepSize=float(params.get("learning_rate", 0.1)),
+        # Spark's trees have a smallest leaf and subsampling, but no penalty on leaf values
+        est = GBTRegressor(maxIter=int(params.get("max_iter", 20)), maxDepth=int(params.get("max_depth", 3)), stepSize=float(params.get("learning_rate", 0.1)),
+                           minInstancesPerNode=int(params.get("min_samples_leaf", 1)), subsamplingRate=float(params.get("subsample", 1.0)), featureSubsetStrategy=str(params.get("features_per_split", "all")),
                            lossType=str(params.get("loss", "squared")), seed=42, featuresCol=features_col, labelCol=label_col, predictionCol=prediction_col)
     else:
         raise ValueError(kind)
@@ -90,32 +92,15 @@ def predictions_long(scored: DataFrame, *, targets: tuple[str, ...] = TARGET_COL
     return d.select(*keys, F.explode(arr).alias("x")).select(*keys, "x.*")
 
 
-def cross_validate(panel: DataFrame, folds: DataFrame, features: list[str], kind: str, params: dict, metric_fn) -> DataFrame:
-    """Fit per fold on train events, score test events, metrics per fold (``metric_fn(diag)`` -> 1 row).
-
-    ``folds``: event_key, fold, role (from :func:`votepanel.operators.folds.event_folds`)."""
-    from votepanel.operators.folds import assign_folds
-
-    rows = assign_folds(panel, folds).cache()
-    out = None
-    for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
-        train = rows.where((F.col("fold") == fold) & (F.col("role") == "train"))
-        test = rows.where((F.col("fold") == fold) & (F.col("role") == "test"))
-        model = fit_multi_output(train, features, kind, params)
-        m = metric_fn(predictions_long(model.transform(test))).withColumn("fold", F.lit(int(fold)))
-        out = m if out is None else out.unionByName(m)
-    rows.unpersist()
-    return out
-
-
 def select_best(cv_summary: DataFrame, bias_threshold: float = 0.02) -> DataFrame:
     """Keep |bias| <= threshold when any does, then sort by mean MAE, worst category MAE, |bias|, RMSE,
-    SMAPE and take the first row."""
+    SMAPE (each to 9 decimals, so that rounding noise decides nothing), then setting, and take the first row."""
     cat_cols = [c for c in cv_summary.columns if c.startswith("mae_") and c != "mae_mean"]
     d = cv_summary.withColumn("worst_block_mae", F.greatest(*[F.col(c) for c in cat_cols])).withColumn("bias_abs", F.abs("bias"))
-    ok = d.where(F.col("bias_abs") <= bias_threshold)
-    cand = ok if ok.limit(1).count() > 0 else d
-    return cand.orderBy(*[F.col(c).asc_nulls_last() for c in ("mae_mean", "worst_block_mae", "bias_abs", "rmse", "smape")]).limit(1)
+    small = F.col("bias_abs") <= bias_threshold
+    d = d.withColumn("_ok", small | ~F.coalesce(F.bool_or(small).over(Window.partitionBy()), F.lit(False))).where("_ok").drop("_ok")  # a row a setting
+    order = [F.floor(F.col(c) * 1e9).asc_nulls_last() for c in ("mae_mean", "worst_block_mae", "bias_abs", "rmse", "smape")]
+    return d.orderBy(*order, *[F.col(c) for c in ("model", "setting") if c in d.columns]).limit(1)
 
 
 def sample_weights(df: DataFrame, *, bloc_col: str = "bloc", y_col: str = "part_bloc", alpha: float = 2.0) -> DataFrame:
@@ -129,7 +114,7 @@ def sample_weights(df: DataFrame, *, bloc_col: str = "bloc", y_col: str = "part_
 
 def two_stage(train: DataFrame, test: DataFrame, features: list[str], target: str, *, epsilon: float = 1e-4, logit_eps: float = 1e-6, kind: str = "gbt", params: dict | None = None) -> DataFrame:
     """P(y > eps) x regressor fitted on the logit of the positive rows; constant-class shortcut."""
-    params = params or {"n_trees": 20, "max_depth": 3}
+    params = params or {"max_iter": 20, "max_depth": 3}
     base = Pipeline(stages=preprocessor(features)).fit(train)
     tr = base.transform(train.where(F.col(target).isNotNull())).withColumn("_pos", (F.col(target) > epsilon).cast("double"))
     te = base.transform(test)

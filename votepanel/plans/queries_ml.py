@@ -15,7 +15,7 @@ from votepanel.plans.queries_core import long_table, mapping_table
 from votepanel.session import cut_lineage, round_doubles
 
 RIDGE = {"alpha": 1.0}
-GBT = {"n_trees": 20, "max_depth": 3, "learning_rate": 0.1}
+GBT = {"max_iter": 20, "max_depth": 3, "learning_rate": 0.1, "min_samples_leaf": 30}
 
 
 def panel_frame(spark, sf):
@@ -36,25 +36,6 @@ def q_boosted_trees(spark, sf):
     return round_doubles(ME.regression_metrics(ML.predictions_long(model.transform(test))))
 
 
-@register("grid_search")
-def q_grid_search(spark, sf):
-    """Small grid (two ridge penalties, one boosted-trees setting) x event folds: mean metrics per setting."""
-    p = panel_frame(spark, sf)
-    folds = _folds(p)
-    out = None
-    for kind, params in (("ridge", {"alpha": 0.1}), ("ridge", {"alpha": 1.0}), ("gbt", GBT)):
-        cv = ML.cross_validate(p, folds, ML.default_features(), kind, params, ME.regression_metrics)
-        mean = cv.drop("fold").agg(*[F.avg(c).alias(c) for c in cv.columns if c != "fold"])
-        mean = mean.select(F.lit(kind).alias("model"), F.lit(str(sorted(params.items()))).alias("params"), "*")
-        out = mean if out is None else out.unionByName(mean)
-    return round_doubles(out)
-
-
-@register("select_best")
-def q_select_best(spark, sf):
-    return ML.select_best(q_grid_search(spark, sf))
-
-
 @register("two_stage")
 def q_two_stage(spark, sf):
     p = panel_frame(spark, sf)

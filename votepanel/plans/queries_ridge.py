@@ -11,6 +11,7 @@ from votepanel.operators import gram as GR
 from votepanel.operators import isotonic as ISO
 from votepanel.operators import metrics as ME
 from votepanel.operators import ml as ML
+from votepanel.operators import tuning as TU
 from votepanel.operators.quantiles import exact_quantiles
 from votepanel.plans import oracle_ml as OM
 from votepanel.plans.catalog import register
@@ -230,3 +231,61 @@ def q_calibrate_isotonic(spark, sf):
     out = ISO.calibrate(before, out, ("fold", "category"), out="y_cal_bloc")
     out = ISO.calibrate(before, out, ("fold",), out="y_cal_all")
     return _report(out, "fold", *[r6_col(c).alias(c) for c in ("y_cal_fold", "y_cal_bloc", "y_cal_all")])
+
+
+#: The registered boosting trials run so many rounds; the declared 300 to 600 are for a real search.
+TRIAL_ROUNDS, MAX_TRIALS = 8, 1
+#: A finer grid of penalties, of which a search draws some.
+PENALTIES = [{"alpha": a} for a in (0.01, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 500.0, 1000.0)]
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    """All ridge settings and a seeded draw of the boosting settings, each on every fold: a row a trial and fold."""
+    p = panel_frame(spark, sf)
+    grids = {"gbt": [{**g, "max_iter": TRIAL_ROUNDS} for g in TU.BOOSTING_GRID]}
+    trials = TU.declared_trials(spark, {"ridge": TU.RIDGE_GRID}).unionByName(TU.draw_trials(TU.declared_trials(spark, grids), MAX_TRIALS))
+    return round_doubles(TU.run_trials(p, FO.event_folds(FO.event_table(p), 3), trials, ML.default_features()))
+
+
+def _drawn_sql(n: int) -> tuple[list[float], str]:
+    alphas = [p["alpha"] for p in PENALTIES]
+    table = ", ".join(f"({i}, {a!r}::double)" for i, a in enumerate(alphas))
+    return alphas, f""", drawn as (select setting, alpha from (values {table}) t(setting, alpha) order by md5('{TU.SEED}:ridge:' || setting), setting limit {n}),
+ fm as (select d.alpha, x.setting, model as fold, {", ".join(f"{e} as {c}" for e, c in OM.metric_columns())} from diag d join drawn x using (alpha) group by d.alpha, x.setting, model)"""
+
+
+def _grid_sql(n: int = 6) -> str:
+    alphas, drawn = _drawn_sql(n)
+    params = "'{\"alpha\": ' || alpha::varchar || '}' as params"
+    return OM.ridge_diag(OM.fold_sets(), alphas) + drawn + f" select 'ridge' as model, setting, {params}, fold, 'ok' as status, null::varchar as error, {', '.join(f'{r6(c)} as {c}' for _, c in OM.metric_columns())} from fm"
+
+
+def ridge_search(spark: SparkSession, sf: str, n: int = 6) -> DataFrame:
+    p = panel_frame(spark, sf)
+    trials = TU.draw_trials(TU.declared_trials(spark, {"ridge": PENALTIES}), n)
+    return TU.run_trials(p, FO.event_folds(FO.event_table(p), 3), trials, ML.default_features())
+
+
+@register("grid_search_ridge", _grid_sql)
+def q_grid_search_ridge(spark, sf):
+    """Six of twelve penalties, drawn by seed, on every fold."""
+    return round_doubles(ridge_search(spark, sf))
+
+
+def _best_sql(n: int = 6) -> str:
+    alphas, drawn = _drawn_sql(n)
+    names = [c for _, c in OM.metric_columns()]
+    worst = "greatest(" + ", ".join(c for c in names if c.startswith("mae_") and c != "mae_mean") + ")"
+    return (
+        OM.ridge_diag(OM.fold_sets(), alphas) + drawn + f""", sm2 as (select setting, alpha, count(*) as n_folds, {", ".join(f"avg({c}) as {c}" for c in names)} from fm group by setting, alpha),
+ ok as (select *, {worst} as worst, abs(bias) as ab, bool_or(abs(bias) <= 0.02) over () as anygood from sm2),
+ best as (select * from ok where not anygood or ab <= 0.02 order by floor(mae_mean * 1e9), floor(worst * 1e9), floor(ab * 1e9), floor(rmse * 1e9), floor(smape * 1e9), setting limit 1)
+ select 'ridge' as model, setting, n_folds, {", ".join(f"{r6(c)} as {c}" for c in [*names, "worst"]).replace("as worst", "as worst_block_mae")}, {r6("ab")} as bias_abs from best"""
+    )
+
+
+@register("select_best", _best_sql)
+def q_select_best(spark, sf):
+    """The best drawn penalty: small bias first, then mean and worst error, bias, RMSE and SMAPE."""
+    return round_doubles(ML.select_best(TU.summarise_trials(ridge_search(spark, sf))).drop("params"))
