@@ -97,7 +97,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def super_windows(whole: np.ndarray, length: int, gram: int, rolling: RollingHash) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one smallest gram hash: (hash, first window, windows, hash occurs twice, two content hashes)."""
+    """Runs of windows with one smallest gram hash: (hash, first window, windows, hash occurs twice, content hash)."""
     out: list[list] = [[], [], [], []]
     digests = []
     data, item = whole.tobytes(), whole.itemsize
@@ -118,15 +118,14 @@ def super_windows(whole: np.ndarray, length: int, gram: int, rolling: RollingHas
         out[1].append(start + c)
         out[2].append(size)
         out[3].append(np.fromiter((np.count_nonzero(g[s : s + n + span] == v) > 1 for s, n, v in zip(start.tolist(), size.tolist(), value, strict=True)), bool, len(start)))
-        digests += [xxhash.xxh3_128_digest(data[item * s : item * (s + n + length - 1)]) for s, n in zip((start + c).tolist(), size.tolist(), strict=True)]
+        digests += [xxhash.xxh3_64_intdigest(data[item * s : item * (s + n + length - 1)]) for s, n in zip((start + c).tolist(), size.tolist(), strict=True)]
     if not digests:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, bool, np.int64, np.int64))
-    content = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, bool, np.int64))
     mh, first, size, twice = (np.concatenate(x) for x in out)
-    return mh.view(np.int64), first.astype(np.int64), size.astype(np.int64), twice, content[:, 0], content[:, 1]
+    return mh.view(np.int64), first.astype(np.int64), size.astype(np.int64), twice, np.array(digests, np.uint64).view(np.int64)
 
 
-RUN_TYPE = pa.struct([("mh", pa.int64()), ("first", pa.int64()), ("size", pa.int64()), ("twice", pa.bool_()), ("c1", pa.int64()), ("c2", pa.int64())])
+RUN_TYPE = pa.struct([("mh", pa.int64()), ("first", pa.int64()), ("size", pa.int64()), ("twice", pa.bool_()), ("c", pa.int64())])
 
 
 def _cut(length: int, alphabet: Alphabet):
@@ -340,9 +339,9 @@ def _merge(length: int):
 def repeated_spans(docs: DataFrame, length: int = 400, alphabet: Alphabet = BYTES) -> tuple[DataFrame, DataFrame]:
     """``(scan, spans)``: per row ``doc_id, key, n_bytes, sha`` of its text; per text with repeats ``key, n_removed, n_spans, spans``
     (spans: from, to, from, to, ... in symbols)."""
-    scan = cut_lineage(_keyed(docs).mapInArrow(_cut(length, alphabet), "doc_id long, key binary, n_bytes long, sha string, runs array<struct<mh:long,first:long,size:long,twice:boolean,c1:long,c2:long>>"), "scan")
+    scan = cut_lineage(_keyed(docs).mapInArrow(_cut(length, alphabet), "doc_id long, key binary, n_bytes long, sha string, runs array<struct<mh:long,first:long,size:long,twice:boolean,c:long>>"), "scan")
     runs = scan.select("key", F.explode("runs").alias("r")).select("key", "r.*")
-    by_content = ["mh", "c1", "c2", "size"]
+    by_content = ["mh", "c", "size"]  # two 64-bit hashes and the size
     single = F.min("key") == F.max("key") if alphabet.across else F.count(F.lit(1)) == 1
     counted = cut_lineage(runs.groupBy(*by_content).agg(single.alias("single"), F.max("twice").alias("twice"), F.min("key").alias("key"), F.max("key").alias("last_key"), F.min_by("first", "key").alias("first")), "runs")
     rivals = F.min("key") != F.max("last_key") if alphabet.across else (F.count(F.lit(1)) > 1) | F.max("twice")
