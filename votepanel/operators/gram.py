@@ -85,8 +85,8 @@ def fills(statistics: DataFrame, training: DataFrame) -> DataFrame:
     return upto.where(2 * F.col("upto") >= F.col("all")).groupBy("model", "feature").agg(((F.min("cell") + 0.5) / GRID).alias("fill"))
 
 
-def solve_ridge(products: np.ndarray, n_features: int, fill: np.ndarray, alphas: Sequence[float]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per penalty: intercepts (targets) and coefficients (targets x features) from the sums of products of one training set."""
+def standardised(products: np.ndarray, n_features: int, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the filled columns (features, then targets): means, centred sums of products, and the features' scales (0: constant)."""
     f = n_features
     t = len(products) - 1 - 2 * f
     filled = np.zeros((1 + f + t, len(products)))
@@ -99,15 +99,22 @@ def solve_ridge(products: np.ndarray, n_features: int, fill: np.ndarray, alphas:
     mean = a[0, 1:] / n
     centred = a[1:, 1:] - n * np.outer(mean, mean)
     variance = np.diag(centred)[:f] / max(n - 1, 1e-300)
-    keep = variance > MIN_VARIANCE
-    scale = np.where(keep, np.sqrt(np.maximum(variance, MIN_VARIANCE)), 1.0)
+    return mean, centred, np.where(variance > MIN_VARIANCE, np.sqrt(np.maximum(variance, 0)), 0.0)
+
+
+def solve_ridge(products: np.ndarray, n_features: int, fill: np.ndarray, alphas: Sequence[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per penalty: intercepts (targets) and coefficients (targets x features) from the sums of products of one training set."""
+    f = n_features
+    mean, centred, scale = standardised(products, f, fill)
+    keep = scale > 0
+    scale = np.where(keep, scale, 1.0)
     s = (centred[:f, :f] / np.outer(scale, scale))[np.ix_(keep, keep)]
     b = (centred[:f, f:] / scale[:, None])[keep]
     out = []
     for alpha in alphas:
         if not alpha >= 0:
             raise ValueError(f"a penalty is not negative: {alpha}")
-        coef = np.zeros((t, f))
+        coef = np.zeros((len(mean) - f, f))
         if keep.any():
             coef[:, keep] = np.linalg.solve(s + alpha * np.eye(len(s)), b).T
         coef /= scale
@@ -144,6 +151,11 @@ class TrainingSums:
         for r in fills(statistics, training).collect():
             self.fill[r.model][r.feature] = r.fill
 
+    def scaling(self, model) -> tuple[list[float], list[float], list[float]]:
+        """Fills, means and scales (0: dropped) of the features of a training set."""
+        mean, _, scale = standardised(self.products[model], self.n_features, self.fill[model])
+        return self.fill[model].tolist(), mean[: self.n_features].tolist(), scale.tolist()
+
     def models(self, alphas: Sequence[float]) -> DataFrame:
         """``model, alpha, n, fill, intercept, coef`` of every set and penalty."""
         out = []

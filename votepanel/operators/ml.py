@@ -8,7 +8,7 @@ Training data is bounded by stations x elections, far smaller than the raw vote
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from votepanel.constants import CATEGORIES, PANEL_FEATURES, TARGET_COLS
+from votepanel.session import cut_lineage
 
 META_COLS = ("commune_code", "code_bv", "election_type", "election_year", "round", "date_scrutin")
 
@@ -112,27 +113,46 @@ def sample_weights(df: DataFrame, *, bloc_col: str = "bloc", y_col: str = "part_
     return d.withColumn("sample_weight", w).drop("_inv")
 
 
-def two_stage(train: DataFrame, test: DataFrame, features: list[str], target: str, *, epsilon: float = 1e-4, logit_eps: float = 1e-6, kind: str = "gbt", params: dict | None = None) -> DataFrame:
-    """P(y > eps) x regressor fitted on the logit of the positive rows; constant-class shortcut."""
+def two_stage(train: DataFrame, test: DataFrame, features: list[str], targets: tuple[str, ...] = TARGET_COLS, *, epsilon: float = 1e-4, threshold: float = 0.5, use_proba: bool = True, use_logit: bool = True,
+              logit_eps: float = 1e-6, classifier: str = "gbt", kind: str = "gbt", params: dict | None = None, keys: tuple[str, ...] = ("code_bv", "election_type", "election_year", "round")) -> DataFrame:
+    """Hurdle model of every target: P(y > epsilon) by a classifier (``gbt`` trees or ``logistic``), and a regressor of the rows above it.
+
+    ``use_logit``: the regressor learns the logit of y. ``use_proba``: the prediction is probability times value; otherwise the value
+    where the probability reaches ``threshold`` and 0 elsewhere. A target with one class only has its share of positive rows as
+    probability (1 or 0) and, without positive rows, value 0. Returns ``keys, category, y_true, proba, value, prediction`` (raw)."""
     params = params or {"max_iter": 20, "max_depth": 3}
     base = Pipeline(stages=preprocessor(features)).fit(train)
-    tr = base.transform(train.where(F.col(target).isNotNull())).withColumn("_pos", (F.col(target) > epsilon).cast("double"))
+    # prepared once for the fits of all targets
+    tr = cut_lineage(base.transform(train).select("features", *targets), "two_stage_train")
     te = base.transform(test)
-    rate = tr.agg(F.avg("_pos")).first()[0]
-    if rate in (0.0, 1.0):
-        te = te.withColumn("_proba", F.lit(float(rate)))
-    else:
-        clf = LogisticRegression(featuresCol="features", labelCol="_pos", probabilityCol="_prob", predictionCol="_cls", rawPredictionCol="_raw").fit(tr)
-        te = clf.transform(te).withColumn("_proba", F.element_at(vector_to_array(F.col("_prob")), 2))
-    pos = tr.where(F.col("_pos") == 1.0)
-    if rate == 0.0:
-        te = te.withColumn("_reg", F.lit(0.0))
-    else:
-        y = F.least(F.greatest(F.col(target), F.lit(logit_eps)), F.lit(1 - logit_eps))
-        pos = pos.withColumn("_logit", F.log(y / (1 - y)))
-        reg = make_regressor(kind, params, features_col="features", label_col="_logit", prediction_col="_lp").fit(pos)
-        te = reg.transform(te).withColumn("_reg", F.least(F.greatest(1 / (1 + F.exp(-F.col("_lp"))), F.lit(0.0)), F.lit(1.0)))
-    return te.withColumn("prediction", F.col("_proba") * F.col("_reg"))
+    rates = tr.agg(*[F.avg((F.col(t) > epsilon).cast("double")).alias(t) for t in targets]).first()
+    for t in targets:
+        known = tr.where(F.col(t).isNotNull()).withColumn("_pos", (F.col(t) > epsilon).cast("double"))
+        proba, value, raw = f"_proba_{t}", f"_value_{t}", f"_raw_{t}"
+        if rates[t] in (0.0, 1.0, None):
+            te = te.withColumn(proba, F.lit(rates[t]).cast("double"))
+        else:
+            columns = dict(featuresCol="features", labelCol="_pos", predictionCol=f"_class_{t}")
+            if classifier == "gbt":
+                est = GBTClassifier(maxIter=int(params.get("max_iter", 20)), maxDepth=int(params.get("max_depth", 3)), stepSize=float(params.get("learning_rate", 0.1)), minInstancesPerNode=int(params.get("min_samples_leaf", 1)), seed=42, **columns)
+            else:
+                est = LogisticRegression(**columns)
+            est.setProbabilityCol(f"_prob_{t}").setRawPredictionCol(f"_rawclass_{t}")
+            te = est.fit(known).transform(te).withColumn(proba, F.element_at(vector_to_array(F.col(f"_prob_{t}")), 2)).drop(f"_class_{t}", f"_prob_{t}", f"_rawclass_{t}")
+        if not rates[t]:
+            te = te.withColumn(value, F.lit(0.0))
+            continue
+        y = F.least(F.greatest(F.col(t), F.lit(logit_eps)), F.lit(1 - logit_eps))
+        positive = known.where("_pos = 1").withColumn("_y", F.log(y / (1 - y)) if use_logit else F.col(t))
+        te = make_regressor(kind, params, features_col="features", label_col="_y", prediction_col=raw).fit(positive).transform(te)
+        back = 1 / (1 + F.exp(-F.col(raw))) if use_logit else F.col(raw)
+        te = te.withColumn(value, F.least(F.greatest(back, F.lit(0.0)), F.lit(1.0))).drop(raw)
+
+    def row(t: str):
+        p, v = F.col(f"_proba_{t}"), F.col(f"_value_{t}")
+        return F.struct(F.lit(t.replace("target_share_", "")).alias("category"), F.col(t).alias("y_true"), p.alias("proba"), v.alias("value"), (p * v if use_proba else F.when(p >= threshold, v).otherwise(0.0)).alias("prediction"))
+
+    return te.select(*keys, F.explode(F.array(*[row(t) for t in targets])).alias("x")).select(*keys, "x.*")
 
 
 def log_target(df: DataFrame, target: str) -> DataFrame:

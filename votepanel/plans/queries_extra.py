@@ -457,20 +457,6 @@ def _panel(spark, sf):
     return panel_frame(spark, sf)
 
 
-@register("preprocessor")
-def q_preprocessor(spark, sf):
-    """Fitted preprocessing: median per feature and how many features survive the variance filter."""
-    from pyspark.ml import Pipeline
-
-    p = _panel(spark, sf)
-    feats = ML.default_features()
-    model = Pipeline(stages=ML.preprocessor(feats)).fit(p)
-    imp, _, sel, _ = model.stages
-    med = imp.surrogateDF.first().asDict()
-    kept = set(sel.selectedFeatures)
-    return spark.createDataFrame([(f, float(med[f]) if med[f] is not None else None, i in kept) for i, f in enumerate(feats)], "feature string, median double, kept boolean")
-
-
 # ------------------------------------------------------------------ mixed wide / long candidate files
 from votepanel.operators.reshape import fill_presidential_code, unpivot_candidates_mixed  # noqa: E402
 from votepanel.sources.tables import fx_wide, wide_numbers  # noqa: E402

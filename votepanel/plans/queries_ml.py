@@ -36,28 +36,16 @@ def q_boosted_trees(spark, sf):
     return round_doubles(ME.regression_metrics(ML.predictions_long(model.transform(test))))
 
 
+#: Rounds of the trees in the registered query.
+HURDLE = {"max_iter": 5, "max_depth": 3, "learning_rate": 0.3, "min_samples_leaf": 30}
+
+
 @register("two_stage")
 def q_two_stage(spark, sf):
+    """Seven targets of the years from 2000: probability, value and their product, normalised per station-election."""
     p = panel_frame(spark, sf)
-    tr, te = p.where(F.col("election_year") <= 1999), p.where(F.col("election_year") >= 2000)
-    out = ML.two_stage(tr, te, ML.default_features(), "target_share_extreme_droite", params=GBT)
-    return round_doubles(out.select("code_bv", "election_type", "election_year", "round", F.col("target_share_extreme_droite").alias("y_true"), F.col("prediction").alias("y_pred")))
-
-
-@register("batch_score")
-def q_batch_score(spark, sf):
-    """Fit on the history, score every station for a future election from its score features."""
-    from votepanel.plans.queries_more import SCORE_YEAR, TARGET_TYPE, history_table
-    from votepanel.plans.scoring import score_features
-
-    p = panel_frame(spark, sf).where(F.col("election_year") < SCORE_YEAR)
-    model = ML.fit_multi_output(p, ML.default_features(), "ridge", RIDGE)
-    feats = score_features(history_table(spark, sf), TARGET_TYPE, SCORE_YEAR)
-    scored = model.transform(feats)
-    cats = [c for c in ("centre", "gauche_modere", "droite_modere", "gauche_dure", "droite_dure", "extreme_gauche", "extreme_droite")]
-    for c in cats:
-        scored = scored.withColumn(f"target_share_{c}", F.lit(None).cast("double"))
-    return round_doubles(ML.predictions_long(scored).select("code_bv", "election_type", "election_year", "round", "category", F.col("y_pred").alias("predicted_share")))
+    out = ML.two_stage(p.where(F.col("election_year") < 2000), p.where(F.col("election_year") >= 2000), ML.default_features(), params=HURDLE)
+    return round_doubles(ME.normalise_predictions(out.withColumn("y_pred", F.col("prediction"))))
 
 
 _SW_SQL = O.with_ctes(*O.model_table_sql_ctes(1995)) + """, c as (select bloc, count(*) as n from mt_final group by bloc),

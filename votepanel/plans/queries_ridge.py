@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from votepanel.constants import CATEGORIES, TARGET_COLS
+from votepanel.operators import encoding as EN
 from votepanel.operators import folds as FO
 from votepanel.operators import gram as GR
 from votepanel.operators import isotonic as ISO
 from votepanel.operators import metrics as ME
 from votepanel.operators import ml as ML
+from votepanel.operators import model_store as MS
 from votepanel.operators import tuning as TU
 from votepanel.operators.quantiles import exact_quantiles
+from votepanel.plans import oracle as O
 from votepanel.plans import oracle_ml as OM
 from votepanel.plans.catalog import register
 from votepanel.plans.oracle import r6
 from votepanel.plans.queries_core import long_table
 from votepanel.plans.queries_ml import panel_frame
-from votepanel.session import cut_lineage, round_doubles
+from votepanel.plans.queries_more import SCORE_YEAR, TARGET_TYPE, history_table
+from votepanel.plans.scoring import score_features
+from votepanel.session import cut_lineage, round_doubles, scratch_path
 from votepanel.session import r6 as r6_col
 
 KEYS = ["code_bv", "election_type", "election_year", "round"]
@@ -289,3 +294,72 @@ def _best_sql(n: int = 6) -> str:
 def q_select_best(spark, sf):
     """The best drawn penalty: small bias first, then mean and worst error, bias, RMSE and SMAPE."""
     return round_doubles(ML.select_best(TU.summarise_trials(ridge_search(spark, sf))).drop("params"))
+
+
+# ------------------------------------------------------------------ preprocessing, and scoring by a stored model
+SEEN_TOWNS = "00020"  # towns from here on are not in the training rows of the categories
+_CATS = ["election_type", "town"]
+
+
+def _categories(panel: DataFrame) -> DataFrame:
+    """Two categorical columns; the type is missing in some rows."""
+    return panel.withColumns({"town": F.substring_index("code_bv", "-", 1), "election_type": F.when((F.col("election_year") + F.col("round")) % 5 == 0, F.lit(None)).otherwise(F.col("election_type")), "kind": F.col("election_type")})
+
+
+def _preprocessor_sql() -> str:
+    names = ML.default_features()
+    z = ", ".join(f"{r6(f'case when ms{i}.s is not null then (coalesce(x[{i}], fl{i}.fill, 0) - ms{i}.m) / ms{i}.s end')} as z_{f}" for i, f in enumerate(names, 1))
+    joins = " ".join(f"left join (select * from ms where j = {i}) ms{i} on true left join (select * from fl where j = {i}) fl{i} on true" for i in range(1, len(names) + 1))
+    scaling = OM.ridge_ctes()[:5]  # filled and standardised features of the training set
+    return O.with_ctes(*OM.training_panel(), *SPLIT, *scaling) + f""",
+ cat as (select code_bv, election_type as kind, election_year, round, case when (election_year + round) % 5 = 0 then null else election_type end as election_type, split_part(code_bv, '-', 1) as town, x from rp),
+ lv as (select no, c, level, count(*) as n from (select 0 as no, 'election_type' as c, election_type as level from cat where election_year < 2000 and town < '{SEEN_TOWNS}'
+   union all select 1, 'town', town from cat where election_year < 2000 and town < '{SEEN_TOWNS}') where level is not null group by all),
+ lc as (select *, row_number() over (partition by c order by level) - 1 as code, row_number() over (order by no, level) - 1 as slot, first(level) over (partition by c order by n desc, level) as fill from lv),
+ en as (select cat.*, a.code as ac, a.slot as asl, b.code as bc, b.slot as bsl from cat left join lc a on a.c = 'election_type' and a.level = coalesce(cat.election_type, (select max(fill) from lc where c = 'election_type'))
+   left join lc b on b.c = 'town' and b.level = coalesce(cat.town, (select max(fill) from lc where c = 'town')))
+ select code_bv, kind, election_year, round, cast(coalesce(ac, -1) as int) as election_type_code, cast(coalesce(bc, -1) as int) as town_code, concat_ws(',', cast(asl as varchar), cast(bsl as varchar)) as slots, {z} from en {joins} where election_year >= 2000"""
+
+
+@register("preprocessor", _preprocessor_sql)
+def q_preprocessor(spark, sf):
+    """Rows from 2000 on, prepared by what the rows before hold: numeric features filled and standardised (dropped ones null), election
+    type and town as codes and one-hot slots."""
+    p = panel_frame(spark, sf)
+    feats = ML.default_features()
+    sums = GR.TrainingSums(GR.event_statistics(p, feats), late_split(spark, p)[0], len(feats), len(TARGET_COLS))
+    fill, mean, scale = sums.scaling("m")
+    rows = _categories(p)
+    levels = EN.fit_levels(rows.where(~LATE & (F.col("town") < SEEN_TOWNS)), _CATS)
+    out = EN.encode(rows.where(LATE), levels, _CATS)
+    z = [((F.coalesce(F.col(c), F.lit(f)) - F.lit(m)) / F.lit(s) if s else F.lit(None).cast("double")).alias(f"z_{c}") for c, f, m, s in zip(feats, fill, mean, scale, strict=True)]
+    return round_doubles(out.select("code_bv", "kind", "election_year", "round", "election_type_code", "town_code", F.concat_ws(",", F.transform("slots", lambda x: x.cast("string"))).alias("slots"), *z))
+
+
+def _batch_sql() -> str:
+    have = [f for f in ML.default_features() if not f.startswith("swing_")]
+    x = ", ".join(f if f in have else "null" for f in OM.FEATURES)
+    scored = f"sx as (select code_bv, [{x}]::double[] as x from ({O.score_features_sql(TARGET_TYPE, SCORE_YEAR)}))"
+    return O.with_ctes(*OM.training_panel(), *OM.split_sets(f"election_year < {SCORE_YEAR}", "false"), *OM.ridge_ctes()[:13], scored) + f""",
+ pr as (select code_bv, ic.t, max(ic.c) + coalesce(sum(cf.w * coalesce(x[cf.j], fl.fill, 0)), 0) as p from sx join ic on true left join cf on cf.t = ic.t left join fl on fl.j = cf.j group by code_bv, ic.t),
+ cl as (select *, least(greatest(p, 0.0), 1.0) as q from pr)
+ select code_bv, '{TARGET_TYPE}' as election_type, {SCORE_YEAR} as election_year, 1 as round, [{", ".join(f"'{c}'" for c in CATEGORIES)}][t] as category,
+  {_r4('q / case when sum(q) over w = 0 then 1.0 else sum(q) over w end')} as predicted_share from cl window w as (partition by code_bv)"""
+
+
+@register("batch_score", _batch_sql)
+def q_batch_score(spark, sf):
+    """A stored model, read back, scores a feature table that lacks the swings, has columns of its own and another order of columns."""
+    p = panel_frame(spark, sf).where(F.col("election_year") < SCORE_YEAR)
+    feats = ML.default_features()
+    train = GR.whole_set(spark, p, "m", F.lit(True))
+    path = scratch_path(spark, "ridge_model")
+    MS.save_ridge(GR.fit_ridge(GR.event_statistics(p, feats), train, feats), feats, path)
+    table = round_doubles(score_features(history_table(spark, sf), TARGET_TYPE, SCORE_YEAR))
+    table = cut_lineage(table.select(*sorted((c for c in table.columns if not c.startswith("swing_")), reverse=True), F.lit("x").alias("remark")), "to_score")
+    models, names = MS.load_ridge(spark, path)
+    rows = MS.align(table, names, ("code_bv",)).withColumn("model", F.lit("m"))
+    scored = GR.score_ridge(rows, models, names).withColumns({t: F.lit(None).cast("double") for t in TARGET_COLS})
+    out = ML.predictions_long(scored, keys=("code_bv",))
+    share = (F.floor(F.col("y_pred") * 10000 + F.lit(0.5)) / 10000).alias("predicted_share")
+    return out.select("code_bv", F.lit(TARGET_TYPE).alias("election_type"), F.lit(SCORE_YEAR).alias("election_year"), F.lit(1).alias("round"), "category", share)
