@@ -192,6 +192,6 @@ def premapping(long_df: DataFrame) -> DataFrame:
 
 
 def sample_keys(df: DataFrame, key: str, n: int, *, seed: int = 42) -> DataFrame:
-    """Repeatable sample of ``n`` rows: order by a seeded 64-bit hash of the key (TakeOrdered: each
+    """Repeatable sample of ``n`` rows: order by a seeded digest of the key (TakeOrdered: each
     task keeps its n best, the driver merges n x tasks rows)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)

@@ -307,6 +307,9 @@ FB_TOWNS = """fb_towns as (
  select lpad(cast(n.n_nationkey as varchar),5,'0') as code_commune, n.n_name as nom_commune
  from nation n join region r on n.n_regionkey = r.r_regionkey where r.r_name = 'EUROPE')"""
 
+FB_ALL_TOWNS = """fb_towns as (
+ select lpad(cast(n_nationkey as varchar),5,'0') as code_commune, n_name as nom_commune from nation)"""
+
 FB_EX = """fb_ex as (
  select l.code_bv, l.date_scrutin, l.annee, l.type_scrutin, l.tour, coalesce(m.category,'centre') as bloc,
   coalesce(l.voix,0.0)/coalesce(m.n_blocs,1) as voix_bloc, l.exprimes, l.inscrits, l.votants, l.blancs, l.nuls
@@ -349,8 +352,9 @@ FB_LAGS = """fb_lags as (
  from fb_growth window w as (partition by code_bv, bloc order by date_scrutin, type_scrutin, tour))"""
 
 
-def fb_ctes(base_year: int = 1995) -> list[str]:
-    return [FX_LONG, FX_MAP, FB_TOWNS, FB_EX, FB_EV, FB_NAT, FB_ATT, FB_TGT, fb_growth(base_year), FB_LAGS]
+def fb_ctes(base_year: int = 1995, towns: str = FB_ALL_TOWNS) -> list[str]:
+    """The bloc table; ``towns``: all of them, or the target towns where that filter is the feature."""
+    return [FX_LONG, FX_MAP, towns, FB_EX, FB_EV, FB_NAT, FB_ATT, FB_TGT, fb_growth(base_year), FB_LAGS]
 
 
 def select_r6(cols: list[str], doubles: set[str], src: str) -> str:

@@ -379,23 +379,24 @@ def q_available_targets(spark, sf):
 @register(
     "category_scaffold",
     O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES)
-    + f""", s as (select category, avg(share) as share from fx_rates where code_bv = (select min(code_bv) from fx_rates) and election_type = 'low' and election_year = 1998 and round = 1 group by category)
- select c.category, {O.r6('coalesce(s.share, 0.0)')} as share from (values {", ".join(f"('{c}')" for c in _CATS)}) c(category) left join s on c.category = s.category""",
+    + f""", s as (select code_bv, election_type, election_year, round, category, avg(share) as share from fx_rates group by all),
+ k as (select distinct code_bv, election_type, election_year, round from fx_rates)
+ select k.code_bv, k.election_type, k.election_year, k.round, c.category, {O.r6('coalesce(s.share, 0.0)')} as share
+ from k cross join (values {", ".join(f"('{c}')" for c in _CATS)}) c(category) left join s using (code_bv, election_type, election_year, round, category)""",
 )
 def q_category_scaffold(spark, sf):
+    """All seven categories of every station-election, 0 where it has no row of one: a pivot with fixed columns, taken apart again."""
     from votepanel.constants import CATEGORIES
 
-    loc = local_table(spark, sf)
-    loc = loc.where((F.col("code_bv") == first_station(loc)) & (F.col("election_type") == "low") & (F.col("election_year") == 1998) & (F.col("round") == 1))
-    grp = loc.groupBy("category").agg(F.avg("share").alias("share"))
-    cats = spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    return round_doubles(cats.join(grp, on="category", how="left").select("category", F.coalesce("share", F.lit(0.0)).alias("share")))
+    keys = ["code_bv", "election_type", "election_year", "round"]
+    wide = local_table(spark, sf).groupBy(*keys).agg(*[F.avg(F.when(F.col("category") == c, F.col("share"))).alias(c) for c in CATEGORIES])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.coalesce(c, F.lit(0.0)).alias("share")) for c in CATEGORIES]))
+    return round_doubles(wide.select(*keys, rows.alias("x")).select(*keys, "x.*"))
 
 
-@register("sample_rows")
+@register("sample_rows", O.with_ctes(O.FX_LONG) + "select code_bv from (select distinct code_bv from fx_long) order by md5(code_bv || ':42'), code_bv limit 20")
 def q_sample_rows(spark, sf):
-    """Repeatable seeded sample of 20 stations (order by a seeded hash): the limit is the feature.
-    No SQL oracle (the hash has no DuckDB twin); unit-tested against a brute-force pick."""
+    """Repeatable seeded sample of 20 stations (order by a seeded digest): the limit is the feature."""
     from votepanel.operators.stations import sample_keys
 
     return sample_keys(long_table(spark, sf).select("code_bv").distinct(), "code_bv", 20, seed=42)

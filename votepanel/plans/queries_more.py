@@ -25,6 +25,12 @@ def communes_table(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def all_towns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every town with its name."""
+    n = read_table(spark, sf, "nation", ["n_nationkey", "n_name"])
+    return n.select(F.lpad(F.col("n_nationkey").cast("string"), 5, "0").alias("code_commune"), F.col("n_name").alias("nom_commune"))
+
+
 def lenient_mapping(spark, sf):
     return normalise_mapping(fx_mapping(spark, sf), lenient=True)
 
@@ -92,7 +98,7 @@ _GROWTH = ["code_bv", "date_scrutin", "type_scrutin", "tour", "bloc", "croissanc
 @register("registered_growth", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)[:-1]) + O.select_r6(_GROWTH, {"croissance_inscrits_depuis_base"}, "fb_growth"))
 def q_registered_growth(spark, sf):
     ev = B.attach_national(B.bloc_event_table(long_table(spark, sf), lenient_mapping(spark, sf)))
-    out = B.registered_growth(B.filter_communes(ev, communes_table(spark, sf)).repartition("code_bv"), BASE_YEAR)
+    out = B.registered_growth(B.filter_communes(ev, all_towns(spark, sf)).repartition("code_bv"), BASE_YEAR)
     return round_doubles(out.select(*_GROWTH))
 
 
@@ -103,7 +109,7 @@ _BLOCS = ["code_commune", "nom_commune", "code_bv", "date_scrutin", "annee", "ty
 _BLOCS_DBL = set(_BLOCS[8:]) - {"exprimes", "inscrits", "votants", "blancs", "nuls"}
 
 
-@register("build_elections_blocs", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + O.select_r6(_BLOCS, _BLOCS_DBL, "fb_lags"))
+@register("build_elections_blocs", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR, O.FB_TOWNS)) + O.select_r6(_BLOCS, _BLOCS_DBL, "fb_lags"))
 def q_build_elections_blocs(spark, sf):
     out = B.build_elections_blocs(long_table(spark, sf), lenient_mapping(spark, sf), communes_table(spark, sf), base_year=BASE_YEAR)
     return round_doubles(out.select(*_BLOCS))
@@ -114,8 +120,7 @@ _BLAGS = ["code_bv", "date_scrutin", "type_scrutin", "tour", "bloc", "part_bloc_
 
 @register("bloc_lags", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + O.select_r6(_BLAGS, set(_BLAGS[5:]), "fb_lags"))
 def q_bloc_lags(spark, sf):
-    out = B.build_elections_blocs(long_table(spark, sf), lenient_mapping(spark, sf), communes_table(spark, sf), base_year=BASE_YEAR)
-    return round_doubles(out.select(*_BLAGS))
+    return round_doubles(blocs_table(spark, sf).select(*_BLAGS))
 
 
 _CES = ["code_commune", "nom_commune", "election_type", "election_year", "round", "date_scrutin", "exprimes", "inscrits", "votants",
@@ -144,7 +149,8 @@ from votepanel.plans import model_table as MT  # noqa: E402
 
 
 def blocs_table(spark, sf):
-    return B.build_elections_blocs(long_table(spark, sf), lenient_mapping(spark, sf), communes_table(spark, sf), base_year=BASE_YEAR)
+    """The bloc table of every town (``build_elections_blocs`` itself has the target towns)."""
+    return B.build_elections_blocs(long_table(spark, sf), lenient_mapping(spark, sf), all_towns(spark, sf), base_year=BASE_YEAR)
 
 
 def model_frame(spark, sf):
