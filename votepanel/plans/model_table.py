@@ -120,3 +120,21 @@ def model_table(blocs: DataFrame, *, drop_na_target: bool = True) -> DataFrame:
     base = base_table_rules(blocs).repartition("code_bv")
     out = interaction_features(town_lag(station_trend(lag_rolling_features(calendar_features(base)))))
     return out.where(F.col("part_bloc").isNotNull()) if drop_na_target else out
+
+
+def target_rows(blocs: DataFrame, target_type: str, target_year: int, *, month: int = 3, day: int = 15) -> DataFrame:
+    """Features of an election to forecast: the last row of every station x bloc that the base rules keep is moved to the target date and
+    type, with an unknown share and the target year centred on the median year of the base rows; features are then computed
+    over base rows and moved rows together, and the moved rows returned. Measures of a moved row are those of its last election."""
+    from votepanel.plans.blocs import column_median
+
+    base = base_table_rules(blocs)
+    median = column_median(base, "annee")
+    w = Window.partitionBy("code_bv", "bloc").orderBy(*[F.col(c).desc() for c in ORDER])
+    last = base.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    moved = last.withColumns({
+        "annee": F.lit(target_year).cast(base.schema["annee"].dataType), "date_scrutin": F.make_date(F.lit(target_year), F.lit(month), F.lit(day)).cast(base.schema["date_scrutin"].dataType),
+        "type_scrutin": F.lit(target_type), "tour": F.lit(1), "annee_centre": (F.lit(target_year) - F.lit(median)).cast("double"), "part_bloc": F.lit(None).cast("double"), "is_target": F.lit(True),
+    })
+    both = base.withColumn("is_target", F.lit(False)).unionByName(moved)
+    return model_table(both, drop_na_target=False).where("is_target").drop("is_target")

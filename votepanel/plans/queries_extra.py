@@ -21,7 +21,7 @@ from votepanel.plans.catalog import register
 from votepanel.plans.panel import event_category_table, renormalise_targets
 from votepanel.plans.queries_core import TARGET_TYPE, TARGET_YEAR, local_table, long_table, mapping_table, q_build_panel
 from votepanel.plans.queries_more import (
-    _DIMS_SQL, _STD, BASE_YEAR, PN_LONG, RAW_RENAME, _pn, blocs_table, communes_table, write_raw_results,
+    _CAL, _DIMS_SQL, _INTER, _MULTI, _ROLL, _STD, _TREND, BASE_YEAR, PN_LONG, RAW_RENAME, _pn, blocs_table, all_towns, write_raw_results,
 )
 from votepanel.session import cut_lineage, round_doubles, scratch_path
 from votepanel.sources import delimited as DL
@@ -431,23 +431,34 @@ def q_pick_rate(spark, sf):
 
     lg = long_table(spark, sf)
     st = bureau_event_stats(lg).withColumn("code_commune", F.substring_index("code_bv", "-", 1))
-    town = commune_event_stats(lg, communes_table(spark, sf))
+    town = commune_event_stats(lg, all_towns(spark, sf))
     return FC.pick_rates(st, town, default_rates(st), TARGET_TYPE, TARGET_YEAR)
 
 
-@register("target_rows")
+_TARGET_COLS = ["is_2020", "annee_centre", *_CAL, *_MULTI, *_ROLL, *_TREND, "y_comm_lag1", *_INTER]
+
+
+def _target_rows_sql() -> str:
+    ctes = []
+    for c in O.model_table_sql_ctes(BASE_YEAR):
+        if c.startswith("mt_base as"):
+            ctes.append(c.replace("mt_base as", "mt_rule as", 1))
+            ctes.append("mt_last as (select * from (select *, row_number() over (partition by code_bv, bloc order by date_scrutin desc, type_scrutin desc, tour desc) as rn from mt_rule) where rn = 1)")
+            ctes.append(f"""mt_base as (select *, false as is_target from mt_rule union all by name
+ select * exclude (rn) replace (make_date({TARGET_YEAR}, 3, 15) as date_scrutin, {TARGET_YEAR} as annee, '{TARGET_TYPE}' as type_scrutin, 1 as tour, null::double as part_bloc, {int(TARGET_YEAR == 2020)} as is_2020,
+  {TARGET_YEAR} - (select quantile_cont(annee, 0.5) from mt_rule) as annee_centre), true as is_target from mt_last)""")
+        else:
+            ctes.append(c.replace("where l.part_bloc is not null", "where l.is_target"))
+    return O.with_ctes(*ctes) + O.select_r6(["code_bv", "bloc", *_TARGET_COLS], set(_TARGET_COLS) - {"month", "dow", "is_2020"}, "mt_final")
+
+
+@register("target_rows", _target_rows_sql)
 def q_target_rows(spark, sf):
-    """Copy the last row of every station x bloc to the target date, append to the history, recompute
-    the model features and keep the target rows (features of the election to forecast)."""
+    """The last first-round row of every station x bloc moved to the target election, appended to the history, and all model
+    features of the moved rows."""
     from votepanel.plans import model_table as MT
 
-    b = blocs_table(spark, sf)
-    w = Window.partitionBy("code_bv", "bloc").orderBy(F.col("date_scrutin").desc(), F.col("type_scrutin").desc(), F.col("tour").desc())
-    last = b.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    tgt = last.withColumn("date_scrutin", F.make_date(F.lit(TARGET_YEAR), F.lit(3), F.lit(15))).withColumn("annee", F.lit(TARGET_YEAR)) \
-        .withColumn("type_scrutin", F.lit(TARGET_TYPE)).withColumn("tour", F.lit(1)).withColumn("part_bloc", F.lit(None).cast("double"))
-    mt = MT.model_table(b.unionByName(tgt), drop_na_target=False)
-    return round_doubles(mt.where(F.col("annee") == TARGET_YEAR).select("code_bv", "bloc", "part_bloc_lag1", "part_bloc_lag2", "y_rollmean_3_bv", "y_comm_lag1"))
+    return round_doubles(MT.target_rows(blocs_table(spark, sf), TARGET_TYPE, TARGET_YEAR).select("code_bv", "bloc", *_TARGET_COLS))
 
 
 # ------------------------------------------------------------------ remaining model keys (no SQL oracle)
