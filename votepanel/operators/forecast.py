@@ -3,7 +3,7 @@
 The per-station loop of the original becomes grouped aggregates: the history is hash-partitioned on
 ``code_bv`` once, and every statistic below (share trends per station x category, rate trends per
 station, allocation of counts) is keyed by ``code_bv`` plus more columns, so no further exchange is
-needed. Least-squares lines use ``regr_slope`` (same line as a degree-1 polynomial fit).
+needed. Least-squares lines come from sums per group and year.
 """
 
 from __future__ import annotations
@@ -51,28 +51,48 @@ def prepare_history(local: DataFrame, *, target_year: int | None = None) -> Data
     return h.withColumn("share", F.least(share, F.lit(1.0)))
 
 
-def _trend_stats(value: Column, year: Column, keep: Column, suffix: str, prefix: str = "") -> list[Column]:
-    """Aggregates for a least-squares line over the rows where ``keep`` holds and value/year exist."""
-    valid = keep & value.isNotNull() & year.isNotNull()
-    v = F.when(valid, value)
-    x = F.when(valid, year.cast("double"))
-    stats = {
-        "n": F.count(v),
-        # distinct years per station (bounded by the election calendar): a set, not a DISTINCT
-        # aggregate, so the many scopes below do not multiply rows through an Expand
-        "ny": F.size(F.collect_set(x)),
-        "slope": F.regr_slope(v, x),
-        "mx": F.avg(x),
-        "my": F.avg(v),
-        "last": F.max_by(v, F.when(valid, _order_key())),
-        "min": F.min(v),
-        "max": F.max(v),
-    }
-    return [c.alias(f"{prefix}{name}{suffix}") for name, c in stats.items()]
+#: Years are counted from here in sums, so that their squares stay small.
+ORIGIN = 2000
 
 
-def _pick(suffix_t: str, suffix_a: str, use_t: Column, name: str) -> Column:
-    return F.when(use_t, F.col(f"{name}{suffix_t}")).otherwise(F.col(f"{name}{suffix_a}"))
+def trend_statistics(rows: DataFrame, keys: tuple[str, ...], values: dict[str, Column], order: Column, year: str = "election_year", latest: dict[str, Column] | None = None) -> DataFrame:
+    """What a least-squares line over the years needs, per group: for each value ``{name}_n, _ny`` (distinct years), ``_slope, _mx, _my,
+    _last`` (by ``order``), ``_min, _max``; and the last non-null of each of ``latest``.
+
+    A value is null in rows outside its scope. Rows are first summed per group and year, where the year is a constant: number, sum, extremes and
+    last of the values are all that is needed, and a year with values counts once. The line's sums follow from those."""
+    at = F.col("_order")
+    rows = rows.select(*keys, F.col(year).alias("_year"), order.alias("_order"), *[F.when(F.col(year).isNotNull(), v).alias(f"_v_{n}") for n, v in values.items()], *[v.alias(f"_l_{n}") for n, v in (latest or {}).items()])
+    aggs = []
+    for n in values:
+        v = F.col(f"_v_{n}")
+        here = F.when(v.isNotNull(), at)
+        aggs += [F.count(v).alias(f"_n_{n}"), F.sum(v).alias(f"_s_{n}"), F.min(v).alias(f"_min_{n}"), F.max(v).alias(f"_max_{n}"), F.max_by(v, here).alias(f"_last_{n}"), F.max(here).alias(f"_at_{n}")]
+    for n in latest or {}:
+        here = F.when(F.col(f"_l_{n}").isNotNull(), at)
+        aggs += [F.max_by(F.col(f"_l_{n}"), here).alias(f"_l_{n}"), F.max(here).alias(f"_lat_{n}")]
+    by_year = rows.groupBy(*keys, "_year").agg(*aggs)
+    x = F.col("_year").cast("double") - ORIGIN
+    aggs = []
+    for n in values:
+        k, total = F.col(f"_n_{n}"), F.col(f"_s_{n}")
+        aggs += [F.sum(k).alias(f"{n}_n"), F.count(F.when(k > 0, 1)).alias(f"{n}_ny"), F.sum(k * x).alias(f"_sx_{n}"), F.sum(k * x * x).alias(f"_sxx_{n}"), F.sum(total).alias(f"_sv_{n}"), F.sum(total * x).alias(f"_sxv_{n}")]
+        aggs += [F.min(f"_min_{n}").alias(f"{n}_min"), F.max(f"_max_{n}").alias(f"{n}_max"), F.max_by(f"_last_{n}", f"_at_{n}").alias(f"{n}_last")]
+    aggs += [F.max_by(f"_l_{n}", f"_lat_{n}").alias(n) for n in latest or {}]
+    g = by_year.groupBy(*keys).agg(*aggs)
+    out = []
+    for n in values:
+        k, sx, sv = F.col(f"{n}_n"), F.col(f"_sx_{n}"), F.col(f"_sv_{n}")
+        spread = k * F.col(f"_sxx_{n}") - sx * sx
+        positive = F.when(k > 0, k)
+        out += [f"{n}_n", f"{n}_ny", f"{n}_min", f"{n}_max", f"{n}_last", ((k * F.col(f"_sxv_{n}") - sx * sv) / F.when(spread > 0, spread)).alias(f"{n}_slope"), (sx / positive + ORIGIN).alias(f"{n}_mx"), (sv / positive).alias(f"{n}_my")]
+    return g.select(*keys, *out, *(latest or {}))
+
+
+def _projected(name: str, target_year: int, min_points: int, clamp: bool) -> Column:
+    p = {k: F.col(f"{name}_{k}") for k in ("n", "ny", "slope", "mx", "my", "last", "min", "max")}
+    val = _line_at(p["n"], p["ny"], p["slope"], p["mx"], p["my"], p["last"], target_year, min_points)
+    return clip01(F.least(F.greatest(val, p["min"]), p["max"]) if clamp else val)
 
 
 def _line_at(n: Column, ny: Column, slope: Column, mx: Column, my: Column, last: Column, target_year: int, min_points: int) -> Column:
@@ -85,17 +105,11 @@ def project_shares(hist: DataFrame, target_type: str, target_year: int) -> DataF
     when the category has any row of that type, else over all types; last value if fewer than 2 years;
     falls back to the last known share; clipped to [0, 1] (``project_share``)."""
     is_t = F.col("election_type") == F.lit(target_type)
-    year = F.col("election_year")
-    g = hist.groupBy("code_bv", "category").agg(
-        F.max(is_t.cast("int")).alias("has_t"),
-        F.max_by(F.col("share"), F.when(F.col("share").isNotNull(), _order_key())).alias("last_overall"),
-        *_trend_stats(F.col("share"), year, is_t, "_t"),
-        *_trend_stats(F.col("share"), year, F.lit(True), "_a"),
-    )
-    use_t = F.col("has_t") == 1
-    p = {k: _pick("_t", "_a", use_t, k) for k in ("n", "ny", "slope", "mx", "my", "last")}
-    projected = clip01(_line_at(p["n"], p["ny"], p["slope"], p["mx"], p["my"], p["last"], target_year, 2))
-    raw = clip01(F.coalesce(projected, F.col("last_overall"), F.lit(0.0)))
+    w = Window.partitionBy("code_bv", "category")
+    rows = hist.withColumns({"_no": F.row_number().over(w.orderBy(*HIST_ORDER)), "_has_t": F.max(is_t.cast("int")).over(w)})
+    in_scope = is_t | (F.coalesce(F.col("_has_t"), F.lit(0)) == 0)
+    g = trend_statistics(rows, ("code_bv", "category"), {"share": F.when(in_scope, F.col("share"))}, F.col("_no"), latest={"last_overall": F.col("share")})
+    raw = clip01(F.coalesce(_projected("share", target_year, 2, False), F.col("last_overall"), F.lit(0.0)))
     return g.select("code_bv", "category", raw.alias("raw_share"))
 
 
@@ -123,33 +137,26 @@ def project_rates(events: DataFrame, target_type: str, target_year: int, *, min_
     that scope. Trend only with >= ``min_points`` points and distinct years, else the last value;
     clamped to the observed range, then to [0, 1]. Also returns the last known registered count.
     """
-    r1 = F.col("round") == 1
-    is_t = F.col("election_type") == F.lit(target_type)
-    year = F.col("election_year")
-    aggs = [
-        F.max(r1.cast("int")).alias("has_r1"),
-        F.max((r1 & is_t).cast("int")).alias("has_r1_t"),
-        F.max(is_t.cast("int")).alias("has_t"),
-        F.max_by(F.col("inscrits"), F.when(F.col("inscrits").isNotNull(), _order_key())).alias("last_inscrits"),
-    ]
-    rates = ("taux_participation", "taux_blancs", "taux_nuls")
-    scopes = {"_r1t": r1 & is_t, "_r1": r1, "_t": is_t, "_a": F.lit(True)}
-    for rate in rates:
-        for sfx, keep in scopes.items():
-            aggs += _trend_stats(F.col(rate), year, keep, sfx, prefix=rate)
-    g = events.groupBy("code_bv").agg(*aggs)
-    out = [F.col("code_bv"), F.col("last_inscrits")]
-    for rate in rates:
-        def pick(name):
-            in_r1 = F.when(F.col("has_r1_t") == 1, F.col(f"{rate}{name}_r1t")).otherwise(F.col(f"{rate}{name}_r1"))
-            any_r = F.when(F.col("has_t") == 1, F.col(f"{rate}{name}_t")).otherwise(F.col(f"{rate}{name}_a"))
-            return F.when(F.col("has_r1") == 1, in_r1).otherwise(any_r)
-
-        val = _line_at(pick("n"), pick("ny"), pick("slope"), pick("mx"), pick("my"), pick("last"), target_year, min_points)
-        if clamp:
-            val = F.least(F.greatest(val, pick("min")), pick("max"))
-        out.append(clip01(val).alias(rate))
-    return g.select(*out)
+    w = Window.partitionBy("code_bv")
+    rows = events.withColumns({"_no": F.row_number().over(w.orderBy(*HIST_ORDER)), **{k: F.max(c.cast("int")).over(w) for k, c in _scope_flags(target_type).items()}})
+    g = trend_statistics(rows, ("code_bv",), {r: F.when(_in_scope(target_type), F.col(r)) for r in STATION_RATES}, F.col("_no"), latest={"last_inscrits": F.col("inscrits")})
+    return g.select("code_bv", "last_inscrits", *[_projected(r, target_year, min_points, clamp).alias(r) for r in STATION_RATES])
+
+
+STATION_RATES = ("taux_participation", "taux_blancs", "taux_nuls")
+
+
+def _scope_flags(target_type: str) -> dict[str, Column]:
+    r1, is_t = F.col("round") == 1, F.col("election_type") == F.lit(target_type)
+    return {"_has_r1": r1, "_has_r1_t": r1 & is_t, "_has_t": is_t}
+
+
+def _in_scope(target_type: str) -> Column:
+    """First rounds where the group has any, and of those (or of all) the target type's rows where there are any."""
+    f = _scope_flags(target_type)
+    has = {k: F.coalesce(F.col(k), F.lit(0)) == 1 for k in f}
+    r1, is_t = F.coalesce(f["_has_r1"], F.lit(False)), F.coalesce(f["_has_t"], F.lit(False))
+    return F.when(has["_has_r1"], r1 & (is_t | ~has["_has_r1_t"])).otherwise(is_t | ~has["_has_t"])
 
 
 def head_counts(rates: DataFrame, *, inscrits_col: str = "last_inscrits") -> DataFrame:
@@ -279,44 +286,22 @@ def pick_rates(station_stats: DataFrame, town_stats: DataFrame, defaults: DataFr
     blancs_pct, nuls_pct; ``town_stats``: the same per town; ``defaults``: election_type (null = all) +
     medians."""
     rates = ("turnout_pct", "blancs_pct", "nuls_pct")
-    order = F.struct(F.col("date_scrutin"), F.col("code_bv"))
-
-    def stats(df: DataFrame, keep, sfx: str):
-        out = []
-        for r in rates:
-            valid = keep & F.col(r).isNotNull() & F.col("election_year").isNotNull()
-            v, x = F.when(valid, F.col(r)), F.when(valid, F.col("election_year").cast("double"))
-            out += [F.count(v).alias(f"{r}_n{sfx}"), F.size(F.collect_set(x)).alias(f"{r}_ny{sfx}"), F.regr_slope(v, x).alias(f"{r}_slope{sfx}"),
-                    F.avg(x).alias(f"{r}_mx{sfx}"), F.avg(v).alias(f"{r}_my{sfx}"), F.max_by(v, F.when(valid, order)).alias(f"{r}_last{sfx}"),
-                    F.min(v).alias(f"{r}_min{sfx}"), F.max(v).alias(f"{r}_max{sfx}")]
-        return out
-
-    def scoped(df: DataFrame, key: str) -> DataFrame:
-        r1 = df.groupBy(key).agg(F.max((F.col("round") == 1).cast("int")).alias("_has_r1"))
-        d = df.join(r1, on=key).where((F.col("_has_r1") == 0) | (F.col("round") == 1))
-        t = d.groupBy(key).agg(F.max((F.col("election_type") == target_type).cast("int")).alias("_has_t"))
-        return d.join(t, on=key)
-
-    st = scoped(station_stats, "code_commune")
-    st_agg = st.groupBy("code_commune").agg(F.max("_has_t").alias("st_has_t"), *stats(st, F.col("election_type") == target_type, "_st"), *stats(st, F.lit(True), "_sa"))
-    tw = scoped(town_stats.withColumn("code_bv", F.lit("")), "code_commune")
-    tw_agg = tw.groupBy("code_commune").agg(F.max("_has_t").alias("tw_has_t"), *stats(tw, F.col("election_type") == target_type, "_tt"), *stats(tw, F.lit(True), "_ta"))
-    j = st_agg.join(tw_agg, on="code_commune", how="full_outer")
-    dflt = defaults.where(F.col("election_type").isNull()).select(*[F.col(r).alias(f"d_{r}") for r in rates])
-    tdef = defaults.where(F.col("election_type") == target_type).select(*[F.col(r).alias(f"t_{r}") for r in rates])
+
+    def pool(df: DataFrame, sfx: str) -> DataFrame:
+        """Statistics of the towns' pools, and whether the target type is in scope."""
+        flags = df.groupBy("code_commune").agg(*[F.max(c.cast("int")).alias(k) for k, c in _scope_flags(target_type).items()])
+        order = F.struct("date_scrutin", "code_bv")
+        g = trend_statistics(df.join(flags, "code_commune"), ("code_commune",), {f"{r}{sfx}": F.when(_in_scope(target_type), F.col(r)) for r in rates}, order)
+        has_t = F.when(F.col("_has_r1") == 1, F.col("_has_r1_t")).otherwise(F.col("_has_t"))
+        return g.join(flags.select("code_commune", has_t.alias(f"has_t{sfx}")), "code_commune")
+
+    j = pool(station_stats, "_st").join(pool(town_stats.withColumn("code_bv", F.lit("")), "_tw"), on="code_commune", how="full_outer")
+    # one row: the medians of the target type and of all types
+    of_type = F.col("election_type") == target_type
+    medians = defaults.agg(*[F.max(F.when(c, F.col(r))).alias(f"{n}_{r}") for r in rates for n, c in (("t", of_type), ("d", F.col("election_type").isNull()))])
+    j = j.join(F.broadcast(medians), how="cross")
     out = [F.col("code_commune")]
-    d_row = dflt.first()
-    t_row = tdef.first()
     for r in rates:
-        def pick(name):
-            return (F.when(F.col("st_has_t") == 1, F.col(f"{r}_{name}_st"))
-                    .when(F.col("tw_has_t") == 1, F.col(f"{r}_{name}_tt"))
-                    .when(F.col("tw_has_t").isNotNull(), F.col(f"{r}_{name}_ta"))
-                    .otherwise(F.col(f"{r}_{name}_sa")))
-
-        val = _line_at(pick("n"), pick("ny"), pick("slope"), pick("mx"), pick("my"), pick("last"), target_year, 3)
-        val = clip01(F.least(F.greatest(val, pick("min")), pick("max")))
-        default = 0.0 if d_row is None or d_row[f"d_{r}"] is None else float(d_row[f"d_{r}"])
-        type_default = default if t_row is None or t_row[f"t_{r}"] is None else float(t_row[f"t_{r}"])
-        out.append(F.coalesce(val, F.lit(type_default)).alias(r))
+        val = F.when(F.col("has_t_st") == 1, _projected(f"{r}_st", target_year, 3, True)).when(F.col("has_t_tw").isNotNull(), _projected(f"{r}_tw", target_year, 3, True)).otherwise(_projected(f"{r}_st", target_year, 3, True))
+        out.append(F.coalesce(val, F.col(f"t_{r}"), F.col(f"d_{r}"), F.lit(0.0)).alias(r))
     return j.select(*out)

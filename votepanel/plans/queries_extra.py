@@ -421,18 +421,45 @@ def q_column_matrix(spark, sf):
 
 
 # ------------------------------------------------------------------ rate choice per town and target rows
-@register("pick_rate")
+def _pick_rate_sql() -> str:
+    """Every scope of every pool with the engine's own regression, then the choice."""
+    rates = ("turnout_pct", "blancs_pct", "nuls_pct")
+
+    def pool(src: str, sfx: str) -> str:
+        cols = ", ".join(
+            f"count({r}) as {r}_n, count(distinct case when {r} is not null then annee end) as {r}_ny, regr_slope({r}, annee) as {r}_sl, avg(case when {r} is not null then annee end) as {r}_mx, avg({r}) as {r}_my, min({r}) as {r}_min, max({r}) as {r}_max, arg_max({r}, (date_scrutin, code_bv)) filter (where {r} is not null) as {r}_last" for r in rates
+        )
+        return f"""{sfx}0 as (select *, max(tour = 1) over (partition by code_commune) as hr from {src}),
+ {sfx}1 as (select *, max(type_scrutin = '{TARGET_TYPE}') over (partition by code_commune) as ht from {sfx}0 where not hr or tour = 1),
+ {sfx} as (select code_commune, max(ht) as ht, {cols} from {sfx}1 where not ht or type_scrutin = '{TARGET_TYPE}' group by code_commune)"""
+
+    def val(r: str, t: str) -> str:
+        line = f"case when {t}.{r}_n = 0 then null when {t}.{r}_n >= 3 and {t}.{r}_ny >= 3 and {t}.{r}_sl is not null then {t}.{r}_my + {t}.{r}_sl * ({TARGET_YEAR} - {t}.{r}_mx) else {t}.{r}_last end"
+        return f"least(greatest(least(greatest({line}, {t}.{r}_min), {t}.{r}_max), 0.0), 1.0)"
+
+    measures = "max(inscrits) as inscrits, max(votants) as votants, max(blancs) as blancs, max(nuls) as nuls"
+    pct = "votants/nullif(inscrits,0) as turnout_pct, blancs/nullif(inscrits,0) as blancs_pct, nuls/nullif(inscrits,0) as nuls_pct"
+    out = ", ".join(O.r6(f"coalesce(case when st.ht then {val(r, 'st')} when tw.ht is not null then {val(r, 'tw')} else {val(r, 'st')} end, (select median({r}) from df where type_scrutin = '{TARGET_TYPE}'), (select median({r}) from df), 0.0)") + f" as {r}" for r in rates)
+    return O.with_ctes(O.FX_LONG) + f""", be as (select code_commune, code_bv, type_scrutin, annee, tour, date_scrutin, {measures} from fx_long group by all),
+ bs as (select *, {pct} from be),
+ te as (select code_commune, '' as code_bv, type_scrutin, annee, tour, date_scrutin, sum(inscrits) as inscrits, sum(votants) as votants, sum(blancs) as blancs, sum(nuls) as nuls from be group by all),
+ ts as (select *, {pct} from te), df as (select * from bs where tour = 1 or not (select bool_or(tour = 1) from bs)),
+ {pool('bs', 'st')}, {pool('ts', 'tw')}
+ select coalesce(st.code_commune, tw.code_commune) as code_commune, {out} from st full join tw on st.code_commune = tw.code_commune"""
+
+
+@register("pick_rate", _pick_rate_sql)
 def q_pick_rate(spark, sf):
     """Per town: projected turnout / blank / void rate from the pooled station history of the town
     (first rounds, target type when present), else the town totals, else the type default median,
-    else the overall median. No SQL oracle (pooled-row order); unit of the forecast family."""
+    else the overall median."""
     from votepanel.plans.blocs import commune_event_stats
     from votepanel.operators.stations import bureau_event_stats, default_rates
 
     lg = long_table(spark, sf)
     st = bureau_event_stats(lg).withColumn("code_commune", F.substring_index("code_bv", "-", 1))
     town = commune_event_stats(lg, all_towns(spark, sf))
-    return FC.pick_rates(st, town, default_rates(st), TARGET_TYPE, TARGET_YEAR)
+    return round_doubles(FC.pick_rates(st, town, default_rates(st), TARGET_TYPE, TARGET_YEAR))
 
 
 _TARGET_COLS = ["is_2020", "annee_centre", *_CAL, *_MULTI, *_ROLL, *_TREND, "y_comm_lag1", *_INTER]
