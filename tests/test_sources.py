@@ -1,6 +1,6 @@
 """File sources on micro-fixtures written to a temp folder (encodings, ragged blocks, catalog, geo)."""
 
-from votepanel.operators.reshape import harmonise_label
+from votepanel.functions.labels import harmonise_columns, harmonise_label, harmonised
 from votepanel.sources import delimited as DL
 from votepanel.sources import geo as G
 
@@ -99,3 +99,59 @@ def test_polygons_bounds_and_colours(spark, tmp_path):
     colours = spark.createDataFrame([("34301-0001", "centre"), ("34301-002", "neutral")], "code_bv string, colour_key string")
     got = {r.label: r.colour_key for r in G.map_colour_table(kml, colours, "34301").collect()}
     assert got == {"Bureau 01": "centre", "Bureau 2": "neutral", "Mairie": "no_data"}
+
+
+def test_label_rules_in_spark_and_on_the_driver(spark):
+    from pyspark.sql import functions as F
+
+    from votepanel.plans.queries_extra import RAW_LABELS
+
+    want = {
+        "% Vot/Ins": "% Votants", "Code du d°partement": "Code du département", "Exprim°s 1": "Exprimés", "ExprimÃ©s": "Exprimés", "Libell° Abr°g° Liste 1": "Libellé Abrégé Liste 1", "Libellé abrégé de liste 1": "Libellé Abrégé Liste 1",
+        "Liste": "Libellé Etendu Liste 1", "Liste.1": "Libellé Etendu Liste 1", "Libellé commune": "Libellé de la commune", "Nom T°te de Liste 1": "Nom 1", "Nom.1": "Nom 1", "Pr°nom du candidat 1": "Prénom 1",
+        "Pr°nom du candidat t°te de liste": "Prénom 1", "Prénom du candidat tête de liste": "Prénom du candidat tête de liste", "NÂ°Panneau 1": "N°Panneau 1", "N.Pan. 1": "N°Panneau 1", "N° de bureau de vote": "Numéro bureau de vote",
+        "Code du b.vote": "Numéro bureau de vote", "N° tour": "N° tour", "% Voix/Exprimés 3": "% Voix/Exp 3", "% Voix / Ins": "% Voix/Ins", "Nombre de voix du candidat 2": "Voix 2", "Voix": "Voix", "Code Nuance": "Code Nuance",
+        "Code Nuance du candidat": "Code Nuance", "Nuance liste 4": "Nuance 4", "Sexe": "Sexe 1", "Sexe candidat 3": "Sexe 3", "Votants 1": "Votants", "Inscrits": "Inscrits", "Binôme": "Binôme", "Remarque": "Remarque",
+    }
+    df = spark.createDataFrame([(x,) for x in (*want, *RAW_LABELS, None)], "label string")
+    got = {r.label: r.h for r in df.select("label", harmonised(F.col("label")).alias("h")).collect()}
+    assert got.pop(None) is None and {k: got[k] for k in want} == want
+    assert all(harmonise_label(k) == v for k, v in got.items())
+    frame = spark.createDataFrame([(None, "a", "b"), ("x", "c", None)], "`Exprimés` string, `Exprim°s 1` string, `Remarque` string")
+    assert [tuple(r) for r in harmonise_columns(frame).collect()] == [("a", "b"), ("x", None)]
+
+
+def test_each_file_by_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    (tmp_path / "a b" / "u8.csv").write_bytes("Commune;Exprimés\nSète;3\nŒuilly;1\n".encode())
+    (tmp_path / "a b" / "l1.csv").write_bytes("Commune;Exprimés\nBéziers;4\n".encode("latin-1"))
+    (tmp_path / "a b" / "cp.csv").write_bytes("Commune;Exprimés\nL’Isle;5\n".encode("cp1252"))
+    df = DL.read_delimited(spark, str(tmp_path / "a b"))
+    assert df.columns == ["Commune", "Exprimés"]
+    assert sorted((r.Commune, r["Exprimés"]) for r in df.collect()) == [("Béziers", "4"), ("L’Isle", "5"), ("Sète", "3"), ("Œuilly", "1")]
+    chosen = {r.file.rsplit("/", 1)[1]: r.encoding for r in DL.file_encodings(spark, str(tmp_path / "a b")).collect()}
+    assert chosen == {"u8.csv": "utf-8", "l1.csv": "cp1252", "cp.csv": "cp1252"}
+
+
+def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
+    from votepanel.plans import warehouse as WH
+
+    path, part = f"{tmp_path}/t", WH.key_range("id", 10)
+    WH.create_merge_table(spark.createDataFrame([(i, f"k{i}", float(i)) for i in range(100)], "id long, k string, v double").repartition(3), path, part)
+
+    def files():
+        return {str(f.relative_to(path)) for f in (tmp_path / "t").rglob("*.parquet")}
+
+    before = files()
+    new = spark.createDataFrame([(5, "k5", -1.0), (7, "other", 1.0), (105, "k", 2.0), (105, "k", 3.0), (None, "k", 0.0)], "id long, k string, v double")
+    got = {(r.id, r.k): r.v for r in WH.merge_table(spark, path, new, ["id", "k"], part).collect()}
+    assert got == {**{(i, f"k{i}"): float(i) for i in range(100)}, (5, "k5"): -1.0, (7, "other"): 1.0, (105, "k"): 3.0}
+    after = files()
+    assert {f for f in before if not f.startswith("part=0/")} <= after and not {f for f in before if f.startswith("part=0/")} & after
+    assert {f.split("/")[0] for f in after - before} == {"part=0", "part=10"}
+    got = {(r.id, r.k): r.v for r in WH.merge_table(spark, path, spark.createDataFrame([(6, "k6", 9.0), (33, "new", 9.0)], "id long, k string, v double"), ["id", "k"], part, update=False).collect()}
+    assert got[6, "k6"] == 6.0 and got[33, "new"] == 9.0 and len(got) == 103
+    assert {f.split("/")[0] for f in files() ^ after} == {"part=3"}  # the key that was there touched nothing
+    unchanged = files()
+    WH.merge_table(spark, path, new.limit(0), ["id", "k"], part)
+    assert files() == unchanged

@@ -96,47 +96,3 @@ def fill_presidential_code(df: DataFrame, *, presidential: str = "presidentielle
     cond = (F.col("type_scrutin") == presidential) & F.col("code_candidature").isNull() & F.col("nom_candidature").isNotNull()
     key = F.regexp_replace(code_key(F.regexp_replace(F.col("nom_candidature"), "[^A-Za-zÀ-ÿ ]+", " ")), r"\s+", " ")
     return df.withColumn("code_candidature", F.when(cond, key).otherwise(F.col("code_candidature")))
-
-
-# Own label rules: ordered (pattern over the canonical label, standard name). First match wins.
-LABEL_RULES: tuple[tuple[str, str], ...] = (
-    (r"^(code)?(de)?(la)?commune$|^codecommune$", "Code de la commune"),
-    (r"^(code|n|numero|no)?(du|de)?(b|bureau)(\.)?vote$|^codebv$|^bv$|^ndebureaudevote$|^numerobureaudevote$", "Numéro bureau de vote"),
-    (r"^(n|no)?tour$", "N° tour"),
-    (r"^inscrits\d*$", "Inscrits"),
-    (r"^votants\d*$", "Votants"),
-    (r"^abstentions\d*$", "Abstentions"),
-    (r"^blancs\d*$", "Blancs"),
-    (r"^nuls\d*$", "Nuls"),
-    (r"^exprim(e|)s\d*$", "Exprimés"),
-    (r"^(nombrede)?voix(ducandidat)?$", "Voix"),
-    (r"^voix(\d+)$", "Voix {0}"),
-    (r"^(code)?nuance(liste|ducandidat)?(\d+)$", "Nuance {2}"),
-    (r"^(code)?nuance(liste|ducandidat)?$", "Nuance"),
-    (r"^(nomcandidat|nomtetedeliste|nom)(\d+)$", "Nom {1}"),
-    (r"^prenom(ducandidat)?(tetedeliste)?(\d+)$", "Prénom {2}"),
-)
-
-
-def harmonise_label(label: str) -> str:
-    """Standard name for a raw header (numbered candidate fields keep their number)."""
-    import re
-    import unicodedata
-
-    key = "".join(ch for ch in unicodedata.normalize("NFD", label) if unicodedata.category(ch) != "Mn").lower()
-    key = re.sub(r"[^0-9a-z.]", "", key)
-    for pattern, template in LABEL_RULES:
-        m = re.match(pattern, key)
-        if m:
-            return template.format(*m.groups())
-    return label
-
-
-def harmonise_labels(schema_table: DataFrame, label_col: str = "column_name") -> DataFrame:
-    """Schema table (file, column, position) -> harmonised column names (metadata only)."""
-    from pyspark.sql.types import StringType
-
-    rows = schema_table.collect()  # a schema table: one row per raw column, never data rows
-    spark = schema_table.sparkSession
-    out = [(*r, harmonise_label(r[label_col])) for r in rows]
-    return spark.createDataFrame(out, schema_table.schema.add("harmonised", StringType()))

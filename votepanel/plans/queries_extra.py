@@ -254,7 +254,8 @@ def q_write_metrics(spark, sf):
     + f"select bureau_id, election_id, category_id, {O.r6('round_even(share * 100, 6)')} as share_pct, {O.r6('turnout_pct * 100')} as turnout_pct from lk",
 )
 def q_ingest_star(spark, sf):
-    """Panel -> mass check -> melt -> dimensions -> key lookups -> facts, written; the local facts read back."""
+    """Panel -> mass check -> melt -> dimensions -> key lookups -> facts; the local facts of the years to 1999 are loaded first, those of the
+    later ones merged into the partitions of their stations, and the table read back."""
     from votepanel.operators.quality import check_mass
     from votepanel.plans import warehouse as WH
 
@@ -262,8 +263,55 @@ def q_ingest_star(spark, sf):
     _bad = check_mass(panel)  # warn-level in the original: the rows are available to the caller
     lp = WH.melt_panel(panel)
     dims = WH.star_dimensions(lp)
-    paths = WH.write_star({**dims, **WH.star_facts(lp, dims)}, scratch_path(spark, "star"))
-    return round_doubles(spark.read.parquet(paths["results_local"]).select("bureau_id", "election_id", "category_id", "share_pct", "turnout_pct"))
+    path = scratch_path(spark, "star")
+    WH.write_star({**dims, "results_national": WH.star_facts(lp, dims)["results_national"]}, path)
+    facts, part = f"{path}/results_local", WH.key_range("bureau_id", 1000)
+    WH.create_merge_table(WH.star_facts(lp.where(F.col("election_year") <= 1999), dims)["results_local"], facts, part)
+    later = WH.star_facts(lp.where(F.col("election_year") > 1999), dims)["results_local"]
+    loaded = WH.merge_table(spark, facts, later, ["bureau_id", "election_id", "category_id"], part)
+    return round_doubles(loaded.select("bureau_id", "election_id", "category_id", "share_pct", "turnout_pct"))
+
+
+# ------------------------------------------------------------------ header labels: a file a station, its columns drawn from the raw vocabulary
+from votepanel.functions import labels as LB  # noqa: E402
+
+# Raw labels as they occur in result files, with wrong decodings and numbered fields.
+RAW_LABELS = (
+    "Code du département", "Code du d°partement", "Libellé département", "Code commune", "Libellé commune", "Code B.Vote", "Code BV", "N° tour", "Inscrits", "Abstentions", "Votants", "Votants 1", "Blancs", "Nuls",
+    "Exprimés", "Exprim°s", "Exprimés 2", "% Vot/Ins", "% Abstentions", "% Blancs / Inscrits", "% Voix/Ins 2", "% Voix / Exprimés", "N.Pan. 3", "N°Panneau 1", "NÂ°Panneau 1", "N° de dépôt de la liste 4", "N°Liste",
+    "Sexe", "Sexe candidat 2", "Nom", "Nom 3", "Nom.1", "Nom candidat 1", "Nom du candidat tête de liste", "Nom Tête de Liste", "Nom T°te de Liste 1", "Prénom", "Pr°nom du candidat t°te de liste", "Prénom candidat 2",
+    "Nuance", "Nuance Liste", "Nuance candidat 5", "Code Nuance", "Code Nuance 2", "Code nuance du candidat", "Liste", "Liste.1", "Libellé abrégé de liste 2", "Libell° Abr°g° Liste 1", "Libellé Etendu Liste", "Libellé de liste 1",
+    "Voix", "Voix 7", "Nombre de voix du candidat", "Binôme", "ExprimÃ©s", "Libellé de la circonscription", "Commentaire",
+)
+N_COLUMNS = 24
+
+
+def _labels_sql() -> str:
+    names = ", ".join("'" + x.replace("'", "''") + "'" for x in RAW_LABELS)
+    fold = "label"
+    from votepanel.functions.text import MOJIBAKE_PAIRS
+
+    for bad, good in (("\ufeff", ""), *MOJIBAKE_PAIRS):
+        fold = f"replace({fold}, '{bad}', '{good}')"
+    key = f"regexp_replace(strip_accents(lower(regexp_replace(trim(regexp_replace({fold}, '\\s+', ' ', 'g')), 'Â?[°º]', '', 'g'))), '\\s*/\\s*', '/', 'g')"
+    whens = []
+    for pattern, name, policy in LB.RULES:
+        value = f"'{name}'" if policy == "drop" else f"case when num <> '' then '{name} ' || num else '{name}{' 1' if policy == 'first' else ''}' end"
+        whens.append(f"when regexp_full_match(key, '{pattern}') then {value}")
+    return f"""with raw as (select s_suppkey as file, p.p as position, ([{names}])[(s_suppkey * 7 + p.p * 5) % {len(RAW_LABELS)} + 1] as label from supplier, range(1, {N_COLUMNS + 1}) p(p)),
+ k as (select *, {key} as key from raw), n as (select *, regexp_extract(key, '([0-9]+)', 1) as num from k),
+ h as (select file, position, label, case {" ".join(whens)} else label end as harmonised from n)
+ select file, cast(position as int) as position, label, harmonised, cast(row_number() over (partition by file, harmonised order by position, label) as int) as take, count(*) over (partition by file, harmonised) as n_same from h"""
+
+
+@register("harmonise_labels", _labels_sql)
+def q_harmonise_labels(spark, sf):
+    """Headers of one file per station under the common vocabulary, with the columns that meet under one name."""
+    from votepanel.sources.tables import read_table
+
+    files = read_table(spark, sf, "supplier", ["s_suppkey"]).select(F.col("s_suppkey").alias("file"), F.explode(F.sequence(F.lit(1), F.lit(N_COLUMNS))).alias("position"))
+    label = F.get(F.array(*map(F.lit, RAW_LABELS)), ((F.col("file") * 7 + F.col("position") * 5) % len(RAW_LABELS)).cast("int"))
+    return LB.harmonise_labels(files.withColumn("label", label)).select("file", "position", "label", "harmonised", "take", "n_same")
 
 
 # ------------------------------------------------------------------ polygons: one for a station, two for every third one

@@ -1243,6 +1243,14 @@ _UPS_SQL = O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES) + """,
 _UKEYS = ["election_type", "election_year", "round", "category"]
 
 
+def _merged_versions(spark, sf, update: bool):
+    """The national table up to 1999, written in partitions by year, and the rows from 1999 merged into it."""
+    old, new = _national_versions(spark, sf)
+    path, part = scratch_path(spark, "national"), WH.key_range("election_year", 1)
+    WH.create_merge_table(old, path, part)
+    return round_doubles(WH.merge_table(spark, path, new, _UKEYS, part, update=update))
+
+
 @register(
     "upsert_ignore",
     _UPS_SQL + f""" select election_type, election_year, round, category, {O.r6('share')} as share, {O.r6('turnout')} as turnout from (
@@ -1250,8 +1258,7 @@ _UKEYS = ["election_type", "election_year", "round", "category"]
    and o.round = n.round and o.category = n.category)) u""",
 )
 def q_upsert_ignore(spark, sf):
-    old, new = _national_versions(spark, sf)
-    return round_doubles(WH.upsert_ignore(new, old, _UKEYS))
+    return _merged_versions(spark, sf, False)
 
 
 @register(
@@ -1261,8 +1268,7 @@ def q_upsert_ignore(spark, sf):
    and o.round = n.round and o.category = n.category)) u""",
 )
 def q_upsert_update(spark, sf):
-    old, new = _national_versions(spark, sf)
-    return round_doubles(WH.upsert_update(new, old, _UKEYS))
+    return _merged_versions(spark, sf, True)
 
 
 @register("load_flat_table", lambda: O.with_ctes(*O.fb_ctes(BASE_YEAR)) + O.select_r6(_BLOCS, _BLOCS_DBL, "fb_lags"))

@@ -8,6 +8,8 @@ of an upsert continue after the largest existing id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,40 @@ def upsert_update(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), on=keys, how="left_anti").unionByName(new)
 
 
+def key_range(col: str, width: int):
+    """Partition number of an integer key: rows of ``width`` neighbouring keys are together."""
+    return F.floor(F.col(col) / width).cast("long")
+
+
+def create_merge_table(df: DataFrame, path: str, part) -> None:
+    """A Parquet table in partitions ``part`` (a column expression over its keys) that :func:`merge_table` can change in place."""
+    df.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def merge_table(spark, path: str, new: DataFrame, keys: list[str], part, *, update: bool = True) -> DataFrame:
+    """Insert rows of ``new`` and, with ``update``, replace rows of the same key; the changed table.
+
+    Only partitions that hold a changed key are read, merged and rewritten; files of all others stay as they are. The merged rows are
+    written to a folder of their own first, so that a job that is lost half-way has changed nothing; then the touched
+    partitions are overwritten. Several new rows of one key: the largest row stays. Rows without a key are not taken."""
+    named = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    changed = cut_lineage(new.where(named).withColumn("part", part).groupBy("part", *keys).agg(F.max(F.struct(*[c for c in new.columns if c not in keys])).alias("_row")).select("part", *keys, "_row.*"), "merge_new")
+    old = spark.read.schema(changed.schema).parquet(path)
+    same = ["part", *keys]
+
+    def in_parts_of(df: DataFrame) -> DataFrame:
+        # numbers of partitions, at most as many as the table has and gets: the scan lists these folders only
+        return old.where(F.col("part").isin([r.part for r in df.select("part").distinct().collect()]))
+
+    if not update:  # rows that are there already change nothing
+        changed = cut_lineage(changed.join(in_parts_of(changed).select(*same), same, "left_anti"), "merge_new")
+    kept = in_parts_of(changed).join(changed.select(*same), same, "left_anti")
+    merged = cut_lineage(kept.select(*changed.columns).unionByName(changed), "merged")
+    if not merged.isEmpty():
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return spark.read.schema(changed.schema).parquet(path).drop("part")
+
+
 def write_star(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> dict[str, str]:
     out = {}
     for name, df in tables.items():
