@@ -31,8 +31,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Limits of what a worker remembers: deterministic states, and pieces with their tokens.
-MAX_STATES, MAX_PIECES = 300_000, 400_000
+#: Limits of what a worker remembers: deterministic states, pieces with their tokens, and space-led parts with what becomes of them.
+MAX_STATES, MAX_PIECES, MAX_PARTS = 300_000, 200_000, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,33 +40,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-class Merger:
-    """The definition: repeatedly join the adjacent pair whose joined bytes have the lowest rank, leftmost first."""
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-
-    def __call__(self, piece: bytes) -> list[bytes]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            joined = [self.ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min((r for r in joined if r is not None), default=None)
-            if best is None:
-                break
-            k = joined.index(best)
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
-
-
 class Transducer:
     """Lazily determinised transducer of a rank table: pieces of bytes to token ids.
 
     A hypothesis is one number, (last token + 1, or 0) * 2^24 + trie node of the open bytes; a state is the bytes of an array of them.
-    A transition is one number, next state * 2^32 + token that ends here + 1 (0: none)."""
+    A transition is one number, next state * 2^40 + token that ends here + 1 (0: none), so shifted by 32 it leaves room for the next byte."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.merge = Merger(ranks)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.length_of = {i: (i, len(t)) for t, i in ranks.items()}  # with the one object of each id, so that remembered ids share it
         self.child: dict[int, int] = {}
@@ -172,7 +153,7 @@ class Transducer:
                     ended = token
         if ended >= 0:
             found.append((ended + 1) << 24)
-        out = self.steps[n << 8 | byte] = self.number(found.tobytes()) << 32 | ended + 1
+        out = self.steps[n << 8 | byte] = self.number(found.tobytes()) << 40 | ended + 1
         return out
 
     def __call__(self, piece: bytes) -> tuple[int, ...]:
@@ -181,23 +162,40 @@ class Transducer:
             return (whole,)
         if len(self.hypotheses) > MAX_STATES:
             self.reset()
-        n, out, ends, known = self.start, [], [], self.steps.get
-        for byte in piece:
-            got = known(n << 8 | byte)
-            if got is None:
-                got = self.step(n, byte)
-            n, token = got >> 32, (got & 0xFFFFFFFF) - 1
-            ends.append(token)
-            if len(ends) >= 512 and token >= 0 and len(self.hypotheses[n]) == 8:  # one hypothesis left: all before it is certain
-                out += self.emitted(ends)
-                ends.clear()
+        got, out, ends = self.start << 40, [], []
+        for k in range(0, len(piece), 512):
+            if k:
+                out += self.certain(ends)
+            got = self.walk(got, piece[k : k + 512], ends)
         return (*out, *self.emitted(ends))
 
+    def walk(self, got: int, data: bytes, ends: list[int]) -> int:
+        """Append the transition of every byte to ``ends``; the last one."""
+        steps, append, rest = self.steps, ends.append, iter(data)
+        while True:
+            try:
+                for byte in rest:
+                    got = steps[got >> 32 | byte]
+                    append(got)
+                return got
+            except KeyError:
+                got = self.step(got >> 40, byte)
+                append(got)
+
+    def certain(self, ends: list[int]) -> list[int]:
+        """Take from ``ends`` what no later byte can change: up to the last place where a token ended and one hypothesis was left."""
+        for at in range(len(ends) - 1, -1, -1):
+            if ends[at] & 0xFFFFFFFF and len(self.hypotheses[ends[at] >> 40]) == 8:
+                done = self.emitted(ends[: at + 1])
+                del ends[: at + 1]
+                return done
+        return []
+
     def emitted(self, ends: list[int]) -> list[int]:
         """The certain tokens, read back from the last byte by their lengths."""
         out, at = [], len(ends)
         while at:
-            token, length = self.length_of[ends[at - 1]]
+            token, length = self.length_of[(ends[at - 1] & 0xFFFFFFFF) - 1]
             out.append(token)
             at -= length
         out.reverse()
@@ -205,13 +203,13 @@ class Transducer:
 
 
 class Remembered(dict):
-    """Text -> token ids by the given function; short texts are remembered, up to a limit."""
+    """Text -> result of the given function; those of short texts are remembered, up to a limit."""
 
-    def __init__(self, encode: Callable[[str], tuple[int, ...]], limit: int) -> None:
+    def __init__(self, encode: Callable[[str], tuple], limit: int) -> None:
         super().__init__()
         self.encode, self.limit = encode, limit
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
+    def __missing__(self, text: str) -> tuple:
         ids = self.encode(text)
         if len(text) <= 32:
             if len(self) >= self.limit:
@@ -285,59 +283,85 @@ class StreamDecoder:
         return "".join(out) + ("�" if state.unfinished else "")
 
 
-def codec(path: str, pattern: str) -> tuple[Callable[[str], list[int]], StreamDecoder]:
-    """``encode(text) -> ids`` and the streaming decoder of a ranks file.
+class Codec:
+    """Encoder and streaming decoder of a ranks file.
 
     ``pattern`` cuts a text into pieces. Where it is the public GPT-style pattern, whose pieces never run on from a visible character
     into a space, a text whose spaces all follow visible characters may be cut at its spaces first: the parts are pieced
-    on their own, with their leading space, and remembered."""
-    ranks = load_ranks(path)
-    transduce, split = Transducer(ranks), regex.compile(pattern).findall
-    pieces = Remembered(lambda piece: transduce(piece.encode()), MAX_PIECES)
-
-    def whole(text: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(pieces.__getitem__, split(text))))
-
-    parts = Remembered(lambda part: whole(" " + part), MAX_PIECES)
-    space_after_space = regex.compile(r"\s ").search
-    by_parts = r" ?\p{L}+" in pattern and r"\s+(?!\S)|\s+" in pattern
+    on their own, with their leading space, and remembered, with their ids, the ids as text, and what the decoder makes of them. A part is
+    whole characters, so the decoder enters and leaves it without an open sequence."""
+
+    def __init__(self, path: str, pattern: str) -> None:
+        ranks = load_ranks(path)
+        self.transduce, self.split = Transducer(ranks), regex.compile(pattern).findall
+        self.pieces = Remembered(lambda piece: self.transduce(piece.encode()), MAX_PIECES)
+        self.parts = Remembered(self.part, MAX_PARTS)
+        self.space_after_space = regex.compile(r"\s ").search
+        self.by_parts = r" ?\p{L}+" in pattern and r"\s+(?!\S)|\s+" in pattern
+        self.decode = StreamDecoder({v: k for k, v in ranks.items()})
+        self.decimal = {i: str(i) for i in self.decode.tokens}
+
+    def whole(self, text: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
+
+    def part(self, part: str) -> tuple[int, bytes, bytes, bytes]:
+        """The record of a space and what follows it; ASCII letters are one piece."""
+        return self.record(self.transduce(b" " + part.encode()) if part.isascii() and part.isalpha() else self.whole(" " + part))
+
+    def record(self, ids: tuple[int, ...]) -> tuple[int, bytes, bytes, bytes]:
+        """Number of ids, ids joined by commas, decoded bytes, and ids as 32-bit numbers."""
+        return len(ids), ",".join(map(self.decimal.__getitem__, ids)).encode(), self.decode(ids).encode(), array("i", ids).tobytes()
+
+    def encode(self, text: str) -> list[int]:
+        if not self.by_parts or self.space_after_space(text):
+            return list(self.whole(text))
+        first, *rest = text.split(" ")
+        return [*self.whole(first), *array("i", b"".join(self.parts[part][3] for part in rest))]
 
-    def encode(text: str) -> list[int]:
-        if not by_parts or space_after_space(text):
-            return list(whole(text))
+    def __call__(self, text: str) -> tuple[int, bytes, bytes, bytes]:
+        """The record of a whole text, put together from those of its parts."""
+        if not self.by_parts or self.space_after_space(text):
+            return self.record(self.whole(text))
         first, *rest = text.split(" ")
-        return [*whole(first), *chain.from_iterable(map(parts.__getitem__, rest))]
+        head = self.record(self.whole(first))
+        if not rest:
+            return head
+        n, decimal, decoded, ids = zip(*([head] if head[0] else []), *map(self.parts.__getitem__, rest), strict=True)
+        return sum(n), b",".join(decimal), b"".join(decoded), b"".join(ids)
 
-    return encode, StreamDecoder({v: k for k, v in ranks.items()})
+
+def codec(path: str, pattern: str) -> tuple[Callable[[str], list[int]], StreamDecoder]:
+    """``encode(text) -> ids`` and the streaming decoder of a ranks file."""
+    both = Codec(path, pattern)
+    return both.encode, both.decode
 
 
-_CODECS: dict[tuple[str, str], tuple] = {}
+_CODECS: dict[tuple[str, str], Codec] = {}
 
 
 def _run(name: str, pattern: str, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = SparkFiles.get(name)
         if (path, pattern) not in _CODECS:
-            _CODECS[path, pattern] = codec(path, pattern)
-        encode, decode = _CODECS[path, pattern]
-        decimal = {i: str(i) for i in decode.tokens}
+            _CODECS[path, pattern] = Codec(path, pattern)
+        records = _CODECS[path, pattern]
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                rows: list[list] = [[], [], [], []]
+                rows: list[list] = [[], [], []]
                 kept = []
                 for text in batch.column(1):
-                    ids = encode(text.as_py() or "")
-                    rows[0].append(len(ids))
-                    rows[1].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    rows[2].append(hashlib.sha256(decode(ids).encode()).hexdigest())
+                    n, decimal, decoded, ids = records(text.as_py() or "")
+                    rows[0].append(n)
+                    rows[1].append(hashlib.sha256(decimal).hexdigest())
+                    rows[2].append(hashlib.sha256(decoded).hexdigest())
                     if keep_ids:
-                        kept.append(pa.array(ids, pa.int32()))
+                        kept.append(ids)
                 cols = [batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
                     offsets = pa.array([0, *pa.compute.cumulative_sum(pa.array(rows[0])).to_pylist()], pa.int32())
-                    cols.append(pa.ListArray.from_arrays(offsets, pa.concat_arrays(kept)))
+                    cols.append(pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), sum(rows[0]), [None, pa.py_buffer(b"".join(kept))])))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
