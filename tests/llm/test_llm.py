@@ -237,6 +237,49 @@ def test_licences(spark):
     assert got == [(1, "Apache-2.0", "", 1), (2, "GPL-3.0-or-later", "", 2), (3, "", "", 0), (4, "", "", 0), (5, "CC-BY-NC-4.0", "", 1), (5, "MIT", "AllRights", 2)]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL2 = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+"""
+GPL3 = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+
+
+def test_published_licence_texts(spark):
+    cases = {
+        1: (MIT, "MIT-text"), 2: (" ".join(MIT.split("\n")), None), 3: (GPL2, "GPL-2.0-or-later-notice"), 4: (GPL3, "GPL-3.0-or-later-notice"), 5: ("Licensed under the Apache License,\nVersion 2.0", "Apache-2.0"),
+        6: ("x\n\npublic-domain\n\ny", "public-domain"), 7: ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+        8: ("code()\nAll\u00a0rights reserved\nmore()", ""), 9: (MIT.replace("\n", "\n# "), "MIT-text"),
+    }
+    got = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")).collect()}
+    assert all(got[k].licences == want for k, (_, want) in cases.items() if want is not None)
+    assert got[8].unmatched == "AllRights" and "AsIs" in got[2].sentence_ids
+
+
 def test_revisits(spark):
     assert spark.range(1).select(revisits.canonical_url(F.lit("HTTP://Ex.com:80/a/?b=2&a=1#f"))).first()[0] == "http://ex.com/a?a=1&b=2"
     h = lambda **k: {x.replace("_", "-"): v for x, v in k.items()}
