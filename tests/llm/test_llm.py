@@ -175,12 +175,17 @@ def test_top_k_ties_and_odd_vectors(spark):
     rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(150)]
     rows += [(i, rows[i - 150][1]) for i in range(150, 170)]  # ties
     rows += [(200, None), (220, [float("nan")] * 6), (240, [None] * 6), (None, [0.1] * 6), (260, []), (280, [0.5, 0.5]), (300, [0.25, -0.5]), (3, rows[3][1])]
-    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
-    vec = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows[:170]}
-    vec |= {280: [32, 32], 300: [16, -32]}
-    for q in [i for i in vec if i % 20 == 0]:
-        want = sorted(((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q and len(v) == len(vec[q])))[:20]
-        assert [(-x.score, x.vec_id) for x in sorted((g for g in got if g.query_id == q), key=lambda g: g["rank"])] == want
+    rows += [(20, rows[7][1]), (20, rows[7][1]), (310, [2.0**22, 1.0]), (400, [1.0, 2.0**23])]  # repeated query ids, large values
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0, 20).collect()
+    sound = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for at, (q, a) in enumerate(sound):
+        if q % 20 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b)), i) for other, (i, b) in enumerate(sound) if other != at and len(b) == len(a))[:20]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == sorted(want)
+    with pytest.raises(Exception, match="64-bit"):
+        topk.exact_top_k(spark.createDataFrame([(20, [1e12, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 20).collect()
 
 
 def test_chat_round_trip_and_mask(spark):

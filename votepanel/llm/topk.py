@@ -8,9 +8,10 @@ k-th score are settled slice by slice, rows that tie with it stay open to the la
 
 Queries are dealt to the blocks in chunks; each block returns k rows per query, and the best k of all blocks are kept.
 
-Defined results: vectors that are null, empty, or hold a null, non-finite or out-of-range (2^31 after scaling) component take no part,
-nor do rows without id; an id that repeats counts once, with its smallest vector; vectors only meet vectors of their own
-length; with fewer than k candidates all are returned; no queries, no rows.
+Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without id. Rows that
+repeat an id, or a whole row, are rows of their own: each is a candidate of the others and, where its id is a query, a query of
+its own (its results then repeat the query_id). Vectors only meet vectors of their own length; with fewer than k candidates all are returned; no
+queries, no rows. Vectors so large that a score might not fit 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -28,11 +29,12 @@ BLOCK_ROWS, CHUNK_QUERIES = 32_768, 512
 
 
 class BitSlices:
-    """Index of one block: ``ids`` ascending, slices of every dimension as rows of uint64 words."""
+    """Index of one block: ``ids`` ascending (with the number of each row), slices of every dimension as rows of uint64 words."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
-        turn = np.argsort(ids, kind="stable")
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, values: np.ndarray) -> None:
+        turn = np.lexsort((numbers, ids))
         self.ids, values = ids[turn], values[turn]
+        self.place = {n: at for at, n in enumerate(numbers[turn].tolist())}
         self.low, self.high = values.min(axis=0), values.max(axis=0)
         self.bits = [int(h - lo).bit_length() for lo, h in zip(self.low.tolist(), self.high.tolist(), strict=True)]
         self.words = -(-len(ids) // 64)
@@ -83,13 +85,12 @@ class BitSlices:
         return out, constant
 
     def top(self, slices: list[np.ndarray], k: int, leave_out: int | None) -> np.ndarray:
-        """Places of the k best rows (all, if fewer), ties to the smaller id."""
+        """Places of the k best rows (all, if fewer) but for the row of number ``leave_out``, ties to the smaller id."""
         open_rows = self.rows
-        if leave_out is not None:
-            at = int(np.searchsorted(self.ids, leave_out))
-            if at < len(self.ids) and self.ids[at] == leave_out:
-                open_rows = open_rows.copy()
-                open_rows[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
+        at = self.place.get(leave_out)
+        if at is not None:
+            open_rows = open_rows.copy()
+            open_rows[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
         settled = np.zeros(self.words, np.uint64)
         for s in reversed(slices):
             ones = open_rows & s
@@ -117,17 +118,18 @@ def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, values, q_ids, queries = (batch.column(c)[row].values for c in range(4))
-                dim = batch.column(4)[row].as_py()
-                block = BitSlices(ids.to_numpy(), values.flatten().to_numpy().astype(np.int64).reshape(-1, dim))
-                out: list[list] = [[], [], []]
-                for q_id, q in zip(q_ids.to_pylist(), queries.to_pylist(), strict=True):
+                ids, numbers, values, q_ids, q_numbers, queries = (batch.column(c)[row].values for c in range(6))
+                dim = batch.column(6)[row].as_py()
+                block = BitSlices(ids.to_numpy(), numbers.to_numpy(), values.flatten().to_numpy().reshape(-1, dim))
+                out: list[list] = [[], [], [], []]
+                for q_id, number, q in zip(q_ids.to_pylist(), q_numbers.to_pylist(), queries.to_pylist(), strict=True):
                     slices, constant = block.sums(q)
-                    places = block.top(slices, k, q_id)
+                    places = block.top(slices, k, number)
                     out[0].append(np.full(len(places), q_id))
-                    out[1].append(block.ids[places])
-                    out[2].append(block.scores(slices, constant, places))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0), pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+                    out[1].append(np.full(len(places), number))
+                    out[2].append(block.ids[places])
+                    out[3].append(block.scores(slices, constant, places))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.empty(0), pa.int64()) for x in out], names=["query_id", "number", "vec_id", "score"])
 
     return run
 
@@ -137,21 +139,26 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float
 
     ``vectors``: ``vec_id`` and ``embedding``; ``is_query``: a condition on ``vec_id``."""
     x = F.transform(F.col("embedding"), lambda v: v.cast("double"))
-    fits = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v * F.lit(scale)) < F.lit(2.0**31)), F.lit(False)))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & fits)
-    ints = rows.select("vec_id", F.transform("x", lambda v: F.floor(v * F.lit(scale)).cast("int")).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    sound = F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & sound)
+    # four times the largest sum of products, also between the slices, stays under 2^63
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v * F.lit(scale)) + 1))
+    fits = 4.0 * F.size("x") * largest * largest < 2.0**63
+    number = F.when(fits, F.floor(F.col("x")[0])).otherwise(F.raise_error(F.lit("vectors are too large for 64-bit scores")).cast("long"))
+    ints = rows.withColumn("x", F.when(number.isNotNull(), F.col("x"))).select("vec_id", F.monotonically_increasing_id().alias("number"), F.transform("x", lambda v: F.floor(v * F.lit(scale))).alias("v"))
     ints = cut_lineage(ints.withColumn("dim", F.size("v")), "vectors")
     sizes = ints.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.count_if(is_query) / CHUNK_QUERIES).cast("int").alias("chunks"))
 
-    def dealt(df: DataFrame, count: str, name: str, ids: str, values: str) -> DataFrame:
-        no = F.pmod(F.xxhash64("vec_id"), F.greatest(F.col(count), F.lit(1))).cast("int")
-        return df.join(sizes, "dim").groupBy("dim", "blocks", no.alias(name)).agg(F.collect_list("vec_id").alias(ids), F.collect_list("v").alias(values))
+    def dealt(df: DataFrame, count: str, name: str, sign: str) -> DataFrame:
+        no = F.pmod(F.xxhash64("number"), F.greatest(F.col(count), F.lit(1))).cast("int")
+        row = F.collect_list(F.struct("vec_id", "number", "v"))
+        return df.join(sizes, "dim").groupBy("dim", "blocks", no.alias(name)).agg(row.alias("_r")).select("dim", "blocks", name, *[F.col(f"_r.{c}").alias(f"{sign}_{c}") for c in ("vec_id", "number", "v")])
 
-    blocks = dealt(ints, "blocks", "block", "ids", "vs")
-    queries = dealt(ints.where(is_query), "chunks", "chunk", "q_ids", "qs").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = dealt(ints, "blocks", "block", "c")
+    queries = dealt(ints.where(is_query), "chunks", "chunk", "q").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = queries.drop("blocks").join(blocks.drop("blocks"), ["dim", "block"]).repartition(F.col("dim"), F.col("block"), F.col("chunk"))
-    local = pairs.select("ids", "vs", "q_ids", "qs", "dim").mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    local = pairs.select(*[f"{s}_{c}" for s in "cq" for c in ("vec_id", "number", "v")], "dim").mapInArrow(_search(k), "query_id long, number long, vec_id long, score long")
+    best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
