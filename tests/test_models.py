@@ -61,7 +61,7 @@ def test_stored_pipeline_and_alignment(spark, panel, tmp_path):
 
 
 def test_stored_ridge(spark, panel, tmp_path):
-    train = GR.whole_set(spark, panel, "m", F.lit(True))
+    train = GR.whole_set(panel, "m", F.lit(True))
     models = GR.fit_ridge(GR.event_statistics(panel, FEATURES), train, FEATURES)
     MS.save_ridge(models, FEATURES, f"{tmp_path}/r")
     back, names = MS.load_ridge(spark, f"{tmp_path}/r")

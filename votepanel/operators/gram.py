@@ -25,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votepanel.constants import TARGET_COLS
@@ -192,6 +192,6 @@ def rows_of(panel: DataFrame, sets: DataFrame) -> DataFrame:
     return panel.withColumn("event_key", event_key()).join(F.broadcast(sets.select("model", "event_key")), "event_key")
 
 
-def whole_set(spark: SparkSession, panel: DataFrame, model: str, condition: Column) -> DataFrame:
+def whole_set(panel: DataFrame, model: str, condition: Column) -> DataFrame:
     """``model, event_key`` of the elections with rows under a condition."""
     return panel.where(condition).select(F.lit(model).alias("model"), event_key().alias("event_key")).distinct()

@@ -28,13 +28,21 @@ def default_features(*, with_turnout_of_target: bool = False) -> list[str]:
     return feats + (["turnout_pct"] if with_turnout_of_target else [])
 
 
+def numeric_candidates(df: DataFrame, exclude: tuple[str, ...] = (*META_COLS, *TARGET_COLS)) -> list[str]:
+    return [f.name for f in df.schema.fields if f.name not in exclude and f.dataType.typeName() in ("double", "float", "integer", "long")]
+
+
+def numeric_features(df: DataFrame, exclude: tuple[str, ...] = (*META_COLS, *TARGET_COLS)) -> DataFrame:
+    """``feature, n``: numeric non-key, non-target columns with their filled rows, those without any left out (one aggregation pass)."""
+    names = numeric_candidates(df, exclude)
+    counts = df.agg(*[F.count(c).alias(c) for c in names]) if names else df.sparkSession.createDataFrame([], "feature string, n long")
+    return counts.unpivot([], names, "feature", "n").where("n > 0") if names else counts
+
+
 def select_numeric_features(df: DataFrame, exclude: tuple[str, ...] = (*META_COLS, *TARGET_COLS)) -> list[str]:
-    """Numeric non-key, non-target columns that are not entirely null (one aggregation pass)."""
-    numeric = [f.name for f in df.schema.fields if f.name not in exclude and f.dataType.typeName() in ("double", "float", "integer", "long")]
-    if not numeric:
-        return []
-    counts = df.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict()
-    return [c for c in numeric if counts[c] > 0]
+    """Their names, in the order of the columns."""
+    kept = {r.feature for r in numeric_features(df, exclude).collect()}
+    return [c for c in numeric_candidates(df, exclude) if c in kept]
 
 
 def preprocessor(features: list[str], *, prefix: str = "") -> list:

@@ -62,7 +62,12 @@ def q_sample_weights(spark, sf):
     return round_doubles(w.select("code_bv", "bloc", "date_scrutin", "type_scrutin", "tour", "sample_weight"))
 
 
-@register("select_numeric_features")
+def _numeric_sql() -> str:
+    names = [*ML.default_features(with_turnout_of_target=True), "target_sum_before_renorm", "target_sum_after_renorm"]
+    return f"with p as ({O.panel_sql()}) select * from (" + " union all ".join(f"select '{c}' as feature, count({c}) as n from p" for c in names) + ") where n > 0"
+
+
+@register("select_numeric_features", _numeric_sql)
 def q_select_numeric_features(spark, sf):
-    cols = ML.select_numeric_features(panel_frame(spark, sf))
-    return spark.createDataFrame([(c,) for c in cols], "feature string")
+    """Numeric columns of the panel that a model may use, with their filled rows."""
+    return ML.numeric_features(panel_frame(spark, sf))

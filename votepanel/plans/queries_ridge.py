@@ -28,8 +28,8 @@ from votepanel.session import r6 as r6_col
 
 KEYS = ["code_bv", "election_type", "election_year", "round"]
 FRACTIONS = (0.2, 0.4, 0.6, 0.8, 1.0)
-LATE = F.col("election_year") >= 2000
-SPLIT = OM.split_sets("election_year < 2000", "election_year >= 2000")
+EARLY, LATE = "election_year < 2000", "election_year >= 2000"
+SPLIT = OM.split_sets(EARLY, LATE)
 
 
 def ridge_diag(panel: DataFrame, train: DataFrame, test: DataFrame, alphas=(1.0,), *, weight: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -39,8 +39,8 @@ def ridge_diag(panel: DataFrame, train: DataFrame, test: DataFrame, alphas=(1.0,
     return ML.predictions_long(GR.score_ridge(GR.rows_of(panel, test), models, feats), keep=("model", "alpha", *keep))
 
 
-def late_split(spark: SparkSession, panel: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return GR.whole_set(spark, panel, "m", ~LATE), GR.whole_set(spark, panel, "m", LATE)
+def late_split(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return GR.whole_set(panel, "m", F.expr(EARLY)), GR.whole_set(panel, "m", F.expr(LATE))
 
 
 def fold_diag(panel: DataFrame, alphas=(1.0,), k: int = 3) -> DataFrame:
@@ -58,7 +58,7 @@ def mean_metrics(by_fold: DataFrame, by: tuple[str, ...]) -> DataFrame:
 def q_ridge(spark, sf):
     """Trained before 2000, measured on the years from 2000."""
     p = panel_frame(spark, sf)
-    return round_doubles(ME.regression_metrics(ridge_diag(p, *late_split(spark, p))))
+    return round_doubles(ME.regression_metrics(ridge_diag(p, *late_split(p))))
 
 
 def _r4(x: str) -> str:
@@ -74,7 +74,7 @@ def _report(diag: DataFrame, *more: str) -> DataFrame:
 def q_multi_output(spark, sf):
     """Shares of all seven categories of every station-election from 2000 on."""
     p = panel_frame(spark, sf)
-    return _report(ridge_diag(p, *late_split(spark, p)))
+    return _report(ridge_diag(p, *late_split(p)))
 
 
 @register("ridge_cv", lambda: OM.ridge_metrics_sql(OM.fold_sets(), [("model", "fold")]))
@@ -173,7 +173,7 @@ def q_log_target(spark, sf):
     logged = p
     for t in TARGET_COLS:
         logged = ML.log_target(logged, t)
-    train, test = late_split(spark, p)
+    train, test = late_split(p)
     models = GR.fit_ridge(GR.event_statistics(logged, feats, [f"log_{t}" for t in TARGET_COLS]), train, feats, TARGET_COLS)
     scored = GR.score_ridge(GR.rows_of(p, test), models, feats)
     scored = scored.withColumns({f"pred_{c}": F.expm1(F.col(f"pred_{c}")) for c in CATEGORIES})
@@ -327,10 +327,10 @@ def q_preprocessor(spark, sf):
     type and town as codes and one-hot slots."""
     p = panel_frame(spark, sf)
     feats = ML.default_features()
-    sums = GR.TrainingSums(GR.event_statistics(p, feats), late_split(spark, p)[0], len(feats), len(TARGET_COLS))
+    sums = GR.TrainingSums(GR.event_statistics(p, feats), late_split(p)[0], len(feats), len(TARGET_COLS))
     fill, mean, scale = sums.scaling("m")
     rows = _categories(p)
-    levels = EN.fit_levels(rows.where(~LATE & (F.col("town") < SEEN_TOWNS)), _CATS)
+    levels = EN.fit_levels(rows.where(EARLY).where(F.col("town") < SEEN_TOWNS), _CATS)
     out = EN.encode(rows.where(LATE), levels, _CATS)
     z = [((F.coalesce(F.col(c), F.lit(f)) - F.lit(m)) / F.lit(s) if s else F.lit(None).cast("double")).alias(f"z_{c}") for c, f, m, s in zip(feats, fill, mean, scale, strict=True)]
     return round_doubles(out.select("code_bv", "kind", "election_year", "round", "election_type_code", "town_code", F.concat_ws(",", F.transform("slots", lambda x: x.cast("string"))).alias("slots"), *z))
@@ -352,7 +352,7 @@ def q_batch_score(spark, sf):
     """A stored model, read back, scores a feature table that lacks the swings, has columns of its own and another order of columns."""
     p = panel_frame(spark, sf).where(F.col("election_year") < SCORE_YEAR)
     feats = ML.default_features()
-    train = GR.whole_set(spark, p, "m", F.lit(True))
+    train = GR.whole_set(p, "m", F.lit(True))
     path = scratch_path(spark, "ridge_model")
     MS.save_ridge(GR.fit_ridge(GR.event_statistics(p, feats), train, feats), feats, path)
     table = round_doubles(score_features(history_table(spark, sf), TARGET_TYPE, SCORE_YEAR))
