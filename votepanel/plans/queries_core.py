@@ -17,8 +17,8 @@ from votepanel.session import r6, round_doubles
 from votepanel.sources.tables import fx_long, fx_mapping
 
 
-def long_table(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare_long(fx_long(spark, sf))
+def long_table(spark: SparkSession, sf: str, station: int | None = None) -> DataFrame:
+    return prepare_long(fx_long(spark, sf, station))
 
 
 def mapping_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,8 +93,8 @@ TARGET_TYPE = "low"
 TARGET_YEAR = 2002
 
 
-def local_table(spark, sf):
-    return aggregate_event(expand_by_category(long_table(spark, sf), mapping_table(spark, sf)))
+def local_table(spark, sf, station: int | None = None):
+    return aggregate_event(expand_by_category(long_table(spark, sf, station), mapping_table(spark, sf)))
 
 
 def _fc_sql(tail: str, *ctes: str) -> str:

@@ -14,16 +14,11 @@ from votepanel.plans import oracle as O
 from votepanel.plans.catalog import register
 from votepanel.plans.queries_core import local_table, long_table, mapping_table
 from votepanel.session import round_doubles
-from votepanel.sources.tables import fx_dirty, fx_mapping, read_table
+from votepanel.sources.tables import first_station, fx_dirty, fx_mapping, read_table
 
 _CATS = ["centre", "gauche_modere", "droite_modere", "gauche_dure", "droite_dure", "extreme_gauche", "extreme_droite"]
 
 
-def first_station(df) -> str:
-    """First station key of the data (the station whose history a single-station report shows)."""
-    return df.agg(F.min("code_bv")).first()[0]
-
-
 def documents(spark, sf):
     return read_table(spark, sf, "documents", ["doc_id", "text"])
 
@@ -287,8 +282,8 @@ def q_filter_department(spark, sf):
     O.with_ctes(O.FX_LONG) + "select code_bv, type_scrutin, annee, tour, lower(code_candidature) as code_candidature, voix from fx_long where code_bv = (select min(code_bv) from fx_long) and type_scrutin = 'low' and annee = 1998 and tour = 1",
 )
 def q_history_slice(spark, sf):
-    lg = long_table(spark, sf)
-    out = lg.where((F.col("code_bv") == first_station(lg)) & (F.col("election_type") == "low") & (F.col("election_year") == 1998) & (F.col("round") == 1))
+    lg = long_table(spark, sf, first_station(spark, sf))
+    out = lg.where((F.col("election_type") == "low") & (F.col("election_year") == 1998) & (F.col("round") == 1))
     return out.select("code_bv", F.col("election_type").alias("type_scrutin"), F.col("election_year").alias("annee"), F.col("round").alias("tour"),
                       F.lower("code_candidature").alias("code_candidature"), "voix")
 
@@ -334,8 +329,7 @@ def q_top_n(spark, sf):
     O.with_ctes(O.FX_LONG, O.FX_MAP, O.FX_LOCAL, O.FX_LOCAL_RATES) + f"select code_bv, date_scrutin, category, {O.r6('share')} as share from fx_rates where code_bv = (select min(code_bv) from fx_rates) order by date_scrutin, category",
 )
 def q_fetch_history(spark, sf):
-    loc = local_table(spark, sf)
-    loc = loc.where(F.col("code_bv") == first_station(loc))
+    loc = local_table(spark, sf, first_station(spark, sf))
     return round_doubles(loc.select("code_bv", "date_scrutin", "category", "share").orderBy("date_scrutin", "category"))
 
 
@@ -345,8 +339,7 @@ def q_fetch_history(spark, sf):
     + f"select date_scrutin, category, {O.r6('share')} as share from fx_rates where code_bv = (select min(code_bv) from fx_rates) and round = 1 order by date_scrutin",
 )
 def q_station_timeseries(spark, sf):
-    loc = local_table(spark, sf)
-    loc = loc.where((F.col("code_bv") == first_station(loc)) & (F.col("round") == 1))
+    loc = local_table(spark, sf, first_station(spark, sf)).where(F.col("round") == 1)
     return round_doubles(loc.select("date_scrutin", "category", "share").orderBy("date_scrutin"))
 
 

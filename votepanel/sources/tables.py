@@ -24,8 +24,20 @@ def _pad(c, n: int):
     return F.lpad(c.cast("string"), n, "0")
 
 
-def fx_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long election table: one row per station x election x party code (``elections_long`` shape).
+def station_key(nation, supplier):
+    return F.concat(_pad(nation, 5), F.lit("-"), _pad(supplier, 4))
+
+
+def first_station(spark: SparkSession, sf_dir: str) -> int:
+    """The supplier number of the first station (by key) that has results; reads two columns of ``supplier`` and one of ``lineitem``."""
+    su = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
+    used = su.join(read_table(spark, sf_dir, "lineitem", ["l_suppkey"]), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi")
+    return used.agg(F.min_by("s_suppkey", station_key(F.col("s_nationkey"), F.col("s_suppkey")))).first()[0]
+
+
+def fx_long(spark: SparkSession, sf_dir: str, station: int | None = None) -> DataFrame:
+    """Long election table: one row per station x election x party code (``elections_long`` shape); ``station``: of one
+    supplier number only, by a filter that reaches the scans.
 
     Columns: code_commune, code_bv, type_scrutin, annee, tour, date_scrutin, code_candidature,
     voix, exprimes, blancs, nuls, votants, inscrits.
@@ -34,42 +46,34 @@ def fx_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderstatus", "o_orderdate", "o_orderpriority"])
     su = read_table(spark, sf_dir, "supplier", ["s_suppkey", "s_nationkey"])
     pa = read_table(spark, sf_dir, "part", ["p_partkey", "p_brand"])
+    if station is not None:
+        li, su = li.where(F.col("l_suppkey") == station), su.where(F.col("s_suppkey") == station)
     # Hash-partition the fact side on the order key: this is the distribution a shuffle join with
     # ``orders`` needs at scale anyway (no extra exchange then), and it spreads scan-bound work over all
     # cores when the file has few row groups.
     li = li.repartition("l_orderkey")
-    base = (
-        li.join(od, li.l_orderkey == od.o_orderkey)
-        .join(su, li.l_suppkey == su.s_suppkey)
-        .join(pa, li.l_partkey == pa.p_partkey)
-    )
-    is_r2 = F.col("o_orderstatus") == "O"
-    year = F.year("o_orderdate").cast("int")
-    town = _pad(F.col("s_nationkey"), 5)
-    base = base.select(
-        town.alias("code_commune"),
-        F.concat(town, F.lit("-"), _pad(F.col("l_suppkey"), 4)).alias("code_bv"),
-        F.lower(F.substring("o_orderpriority", 3, 1000)).alias("type_scrutin"),
-        year.alias("annee"),
-        F.when(is_r2, F.lit(2)).otherwise(F.lit(1)).alias("tour"),
-        F.make_date(
-            year,
-            F.lit(2) * F.substring("o_orderpriority", 1, 1).cast("int"),
-            F.when(is_r2, F.lit(14)).otherwise(F.lit(7)),
-        ).alias("date_scrutin"),
-        F.col("p_brand").alias("code_candidature"),
-        F.col("l_quantity").alias("q"),
-        F.col("l_returnflag").alias("rf"),
-    )
-    keys = ["code_commune", "code_bv", "type_scrutin", "annee", "tour", "date_scrutin", "code_candidature"]
-    # Partial aggregation per candidate first (map-side combine), then event totals by a window on the
-    # already-aggregated rows: no second scan and no join back.
-    cand = base.groupBy(*keys).agg(
+    base = li.join(od, li.l_orderkey == od.o_orderkey).join(pa, li.l_partkey == pa.p_partkey)
+    base = base.select("l_suppkey", "o_orderpriority", F.year("o_orderdate").cast("int").alias("annee"), (F.col("o_orderstatus") == "O").alias("_late"), F.col("p_brand").alias("code_candidature"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("rf"))
+    # Aggregated by the narrow keys first (map-side combine); stations and labels are attached to the few rows that are left.
+    # Event totals are a window on them: no second scan and no join back.
+    cand = base.groupBy("l_suppkey", "o_orderpriority", "annee", "_late", "code_candidature").agg(
         F.sum("q").alias("voix"),
         F.sum(F.when(F.col("rf") == "R", 1).otherwise(0)).alias("_r"),
         F.sum(F.when(F.col("rf") == "A", 1).otherwise(0)).alias("_a"),
         F.count(F.lit(1)).alias("_n"),
     )
+    cand = cand.join(su, cand.l_suppkey == su.s_suppkey)
+    town = _pad(F.col("s_nationkey"), 5)
+    cand = cand.select(
+        town.alias("code_commune"),
+        station_key(F.col("s_nationkey"), F.col("l_suppkey")).alias("code_bv"),
+        F.lower(F.substring("o_orderpriority", 3, 1000)).alias("type_scrutin"),
+        "annee",
+        F.when(F.col("_late"), F.lit(2)).otherwise(F.lit(1)).alias("tour"),
+        F.make_date("annee", F.lit(2) * F.substring("o_orderpriority", 1, 1).cast("int"), F.when(F.col("_late"), F.lit(14)).otherwise(F.lit(7))).alias("date_scrutin"),
+        "code_candidature", "voix", "_r", "_a", "_n",
+    )
+    keys = ["code_commune", "code_bv", "type_scrutin", "annee", "tour", "date_scrutin", "code_candidature"]
     ev = Window.partitionBy("code_bv", "type_scrutin", "annee", "tour")
     exprimes = F.sum("voix").over(ev)
     blancs = F.sum("_r").over(ev).cast("double")
