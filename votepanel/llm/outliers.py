@@ -10,7 +10,8 @@ beyond CUTOFF squared distance, a chi-square tail of 1e-6 at five degrees of fre
 
 Distribution. Numbers are fixed-point integers, so sums of moments are exact and do not depend on the order of rows. The rank of
 a distance comes from a histogram over a fine logarithmic grid (the whole grid cell at the rank is taken). So a step is two
-aggregations with map-side partials, whatever share of the rows a group holds; only one row per group is solved in numpy.
+aggregations with map-side partials; only one row per group is solved in numpy. Rows meet the parameters of their group by joins on the
+group and a salt, so that a group's rows spread over SALTS tasks whatever share of all rows it holds.
 
 Defined results: null text has no words and fails the base rules; null language or source is the empty name; every
 row that passes the base rules has a distance; a covariance is never under FLOOR per number, so constant numbers are no
@@ -30,7 +31,7 @@ from votepanel.llm.hashing import WordIds, gram_hashes
 from votepanel.session import cut_lineage
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
-P, UNIT, MIN_GROUP, STEPS, SHARE = 5, 1024, 50, 5, 0.75
+P, UNIT, MIN_GROUP, STEPS, SHARE, SALTS = 5, 1024, 50, 5, 0.75, 32
 #: Smallest standard deviation of each number; covariance of the inner 3/4 to that of all rows (normal, five numbers); chi-square tail.
 FLOOR, CONSISTENCY, CUTOFF = (0.30, 0.08, 0.35, 0.08, 0.08), 1.41, 37.3
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -107,14 +108,19 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """One row a group -> one for each salt of its rows."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _nearest(rows: DataFrame, params: DataFrame) -> DataFrame:
     """The SHARE of each group's rows with the smallest distances, up to a grid cell of 1/64 in log2."""
-    far = rows.join(params, ["g", "start"]).withColumn("cell", F.floor(64 * F.log2(1 + _distance())))
+    far = rows.join(_spread(params), ["g", "start", "salt"]).withColumn("cell", F.floor(64 * F.log2(1 + _distance())))
     cells = far.groupBy("g", "start", "cell").agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("g", "start")
     cells = cells.withColumn("upto", F.sum("n").over(every.orderBy("cell"))).withColumn("all", F.sum("n").over(every))
     limit = cells.where(F.col("upto") >= SHARE * F.col("all")).groupBy("g", "start").agg(F.min("cell").alias("last"))
-    return far.drop("mean", "inverse", "det").join(limit, ["g", "start"]).where("cell <= last").select("g", "start", *[f"x{i}" for i in range(P)])
+    return far.drop("mean", "inverse", "det").join(_spread(limit), ["g", "start", "salt"]).where("cell <= last").select("g", "start", *[f"x{i}" for i in range(P)])
 
 
 def _median_start(rows: DataFrame) -> DataFrame:
@@ -139,7 +145,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _STATS)
     stats = text.mapInArrow(_stats, schema).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    stats = cut_lineage(stats.select("*", *_numbers()), "stats")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")  # copies spread too
+    stats = cut_lineage(stats.select("*", salt, *_numbers()), "stats")
     named = F.to_json(F.array("lang", "source"))
     pooled, whole, every = F.to_json(F.array("lang")), F.to_json(F.array("lang", F.lit(""), F.lit(""))), F.lit("[]")
     sound = stats.where("not base_failed")
@@ -151,7 +158,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     wide = [F.when((F.col("pool") > 0) & (F.col("pool") < MIN_GROUP) & (F.col("all") >= MIN_GROUP), whole), F.when(F.col("tiny"), every)]
     groups = counts.join(langs, "lang").crossJoin(tiny).select("lang", "source", own.alias("g"), F.array_compact(F.array_distinct(F.array(own, *wide))).alias("member"))
     groups = cut_lineage(groups, "groups")
-    rows = sound.join(groups, ["lang", "source"]).select(F.explode("member").alias("g"), *[f"x{i}" for i in range(P)])
+    rows = sound.join(_spread(groups), ["lang", "source", "salt"]).select(F.explode("member").alias("g"), "salt", *[f"x{i}" for i in range(P)])
     rows = cut_lineage(rows, "numbers")
     start = _median_start(rows).unionByName(_fit(rows.withColumn("start", F.lit(1))))
     params = cut_lineage(start, "mcd_start")
@@ -161,8 +168,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     best = params.groupBy("g").agg(F.min(F.struct("det", "start"))["start"].alias("start"))
     params = params.join(best, ["g", "start"])
     for _ in range(STEPS - 2):
-        params = cut_lineage(_fit(_nearest(rows.join(params.select("g", "start"), "g"), params)), "mcd")
-    scored = stats.join(groups.drop("member"), ["lang", "source"], "left").join(params.drop("start", "det"), "g", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))
+        params = cut_lineage(_fit(_nearest(rows.join(_spread(params.select("g", "start")), ["g", "salt"]), params)), "mcd")
+    scored = stats.join(_spread(groups.drop("member")), ["lang", "source", "salt"], "left").join(_spread(params.drop("start", "det")), ["g", "salt"], "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("mean").isNotNull(), _distance()))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))).alias("kept"), "distance")
 
 
