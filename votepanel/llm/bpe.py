@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Limits of what a worker remembers: deterministic states, pieces with their tokens, and space-led parts with what becomes of them.
-MAX_STATES, MAX_PIECES, MAX_PARTS = 300_000, 200_000, 300_000
+MAX_STATES, MAX_PIECES, MAX_PARTS = 300_000, 80_000, 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -48,21 +48,28 @@ CHUNK, MAX_RUN = 65_536, 512
 COLLECTION = 4096
 
 
-_WORDS = WordIds()
-
-
 @dataclass(frozen=True)
 class Alphabet:
-    """What a text is a sequence of: the symbols of its bytes, and how many make a gram. ``across``: only repeats in other texts count."""
+    """What a text is a sequence of: the symbols of its bytes (``reader()`` makes a task's function for them), and how many make a gram.
+    ``across``: only repeats in other texts count."""
 
-    symbols: Callable[[bytes], np.ndarray]
+    reader: Callable[[], Callable[[bytes], np.ndarray]]
     kind: type
     gram: int
     across: bool
 
 
-BYTES = Alphabet(lambda data: np.frombuffer(data, np.uint8), np.uint8, 64, False)
-WORDS = Alphabet(lambda data: _WORDS.of(data.split()), np.uint64, 8, True)
+def _byte_reader() -> Callable[[bytes], np.ndarray]:
+    return lambda data: np.frombuffer(data, np.uint8)
+
+
+def _word_reader() -> Callable[[bytes], np.ndarray]:
+    ids = WordIds()
+    return lambda data: ids.of(data.split())
+
+
+BYTES = Alphabet(_byte_reader, np.uint8, 64, False)
+WORDS = Alphabet(_word_reader, np.uint64, 8, True)
 
 
 class RollingHash:
@@ -130,7 +137,7 @@ RUN_TYPE = pa.struct([("mh", pa.int64()), ("first", pa.int64()), ("size", pa.int
 
 def _cut(length: int, alphabet: Alphabet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash(CHUNK + length)
+        rolling, symbols = RollingHash(CHUNK + length), alphabet.reader()
         for whole in batches:
             for k in range(0, whole.num_rows, 64):
                 batch = whole.slice(k, 64)
@@ -139,7 +146,7 @@ def _cut(length: int, alphabet: Alphabet):
                     data = (text.as_py() or "").encode()
                     sizes.append(len(data))
                     shas.append(hashlib.sha256(data).hexdigest())
-                    parts.append(super_windows(alphabet.symbols(data), length, alphabet.gram, rolling))
+                    parts.append(super_windows(symbols(data), length, alphabet.gram, rolling))
                     offsets.append(offsets[-1] + len(parts[-1][0]))
                 fields = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
                 runs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(RUN_TYPE)))
@@ -223,11 +230,11 @@ def _fetch(length: int, alphabet: Alphabet):
     """Rows of (text, cuts) -> the strings to compare, one per place of the smallest gram; no key: other texts hold the string too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = RollingHash(MAX_RUN + length)
+        rolling, symbols = RollingHash(MAX_RUN + length), alphabet.reader()
         span = length - alphabet.gram
         for batch in batches:
             for row in range(batch.num_rows):
-                data = alphabet.symbols(batch.column(0)[row].as_py().encode())
+                data = symbols(batch.column(0)[row].as_py().encode())
                 rows: list[list] = [[] for _ in range(8)]
                 for cut in batch.column(1)[row].as_py():
                     s, n = cut["first"], cut["size"]
