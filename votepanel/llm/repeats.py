@@ -349,8 +349,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, alphabet: Alphabet = BYTE
     scan = cut_lineage(_keyed(docs).mapInArrow(_cut(length, alphabet), "doc_id long, key binary, n_bytes long, sha string, runs array<struct<mh:long,first:long,size:long,twice:boolean,c:long>>"), "scan")
     runs = scan.select("key", F.explode("runs").alias("r")).select("key", "r.*")
     by_content = ["mh", "c", "size"]  # two 64-bit hashes and the size
-    single = F.min("key") == F.max("key") if alphabet.across else F.count(F.lit(1)) == 1
-    counted = cut_lineage(runs.groupBy(*by_content).agg(single.alias("single"), F.max("twice").alias("twice"), F.min("key").alias("key"), F.max("key").alias("last_key"), F.min_by("first", "key").alias("first")), "runs")
+    # what is shuffled is kept small: the key once, or twice where the texts of a run count
+    low, more = F.min(F.struct("key", "first")).alias("low"), [F.max("key").alias("last_key")] if alphabet.across else [F.count(F.lit(1)).alias("cnt"), F.max("twice").alias("twice")]
+    single = F.col("low.key") == F.col("last_key") if alphabet.across else F.col("cnt") == 1
+    counted = cut_lineage(runs.groupBy(*by_content).agg(low, *more).select(*by_content, single.alias("single"), "low.key", "low.first", "last_key" if alphabet.across else "twice"), "runs")
     rivals = F.min("key") != F.max("last_key") if alphabet.across else (F.count(F.lit(1)) > 1) | F.max("twice")
     groups = counted.groupBy("mh").agg(F.count(F.lit(1)).alias("nd"), F.bool_or("single").alias("open"), rivals.alias("rivals"))
     cuts = counted.join(groups.where("open and rivals"), "mh")
