@@ -172,3 +172,26 @@ def test_last_reference_skips_null_shares(spark):
     local = spark.createDataFrame(rows, "code_bv string, category string, election_type string, election_year int, round int, share double").withColumn("date_scrutin", F.make_date("election_year", F.lit(6), F.lit(1)))
     preds = spark.createDataFrame([("s", "centre")], "code_bv string, category string")
     assert join_last_refs(preds, local, leg_type="legislatives", mun_type="municipales", mun_year=2020, target_year=2026).first().ref_leg == 0.3
+
+
+def test_exact_quantiles_cut_a_large_group_into_ranges(spark, monkeypatch):
+    """One group of many distinct values is no task's alone, and the values are those of one range (before: a join on the group's key)."""
+    from votepanel.operators import quantiles as Q
+
+    written = {}
+
+    def kept(df, name="stage"):
+        written[name] = cut(df, name)
+        return written[name]
+
+    cut = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", kept)
+    df = spark.range(4000).select((F.col("id") * 7919 % 4001 / 13.0).alias("v"), (F.col("id") % 40 == 0).alias("g"))
+    whole = Q.exact_quantiles(df, "v", {"m": 0.5, "p": 0.99}, ("g",)).collect()
+    monkeypatch.setattr(Q, "RANGE_ROWS", 100)
+    ranged = Q.exact_quantiles(df, "v", {"m": 0.5, "p": 0.99}, ("g",)).collect()
+    want = {r.g: (r.m, r.p) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m"), F.percentile("v", 0.99).alias("p")).collect()}
+    for got in (whole, ranged):
+        assert {r.g for r in got} == set(want) and all(abs(r.m - want[r.g][0]) < 1e-9 and abs(r.p - want[r.g][1]) < 1e-9 for r in got)
+    sizes = [r["count"] for r in written["quantile_ranges"].groupBy("_b").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 20 and max(sizes) < 800

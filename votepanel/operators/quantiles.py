@@ -1,9 +1,10 @@
 """Exact quantiles without sending a whole group to one task.
 
-The values of a group are first counted per distinct value (partial aggregation, so ties are one row). Approximate edges cut the
-distinct values of each group into EDGES buckets; counts per bucket give, by a running sum over at most EDGES + 1 rows, the bucket
-that holds each wanted rank; only the distinct values of those buckets are put in order. The order statistics are exact whatever
-the edges, and are interpolated linearly (same definition as ``percentile`` / ``quantile_cont``). Null group keys are groups.
+The values of a group are first counted per distinct value (partial aggregation, so ties are one row). The distinct values of all groups are
+then put into ranges of (group, value) of about RANGE_ROWS rows each, so a large group is many ranges and small groups share one. Counts
+per group and range give, by a running sum, the range that holds each wanted rank; only the distinct values of those ranges are put in
+order. The order statistics are exact wherever the ranges are cut, and are interpolated linearly (same definition as ``percentile`` /
+``quantile_cont``). Null group keys are groups.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from votepanel.session import cut_lineage
 
-EDGES = 256
+#: Distinct values a range holds, about: their number grows with the data, their size does not.
+RANGE_ROWS = 200_000
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, qs: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -24,8 +26,8 @@ def exact_quantiles(df: DataFrame, value: Column | str, qs: dict[str, float], ke
     counted = cut_lineage(counted, "quantiles")
     groups = counted.groupBy("_g").agg(F.sum("_n").alias("_all"), *[F.first(k).alias(k) for k in keys])
     values = counted.where("_n > 0").select("_g", "_x", "_n")
-    edges = values.groupBy("_g").agg(F.percentile_approx("_x", F.array(*[F.lit(i / EDGES) for i in range(1, EDGES)]), F.lit(10000)).alias("_edges"))
-    placed = values.join(edges, "_g").select("_g", "_x", "_n", F.size(F.filter("_edges", lambda e: e < F.col("_x"))).alias("_b"))
+    ranges = counted.count() // RANGE_ROWS + 1
+    placed = cut_lineage(values.repartitionByRange(ranges, "_g", "_x").withColumn("_b", F.spark_partition_id()), "quantile_ranges")
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = placed.groupBy("_g", "_b").agg(F.sum("_n").alias("_bn")).withColumn("_from", F.coalesce(F.sum("_bn").over(before), F.lit(0)))
     # both neighbours of every wanted position
