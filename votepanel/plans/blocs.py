@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from votepanel.operators.aggregate import nz
 from votepanel.operators.mapping import expand_by_bloc
+from votepanel.session import cut_lineage
 
 BLOC_EVENT_KEYS = ("code_bv", "date_scrutin", "annee", "type_scrutin", "tour", "bloc")
 
@@ -117,7 +118,8 @@ def build_elections_blocs(
     national: DataFrame | None = None,
 ) -> DataFrame:
     """expand -> per-event blocs -> reference (all towns) -> target towns -> growth -> lags."""
-    blocs = attach_national(bloc_event_table(long_df, mapping_lenient), national)
+    # written once: the rows and the reference over them read it
+    blocs = attach_national(cut_lineage(bloc_event_table(long_df, mapping_lenient), "bloc_event"), national)
     blocs = filter_communes(blocs, communes).repartition("code_bv")
     return bloc_lags(registered_growth(blocs, base_year))
 

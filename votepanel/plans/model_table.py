@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from votepanel.functions.categories import normalise_bloc
 from votepanel.operators.aggregate import nz
+from votepanel.session import cut_lineage
 
 # Lag steps and rolling window sizes of the model features.
 LAG_STEPS = (1, 2, 3, 4, 7, 14, 28)
@@ -128,7 +129,7 @@ def target_rows(blocs: DataFrame, target_type: str, target_year: int, *, month:
     over base rows and moved rows together, and the moved rows returned. Measures of a moved row are those of its last election."""
     from votepanel.plans.blocs import column_median
 
-    base = base_table_rules(blocs)
+    base = cut_lineage(base_table_rules(blocs), "base_rows")  # read by the median, the last rows and the union
     median = column_median(base, "annee")
     w = Window.partitionBy("code_bv", "bloc").orderBy(*[F.col(c).desc() for c in ORDER])
     last = base.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
