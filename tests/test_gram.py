@@ -85,3 +85,34 @@ def test_sums_do_not_depend_on_partitions_and_empty_panel(spark):
     assert a.n == b.n and np.allclose(a.coef, b.coef, atol=1e-12) and a.fill == b.fill
     empty = panel.limit(0)
     assert GR.fit_ridge(GR.event_statistics(empty, FEATURES, TARGETS), train, FEATURES, TARGETS).count() == 0
+
+
+def test_a_task_hands_on_one_matrix_an_election(monkeypatch):
+    """Batches of a task are summed before they leave it (before: a matrix a batch and election), whole also where the cells held are few."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    n = 600
+    x = r.random((n, 2))
+    x[::7, 0] = np.nan
+    table = pa.RecordBatch.from_arrays([pa.array([f"e{i % 3}" for i in range(n)]), pa.array(np.ones(n)), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(r.random(n))], names=["event_key", "_w", "_x0", "_x1", "_x2"])
+
+    def sums(size):
+        got, out = {}, list(GR._sums(2, 1)(iter([table.slice(k, size) for k in range(0, n, size)])))
+        rows = 0
+        for b in out:
+            for e, j, c, v in zip(*(col.to_pylist() for col in b.columns), strict=True):
+                got[e, j, c] = got.get((e, j, c), 0.0) + v
+                rows += j < 0
+        return got, rows
+
+    whole, rows = sums(n)
+    parts, rows_of_parts = sums(50)
+    assert rows == rows_of_parts == 3 * 21
+    monkeypatch.setattr(GR, "HELD_CELLS", 200)
+    flushed, rows_flushed = sums(50)
+    assert rows_flushed > rows
+    for other in (parts, flushed):
+        assert other.keys() == whole.keys() and all(abs(other[k] - whole[k]) < 1e-9 for k in whole)
+    assert sum(v for (e, j, c), v in whole.items() if j == 0) == n - len(range(0, n, 7))
