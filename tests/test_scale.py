@@ -2,13 +2,18 @@
 
 import datetime as dt
 import random
+import re
 
 from votepanel.constants import CATEGORIES, TARGET_COLS
 from votepanel.operators import folds as FO
 from votepanel.operators import tuning as TU
+from votepanel.operators.aggregate import aggregate_event
+from votepanel.operators.clean import prepare_long
+from votepanel.operators.mapping import expand_by_category, normalise_mapping
 from votepanel.plans import model_table as MT
 from votepanel.plans import panel as P
 from votepanel.session import task_number
+from votepanel.sources import tables as T
 
 
 def test_partitions_of_the_station_windows_follow_the_rows(spark, monkeypatch):
@@ -46,3 +51,40 @@ def test_ridge_trials_share_one_pass(spark, monkeypatch):
     assert len(passes) == 1 and len(together) == 6 and sum(s == "failed" for s, *_ in together.values()) == 2
     for key, (status, mae, med) in run(5.0).items():
         assert together[key][0] == status == "ok" and abs(together[key][1] - mae) < 1e-12 and abs(together[key][2] - med) < 1e-12
+
+
+def exchanges(df):
+    """Columns and partitions of the hash exchanges of a plan."""
+    return re.findall(r"Exchange hashpartitioning\(([^)]*), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_no_exchange_of_the_panel_has_the_sessions_partitions(spark, tmp_path, monkeypatch):
+    n = 40
+    tables = {
+        "lineitem": ([(i, i % 5, i % 7, float(i % 9 + 1), "RAN"[i % 3]) for i in range(n)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"),
+        "orders": ([(i, "OF"[i % 2], dt.date(1995 + i % 2, 1, 1), "1-URGENT") for i in range(n)], "o_orderkey long, o_orderstatus string, o_orderdate date, o_orderpriority string"),
+        "supplier": ([(i, i % 2) for i in range(7)], "s_suppkey long, s_nationkey int"),
+        "part": ([(i, f"Brand#{i + 11}") for i in range(5)], "p_partkey long, p_brand string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    expected = sorted(map(str, P.build_panel(prepare_long(T.fx_long(spark, str(tmp_path))), normalise_mapping(T.fx_mapping(spark, str(tmp_path)))).collect()))
+    many = spark.sparkContext.defaultParallelism + 5
+    monkeypatch.setattr(T, "LINES_A_TASK", -(-n // many))
+    monkeypatch.setattr(P, "ROWS_A_TASK", 1)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if all tables were large
+    try:
+        long_df = prepare_long(T.fx_long(spark, str(tmp_path)))
+        mapping = normalise_mapping(T.fx_mapping(spark, str(tmp_path)))
+        tasks = T.task_number(spark, n, T.LINES_A_TASK)
+        found = exchanges(long_df)
+        assert tasks > spark.sparkContext.defaultParallelism and len(found) >= 5 and {int(k) for _, k in found} == {tasks}
+        by_category = aggregate_event(expand_by_category(long_df, mapping, broadcast=True))
+        assert [x for x in exchanges(by_category) if "category" in x[0]] == []  # it stands in the tasks of the long table
+        panel = P.build_panel(long_df, mapping)
+        stations = [(c, int(k)) for c, k in exchanges(panel) if "code_bv" in c]
+        assert len(stations) == 1 and stations[0][1] > tasks
+        assert sorted(map(str, panel.collect())) == expected and expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
