@@ -418,3 +418,42 @@ def test_pipeline_passages_of_51_to_60_words(spark, tmp_path):
     assert all(got[i].text == whole[i] for i in range(20, 60))
     assert all(passage[51 + i % 10] not in got[100 + i].text and got[100 + i].text.strip() == whole[i][::-1] and got[100 + i].n_chars == len(got[100 + i].text) for i in range(20))
     assert not any(i in got for i in range(20))  # of these texts all 100 words occur in another text
+
+
+def test_decoder_joins_closed_runs_and_keeps_open_sequences():
+    """Runs of closed tokens, tokens that open a sequence, and malformed bytes, met for the first time and again."""
+    from votepanel.llm.bpe import StreamDecoder
+
+    tokens = {0: b"a", 1: "é".encode(), 2: b"\xe2\x82", 3: b"\xac b", 4: b"\xff", 5: b"c\xc3", 6: "€".encode()}
+    decode = StreamDecoder(tokens)
+    for ids in ([], [0, 1, 0], [0, 2, 3, 1, 0], [2, 3], [5, 0, 1], [0, 2], [4, 0, 6], [1, 5, 2, 3, 0], [3, 2, 2, 3]):
+        raw = b"".join(tokens[i] for i in ids)
+        for _ in range(2):
+            assert decode(ids) == raw.decode("utf-8", "replace")
+    assert decode.closed[0] == "a" and decode.closed[6] == "€" and 2 not in decode.closed and 5 not in decode.closed
+
+
+def test_parts_of_ascii_letters_are_not_pieced_again(monkeypatch):
+    import public_tokenizers
+
+    from votepanel.llm import bpe
+
+    pieced, compiled = [], bpe.regex.compile
+
+    class Pattern:
+        def __init__(self, pattern):
+            self.pattern = compiled(pattern)
+            self.search = self.pattern.search
+
+        def findall(self, text):
+            pieced.append(text)
+            return self.pattern.findall(text)
+
+    monkeypatch.setattr(bpe.regex, "compile", Pattern)
+    ranks = {bytes([b]): b for b in range(256)} | {b" a": 256, b"ab": 257}
+    monkeypatch.setattr(bpe, "load_ranks", lambda path: ranks)
+    encode, decode = bpe.codec("", public_tokenizers.PATTERN)
+    text = "x ab cde it's élan ab 12ab"
+    merged = [bpe.Merger(ranks)(p.encode()) for p in compiled(public_tokenizers.PATTERN).findall(text)]
+    assert encode(text) == [ranks[t] for p in merged for t in p] and decode(encode(text)) == text
+    assert " ab" not in pieced and " cde" not in pieced and " it's" in pieced and " élan" in pieced

@@ -62,13 +62,16 @@ class Transducer:
     """Lazily determinised transducer of a rank table: pieces of bytes to token ids.
 
     A hypothesis is one number, (last token + 1, or 0) * 2^24 + trie node of the open bytes; a state is the bytes of an array of them.
-    A transition is one number, next state * 2^32 + token that ends here + 1 (0: none)."""
+    Transitions are kept by state * 2^8 + byte; one is a number, next state * 2^32 + token that ends here + 1 (0: none), and tokens
+    stay below 2^24, so shifted right by 24 bits it is the next state * 2^8."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.merge = Merger(ranks)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.length_of = {i: (i, len(t)) for t, i in ranks.items()}  # with the one object of each id, so that remembered ids share it
+        if max(ranks.values(), default=0) >= 0xFFFFFF:
+            raise ValueError("ranks below 2^24 - 1 are expected")
+        self.length_of = {i + 1: (i, len(t)) for t, i in ranks.items()}  # with the one object of each id, so that remembered ids share it
         self.child: dict[int, int] = {}
         self.token_at = [-1]
         for token, i in ranks.items():
@@ -85,7 +88,7 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.steps: dict[int, int] = {}
+        self.steps = Steps(self)
         self.hypotheses: list[bytes] = []
         self.numbers: dict[bytes, int] = {}
         self.start = self.number(array("q", (0,)).tobytes())
@@ -161,18 +164,22 @@ class Transducer:
     def step(self, n: int, byte: int) -> int:
         """Build one transition of the determinised transducer: the next state, and the token that ends here or -1."""
         found, ended = array("q"), -1
-        child, token_at = self.child, self.token_at
+        child, token_at, follows = self.child, self.token_at, self.follows
         for hypothesis in array("q", self.hypotheses[n]):  # the oldest open bytes first
             node = child.get((hypothesis & 0xFFFFFF) << 8 | byte)
             if node is not None:
                 last = hypothesis >> 24
                 found.append(last << 24 | node)
                 token = token_at[node]
-                if token >= 0 and ended < 0 and self.may_follow(last - 1, token):
-                    ended = token
+                if token >= 0 and ended < 0:
+                    known = follows.get(last - 1 << 32 | token) if last else None
+                    if self.may_follow(last - 1, token) if known is None else known:
+                        ended = token
         if ended >= 0:
             found.append((ended + 1) << 24)
-        out = self.steps[n << 8 | byte] = self.number(found.tobytes()) << 32 | ended + 1
+        state = found.tobytes()
+        number = self.numbers.get(state)
+        out = self.steps[n << 8 | byte] = (self.number(state) if number is None else number) << 32 | ended + 1
         return out
 
     def __call__(self, piece: bytes) -> tuple[int, ...]:
@@ -181,29 +188,45 @@ class Transducer:
             return (whole,)
         if len(self.hypotheses) > MAX_STATES:
             self.reset()
-        n, out, ends, known = self.start, [], [], self.steps.get
+        n, ends, steps = self.start << 8, [], self.steps
+        if len(piece) < 512:
+            for byte in piece:
+                got = steps[n | byte]
+                n = got >> 24
+                ends.append(got)
+            return tuple(self.emitted(ends))
+        out: list[int] = []
         for byte in piece:
-            got = known(n << 8 | byte)
-            if got is None:
-                got = self.step(n, byte)
-            n, token = got >> 32, (got & 0xFFFFFFFF) - 1
-            ends.append(token)
-            if len(ends) >= 512 and token >= 0 and len(self.hypotheses[n]) == 8:  # one hypothesis left: all before it is certain
+            got = steps[n | byte]
+            n = got >> 24
+            ends.append(got)
+            if len(ends) >= 512 and got & 0xFFFFFF and len(self.hypotheses[n >> 8]) == 8:  # one hypothesis left: all before it is certain
                 out += self.emitted(ends)
                 ends.clear()
         return (*out, *self.emitted(ends))
 
     def emitted(self, ends: list[int]) -> list[int]:
-        """The certain tokens, read back from the last byte by their lengths."""
-        out, at = [], len(ends)
+        """The certain tokens, read back from the transition of the last byte by their lengths."""
+        out, at, length_of = [], len(ends), self.length_of
         while at:
-            token, length = self.length_of[ends[at - 1]]
+            token, length = length_of[ends[at - 1] & 0xFFFFFF]
             out.append(token)
             at -= length
         out.reverse()
         return out
 
 
+class Steps(dict):
+    """The transitions met so far, by state * 2^8 + byte; others are built."""
+
+    def __init__(self, transducer: Transducer) -> None:
+        super().__init__()
+        self.transducer = transducer
+
+    def __missing__(self, key: int) -> int:
+        return self.transducer.step(key >> 8, key & 0xFF)
+
+
 class Remembered(dict):
     """Text -> token ids by the given function; short texts are remembered, up to a limit."""
 
@@ -234,16 +257,20 @@ class OpenSequence(dict):
     def __missing__(self, token: int) -> tuple[OpenSequence, str]:
         state, text = self.decoder.feed(self.unfinished, self.decoder.tokens[token])
         got = self[token] = (self.decoder.state(state), text)
+        if not (self.unfinished or state):
+            self.decoder.closed[token] = text
         return got
 
 
 class StreamDecoder:
-    """Token ids to text, one token at a time; the state is the open UTF-8 sequence."""
+    """Token ids to text, one token at a time; the state is the open UTF-8 sequence. Transitions from no open sequence to none are kept in
+    a table of their own, so that a run of them is one join."""
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
         self.tokens = tokens
         self.leads = {b: (n, lo, hi) for first, last, n, lo, hi in _LEADS for b in range(first, last + 1)}
         self.states: dict[bytes, OpenSequence] = {}
+        self.closed: dict[int, str] = {}
 
     def state(self, unfinished: bytes) -> OpenSequence:
         if unfinished not in self.states:
@@ -278,10 +305,21 @@ class StreamDecoder:
     def __call__(self, ids: list[int]) -> str:
         if sum(map(len, self.states.values())) >= MAX_STATES:
             self.states.clear()
-        state, out = self.state(b""), []
-        for i in ids:
-            state, text = state[i]
-            out.append(text)
+        try:
+            return "".join(map(self.closed.__getitem__, ids))
+        except KeyError:
+            pass
+        out = [*map(self.closed.get, ids)]
+        state = start = self.state(b"")
+        at, last = 0, len(ids)
+        while at < last:
+            if state is start:  # on to the next token that opens a sequence, or was not met yet
+                try:
+                    at = out.index(None, at)
+                except ValueError:
+                    break
+            state, out[at] = state[ids[at]]
+            at += 1
         return "".join(out) + ("�" if state.unfinished else "")
 
 
@@ -298,7 +336,11 @@ def codec(path: str, pattern: str) -> tuple[Callable[[str], list[int]], StreamDe
     def whole(text: str) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(pieces.__getitem__, split(text))))
 
-    parts = Remembered(lambda part: whole(" " + part), MAX_PIECES)
+    def spaced(part: str) -> tuple[int, ...]:
+        """Of a part and the space before it; ASCII letters are one piece."""
+        return pieces[" " + part] if part.isascii() and part.isalpha() else whole(" " + part)
+
+    parts = Remembered(spaced, MAX_PIECES)
     space_after_space = regex.compile(r"\s ").search
     by_parts = r" ?\p{L}+" in pattern and r"\s+(?!\S)|\s+" in pattern
 
