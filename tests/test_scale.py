@@ -4,8 +4,11 @@ import datetime as dt
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from votepanel.constants import CATEGORIES, TARGET_COLS
 from votepanel.operators import folds as FO
+from votepanel.operators import quantiles as Q
 from votepanel.operators import tuning as TU
 from votepanel.operators.aggregate import aggregate_event
 from votepanel.operators.clean import prepare_long
@@ -88,3 +91,28 @@ def test_no_exchange_of_the_panel_has_the_sessions_partitions(spark, tmp_path, m
         assert sorted(map(str, panel.collect())) == expected and expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_ranges_of_quantiles_follow_the_rows(spark, monkeypatch):
+    """No exchange of the values has the session's partitions, and rows of one value are more than one task's."""
+    plans, written, cut = {}, {}, Q.cut_lineage
+
+    def kept(df, name="stage"):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        written[name] = cut(df, name)
+        return written[name]
+
+    monkeypatch.setattr(Q, "cut_lineage", kept)
+    monkeypatch.setattr(Q, "RANGE_ROWS", 100)
+    df = spark.range(4000).select(F.when(F.col("id") % 10 < 7, 0.0).otherwise(F.col("id") * 7919 % 4001 / 13.0).alias("v"), (F.col("id") % 4 == 0).alias("g"))
+    df = df.unionByName(spark.createDataFrame([(None, True), (float("nan"), False), (-0.0, True)], "v double, g boolean"))
+    found = Q.exact_quantiles(df, "v", {"low": 0.5, "mid": 0.8, "high": 0.97}, ("g",))
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.g: (r.low, r.mid, r.high) for r in found.collect()}
+    want = {r.g: (r.low, r.mid, r.high) for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("low"), F.percentile("v", 0.8).alias("mid"), F.percentile("v", 0.97).alias("high")).collect()}
+    assert set(got) == set(want) and all(abs(a - b) < 1e-9 for g in want for a, b in zip(got[g], want[g], strict=True))
+    values = [p for p in plans.values() if "_x" in p]
+    assert not any(re.search(r"hashpartitioning\([^)]*_x", p) for p in values)
+    assert re.findall(r"rangepartitioning\([^)]*, (\d+)\)", plans["quantile_ranges"]) == ["41"]
+    sizes = [r.n for r in written["quantile_ranges"].groupBy("_b").agg(F.sum("_n").alias("n")).collect()]
+    assert sum(sizes) == 4002 and len(sizes) > 20 and max(sizes) < 800
