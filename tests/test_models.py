@@ -93,6 +93,19 @@ def test_search_is_seeded_and_keeps_failures(spark, panel):
     assert [(r.model, r.setting, r.n_folds) for r in best] == [("ridge", 0, 2)]
 
 
+def test_grid_search_runs_every_declared_setting(spark, panel, monkeypatch):
+    import json
+
+    from votepanel.plans import queries_ridge as QR
+
+    seen = []
+    monkeypatch.setattr(QR, "panel_frame", lambda spark, sf: panel)
+    monkeypatch.setattr(QR.TU, "run_trials", lambda panel, folds, trials, features: seen.extend(trials.collect()) or spark.createDataFrame([], TU.RESULT))
+    QR.q_grid_search(spark, "")
+    got = {(r.model, r.setting): json.loads(r.params) for r in seen}
+    assert got == {(m, i): g for m, grid in (("ridge", TU.RIDGE_GRID), ("gbt", TU.BOOSTING_GRID)) for i, g in enumerate(grid)}
+
+
 @pytest.mark.parametrize("proba,logit,classifier", [(True, True, "gbt"), (False, True, "logistic"), (True, False, "gbt")])
 def test_two_stage_options_and_constant_classes(spark, panel, proba, logit, classifier):
     train, test = panel.where("election_year < 2004"), panel.where("election_year = 2004")
