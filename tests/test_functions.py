@@ -53,3 +53,22 @@ def test_event_key_roundtrip(spark):
     assert k.first()[0] == "legislatives|2024|2"
     t, y, r = CD.parse_event_key("k")
     assert tuple(k.select(t, y, r).first()) == ("legislatives", 2024, 2)
+
+
+def test_category_rules_compute_the_key_once(spark):
+    """The key is one expression of the plan, not one per rule, and equals the rule written out over odd texts."""
+    import unicodedata
+
+    from votepanel.constants import EUROPEAN_LIST_RULES, PRESIDENTIAL_NAME_RULES
+
+    texts = ["", None, " \t ", "LE  PEN", "le\npen", "Benoît HAMON", "Kodak JÁDOT", "İmam Macron", "straße œuvre", "Le Pen, puis génération", "9 MODEM 9", "\U0001f600 pirate", "z" * 5000 + " ÉCOLOG ie"]
+
+    def letters(text):
+        low = unicodedata.normalize("NFD", (text or "").lower())
+        return "".join(ch for ch in low if "a" <= ch <= "z")
+
+    for column, rules in ((category_from_name("v"), PRESIDENTIAL_NAME_RULES), (category_from_list("v"), EUROPEAN_LIST_RULES)):
+        assert one(spark, column, texts) == [next((c for k, c in rules if k in letters(t)), None) for t in texts]
+        plan = spark.createDataFrame([(t,) for t in texts], "v string").select(column.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") == 1 and plan.count("lower(") == 1
+    assert one(spark, name_key("v"), texts) == [letters(t) for t in texts]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from votepanel.constants import (
     EUROPEAN_LIST_RULES,
     PRESIDENTIAL_NAME_RULES,
 )
-from votepanel.functions.text import _col, name_key, strip_ws
+from votepanel.functions.text import _col, name_key, once, strip_ws
 
 
 def _q(v: str | None) -> str:
@@ -24,10 +26,6 @@ def _map_literal(pairs) -> Column:
     return F.expr("map(" + ", ".join(f"{_q(k)}, {_q(v)}" for k, v in pairs) + ")")
 
 
-def _rules_literal(rules) -> Column:
-    return F.expr("array(" + ", ".join(f"named_struct('k', {_q(k)}, 'c', {_q(c)})" for k, c in rules) + ")")
-
-
 def _label_key(c: Column | str) -> Column:
     low = F.lower(strip_ws(_col(c).cast("string")))
     return F.translate(low, " -", "__")
@@ -55,10 +53,13 @@ def normalise_bloc(c: Column | str) -> Column:
 
 
 def _first_contains(key: Column, rules) -> Column:
-    """Category of the first rule whose needle occurs in ``key`` (rule order is significant)."""
-    hits = F.filter(_rules_literal(rules), lambda r: F.instr(key, r.getField("k")) > 0)
-    first = F.try_element_at(hits, F.lit(1)).getField("c")
-    return F.when(key == "", F.lit(None).cast("string")).otherwise(first)
+    """Category of the first rule whose needle occurs in ``key`` (rule order is significant); the key is computed once, and the
+    rules after a hit are not tried."""
+
+    def first_hit(k: Column) -> Column:
+        return reduce(lambda cases, rule: cases.when(F.contains(k, F.lit(rule[0])), F.lit(rule[1])), rules, F.when(k == "", F.lit(None).cast("string")))
+
+    return once(key, first_hit)
 
 
 def category_from_name(c: Column | str) -> Column:
