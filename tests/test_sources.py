@@ -155,3 +155,18 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     unchanged = files()
     WH.merge_table(spark, path, new.limit(0), ["id", "k"], part)
     assert files() == unchanged
+
+
+def test_numbers_and_windows_1252_as_the_long_rule_has_them(spark, tmp_path):
+    texts = ["12,5", " 1 234,5 ", "1\t2", "", "  ", None, "x", "1,2,3", "-3,0", "1e3", "inf", "NaN", " 7", "5.25", "+4"]
+    df = spark.createDataFrame([(t, t, 7) for t in texts], "voix string, exprimes string, inscrits int")
+    long_rule = spark.createDataFrame([(t,) for t in texts], "v string").selectExpr(r"try_cast(regexp_replace(regexp_replace(v, '\\s', ''), ',', '.') as double) as v")
+    want = [str(r.v) for r in long_rule.collect()]
+    got = DL.coerce_numeric(df)
+    assert got.columns == ["voix", "exprimes", "inscrits"]
+    assert [(str(r.voix), str(r.exprimes), r.inscrits) for r in got.collect()] == [(w, w, 7.0) for w in want]
+    assert [r.voix for r in DL.coerce_numeric(df.select("voix"), decimal=".").collect()][:2] == [None, None]
+    keys = spark.createDataFrame([("1.00", "7"), ("12.05", " 7 "), ("123456", "0"), ("a.0", ""), (None, "1"), ("1", None), ("00", "10.0")], "t string, s string")
+    assert [r.code_bv for r in DL.build_station_key(keys, ["t", "s"], widths=[5, 4]).collect()] == ["00001-0007", "12.05-0007", "123456-0000", "a-", None, None, "00000-0010"]
+    (tmp_path / "f.csv").write_bytes("Commune;Voix\nL’Isle;€1\nplain;2\n".encode("cp1252"))
+    assert sorted(tuple(r) for r in DL.read_delimited(spark, str(tmp_path / "f.csv")).collect()) == [("L’Isle", "€1"), ("plain", "2")]
