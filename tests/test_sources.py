@@ -156,6 +156,41 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     WH.merge_table(spark, path, new.limit(0), ["id", "k"], part)
     assert files() == unchanged
 
+LONG = "code_commune string, code_bv string, type_scrutin string, annee int, tour int, date_scrutin date, code_candidature string, voix double, exprimes double, blancs double, nuls double, votants double, inscrits double"
+
+
+def long_rows():
+    import datetime as dt
+
+    rows = []
+    for i, kind in enumerate(["low", "not specified", "50%/x", None]):
+        for k in range(3):
+            rows.append((f"{k:05d}", f"{k:05d}-{k + 1:04d}", kind, None if k == 2 and i == 1 else 1995 + i, 1, dt.date(1995 + i, 2, 7), f"Brand#{k}", 1.5 + k, 10.0, 1.0, 2.0, 13.0, 99.25))
+    return rows
+
+
+def test_votes_are_computed_once_for_the_raw_files_and_every_type_is_read(spark, tmp_path, monkeypatch):
+    """Types with odd characters and none at all are folders too."""
+    from pyspark.sql import functions as F
+
+    from votepanel.plans import queries_more as Q
+
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        computed.add(1)
+        return v
+
+    rows = long_rows()
+    frame = spark.createDataFrame(rows, LONG).withColumn("type_scrutin", F.udf(seen, "string").asNondeterministic()("type_scrutin"))
+    monkeypatch.setattr(Q, "fx_long", lambda spark, sf: frame)
+    path, types = Q.write_raw_results(spark, "")
+    assert computed.value == len(rows) and set(types) == {"low", "not specified", "50%/x", None}
+    entries = DL.resolve_catalog(Q.raw_catalog(path, types))
+    entries.pop("base")
+    got = DL.ingest_catalog(spark, entries).select("code_bv", "type_scrutin", "code_candidature", "voix", "inscrits").collect()
+    assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(rows, LONG).select("code_bv", "type_scrutin", "code_candidature", "voix", "inscrits").collect())
+
 
 def test_numbers_and_windows_1252_as_the_long_rule_has_them(spark, tmp_path):
     texts = ["12,5", " 1 234,5 ", "1\t2", "", "  ", None, "x", "1,2,3", "-3,0", "1e3", "inf", "NaN", " 7", "5.25", "+4"]

@@ -1016,6 +1016,9 @@ def q_interval_table(spark, sf):
 
 
 # ------------------------------------------------------------------ ingest family (write derived raw files, read them back)
+import re  # noqa: E402
+from urllib.parse import unquote  # noqa: E402
+
 from votepanel.session import scratch_path  # noqa: E402
 from votepanel.sources import delimited as DL  # noqa: E402
 from votepanel.sources.tables import fx_long, fx_wide, wide_numbers  # noqa: E402
@@ -1027,7 +1030,7 @@ RAW_RENAME = {"Inscrits": "inscrits", "Votants": "votants", "Blancs": "blancs",
 
 
 def _comma(c):
-    return F.regexp_replace(F.col(c).cast("string"), r"\.", ",")
+    return F.replace(F.col(c).cast("string"), F.lit("."), F.lit(","))
 
 
 def write_raw_results(spark, sf) -> tuple[str, list[str]]:
@@ -1046,8 +1049,23 @@ def write_raw_results(spark, sf) -> tuple[str, list[str]]:
     )
     path = scratch_path(spark, "raw_results")
     raw.write.mode("overwrite").partitionBy("type_scrutin").option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    types = [r[0] for r in lg.select("type_scrutin").distinct().collect()]  # election list (metadata)
-    return path, types
+    return path, written_types(spark, path)
+
+
+#: Folder name of the rows without a value of the partition column.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def written_types(spark, path: str) -> list[str | None]:
+    """Election types of a results folder, from the names of its files (metadata): the votes are not computed again for them."""
+    folders = {unquote(f).rsplit("type_scrutin=", 1)[1].split("/", 1)[0] for f in spark.read.schema("value string").text(path).inputFiles()}
+    return [None if f == _NO_VALUE else unquote(f) for f in sorted(folders)]
+
+
+def type_folder(path: str, election_type: str | None) -> str:
+    """Folder of a type, with the characters escaped that Spark escapes in partition folders."""
+    name = _NO_VALUE if election_type is None else re.sub(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", election_type)
+    return f"{path}/type_scrutin={name}"
 
 
 def raw_catalog(path: str, types: list[str]) -> dict:
@@ -1056,7 +1074,7 @@ def raw_catalog(path: str, types: list[str]) -> dict:
                  "code_bv_cols": ["Code de la commune", "Code B.Vote"], "code_bv_widths": [5, 4], "rename_map": RAW_RENAME},
     }
     for t in types:
-        entries[f"results_{t}"] = {"copy_from": "base", "path": f"{path}/type_scrutin={t}", "type_scrutin": t}
+        entries[f"results_{t}"] = {"copy_from": "base", "path": type_folder(path, t), "type_scrutin": t}
     entries.pop("base")
     base = {"tour_column": "N° tour", "date_column": "Date", "year_column": "Année", "code_bv_cols": ["Code de la commune", "Code B.Vote"],
             "code_bv_widths": [5, 4], "rename_map": RAW_RENAME}
