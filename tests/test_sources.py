@@ -156,6 +156,7 @@ def test_merge_rewrites_touched_partitions_only(spark, tmp_path):
     WH.merge_table(spark, path, new.limit(0), ["id", "k"], part)
     assert files() == unchanged
 
+
 LONG = "code_commune string, code_bv string, type_scrutin string, annee int, tour int, date_scrutin date, code_candidature string, voix double, exprimes double, blancs double, nuls double, votants double, inscrits double"
 
 
@@ -190,6 +191,34 @@ def test_votes_are_computed_once_for_the_raw_files_and_every_type_is_read(spark,
     entries.pop("base")
     got = DL.ingest_catalog(spark, entries).select("code_bv", "type_scrutin", "code_candidature", "voix", "inscrits").collect()
     assert sorted(map(str, got)) == sorted(str(r) for r in spark.createDataFrame(rows, LONG).select("code_bv", "type_scrutin", "code_candidature", "voix", "inscrits").collect())
+    streamed = Q.q_stream_ingest(spark, "").select("code_bv", "type_scrutin", "annee", "voix").collect()
+    # a year that is missing is that of the date
+    want = spark.createDataFrame(rows, LONG).select("code_bv", "type_scrutin", F.year("date_scrutin").alias("annee"), "voix").collect()
+    assert sorted(map(str, streamed)) == sorted(map(str, want))
+
+
+def test_streams_of_all_types_run_at_once(spark, monkeypatch):
+    from votepanel.plans import queries_more as Q
+    from votepanel.streaming import ingest
+
+    events = []
+
+    class Stream:
+        def __init__(self, name):
+            self.name = name
+            events.append(("start", name))
+
+        def awaitTermination(self):
+            events.append(("wait", self.name))
+            spark.createDataFrame([], "annee int, date_scrutin date, type_scrutin string, tour int, code_bv string, inscrits double, votants double, blancs double, nuls double, exprimes double, code_candidature string, voix double").write.parquet(self.name)
+
+        def stop(self):
+            events.append(("stop", self.name))
+
+    monkeypatch.setattr(Q, "write_raw_results", lambda spark, sf: ("/none", ["a", "b", "c"]))
+    monkeypatch.setattr(ingest, "start_results_stream", lambda spark, source, cols, sink, meta, **more: Stream(sink))
+    assert Q.q_stream_ingest(spark, "").count() == 0
+    assert [kind for kind, _ in events] == ["start"] * 3 + ["wait"] * 3 + ["stop"] * 3
 
 
 def test_numbers_and_windows_1252_as_the_long_rule_has_them(spark, tmp_path):

@@ -1305,12 +1305,16 @@ def q_stream_ingest(spark, sf):
     sink = scratch_path(spark, "stream_sink")
     meta = {"tour_column": "N° tour", "date_column": "Date", "year_column": "Année", "type_column": "type_scrutin",
             "code_bv_cols": ["Code de la commune", "Code B.Vote"], "code_bv_widths": [5, 4], "rename_map": RAW_RENAME}
-    # the results folder is partitioned by type: the stream reads each type folder as its own source
-    for t in types:
-        q = start_results_stream(spark, f"{path}/type_scrutin={t}", cols, f"{sink}/{t}", {**meta, "type_scrutin": t, "type_column": None},
-                                 checkpoint_location=scratch_path(spark, "stream_ckpt"))
-        q.awaitTermination()
+    # the results folder is partitioned by type: the stream reads each type folder as its own source, and all of them run at once
+    streams = [start_results_stream(spark, type_folder(path, t), cols, f"{sink}/{i}", {**meta, "type_scrutin": t, "type_column": None},
+                                    checkpoint_location=scratch_path(spark, "stream_ckpt")) for i, t in enumerate(types)]
+    try:
+        for q in streams:
+            q.awaitTermination()
+    finally:
+        for q in streams:
+            q.stop()
     from functools import reduce as _reduce
 
-    parts = [spark.read.parquet(f"{sink}/{t}").select(*_STD) for t in types]
+    parts = [spark.read.parquet(f"{sink}/{i}").select(*_STD) for i in range(len(types))]
     return _reduce(lambda a, b: a.unionByName(b), parts)
