@@ -116,3 +116,54 @@ def test_ranges_of_quantiles_follow_the_rows(spark, monkeypatch):
     assert re.findall(r"rangepartitioning\([^)]*, (\d+)\)", plans["quantile_ranges"]) == ["41"]
     sizes = [r.n for r in written["quantile_ranges"].groupBy("_b").agg(F.sum("_n").alias("n")).collect()]
     assert sum(sizes) == 4002 and len(sizes) > 20 and max(sizes) < 800
+
+
+def test_pick_rate_computes_the_votes_once(spark, monkeypatch):
+    from votepanel.operators import forecast as FC
+    from votepanel.operators import stations as ST
+    from votepanel.plans import blocs as B
+    from votepanel.plans import queries_extra as QX
+
+    r = random.Random(8)
+    rows = []
+    for town in ("00001", "00002", None):
+        for s in range(4):
+            for y in range(1995, 2001):
+                kind, tour = r.choice(["low", "high", None]), r.choice([1, 1, 2, None])
+                ins = r.choice([0.0, 200.0, None])
+                for c in "AB":  # a total may be missing in one of an event's rows
+                    rows.append((town, f"{town}-{s:04d}" if town else None, kind, y, tour, dt.date(y, 3, 1), c, 5.0, 60.0, r.choice([90.0 + s, None]), ins, 2.0, r.choice([None, 3.0])))
+    schema = "commune_code string, code_bv string, election_type string, election_year int, round int, date_scrutin date, code_candidature string, voix double, exprimes double, votants double, inscrits double, blancs double, nuls double"
+    plain, towns = spark.createDataFrame(rows, schema), spark.createDataFrame([("00001", "A"), ("00002", "B")], "code_commune string, nom_commune string")
+    st = ST.bureau_event_stats(plain).withColumn("code_commune", F.substring_index("code_bv", "-", 1))
+    want = FC.pick_rates(st, B.commune_event_stats(plain, towns), ST.default_rates(st), QX.TARGET_TYPE, QX.TARGET_YEAR)
+    computed = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        computed.add(1)
+        return v
+
+    monkeypatch.setattr(QX, "long_table", lambda spark, sf: plain.withColumn("code_bv", F.udf(seen, "string").asNondeterministic()("code_bv")))
+    monkeypatch.setattr(QX, "all_towns", lambda spark, sf: towns)
+    got = QX.q_pick_rate(spark, "").collect()
+    assert computed.value == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, QX.round_doubles(want).collect())) and len(got) == 2
+
+
+def test_rows_are_dealt_by_station_without_labels(spark, tmp_path):
+    """The last exchange of the long table carries no town, type or date: they are made after it."""
+    tables = {
+        "lineitem": ([(i, i % 3, i % 2, float(i + 1), ["R", "A", "N", None][i % 4]) for i in range(12)], "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string"),
+        "orders": ([(i, [None, "O"][i % 2], dt.date(1995, 1, 1), "1-URGENT") for i in range(12)], "o_orderkey long, o_orderstatus string, o_orderdate date, o_orderpriority string"),
+        "supplier": ([(0, 7), (1, 123456), (1, 123456)], "s_suppkey long, s_nationkey int"),
+        "part": ([(i, "Brand#11") for i in range(3)], "p_partkey long, p_brand string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    long_df = T.fx_long(spark, str(tmp_path))
+    plan = long_df._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("RepartitionByExpression [code_bv"):]
+    assert "make_date" in plan and "make_date" not in below and "lower(" not in below
+    got = {(r.code_commune, r.code_bv, r.tour, r.voix, r.exprimes, r.blancs, r.nuls, r.inscrits) for r in long_df.collect()}
+    # a supplier that comes twice has its rows twice, and its totals are of both
+    assert got == {("00007", "00007-0000", 1, 36.0, 36.0, 3.0, 0.0, 99.0), ("12345", "12345-0001", 2, 42.0, 84.0, 0.0, 6.0, 210.0)} and long_df.count() == 3

@@ -504,9 +504,12 @@ def q_pick_rate(spark, sf):
     from votepanel.plans.blocs import commune_event_stats
     from votepanel.operators.stations import bureau_event_stats, default_rates
 
-    lg = long_table(spark, sf)
-    st = bureau_event_stats(lg).withColumn("code_commune", F.substring_index("code_bv", "-", 1))
-    town = commune_event_stats(lg, all_towns(spark, sf))
+    # The maximum totals of an event are those of its rows: the votes are computed once, and all that follows reads a row per station-event.
+    totals = ("exprimes", "inscrits", "votants", "blancs", "nuls")
+    keys = ("commune_code", "code_bv", "election_type", "election_year", "round", "date_scrutin")
+    events = cut_lineage(long_table(spark, sf).groupBy(*keys).agg(*[F.max(c).alias(c) for c in totals]), "station_events")
+    st = cut_lineage(bureau_event_stats(events).withColumn("code_commune", F.substring_index("code_bv", "-", 1)), "station_stats")
+    town = cut_lineage(commune_event_stats(events, all_towns(spark, sf)), "town_stats")
     return round_doubles(FC.pick_rates(st, town, default_rates(st), TARGET_TYPE, TARGET_YEAR))
 
 
