@@ -93,6 +93,25 @@ def test_search_is_seeded_and_keeps_failures(spark, panel):
     assert [(r.model, r.setting, r.n_folds) for r in best] == [("ridge", 0, 2)]
 
 
+def test_rows_of_a_fold_are_prepared_once_for_all_trials(spark, panel, monkeypatch):
+    prepared, stages = [], ML.preprocessor
+    monkeypatch.setattr(ML, "preprocessor", lambda features, **more: prepared.append(1) or stages(features, **more))
+    grid = [{"max_iter": 2, "max_depth": 2}, {"max_iter": 1, "max_depth": 3, "loss": "no such loss"}, {"max_iter": 3, "max_depth": 1, "learning_rate": 0.5}]
+    folds = FO.event_folds(FO.event_table(panel), 2)
+    got = {(r.setting, r.fold): r for r in TU.run_trials(panel, folds, TU.declared_trials(spark, {"gbt": grid}), FEATURES).collect()}
+    assert len(prepared) == 2 and {k: r.status for k, r in got.items()} == {(s, f): "failed" if s == 1 else "ok" for s in range(3) for f in range(2)}
+    rows = FO.assign_folds(panel, folds).cache()
+    for (setting, fold), r in got.items():  # as each trial on its own has it
+        if r.status == "ok":
+            mine = rows.where(F.col("fold") == fold)
+            model = ML.fit_multi_output(mine.where("role = 'train'"), FEATURES, "gbt", grid[setting])
+            alone = TU.ME.regression_metrics(ML.predictions_long(model.transform(mine.where("role = 'test'")), keep=("fold",)), ("fold",)).first()
+            assert all(abs(r[m] - alone[m]) < 1e-9 for m in TU.METRICS)
+    monkeypatch.setattr(ML, "ROWS_AT_ONCE", 1)  # one after the other
+    again = {(r.setting, r.fold): r.mae_mean for r in TU.run_trials(panel, folds, TU.declared_trials(spark, {"gbt": grid[:1]}), FEATURES).collect()}
+    assert all(abs(again[0, f] - got[0, f].mae_mean) < 1e-9 for f in range(2))
+
+
 def test_grid_search_runs_every_declared_setting(spark, panel, monkeypatch):
     import json
 
